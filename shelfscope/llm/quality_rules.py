@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import extended
+
 #: Rows on which costs are estimated. Only the order of rules depends on them.
 SAMPLE = 200
 SYMBOLS = "#*$%&|<>"
@@ -112,8 +114,7 @@ def judged(docs: DataFrame, order: list[str] | None = None, rules: dict[str, Rul
             texts = (Text(t if isinstance(t, str) else None) for t in batch["text"])
             yield batch.assign(rejected_by=pd.Series([next((name for name in order if rules[name](t)), None) for t in texts], dtype=object, index=batch.index))
 
-    schema = docs.schema.add("rejected_by", "string")
-    return docs.mapInPandas(run, schema)
+    return docs.mapInPandas(run, extended(docs, rejected_by="string"))
 
 
 def measured(docs: DataFrame) -> DataFrame:

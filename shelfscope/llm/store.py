@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, in every operator of this package: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,3 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def n_words(text: str | Column) -> Column:
     """Number of words of a text column; null counts as empty."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def extended(df: DataFrame, **columns: str) -> T.StructType:
+    """df's schema with more columns."""
+    out = T.StructType(list(df.schema.fields))
+    for name, kind in columns.items():
+        out = out.add(name, kind)
+    return out

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sample import labelled, remainder
+from .store import extended
 
 #: Bound of the sample on which the model is fitted, for each of the two labels.
 PER_CLASS = 3000
@@ -173,4 +174,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             score = sent.value.scores(batch["text"].tolist(), kept)
             yield batch.assign(score=score, predicted=(score >= 0.5).astype("int32"))
 
-    return docs.mapInPandas(run, docs.schema.add("score", "double").add("predicted", "int"))
+    return docs.mapInPandas(run, extended(docs, score="double", predicted="integer"))
