@@ -1,9 +1,9 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the vectors of its character n-grams and of the word itself, all hashed into one table, so
-unseen misspellings share most of a known word's vectors. A window's vector is the mean over its words; a softmax layer
-scores it. A few insults in a long text vanish in a mean over all of it, so a text is scored by its highest window; in
-training that window stands for the text.
+A word's vector is the mean of the vectors of its character n-grams, with marks for its ends, hashed into one table, so
+unseen misspellings and inflections share a known word's vectors. A text's vector is the mean over all its words; a softmax
+layer scores it. Only n-grams whose share of texts differs between the labels beyond chance have vectors: the others would
+let the model learn texts by heart.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ from .store import extended
 
 #: Bound of the sample on which the model is fitted, for each of the two labels.
 PER_CLASS = 3000
-BUCKETS = 1 << 17
-SIZE = 12
-GRAMS = (3, 4, 5)
-WINDOW, STRIDE = 24, 12
-EPOCHS = 14
+BUCKETS = 1 << 18
+SIZE = 8
+GRAMS = (3, 4, 5, 6)
+EPOCHS, BATCH, RATE, GAIN = 60, 256, 0.3, 40.0
+#: An n-gram gets a vector if LEAST texts of the sample have it and its shares differ by SURE standard errors.
+LEAST, SURE = 8, 5.0
 #: Words whose scores a worker keeps.
 KEPT = 500_000
 WORDS = re.compile(r"\w+")
@@ -43,24 +44,18 @@ def words(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if isinstance(text, str) else []
 
 
-def window_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of a text's windows, and the mean of values over each; one window at least."""
-    n = len(values)
-    starts = np.arange(0, max(n - STRIDE, 1), STRIDE)
-    ends = np.minimum(starts + WINDOW, n)
-    total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
-    return starts, (total[ends] - total[starts]) / np.maximum(ends - starts, 1)
-
-
 @dataclass
 class Model:
-    """What scoring needs of the trained parameters: the softmax margin of every table row, and of no words at all."""
+    """What scoring needs of the trained parameters: the softmax margin of every row of the table, NaN for rows without a
+    vector, and the threshold as a bias."""
 
     margin: np.ndarray
     bias: float
 
     def word(self, word: str) -> float:
-        return float(self.margin[buckets(word)].mean())
+        own = self.margin[buckets(word)]
+        own = own[~np.isnan(own)]
+        return float(own.mean()) if len(own) else 0.0
 
     def scores(self, texts: list[str | None], kept: dict[str, float]) -> np.ndarray:
         out = np.empty(len(texts))
@@ -68,8 +63,7 @@ class Model:
             ws = words(text)
             for w in set(ws).difference(kept):
                 kept[w] = self.word(w)
-            means = window_sums(np.fromiter(map(kept.__getitem__, ws), np.float64, len(ws)))[1] if ws else np.zeros(1)
-            out[i] = means.max()
+            out[i] = sum(map(kept.__getitem__, ws)) / len(ws) if ws else 0.0
             if len(kept) > KEPT:
                 kept.clear()
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -40, 40)))
@@ -78,87 +72,93 @@ class Model:
 def train(texts: list[str | None], y: np.ndarray, seed: int = 5) -> Model:
     """Adagrad on the table and the softmax weights together. Texts come in a fixed order, so reruns agree.
 
-    Without both labels there is nothing to learn: every text then scores the share of label 1 (0 for no rows).
+    Every fifth text is kept back to set the threshold. Without both labels there is nothing to learn: every text then
+    scores the label there is (0 for no rows).
     """
     if len(set(y.tolist())) < 2:
-        share = float(y.mean()) if len(y) else 0.0
-        return Model(np.zeros(BUCKETS, np.float32), 40.0 if share else -40.0)
-    rng = np.random.default_rng(seed)
+        return Model(np.full(BUCKETS, np.nan, np.float32), 40.0 if len(y) and y[0] == 1 else -40.0)
     ids: dict[str, int] = {}
     docs = [np.fromiter((ids.setdefault(w, len(ids)) for w in words(t)), np.int64) for t in texts]
     keep = [i for i, d in enumerate(docs) if len(d)]
     docs, y = [docs[i] for i in keep], np.asarray(y)[keep]
     bags = [buckets(w) for w in ids]
-    lengths = np.array(list(map(len, bags)))
-    flat = np.concatenate(bags)
-    begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    table = rng.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE)).astype(np.float32)
-    weights, bias = np.zeros((2, SIZE), np.float32), np.zeros(2, np.float32)
-    seen_t, seen_w, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full((2, SIZE), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    share = np.array([1 / max((y == c).sum(), 1) for c in (0, 1)])
-    for epoch in range(EPOCHS):
-        margin = table @ (weights[1] - weights[0])
-        of_word = np.add.reduceat(margin[flat], begins) / lengths
-        picked = []
-        for d, label in zip(docs, y, strict=True):
-            starts, means = window_sums(of_word[d])
-            best = [int(starts[np.argmax(means)])] if epoch else []
-            if label == 0 or epoch < 3:  # any window of a clean text is clean; at first any of a toxic one counts as toxic
-                best += rng.choice(starts, min(len(starts), 2 if epoch else 4), replace=False).tolist()
-            picked += [(d[s : s + WINDOW], label) for s in best]
-        n = np.bincount([label for _, label in picked], minlength=2)
-        balance = np.sqrt(len(picked) / 2 / np.maximum(n, 1))
-        for at in np.array_split(rng.permutation(len(picked)), max(1, len(picked) // 128)):
-            row = np.concatenate([np.full(len(picked[i][0]), k) for k, i in enumerate(at)])
-            ws, inverse = np.unique(np.concatenate([picked[i][0] for i in at]), return_inverse=True)
-            label = np.array([picked[i][1] for i in at])
-            size = np.bincount(row, minlength=len(at)).astype(np.float32)
-            refs = np.concatenate([flat[b : b + k] for b, k in zip(begins[ws], lengths[ws], strict=True)])
-            of = np.repeat(np.arange(len(ws)), lengths[ws])
-            vectors = np.zeros((len(ws), SIZE), np.float32)
-            np.add.at(vectors, of, table[refs])
-            vectors /= lengths[ws][:, None]
-            bag = np.zeros((len(at), SIZE), np.float32)
-            np.add.at(bag, row, vectors[inverse])
-            bag /= size[:, None]
-            z = bag @ weights.T + bias
+    texts_with = np.zeros((2, BUCKETS))
+    for d, label in zip(docs, y, strict=True):
+        texts_with[label, np.unique(np.concatenate([bags[w] for w in np.unique(d)]))] += 1
+    n = np.maximum(np.bincount(y, minlength=2), 1)
+    share = texts_with.sum(0) / n.sum()
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n).sum())
+    sure = np.abs(texts_with[1] / n[1] - texts_with[0] / n[0]) >= SURE * error
+    live = sure & (texts_with.sum(0) >= LEAST)
+
+    # one row per text and live n-gram: the weight of its vector in the text's mean
+    place = np.cumsum(live) - 1
+    bags = [place[[b for b in bag if live[b]]] for bag in bags]
+    begin, col, val = [0], [], []
+    for d in docs:
+        w, count = np.unique(d, return_counts=True)
+        own = [(bags[k], c) for k, c in zip(w, count, strict=True) if len(bags[k])]
+        if own:
+            refs = np.concatenate([b for b, _ in own])
+            u, of = np.unique(refs, return_inverse=True)
+            col.append(u)
+            val.append(np.bincount(of, np.concatenate([np.full(len(b), c / len(b)) for b, c in own])) / len(d))
+        begin.append(begin[-1] + (len(col[-1]) if own else 0))
+    begin = np.array(begin)
+    col = np.concatenate(col) if col else np.zeros(0, np.int64)
+    val = GAIN * np.concatenate(val) if val else np.zeros(0)
+
+    rng = np.random.default_rng(seed)
+    back = np.arange(len(docs)) % 5 == 4
+    fit_on = np.flatnonzero(~back)
+    table, weights, bias = rng.uniform(-0.5 / SIZE, 0.5 / SIZE, (max(int(live.sum()), 1), SIZE)), np.zeros((2, SIZE)), np.zeros(2)
+    seen_t, seen_w, seen_b = np.full((len(table), 1), 1e-8), np.full((2, SIZE), 1e-8), np.full(2, 1e-8)
+
+    def bag(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        size = begin[at + 1] - begin[at]
+        row = np.repeat(np.arange(len(at)), size)
+        k = np.repeat(begin[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        c, v = col[k], val[k]
+        return row, c, v, np.stack([np.bincount(row, v * table[c, j], len(at)) for j in range(SIZE)], 1)
+
+    for _ in range(EPOCHS):
+        for at in np.array_split(rng.permutation(fit_on), max(1, len(fit_on) // BATCH)):
+            row, c, v, x = bag(at)
+            z = x @ weights.T + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            g = (p - np.eye(2, dtype=np.float32)[label]) * balance[label][:, None].astype(np.float32)
-            back = (g @ weights) / size[:, None]
-            per_word = np.zeros((len(ws), SIZE), np.float32)
-            np.add.at(per_word, inverse, back[row])
-            per_word /= lengths[ws][:, None]
-            rows, place = np.unique(refs, return_inverse=True)
-            grad = np.zeros((len(rows), SIZE), np.float32)
-            np.add.at(grad, place, per_word[of])
-            seen_t[rows] += (grad**2).mean(1)
-            table[rows] -= 0.3 * grad / np.sqrt(seen_t[rows])[:, None]
-            gw, gb = g.T @ bag / len(at), g.mean(0)
+            g = (p - np.eye(2)[y[at]]) / len(at)
+            to_bag = g @ weights
+            grad = np.stack([np.bincount(c, v * to_bag[row, j], len(table)) for j in range(SIZE)], 1)
+            gw, gb = g.T @ x, g.sum(0)
+            seen_t += (grad**2).mean(1, keepdims=True)
             seen_w += gw**2
             seen_b += gb**2
-            weights -= 0.3 * gw / np.sqrt(seen_w)
-            bias -= 0.1 * gb / np.sqrt(seen_b)
-    margin = table @ (weights[1] - weights[0])
-    # texts are scored by their highest window, so the threshold is set on these, between the two labels
-    of_word = np.add.reduceat(margin[flat], begins) / lengths
-    top = np.array([window_sums(of_word[d])[1].max() for d in docs])
-    return Model(margin.astype(np.float32), -threshold(top, y))
-
-
-def threshold(top: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the cuts with the fewest errors on the sample."""
-    order = np.argsort(top, kind="stable")
+            table -= RATE * grad / np.sqrt(seen_t)
+            weights -= RATE * gw / np.sqrt(seen_w)
+            bias -= RATE * gb / np.sqrt(seen_b)
+    turn = weights[1] - weights[0]
+    margin = np.full(BUCKETS, np.nan, np.float32)
+    margin[live] = (GAIN * table @ turn)[: int(live.sum())]
+    z = bag(np.arange(len(docs)))[3] @ turn
+    use = back if len(set(y[back].tolist())) == 2 else ~back
+    return Model(margin, -threshold(z[use], y[use]))
+
+
+def threshold(z: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the cuts with the fewest errors."""
+    order = np.argsort(z, kind="stable")
     errors = np.concatenate(([np.sum(y == 0)], np.sum(y == 0) - np.cumsum(y[order] == 0) + np.cumsum(y[order] == 1)))
     best = np.flatnonzero(errors == errors.min())
-    edges = np.concatenate(([top.min() - 1], np.sort(top), [top.max() + 1]))
+    edges = np.concatenate(([z.min() - 1], np.sort(z), [z.max() + 1]))
     return float((edges[best[0]] + edges[best[-1] + 1]) / 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold_mod: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> Model:
     fold = remainder(F.col("__id"), fold_mod) != held_out
     rows = labelled(docs.select("doc_id", "text"), labels, "toxic", fold, per_class).select("doc_id", "text", "y").toPandas()
-    rows = rows.assign(text=rows["text"].fillna("")).sort_values(["doc_id", "y", "text"])
+    # copies would make chance words look sure
+    rows = rows.assign(text=rows["text"].fillna("")).sort_values(["doc_id", "y", "text"]).drop_duplicates("text")
     return train(rows["text"].tolist(), rows["y"].to_numpy())
 
 
