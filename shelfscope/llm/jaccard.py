@@ -310,3 +310,10 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = written(classes.join(lows, classes["top"] == lows["__top"]).select(F.col("class_id").alias("__class"), "component_id"), "classes")
     out = rows.join(classes, rows["class_id"] == classes["__class"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group: that of the least doc_id, once. Rows with a null doc_id can't be told apart and stay."""
+    keep = written(grouped(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct(), "kept")
+    rows = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where("doc_id is null"))
