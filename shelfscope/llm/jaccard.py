@@ -6,12 +6,12 @@ link when the Jaccard similarity of their sets reaches the threshold. The join i
 1. Prefixes. Of a set of n tokens in one global order only the first n - ceil(t n) + 1 can hold the first token that it
    shares with a linked set. Tokens that stand in many documents come last in that order, so passages that many documents
    share, licence lines and the like, make no candidates.
-2. Groups. Classes that share a prefix token are held against the least class that has it (the token's hub), a number of
-   checks linear in the rows; components of the links found are the groups of similar classes.
-3. Matrix. (token, group) rows of the tokens that stand in two or more groups. A class is a query against the other
-   groups with which it shares a prefix token. Each group (cut into parts of at most PART classes) stores the union of its
-   members' tokens; a query opens only parts whose union holds at least ceil(t n) of its n tokens, and only there is it
-   compared with the members.
+2. Groups. Classes that share prefix tokens are held against the least class that has such a token (its hub), a number
+   of checks linear in the rows; components of the links found are the groups of similar classes.
+3. Matrix. (token, group) rows of the prefix tokens that stand in two or more groups. A class is a query against the other
+   groups: the number of its tokens that a group has bounds their overlap, as the tokens behind the shorter prefix are all
+   that can still be common. Of the groups left, cut into parts of at most PART classes, the union of all tokens is taken;
+   a query opens only parts whose union holds ceil(t n) of its n tokens, and only there is it compared with the members.
 
 Token rows of frequent tokens are salted, so that no run of equal tokens is longer than about RUN rows.
 """
@@ -38,8 +38,6 @@ CHUNK, LOCAL = 8000, 4
 #: A token is frequent from this share of the documents on (and from LEAST documents). So there are no more of them than
 #: the mean set size over the share: that bounds the table which every task gets.
 SHARE, LEAST = 2e-4, 64
-#: Rounds of hub checks. What they miss, the matrix finds; they only keep large groups from being compared pair by pair.
-ROUNDS = 3
 KEPT = 1_000_000
 
 
@@ -159,9 +157,9 @@ def _prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], perce
     return _bytes(docs).mapInArrow(run, "token long, salt int, c long, n int")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """token, c, n, hub: the rows of runs (equal token and salt) with two or more classes, or salted; hub is the least
-    class of the run. Runs are sorted by Spark and passed through in batches."""
+def _shared(rows: DataFrame, percent: int) -> DataFrame:
+    """token, c, n, hub: the rows of runs (equal token and salt) that have a possible partner in their run, or are salted;
+    hub is the least class of the run. Runs are sorted by Spark and passed through in batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "salt", "c", "n"]
@@ -176,7 +174,14 @@ def _shared(rows: DataFrame) -> DataFrame:
             token, salt, c, n, new = token[fresh], salt[fresh], c[fresh], n[fresh], new[fresh]
             begin = np.flatnonzero(new)
             length = np.diff(np.append(begin, len(token)))
-            keep = np.repeat(length > 1, length) | (salt >= 0)
+            # a class has a partner only if the next larger or smaller set of the run is of a size that can link
+            run_of = np.repeat(np.arange(len(begin)), length)
+            order = np.lexsort((n, run_of))
+            near = (run_of[order][1:] == run_of[order][:-1]) & (n[order][:-1] * 100 >= n[order][1:].astype(np.int64) * percent)
+            partner = np.zeros(len(token), bool)
+            partner[order[1:]] |= near
+            partner[order[:-1]] |= near
+            keep = partner | (salt >= 0)
             if keep.any():
                 hub = np.repeat(c[begin], length)
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, c, n, hub)], ["token", "c", "n", "hub"])
@@ -193,10 +198,10 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "c").mapInArrow(run, "token long, c long, n int, hub long")
 
 
-def _sets(docs: DataFrame, described: DataFrame, shared: DataFrame) -> DataFrame:
-    """c, n, tokens of the classes that share a token, from the text of one document each."""
+def _sets(docs: DataFrame, described: DataFrame, classes: DataFrame) -> DataFrame:
+    """c, n, tokens of the given classes, from the text of one document each."""
     first = described.where("kind = 0").groupBy(F.col("token").alias("c")).agg(F.min(F.struct("doc_id", "sign")).alias("d"))
-    need = first.join(shared.select("c").distinct(), "c").select("d.doc_id", "d.sign")
+    need = first.join(classes.distinct(), "c").select("d.doc_id", "d.sign")
     need = written(need, "members").select(F.col("doc_id").alias("i"), F.col("sign").alias("s"))
     raw = _bytes(docs)
     texts = raw.join(need, raw["doc_id"].eqNullSafe(need["i"]) & (raw["sign"] == need["s"]), "left_semi").select("raw")
@@ -229,18 +234,14 @@ def _close(a: Column, b: Column, percent: int) -> Column:
     return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
 
-def _in_groups(shared: DataFrame, links: DataFrame | None) -> DataFrame:
-    """token, c, n, g of the tokens that stand in two or more groups."""
-    rows = shared.select("token", "c", "n").distinct() if links is None else shared
-    if links is not None:
-        groups = components(links).select(F.col("node").alias("__c"), F.col("component").alias("__g"))
-        rows = rows.drop("g").join(groups, rows["c"] == groups["__c"], "left").drop("__c")
-        rows = rows.withColumn("g", F.coalesce("__g", "c")).drop("__g")
-    else:
-        rows = rows.withColumn("g", F.col("c"))
-    open_ = rows.groupBy("token").agg(F.min(F.struct("g", "c", "n")).alias("least"), F.max("g").alias("most")).where(F.col("least.g") < F.col("most"))
-    open_ = open_.select(F.greatest("token", "token").alias("__t"), "least")
-    return rows.join(open_, rows["token"] == open_["__t"]).drop("__t")
+def _least_overlap(a: Column, b: Column, percent: int) -> Column:
+    """Common tokens that sets of these sizes need to link."""
+    return F.ceil((a + b) * percent / (100 + percent) - 1e-9)
+
+
+def _behind(n: Column, percent: int) -> Column:
+    """Tokens of a set behind its prefix."""
+    return F.ceil(n * percent / 100) - 1
 
 
 def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -251,48 +252,59 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     """
     described = _described(docs)
     rows = described.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("token").alias("class_id"))
-    shared = written(_shared(_prefix_rows(docs, _frequent(described), percent)), "shared")
-    sets = _sets(docs, described, shared)
+    shared = written(_shared(_prefix_rows(docs, _frequent(described), percent), percent), "shared")
 
     # hubs; of salted tokens also the hubs of all salts against the least of them
-    stars = shared.groupBy("token", "hub").agg(F.first("n").alias("n")).join(shared.groupBy("token").agg(F.min("hub").alias("top")).select(F.greatest("token", "token").alias("__t"), "top"), F.col("token") == F.col("__t"))
-    pairs = shared.select(F.col("c").alias("a"), F.col("hub").alias("b")).unionByName(stars.select(F.col("hub").alias("a"), F.col("top").alias("b")))
-    links = written(_similar(pairs.where("a <> b").distinct(), sets, percent), "links")
-    grouped = written(_in_groups(written(shared.select("token", "c", "n").distinct(), "tokens"), links), "grouped")
-    for _ in range(ROUNDS - 1):
-        pairs = grouped.where((F.col("g") != F.col("least.g")) & _close(F.col("n"), F.col("least.n"), percent)).select(F.col("c").alias("a"), F.col("least.c").alias("b")).distinct()
-        more = written(_similar(pairs, sets, percent), "links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        grouped = written(_in_groups(grouped.drop("least"), links), "grouped")
-    return rows, links.unionByName(_matrix(grouped.drop("least"), sets, percent))
-
-
-def _matrix(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between groups. rows: token, c, n, g. The smaller group of two asks; the larger one is opened in parts."""
-    members = rows.select("c", "n", "g").distinct()
-    sizes = members.groupBy("g").agg(F.count("*").alias("size")).select(F.greatest("g", "g").alias("__g"), "size")
-    members = members.join(sizes, members["g"] == sizes["__g"]).drop("__g")
-    members = written(members.withColumn("part", F.pmod("c", F.ceil(F.col("size") / PART)).cast("int")), "group-members")
-    of = members.select(F.col("c").alias("__c"), "size", "part")
-    tokens = rows.join(of, rows["c"] == of["__c"]).drop("__c")
-    matrix = tokens.groupBy("token", "g", "part").agg(F.max("size").alias("g_size"), F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = matrix.select(F.greatest("token", "token").alias("m_token"), F.col("g").alias("m_g"), F.col("part").alias("m_part"), "g_size", "low", "high")
-    asks = tokens.join(matrix, tokens["token"] == matrix["m_token"])
-    asks = asks.where(F.struct("size", "g") < F.struct("g_size", "m_g"))
-    asks = asks.where((F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent))
-    asks = asks.select("c", "m_g", "m_part").distinct()
-
-    with_tokens = members.join(sets.select(F.col("c").alias("__c"), "tokens"), F.col("c") == F.col("__c"))
-    unions = with_tokens.groupBy("g", "part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("u"))
+    hubs = shared.groupBy("token", "hub").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    top = shared.groupBy("token").agg(F.min("hub").alias("top")).select(F.greatest("token", "token").alias("__t"), "top")
+    tops = hubs.join(top, hubs["token"] == top["__t"]).select(F.col("hub").alias("a"), F.col("top").alias("b"))
+    pairs = shared.select(F.col("c").alias("a"), F.col("hub").alias("b")).unionByName(tops).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("k"))
+    size = shared.groupBy("c").agg(F.first("n").alias("n"))
+    pairs = pairs.join(size.select(F.greatest("c", "c").alias("a1"), F.col("n").alias("a_n")), F.col("a") == F.col("a1")).join(size.select(F.greatest("c", "c").alias("b1"), F.col("n").alias("b_n")), F.col("b") == F.col("b1"))
+    pairs = pairs.where(_close(F.col("a_n"), F.col("b_n"), percent))
+    pairs = pairs.where(F.col("k") + _behind(F.greatest("a_n", "b_n"), percent) >= _least_overlap(F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
+    pairs = written(pairs, "hubs")
+    sets = _sets(docs, described, pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))))
+    links = written(_similar(pairs, sets, percent), "links")
+    return rows, links.unionByName(_matrix(docs, described, shared, links, percent))
+
+
+def _matrix(docs: DataFrame, described: DataFrame, shared: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links between the groups that links makes. The smaller group of two asks; the larger one is opened in parts."""
+    groups = written(components(links), "groups")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    groups = groups.join(sizes.select(F.greatest("component", "component").alias("__g"), "size"), F.col("component") == F.col("__g"))
+    of = groups.select(F.col("node").alias("__c"), F.col("component").alias("__g"), "size")
+    rows = shared.select("token", "c", "n").join(of, F.col("c") == F.col("__c"), "left")
+    rows = rows.select("token", "c", "n", F.coalesce("__g", "c").alias("g"), F.coalesce("size", F.lit(1)).alias("size"))
+    rows = rows.withColumn("part", F.pmod("c", F.ceil(F.col("size") / PART)).cast("int"))
+    rows = written(rows, "token-groups")
+    matrix = rows.groupBy("token", "g", "part").agg(F.first("size").alias("g_size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    several = matrix.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 < g2").select(F.greatest("token", "token").alias("__t"))
+    matrix = written(matrix.join(several, F.col("token") == F.col("__t"), "left_semi"), "matrix")
+    matrix = matrix.select(F.col("token").alias("m_token"), F.col("g").alias("m_g"), F.col("part").alias("m_part"), "g_size", "low", "high")
+
+    asks = rows.join(matrix, rows["token"] == matrix["m_token"]).where(F.struct("size", "g") < F.struct("g_size", "m_g"))
+    fits = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent)
+    asks = asks.where(fits).groupBy("c", "m_g", "m_part").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # the bound is loosest for a member of the largest size that can link
+    largest = F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
+    least = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    loose = lambda m: F.col("k") + _behind(F.greatest(F.col("n"), m), percent) >= _least_overlap(F.col("n"), m, percent)
+    asks = written(asks.where(loose(largest) | loose(least)).select("c", "m_g", "m_part"), "asks")
+
+    members = rows.select("c", "g", "part").distinct()
+    members = written(members.join(asks, (F.col("g") == F.col("m_g")) & (F.col("part") == F.col("m_part")), "left_semi"), "members")
+    sets = _sets(docs, described, asks.select("c").unionByName(members.select("c")))
+    inside = members.join(sets.select(F.col("c").alias("__c"), F.col("n").alias("b_n"), "tokens"), F.col("c") == F.col("__c"))
+    unions = inside.groupBy("g", "part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("u"))
     unions = unions.select(F.greatest("g", "g").alias("u_g"), F.greatest("part", "part").alias("u_part"), "u")
     own = sets.select(F.col("c").alias("q"), F.col("n").alias("q_n"), F.col("tokens").alias("q_t"))
     bound = asks.join(own, asks["c"] == own["q"]).join(unions, (F.col("m_g") == F.col("u_g")) & (F.col("m_part") == F.col("u_part")))
-    opened = bound.where(F.size(F.array_intersect("q_t", "u")) * 100 >= F.col("q_n") * percent).select(F.col("q").alias("a"), F.col("q_n"), "m_g", "m_part")
-    inside = members.select(F.col("c").alias("b"), F.col("n").alias("b_n"), "g", "part")
-    pairs = opened.join(inside, (F.col("m_g") == F.col("g")) & (F.col("m_part") == F.col("part"))).where(_close(F.col("q_n"), F.col("b_n"), percent))
-    return written(_similar(pairs.select("a", "b").distinct(), sets, percent), "links")
+    opened = bound.where(F.size(F.array_intersect("q_t", "u")) * 100 >= F.col("q_n") * percent)
+    opened = written(opened.select(F.col("q").alias("a"), "m_g", "m_part"), "opened")
+    pairs = opened.join(members, (F.col("m_g") == F.col("g")) & (F.col("m_part") == F.col("part"))).select("a", F.col("c").alias("b")).distinct()
+    return written(_similar(pairs, sets, percent), "links")
 
 
 def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
