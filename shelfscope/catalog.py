@@ -1,15 +1,419 @@
-"""All queries of the library with the SQL that checks them."""
+"""All queries of the library with the SQL that checks them. Each query runs over the whole market that plans.fixtures
+builds from the given tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shelfscope.functions import normalise as N
+from shelfscope.operators import analytics as A
+from shelfscope.operators import matching as M
+from shelfscope.operators import pricing as R
+from shelfscope.operators import search as D
+from shelfscope.operators import upsert as U
+from shelfscope.plans import fixtures as X
+from shelfscope.plans.oracles import ORACLES
+from shelfscope.sources import extract, files
+from shelfscope.streaming import ingest
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+OWN = [X.OWN]
+DATES = ("1996-06-30", "2001-12-31")
+#: A few groups over the synthetic part types; real catalogues bring their own rules.
+CATEGORY_RULES = [("Plated", [r"\bplated\b"]), ("Brushed metal", [r"\bbrushed (copper|tin|nickel|steel|brass)\b"]), ("Steel", [r"\bsteel\b"]), ("Small parts", [r"\bsmall\b", r"\bmedium\b"])]
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+class Market:
+    """Products, listings, matches and offers of a folder of tables."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.products, self.listings = X.products(spark, folder), X.listings(spark, folder)
+        self.spark, self.folder = spark, folder
+
+    @property
+    def matches(self) -> DataFrame:
+        return M.layered_match(self.listings, self.products)
+
+    @property
+    def matched(self) -> DataFrame:
+        return M.matched_offers(self.matches, self.products, self.listings)
+
+    @property
+    def offers(self) -> DataFrame:
+        return A.offers(self.matched)
+
+    @property
+    def position(self) -> DataFrame:
+        return A.sku_position(self.offers, X.OWN, OWN)
+
+    @property
+    def snapshots(self) -> DataFrame:
+        first, second = (R.build_snapshot(self.matched, self.products, d, OWN) for d in DATES)
+        return first.unionByName(second)
+
+
+# --- identifiers -----------------------------------------------------------------------------------------------------
+
+
+@query
+def norm_identifiers(spark, folder):
+    rows = M.normalised(Market(spark, folder).listings)
+    return rows.select("id", "nbrand", "nmpn", "nean", N.norm_title(F.col("title")).alias("ntitle"), N.derive_sku(F.col("nean"), F.col("nbrand"), F.col("nmpn"), F.col("title")).alias("sku"))
+
+
+@query
+def mpn_candidates(spark, folder):
+    rows = Market(spark, folder).listings
+    return rows.select("id", F.array_join(F.sort_array(N.mpn_candidates(F.col("title"))), ",").alias("codes"), F.array_join(N.ean13_candidates(F.col("title")), ",").alias("eans"))
+
+
+@query
+def title_token_counts(spark, folder):
+    tokens = X.table(spark, folder, "documents").select(F.explode(N.title_tokens(F.col("text"))).alias("token"))
+    return tokens.groupBy("token").agg(F.count("*").alias("documents"))
+
+
+@query
+def price_classes(spark, folder):
+    m = Market(spark, folder).matched
+    d = N.delta_pct(F.col("price_eur"), F.col("catalogue_price"))
+    return m.groupBy(N.delta_class(d, 1.0).alias("class"), N.gap_bucket(d).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query
+def listing_freshness(spark, folder):
+    rows = Market(spark, folder).listings
+    return rows.groupBy("competitor_id", N.freshness(F.col("scraped_at"), F.lit("2001-10-30 12:00:00")).alias("tier")).agg(F.count("*").alias("n"))
+
+
+@query
+def category_counts(spark, folder):
+    rows = Market(spark, folder).products.withColumn("category", F.lit("Steel"))
+    return A.backfill_categories(rows, CATEGORY_RULES)
+
+
+# --- matching --------------------------------------------------------------------------------------------------------
+
+
+@query
+def match_layers(spark, folder):
+    return Market(spark, folder).matches
+
+
+@query
+def match_unblocked(spark, folder):
+    m = Market(spark, folder)
+    return M.layered_match(m.listings, m.products, None).groupBy("match_type", "confidence").agg(F.count("*").alias("n"))
+
+
+@query
+def match_summary(spark, folder):
+    return M.match_summary(Market(spark, folder).matches)
+
+
+@query
+def ean_phase(spark, folder):
+    m = Market(spark, folder)
+    return M.ean_phase(m.listings, m.products.where("id % 3 <> 0"))[0]
+
+
+@query
+def derived_products(spark, folder):
+    m = Market(spark, folder)
+    return M.ean_phase(m.listings, m.products.where("id % 3 <> 0"))[1].select("id", "sku", "ean", "title", "price_eur")
+
+
+@query
+def unmatched_listings(spark, folder):
+    m = Market(spark, folder)
+    return M.unmatched(m.listings, m.matches).groupBy("competitor_id").agg(F.count("*").alias("n"))
+
+
+@query
+def token_candidates(spark, folder):
+    m = Market(spark, folder)
+    orphans = M.unmatched(m.listings.where(F.col("competitor_id") == X.OWN), m.matches)
+    return M.token_candidates(orphans, m.products, 5)
+
+
+@query
+def knn_by_label(spark, folder):
+    v = X.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), F.col("embedding").alias("vector"))
+    return M.knn(v, v, 5, None, 4).select("query_id", "rank", "pool_id")
+
+
+@query
+def exact_titles(spark, folder):
+    m = Market(spark, folder)
+    return M.match_exact_title(m.listings, m.products)
+
+
+@query
+def detect_brand(spark, folder):
+    m = Market(spark, folder)
+    return M.detect_brand(m.listings, m.products)
+
+
+@query
+def backfill_brand(spark, folder):
+    m = Market(spark, folder)
+    blank = m.listings.withColumn("brand", F.when(F.col("ean").isNull(), F.col("brand")))
+    return M.backfill_brand(blank, m.products, m.listings).select("id", "brand")
+
+
+@query
+def peers(spark, folder):
+    return M.peers_of(Market(spark, folder).matched, OWN).groupBy("own_listing_id").agg(F.count("*").alias("peers"), F.min("price_eur").alias("low"))
+
+
+@query
+def preferred_source(spark, folder):
+    m = Market(spark, folder)
+    return M.preferred_source(m.products, m.listings, X.OWN)
+
+
+@query
+def ean_clusters(spark, folder):
+    return M.ean_clusters(Market(spark, folder).listings, X.OWN)
+
+
+# --- pricing ---------------------------------------------------------------------------------------------------------
+
+
+@query
+def latest_prices(spark, folder):
+    return R.latest_prices(Market(spark, folder).matched, DATES[1]).select("product_id", "competitor_id", "listing_id", "price_eur")
+
+
+@query
+def snapshot(spark, folder):
+    m = Market(spark, folder)
+    return R.build_snapshot(m.matched, m.products, DATES[1], OWN)
+
+
+@query
+def recommend(spark, folder):
+    return R.recommend(Market(spark, folder).snapshots, DATES[1]).drop("rationale")
+
+
+@query
+def price_history(spark, folder):
+    return R.price_history(Market(spark, folder).snapshots, DATES[1], 30)
+
+
+@query
+def alerts(spark, folder):
+    m = Market(spark, folder)
+    s = m.snapshots
+    return R.alerts(R.recommend(s, DATES[1]), m.products, s, DATES[1]).drop("rationale")
+
+
+@query
+def market_position(spark, folder):
+    return R.market_position(Market(spark, folder).snapshots)
+
+
+# --- analytics -------------------------------------------------------------------------------------------------------
+
+
+@query
+def offers(spark, folder):
+    return Market(spark, folder).offers
+
+
+@query
+def store_overview(spark, folder):
+    m = Market(spark, folder)
+    stores = X.table(spark, folder, "supplier").select(F.concat(F.lit("s"), (F.col("s_suppkey") % 12).cast("string")).alias("store")).distinct().withColumn("own", F.col("store") == X.OWN)
+    return A.store_overview(stores, A.store_volume(m.listings, "2001-10-30", 365), A.store_matches(m.matched), m.offers)
+
+
+@query
+def overview_summary(spark, folder):
+    return A.overview_summary(store_overview(spark, folder))
+
+
+@query
+def lower_price_rate(spark, folder):
+    return A.lower_price_rate(Market(spark, folder).offers)
+
+
+@query
+def store_overlap(spark, folder):
+    return A.store_overlap(Market(spark, folder).offers)
+
+
+@query
+def top_overlaps(spark, folder):
+    return A.top_overlaps(A.store_overlap(Market(spark, folder).offers), 8)
+
+
+@query
+def overlap_nodes(spark, folder):
+    return A.overlap_nodes(Market(spark, folder).offers).drop("partners")
+
+
+@query
+def seller_stats(spark, folder):
+    return A.seller_stats(Market(spark, folder).offers)
+
+
+@query
+def sku_position(spark, folder):
+    return Market(spark, folder).position
+
+
+@query
+def position_kpis(spark, folder):
+    return A.position_kpis(Market(spark, folder).position)
+
+
+@query
+def bucket_hist(spark, folder):
+    return A.bucket_hist(Market(spark, folder).position)
+
+
+@query
+def head_to_head(spark, folder):
+    return A.head_to_head(Market(spark, folder).offers, X.OWN)
+
+
+@query
+def catalog_overlap(spark, folder):
+    return A.catalog_overlap(Market(spark, folder).offers, X.OWN)
+
+
+@query
+def density(spark, folder):
+    return A.density(Market(spark, folder).position)
+
+
+@query
+def density_rivals(spark, folder):
+    return A.density_rivals(Market(spark, folder).position)
+
+
+@query
+def unlisted(spark, folder):
+    return A.unlisted(Market(spark, folder).offers, X.OWN)
+
+
+@query
+def opportunities(spark, folder):
+    return A.opportunities(Market(spark, folder).position).select("key", "gap", "side")
+
+
+@query
+def price_tiles(spark, folder):
+    return A.price_tiles(Market(spark, folder).matched, OWN).drop("stores", "title")
+
+
+@query
+def pair_summary(spark, folder):
+    return A.pair_summary(A.compare_pairs(Market(spark, folder).matched, X.OWN))
+
+
+@query
+def brand_summary(spark, folder):
+    return A.pair_summary(A.compare_pairs(Market(spark, folder).matched, X.OWN), ["brand"])
+
+
+@query
+def merge_pairs(spark, folder):
+    return A.merge_pairs(A.compare_pairs(Market(spark, folder).matched, X.OWN), ["s1", "s2"])
+
+
+@query
+def manufacturer_summary(spark, folder):
+    return A.manufacturer_summary(A.manufacturer_view(Market(spark, folder).matched, OWN, "brand#2"))
+
+
+@query
+def comparison_stats(spark, folder):
+    return A.comparison_stats(A.compare_pairs(Market(spark, folder).matched, X.OWN))
+
+
+@query
+def brand_remap(spark, folder):
+    return A.brand_remap(Market(spark, folder).listings)
+
+
+def market_offers(spark, folder):
+    """Marketplace offers from the listings: a seller is a store, delivery depends on the url."""
+    m = Market(spark, folder).matched
+    delivery = F.when(F.length("url") % 3 == 0, None).otherwise((F.length("url") % 7) / 2).cast("decimal(10,2)")
+    return m.select(F.col("product_ean").alias("ean"), "title", F.col("competitor_id").alias("seller"), "price_eur", delivery.alias("delivery_eur"), F.lit(None).cast("decimal(10,2)").alias("box_price_eur"), F.col("listing_id").alias("position")).where("ean IS NOT NULL")
+
+
+@query
+def offer_matrix(spark, folder):
+    return A.offer_matrix(market_offers(spark, folder)).select("ean", "seller", "total", "cheapest", "dearest")
+
+
+@query
+def delivery_quartiles(spark, folder):
+    return A.delivery_quartiles(market_offers(spark, folder))
+
+
+@query
+def wide_prices(spark, folder):
+    m = Market(spark, folder)
+    wide = files.wide_prices(R.latest_prices(m.matched, DATES[1]), m.products, X.STORES, OWN)
+    return wide.select("id", "sku", *(F.col(f"{s}_price") for s in X.STORES))
+
+
+# --- merges, pages, search -------------------------------------------------------------------------------------------
+
+
+@query
+def upsert_listings(spark, folder):
+    rows = X.shaped(spark, folder).withColumn("id", F.md5(F.concat_ws("|", "competitor_id", "url")))
+    rows = rows.select("id", "competitor_id", "url", "brand", "mpn", "ean", "title", "price_eur", "in_stock", "scraped_at")
+    cut = F.lit("1998-06-30").cast("timestamp")
+    empty = rows.limit(0)
+    return U.upsert_listings(U.upsert_listings(empty, rows.where(F.col("scraped_at") < cut)), rows.where(F.col("scraped_at") >= cut)).select("id", "brand", "mpn", "ean", "price_eur")
+
+
+@query
+def page_links(spark, folder):
+    return extract.extract_links(X.table(spark, folder, "pages"), base="https://shop.test")
+
+
+@query
+def page_titles(spark, folder):
+    return extract.extract_microdata(X.table(spark, folder, "pages")).select("url", "title")
+
+
+@query
+def search_batch(spark, folder):
+    m = Market(spark, folder)
+    p = m.products
+    asked = p.select(F.concat(F.lit("t"), "id").alias("query_id"), F.col("title").alias("query"), "id").where("id % 50 = 7")
+    asked = asked.unionByName(p.select(F.concat(F.lit("e"), "id").alias("query_id"), F.concat("ean", F.lit(".0")).alias("query"), "id").where("ean IS NOT NULL"))
+    asked = asked.unionByName(p.select(F.concat(F.lit("m"), "id").alias("query_id"), F.col("mpn").alias("query"), "id"))
+    asked = asked.unionByName(p.select(F.concat(F.lit("s"), "id").alias("query_id"), F.lower("sku").alias("query"), "id"))
+    return D.lookup(asked.drop("id"), p, m.listings, m.matches, X.OWN)
+
+
+@query
+def windowed_prices(spark, folder):
+    rows = Market(spark, folder).listings.withColumn("scraped_at", F.col("scraped_at").cast("timestamp"))
+    return ingest.windowed_prices(rows, width="7 days").select("competitor_id", F.col("start").cast("date").alias("start"), "n", "low")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in ORACLES.items() if k in QUERIES}
