@@ -34,11 +34,11 @@ PERCENT = 75
 PART = 256
 RUN = 4096
 #: Documents whose tokens a task counts at once, and how often a token has to stand in them to be reported.
-CHUNK, LOCAL = 8000, 4
+CHUNK, LOCAL = 6000, 4
 #: A token is frequent from this share of the documents on (and from LEAST documents). So there are no more of them than
 #: the mean set size over the share: that bounds the table which every task gets.
 SHARE, LEAST = 2e-4, 64
-KEPT = 1_000_000
+KEPT = 200_000
 
 
 class _Words(dict):
@@ -83,6 +83,12 @@ def _bytes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), F.xxhash64("text").alias("sign"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _described(docs: DataFrame) -> DataFrame:
     """kind 0: doc_id, sign (hash of the text), n, class_id per row of docs (class_id null for empty sets); kind 1: token
     and a count of it in one chunk, copies counted once."""
@@ -99,7 +105,7 @@ def _described(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([1] * len(n), pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(n, pa.int64()), pa.array(token, pa.int64())], names)
 
         names = ["kind", "doc_id", "sign", "n", "token"]
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, classes = [], []
             for raw in batch.column("raw").to_pylist():
                 tokens = shingles(raw)
@@ -133,7 +139,7 @@ def _prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], perce
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, salts = sent.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for raw in batch.column("raw").to_pylist():
                 tokens = shingles(raw)
@@ -204,11 +210,12 @@ def _sets(docs: DataFrame, described: DataFrame, classes: DataFrame) -> DataFram
     need = first.join(classes.distinct(), "c").select("d.doc_id", "d.sign")
     need = written(need, "members").select(F.col("doc_id").alias("i"), F.col("sign").alias("s"))
     raw = _bytes(docs)
-    texts = raw.join(need, raw["doc_id"].eqNullSafe(need["i"]) & (raw["sign"] == need["s"]), "left_semi").select("raw")
+    # the same plan at every size: the list of documents grows with the corpus, so it is never sent to all tasks
+    texts = raw.join(need.hint("merge"), raw["doc_id"].eqNullSafe(need["i"]) & (raw["sign"] == need["s"]), "left_semi").select("raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for raw in batch.column("raw").to_pylist():
                 tokens = shingles(raw)
