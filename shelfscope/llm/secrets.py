@@ -51,14 +51,14 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs with base (spans of assign, access and hex) and spans (these and linked parts).
+def scan(docs: DataFrame, base: str = "base", spans: str = "spans") -> DataFrame:
+    """docs with the columns base (spans of assign, access and hex) and spans (these and linked parts).
 
     A weak identifier is reported if a secret lies within REACH of it, a weak secret if an identifier or access key
     does, an endpoint if both do. Null texts are empty; empty texts have no spans; repeated rows are scanned each by
-    itself; columns named base or spans are replaced; an empty table gives an empty one.
+    itself; columns of docs with these two names are replaced; an empty table gives an empty one.
     """
-    docs = docs.drop("base", "spans")
+    docs = docs.drop(base, spans)
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("__text", text)
     t = F.col("__text")
@@ -93,8 +93,8 @@ def scan(docs: DataFrame) -> DataFrame:
         F.filter("__weak", with_id),
         F.filter("__endpoint", lambda e: with_id(e) & with_secret(e)),
     )
-    df = df.withColumn("base", F.concat("__assign", "__access", "__hex")).withColumn("spans", F.concat("base", linked))
-    return df.select(*docs.columns, "base", "spans")
+    df = df.withColumn(base, F.concat("__assign", "__access", "__hex")).withColumn(spans, F.concat(base, linked))
+    return df.select(*docs.columns, base, spans)
 
 
 def scan_digest(docs: DataFrame) -> DataFrame:
@@ -110,8 +110,9 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         more = F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1, span["start"] - s["at"]), F.lit(mask))
         return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.when(span["start"] >= s["at"], more).otherwise(s["out"]).alias("out"))
 
-    clean = F.aggregate(F.array_sort("spans"), start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1)))
-    out = scan(docs).withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
+    clean = F.aggregate(F.array_sort("__spans"), start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1)))
+    hit = F.size("__spans") > 0
+    out = scan(docs, "__base", "__spans").withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
