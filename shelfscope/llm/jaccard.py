@@ -147,37 +147,37 @@ def _prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], perce
                     continue
                 if len(seen) < KEPT:
                     seen.add(c)
-                n, salt = len(tokens), np.full(len(tokens), -1)
+                n, salt, hot = len(tokens), np.full(len(tokens), -1), 0
                 if len(often):
                     at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
                     is_often = often[at] == tokens
                     salt = np.where(is_often, c % salts[at], -1)
-                    order = np.argsort(is_often, kind="stable")
+                    hot, order = int(is_often.sum()), np.argsort(is_often, kind="stable")
                     tokens, salt = tokens[order], salt[order]
                 p = prefix_size(n, percent)
-                out.append((tokens[:p], salt[:p], np.full(p, c), np.full(p, n)))
+                out.append((tokens[:p], salt[:p], np.full(p, c), np.full(p, n), np.full(p, hot)))
             if out:
-                token, salt, c, n = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(c.astype(np.int64)), pa.array(n.astype(np.int32))], ["token", "salt", "c", "n"])
+                token, salt, c, n, hot = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *(pa.array(x.astype(t)) for x, t in ((salt, np.int32), (c, np.int64), (n, np.int32), (hot, np.int32)))], ["token", "salt", "c", "n", "hot"])
 
-    return _bytes(docs).mapInArrow(run, "token long, salt int, c long, n int")
+    return _bytes(docs).mapInArrow(run, "token long, salt int, c long, n int, hot int")
 
 
 def _shared(rows: DataFrame, percent: int) -> DataFrame:
-    """token, c, n, hub: the rows of runs (equal token and salt) that have a possible partner in their run, or are salted;
+    """token, salt, c, n, hot, hub: the rows of runs (equal token and salt) that have a possible partner in their run, or are salted;
     hub is the least class of the run. Runs are sorted by Spark and passed through in batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "salt", "c", "n"]
-        rest = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int32)]
+        names = ["token", "salt", "c", "n", "hot"]
+        rest = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int32, np.int32)]
 
         def runs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token, salt, c, n = cols
+            token, salt, c, n, hot = cols
             if not len(token):
                 return
             new = np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
             fresh = new | np.concatenate(([True], c[1:] != c[:-1]))
-            token, salt, c, n, new = token[fresh], salt[fresh], c[fresh], n[fresh], new[fresh]
+            token, salt, c, n, hot, new = (x[fresh] for x in (token, salt, c, n, hot, new))
             begin = np.flatnonzero(new)
             length = np.diff(np.append(begin, len(token)))
             # a class has a partner only if the next larger or smaller set of the run is of a size that can link
@@ -190,7 +190,7 @@ def _shared(rows: DataFrame, percent: int) -> DataFrame:
             keep = partner | (salt >= 0)
             if keep.any():
                 hub = np.repeat(c[begin], length)
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, c, n, hub)], ["token", "c", "n", "hub"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, salt, c, n, hot, hub)], [*names, "hub"])
 
         for batch in batches:
             cols = [np.concatenate((r, batch.column(x).to_numpy(zero_copy_only=False))) for r, x in zip(rest, names, strict=True)]
@@ -201,7 +201,7 @@ def _shared(rows: DataFrame, percent: int) -> DataFrame:
             rest = [x[cut:] for x in cols]
         yield from runs(rest)
 
-    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "c").mapInArrow(run, "token long, c long, n int, hub long")
+    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "c").mapInArrow(run, "token long, salt int, c long, n int, hot int, hub long")
 
 
 def _sets(docs: DataFrame, described: DataFrame, classes: DataFrame) -> DataFrame:
@@ -277,28 +277,35 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
 
 
 def _matrix(docs: DataFrame, described: DataFrame, shared: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between the groups that links makes. The smaller group of two asks; the larger one is opened in parts."""
+    """Links between the groups that links makes. The smaller group of two asks; the larger one is opened in parts.
+
+    Two classes can link through a rare token, whose matches are counted, or through frequent tokens only. A class has
+    frequent tokens in its prefix only if all its rare ones are there too; without a common rare one the overlap is at most
+    the smaller of the two numbers of frequent tokens, which keeps classes apart that share one long passage.
+    """
     groups = written(components(links), "groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     groups = groups.join(sizes.select(F.greatest("component", "component").alias("__g"), "size"), F.col("component") == F.col("__g"))
     of = groups.select(F.col("node").alias("__c"), F.col("component").alias("__g"), "size")
-    rows = shared.select("token", "c", "n").join(of, F.col("c") == F.col("__c"), "left")
-    rows = rows.select("token", "c", "n", F.coalesce("__g", "c").alias("g"), F.coalesce("size", F.lit(1)).alias("size"))
+    rows = shared.join(of, F.col("c") == F.col("__c"), "left")
+    own_hot = F.greatest(F.lit(0), F.col("n") - _behind(F.col("n"), percent) - (F.col("n") - F.col("hot")))
+    rows = rows.select("token", "c", "n", "hot", (F.col("salt") >= 0).alias("often"), own_hot.alias("prefix_hot"), F.coalesce("__g", "c").alias("g"), F.coalesce("size", F.lit(1)).alias("size"))
     rows = rows.withColumn("part", F.pmod("c", F.ceil(F.col("size") / PART)).cast("int"))
     rows = written(rows, "token-groups")
-    matrix = rows.groupBy("token", "g", "part").agg(F.first("size").alias("g_size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = rows.groupBy("token", "g", "part").agg(F.first("size").alias("g_size"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("hot").alias("m_hot"), F.max("prefix_hot").alias("m_prefix_hot"))
     several = matrix.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 < g2").select(F.greatest("token", "token").alias("__t"))
     matrix = written(matrix.join(several, F.col("token") == F.col("__t"), "left_semi"), "matrix")
-    matrix = matrix.select(F.col("token").alias("m_token"), F.col("g").alias("m_g"), F.col("part").alias("m_part"), "g_size", "low", "high")
+    matrix = matrix.select(F.col("token").alias("m_token"), F.col("g").alias("m_g"), F.col("part").alias("m_part"), "g_size", "low", "high", "m_hot", "m_prefix_hot")
 
-    asks = rows.join(matrix, rows["token"] == matrix["m_token"]).where(F.struct("size", "g") < F.struct("g_size", "m_g"))
-    fits = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent)
-    asks = asks.where(fits).groupBy("c", "m_g", "m_part").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    fits = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent) & (F.struct("size", "g") < F.struct("g_size", "m_g"))
+    both = rows.join(matrix, (rows["token"] == matrix["m_token"]) & fits & (~F.col("often") | (F.least("hot", "m_hot") >= _least_overlap(F.col("n"), F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100)), percent))))
+    asks = both.groupBy("c", "m_g", "m_part").agg(F.count_if(~F.col("often")).alias("rare"), F.max("often").alias("often"), F.least(F.first("prefix_hot"), F.max("m_prefix_hot")).alias("common_hot"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    asks = asks.withColumn("k", F.col("rare") + F.col("common_hot"))
     # the bound is loosest for a member of the largest size that can link
     largest = F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
     least = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
     loose = lambda m: F.col("k") + _behind(F.greatest(F.col("n"), m), percent) >= _least_overlap(F.col("n"), m, percent)
-    asks = written(asks.where(loose(largest) | loose(least)).select("c", "m_g", "m_part"), "asks")
+    asks = written(asks.where(F.col("often") | loose(largest) | loose(least)).select("c", "m_g", "m_part"), "asks")
 
     members = rows.select("c", "g", "part").distinct()
     members = written(members.join(asks, (F.col("g") == F.col("m_g")) & (F.col("part") == F.col("m_part")), "left_semi"), "members")
