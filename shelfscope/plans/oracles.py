@@ -213,4 +213,14 @@ ORACLES = {
       SELECT DISTINCT regexp_replace(regexp_replace(a, '[?#].*$', ''), '/+$', '') AS link FROM u""",
     "page_titles": r"""SELECT url, trim(string_split(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ' | ')[1]) AS title FROM pages""",
     "windowed_prices": f"{WITH} SELECT competitor_id, CAST(time_bucket(INTERVAL 7 DAY, CAST(scraped_at AS TIMESTAMP), TIMESTAMP '1970-01-01') AS DATE) AS start, count(*) AS n, min(price_eur) AS low FROM listings GROUP BY ALL",
+    "search_batch": NORMED
+    + r""",
+tq AS (SELECT id, lower(title) AS f, regexp_extract_all(lower(title), '[a-z0-9]+') AS tk FROM products WHERE id % 50 = 7),
+h AS (SELECT id, hay, regexp_extract_all(hay, '[a-z0-9]+') AS ht FROM (SELECT id, lower(concat_ws(' ', title, brand, mpn, sku, ean)) AS hay FROM products)),
+s AS (SELECT tq.id AS q, h.id AS p, len(list_filter(tk, lambda x: list_contains(ht, x))) AS matched, len(tk) AS n, contains(hay, f) AS phrase,
+    len(list_filter(range(1, len(tk)), lambda i: contains(hay, tk[CAST(i AS BIGINT)] || ' ' || tk[CAST(i + 1 AS BIGINT)]))) AS adjacent FROM tq, h)
+SELECT 't' || q AS query_id, arg_max(p, (CASE WHEN matched = n THEN 1 ELSE 0 END, CASE WHEN phrase THEN 1 ELSE 0 END, adjacent, matched, p)) AS product_id, 'text' AS how FROM s WHERE matched > 0 GROUP BY 1
+UNION ALL SELECT 'e' || np.id, t.id, 'ean' FROM np JOIN (SELECT nean, max(id) AS id FROM np GROUP BY 1) t USING (nean)
+UNION ALL SELECT 'm' || id, max(id) OVER (PARTITION BY nmpn), 'mpn' FROM np
+UNION ALL SELECT 's' || id, id, 'sku' FROM np""",
 }
