@@ -76,6 +76,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 SQL = {}
 
+SQL["op1_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, CAST(CAST(unhex(sha1(payload)) AS BIT) AS VARCHAR) AS bits FROM p),
+e AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * CAST(substr(bits, CAST(5 * i + 1 AS BIGINT), 1) AS INT) + 8 * CAST(substr(bits, CAST(5 * i + 2 AS BIGINT), 1) AS INT) + 4 * CAST(substr(bits, CAST(5 * i + 3 AS BIGINT), 1) AS INT)
+      + 2 * CAST(substr(bits, CAST(5 * i + 4 AS BIGINT), 1) AS INT) + CAST(substr(bits, CAST(5 * i + 5 AS BIGINT), 1) AS INT), 1)), 'string_agg', '') AS payload_digest FROM d),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM e)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM m
+"""
+
+def secret_spans_sql() -> str:
+    """Matches alternate with the pieces between them, so running lengths give offsets; parts link by list filters."""
+    patterns = (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.IDENTIFIER, secrets.WEAK, secrets.ENDPOINT)
+    quoted = [p.replace("'", "''") for p in patterns]
+    cut = ", ".join(f"regexp_extract_all(t, '{p}') AS h{k}, string_split_regex(t, '{p}') AS p{k}" for k, p in enumerate(quoted))
+    least = ["length(g0[CAST(i AS BIGINT)]) >= 8" if k == 0 else "true" for k in range(len(patterns))]
+    total = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+    spans = ", ".join(
+        f"list_transform(list_filter(range(1, len(h{k}) + 1), lambda i: {least[k]}), lambda i: {{'s': CAST({total(f'p{k}[1:i]')} + {total(f'h{k}[1:i - 1]')} AS BIGINT), 'k': {k}, 'e': CAST({total(f'p{k}[1:i]')} + {total(f'h{k}[1:i]')} AS BIGINT)}}) AS s{k}"
+        for k in range(len(patterns))
+    )
+    names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+    near = lambda x, rows: f"len(list_filter({rows}, lambda o: o.s <= {x}.e + {secrets.REACH} AND {x}.s <= o.e + {secrets.REACH})) > 0"
+    text = lambda x: f"array_to_string(list_transform(list_sort({x}), lambda z: {names}[z.k + 1] || ':' || z.s || ':' || z.e), ',')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '{quoted[0]}', 2) AS g0, {cut} FROM d),
+a AS (SELECT doc_id, {spans} FROM m),
+b AS (SELECT *, list_filter(s4, lambda w: len(list_filter(s0, lambda o: w.s < o.e AND o.s < w.e)) = 0) AS w4, list_concat(s1, s3) AS ids FROM a),
+c AS (SELECT *, list_concat(list_concat(s0, s2), w4) AS secrets, list_concat(list_concat(s0, s1), s2) AS base FROM b),
+l AS (SELECT *, list_concat(list_concat(list_filter(s3, lambda x: {near("x", "secrets")}), list_filter(w4, lambda x: {near("x", "ids")})),
+    list_filter(s5, lambda x: {near("x", "ids")} AND {near("x", "secrets")})) AS linked FROM c)
+SELECT doc_id, CAST(len(s0) AS BIGINT) AS n_assign, CAST(len(s1) AS BIGINT) AS n_access, CAST(len(s2) AS BIGINT) AS n_hex,
+  sha256({text("base")}) AS base_sha256, {text("list_concat(base, linked)")} AS spans FROM l
+"""
+
+
+SQL["op6_secret_scans"] = secret_spans_sql()
+
 SQL["op7_quality_rules"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
