@@ -22,7 +22,7 @@ from .sample import labelled, remainder
 from .store import extended
 
 #: Bound of the sample on which the model is fitted, for each of the two labels.
-PER_CLASS = 3000
+PER_CLASS = 5000
 BUCKETS = 1 << 18
 SIZE = 8
 GRAMS = (3, 4, 5, 6)
@@ -69,10 +69,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -40, 40)))
 
 
-def train(texts: list[str | None], y: np.ndarray, seed: int = 5) -> Model:
+def train(texts: list[str | None], y: np.ndarray, seed: int = 5, totals: tuple[float, float] = (1, 1)) -> Model:
     """Adagrad on the table and the softmax weights together. Texts come in a fixed order, so reruns agree.
 
-    Every fifth text is kept back to set the threshold. Without both labels there is nothing to learn: every text then
+    Every fifth text is kept back to set the threshold; there an error counts as many texts as its label stands for, given
+    the totals of the two labels (in proportion) that the sample was taken from. Without both labels there is nothing to learn: every text then
     scores the label there is (0 for no rows).
     """
     if len(set(y.tolist())) < 2:
@@ -142,14 +143,16 @@ def train(texts: list[str | None], y: np.ndarray, seed: int = 5) -> Model:
     margin[live] = (GAIN * table @ turn)[: int(live.sum())]
     z = bag(np.arange(len(docs)))[3] @ turn
     use = back if len(set(y[back].tolist())) == 2 else ~back
-    return Model(margin, -threshold(z[use], y[use]))
+    each = np.array(totals, float) / np.maximum(np.bincount(y[use], minlength=2), 1)
+    return Model(margin, -threshold(z[use], y[use], each))
 
 
-def threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the cuts with the fewest errors."""
+def threshold(z: np.ndarray, y: np.ndarray, each: np.ndarray) -> float:
+    """The middle of the cuts with the least errors; an error on label c counts each[c]."""
     order = np.argsort(z, kind="stable")
-    errors = np.concatenate(([np.sum(y == 0)], np.sum(y == 0) - np.cumsum(y[order] == 0) + np.cumsum(y[order] == 1)))
-    best = np.flatnonzero(errors == errors.min())
+    clean, toxic = np.cumsum(y[order] == 0) * each[0], np.cumsum(y[order] == 1) * each[1]
+    errors = np.concatenate(([clean[-1]], clean[-1] - clean + toxic))
+    best = np.flatnonzero(errors <= errors.min() + 1e-9)
     edges = np.concatenate(([z.min() - 1], np.sort(z), [z.max() + 1]))
     return float((edges[best[0]] + edges[best[-1] + 1]) / 2)
 
@@ -159,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold_mod: int = 5, held_out: int = 0
     rows = labelled(docs.select("doc_id", "text"), labels, "toxic", fold, per_class).select("doc_id", "text", "y").toPandas()
     # copies would make chance words look sure
     rows = rows.assign(text=rows["text"].fillna("")).sort_values(["doc_id", "y", "text"]).drop_duplicates("text")
-    return train(rows["text"].tolist(), rows["y"].to_numpy())
+    n = dict(labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("y")).where(fold & F.col("y").isin(0, 1)).groupBy("y").agg(F.count("*")).collect())
+    return train(rows["text"].tolist(), rows["y"].to_numpy(), totals=(n.get(0, 1), n.get(1, 1)))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
