@@ -123,6 +123,12 @@ def mpn_from_slug(url: Column) -> Column:
     return F.coalesce(F.get(long_, F.lit(0)), best)
 
 
+def mpn_from_title(title: Column, brand: Column) -> Column:
+    """First code of a title without its brand: 2-2-3 digits, letters and digits around a dash or slash, or 6 to 8 digits."""
+    bare = F.trim(F.regexp_replace(title, F.concat(F.lit("(?i)"), F.regexp_replace(F.coalesce(brand, F.lit("")), r"([^A-Za-z0-9 ])", r"\\$1")), F.lit("")))
+    return blank_to_null(F.regexp_extract(bare, r"\b(?:[0-9]{2}[- ][0-9]{2}[- ][0-9]{3}|[A-Z0-9]{2,}[-/][A-Z0-9]+(?:[-/][A-Z0-9]+)*|[0-9]{6,8})\b", 0))
+
+
 def parse_price(c: Column) -> Column:
     """Number of a price text as decimal(10,2): the comma is the decimal sign unless a point follows it."""
     bare = F.regexp_replace(c, "(?i)€|eur|^\\s*od\\b|[\\s ]", "")

@@ -77,6 +77,11 @@ def overlap_nodes(offers: DataFrame) -> DataFrame:
     return nodes.select("store", "products", F.bround(0.6 + 1.6 * F.sqrt(F.col("products") / most), 6).alias("radius"), F.size(names).alias("n_partners"), F.array_join(names, ",").alias("partners"))
 
 
+def scopes(stores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Competitors (without our stores) and all stores that overlaps are drawn for."""
+    return stores.where("NOT own").select("store"), stores.select("store")
+
+
 def store_overview(stores: DataFrame, volume: DataFrame, matches: DataFrame, offers: DataFrame) -> DataFrame:
     """A row per registered store, zeros where it has nothing; sort by own, then listings."""
     out = stores.join(volume, "store", "left").join(matches, "store", "left").join(lower_price_rate(offers).select("store", F.col("rate").alias("lower_price_rate")), "store", "left").join(store_products(offers), "store", "left")

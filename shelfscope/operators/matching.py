@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions import normalise as N
+from shelfscope.plans.scratch import written
 
 MATCH = ["listing_id", "product_id", "match_type", "confidence"]
 
@@ -261,6 +262,44 @@ def fuzzy_match(orphans: DataFrame, pool: DataFrame, answers: Callable[[pd.Serie
     return hits.withColumn("match_type", F.lit("vector_llm")).withColumn("status", F.when(F.col("similarity") >= auto, "approved").otherwise("pending"))
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """node, cluster (its least node) for the ends of edges (a, b). Every round takes the least label among a node and its
+    neighbours, then the label of that label, and ends when nothing changes."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = written(both, "cluster-edges")
+    labels, before = both.select(F.col("a").alias("node"), F.col("a").alias("cluster")).distinct(), None
+    while True:
+        seen = both.join(labels.select(F.col("node").alias("b"), "cluster"), "b").select(F.col("a").alias("node"), "cluster").unionByName(labels)
+        low = seen.groupBy("node").agg(F.min("cluster").alias("cluster"))
+        up = low.select(F.col("node").alias("cluster"), F.col("cluster").alias("up"))
+        labels = written(low.join(up, "cluster").select("node", F.least("cluster", "up").alias("cluster")), "clusters")
+        now = labels.agg(F.count("*"), F.sum(F.xxhash64("node", "cluster").cast("decimal(38,0)"))).first()
+        if now == before:
+            return labels
+        before = now
+
+
+def fuzzy_clusters(orphans: DataFrame, pool: DataFrame, answers: Callable[[pd.Series, pd.Series], pd.Series] = best_similarity, floor: float = 0.85) -> DataFrame:
+    """Clusters over the best verified edge of each orphan (listings in the form of fuzzy_match); orphans without one are
+    clusters of their own. The result does not depend on the order in which orphans come."""
+    edges = fuzzy_match(orphans, pool, answers, floor=floor).select(F.col("listing_id").alias("a"), F.col("pool_id").alias("b"), "status", "similarity")
+    labels = connected(edges)
+    out = orphans.select(F.col("id").alias("listing_id")).join(labels.withColumnRenamed("node", "listing_id"), "listing_id", "left")
+    own = edges.select(F.col("a").alias("listing_id"), "similarity", "status")
+    return out.join(own, "listing_id", "left").select("listing_id", F.coalesce("cluster", "listing_id").alias("cluster_id"), "similarity", F.coalesce("status", F.lit("approved")).alias("status"))
+
+
+def share_products(hits: DataFrame, matches: DataFrame, offset: int = 1 << 53) -> DataFrame:
+    """Hits between two unmatched listings (listing_id, pool_id): all of a cluster get one product. A listing of it that is
+    matched already keeps its product, and the cluster takes the least of these; else a new id is made of the cluster's."""
+    labels = connected(hits.select(F.col("listing_id").alias("a"), F.col("pool_id").alias("b")))
+    have = matches.select(F.col("listing_id").alias("node"), "product_id")
+    of = labels.join(have, "node", "left")
+    new = F.pmod(F.xxhash64("cluster"), F.lit(offset)) + F.lit(offset)
+    one = of.groupBy("cluster").agg(F.min("product_id").alias("known"))
+    return of.where("product_id IS NULL").join(one, "cluster").select(F.col("node").alias("listing_id"), F.coalesce("known", new).alias("product_id"))
+
+
 def strict_accept(candidates: DataFrame, least: float = 0.93, margin: float = 0.05) -> DataFrame:
     """Best candidate (row_id, product_id, score, title, p_title, p_mpn) of a row if it is good, well ahead of the next and
     has all model tokens of the title."""

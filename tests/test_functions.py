@@ -59,3 +59,8 @@ def test_hash_embedding_is_a_unit_vector(spark):
 def test_model_tokens(spark):
     df = spark.createDataFrame([("Cobra 250mm", "pliers cobra 250 mm", None), ("Cobra 180mm", "cobra 250", "X")], "t string, o string, m string")
     assert [r[0] for r in df.select(N.model_tokens_present(F.col("t"), F.col("o"), F.col("m"))).collect()] == [True, False]
+
+
+def test_code_of_a_title(spark):
+    df = spark.createDataFrame([("Wera (x) 840/1-Z bit", "Wera (x)"), ("Knipex 87 03 250", "KNIPEX"), ("hammer", None)], "t string, b string")
+    assert [r[0] for r in df.select(N.mpn_from_title(F.col("t"), F.col("b"))).collect()] == ["840/1-Z", "87 03 250", None]

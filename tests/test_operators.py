@@ -83,6 +83,18 @@ def test_fuzzy_match_with_a_failing_verifier(spark):
     assert M.fuzzy_match(rows.where("id = 0"), rows, fails).count() == 0
 
 
+def test_fuzzy_clusters(spark):
+    angles = {1: 0.0, 2: 0.2, 3: 0.4, 9: 2.0}
+    import math
+
+    rows = spark.createDataFrame([(i, "B", [math.cos(a), math.sin(a)], "b", None, None, f"t {i}") for i, a in angles.items()], "id long, block string, vector array<double>, brand string, mpn string, ean string, title string")
+    got = {r["listing_id"]: r["cluster_id"] for r in M.fuzzy_clusters(rows, rows).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 9}
+    hits = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "listing_id long, pool_id long")
+    shared = {r["listing_id"]: r["product_id"] for r in M.share_products(hits, spark.createDataFrame([(3, 55)], "listing_id long, product_id long")).collect()}
+    assert shared[1] == shared[2] == 55 and shared[7] == shared[8] > 1 << 53 and set(shared) == {1, 2, 7, 8}
+
+
 SNAP = "product_id long, snapshot_date date, ag_price decimal(10,2), competitor_count long, min_price decimal(10,2), median_price decimal(12,3), max_price decimal(10,2), ag_rank long, cheapest_competitor string"
 
 
