@@ -4,7 +4,8 @@ Vectors are compared only within a label. Equal vectors are one entry. Entries g
 shards overlap; each shard builds a graph whose adjacency lists are pruned so that they keep near and far directions;
 the lists of all shards are united. A search walks greedily from the shard's medoid, and from the entry itself, towards
 the query and then widens over neighbours near the threshold. Found pairs are verified in double precision, recall is
-audited against brute force on a bounded set of queries, and shards overlap more if it is low.
+audited against brute force on a bounded set of queries, and shards overlap more if it is low. If it is still low at the
+largest overlap, all cells of pivots that can hold a pair are compared block against block, which misses nothing.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ DEGREE, POOL, FAR, ALPHA = 20, 40, 16, 1.2
 SLACK = 0.1
 #: Queries of the audit, and the recall under which shards overlap twice as much.
 AUDIT, RECALL = 200, 0.995
+#: Shards that an entry goes to at most; beyond, cells are compared exactly.
+WIDEST = 8
 
 
 def entries(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,9 +50,11 @@ def unit(v: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def assigned(entry: DataFrame, overlap: int) -> DataFrame:
-    """key, block, v, shard, near: near is 0 for an entry's nearest pivot. Pivots are the entries with the least hashes,
-    about one for AIM entries and PIVOTS at most; entries of a label meet them in groups of about CAP rows."""
+def placed(entry: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, block, v, shard, angle), angle being that between an entry and the shard's pivot, and the pivots
+    (block, salt, p, p_key). Pivots are the entries with the least hashes, about one for AIM entries and PIVOTS at most;
+    entries of a label meet them in groups of about CAP rows. Shards are places in the order of p_key; a label with less
+    than two pivots is one shard with angle 0."""
     sizes = entry.groupBy("block").agg(F.count("*").alias("n_block"))
     e = entry.select("key", "block", "v").join(sizes.select(F.col("block").alias("__b"), "n_block"), F.col("block") == F.col("__b")).drop("__b")
     wanted = F.least(F.ceil(F.col("n_block") / AIM), F.lit(PIVOTS))
@@ -62,17 +67,24 @@ def assigned(entry: DataFrame, overlap: int) -> DataFrame:
     def nearest(own: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         own = own.rename(columns={"own": "block"})
         if own.empty or len(pivots) < 2:
-            return own.assign(shard=0, near=0)[["key", "block", "v", "shard", "near"]]
+            return own.assign(shard=0, angle=0.0)[["key", "block", "v", "shard", "angle"]]
         pivots = pivots.sort_values("p_key")
         k = min(overlap, len(pivots))
-        top = np.argsort(-(unit(own["v"]) @ unit(pivots["p"]).T), axis=1, kind="stable")[:, :k]
-        return pd.concat([own.assign(shard=top[:, i], near=i)[["key", "block", "v", "shard", "near"]] for i in range(k)])
+        cos = unit(own["v"]) @ unit(pivots["p"]).T
+        top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+        angle = np.arccos(np.clip(np.take_along_axis(cos, top, 1), -1, 1))
+        return pd.concat([own.assign(shard=top[:, i], angle=angle[:, i])[["key", "block", "v", "shard", "angle"]] for i in range(k)])
 
     both = own.groupBy("own", "own_salt").cogroup(pivots.groupBy("block", "salt"))
-    placed = written(both.applyInPandas(nearest, "key string, block string, v array<float>, shard int, near int"), "shards")
+    return written(both.applyInPandas(nearest, "key string, block string, v array<float>, shard int, angle double"), "shards"), pivots
+
+
+def assigned(entry: DataFrame, overlap: int) -> DataFrame:
+    """key, block, v, shard, i, j: the entries of each shard, those of one that is too large in pairs of blocks."""
+    rows, _ = placed(entry, overlap)
     # shards that are still too large: blocks of CAP, in pairs
-    size = placed.groupBy("block", "shard").agg(F.count("*").alias("m")).select(F.col("block").alias("__b"), F.col("shard").alias("__s"), F.when(F.col("m") > 2 * CAP, F.ceil(F.col("m") / CAP)).otherwise(1).cast("int").alias("cuts"))
-    cut = placed.join(size, (F.col("block") == F.col("__b")) & (F.col("shard") == F.col("__s"))).withColumn("i", F.pmod(F.xxhash64("key", F.lit(2)), F.col("cuts")).cast("int"))
+    size = rows.groupBy("block", "shard").agg(F.count("*").alias("m")).select(F.col("block").alias("__b"), F.col("shard").alias("__s"), F.when(F.col("m") > 2 * CAP, F.ceil(F.col("m") / CAP)).otherwise(1).cast("int").alias("cuts"))
+    cut = rows.join(size, (F.col("block") == F.col("__b")) & (F.col("shard") == F.col("__s"))).withColumn("i", F.pmod(F.xxhash64("key", F.lit(2)), F.col("cuts")).cast("int"))
     cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     return cut.select("key", "block", "v", "shard", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
 
@@ -158,30 +170,101 @@ def search(cells: DataFrame, threshold: float) -> DataFrame:
     return written(whole.groupBy(*by).applyInPandas(walk, "a string, b string").distinct(), "pairs")
 
 
-def recall(entry: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> float:
-    """Share of the pairs of at most `queries` entries, those with the least hashes, that were found; 1 if there are none.
-    Brute force: every entry is held against the queries of its label."""
+def exact(entry: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """others (a, others: rows of the other entries within the threshold) and links (a, b), which connect what pairs connect.
+
+    Entries lie in the cell of their nearest pivot. Angles obey the triangle inequality, so two cells can hold a pair only
+    if their pivots are no further apart than the threshold's angle and both radii; all such cells are compared, in blocks
+    of about CAP. A comparison gives a row per entry, not per pair: counts add up, and its groups become stars.
+    """
+    rows, pivots = placed(entry, 1)
+    n = entry.select(F.col("key").alias("__n"), "n")
+    rows = rows.join(n, rows["key"] == n["__n"]).drop("__n")
+    size = written(rows.groupBy("block", "shard").agg(F.count("*").alias("m"), F.max("angle").alias("far")), "cells")
+    reach = float(np.arccos(threshold)) + 1e-6
+
+    def meeting(pivots: pd.DataFrame, size: pd.DataFrame) -> pd.DataFrame:
+        size = size.sort_values("shard")
+        shard, far, cuts = size["shard"].to_numpy(), size["far"].to_numpy(), -(-size["m"].to_numpy() // CAP)
+        if len(pivots) > 1 and len(size):
+            p = unit(pivots.sort_values("p_key")["p"])[shard]
+            i, j = np.nonzero(np.triu(np.arccos(np.clip(p @ p.T, -1, 1)) <= reach + far[:, None] + far[None, :]))
+        else:
+            i = j = np.arange(len(size))
+        return pd.DataFrame({"block": size["block"].iloc[0] if len(size) else None, "i": shard[i], "j": shard[j], "i_cuts": cuts[i], "j_cuts": cuts[j]})
+
+    both = pivots.where("salt = 0").groupBy("block").cogroup(size.groupBy("block"))
+    met = both.applyInPandas(meeting, "block string, i int, j int, i_cuts int, j_cuts int")
+    met = met.withColumn("i_cut", F.explode(F.sequence(F.lit(0), F.col("i_cuts") - 1))).withColumn("j_cut", F.explode(F.sequence(F.lit(0), F.col("j_cuts") - 1)))
+    met = written(met.where("i < j OR i_cut <= j_cut").select(F.col("block").alias("__b"), "i", "i_cut", "j", "j_cut"), "meeting")
+    cuts = size.select(F.col("block").alias("__cb"), F.col("shard").alias("__cs"), F.ceil(F.col("m") / CAP).alias("cuts"))
+    rows = rows.join(cuts, (F.col("block") == F.col("__cb")) & (F.col("shard") == F.col("__cs")))
+    rows = written(rows.withColumn("cut", F.pmod(F.xxhash64("key", F.lit(2)), F.col("cuts")).cast("int")).select("key", "block", "v", "n", "shard", "cut"), "cut")
+    by = ("block", "i", "i_cut", "j", "j_cut")
+    at = lambda x: rows.join(met, (F.col("block") == F.col("__b")) & (F.col("shard") == F.col(x)) & (F.col("cut") == F.col(f"{x}_cut"))).select("key", "v", "n", *by, F.lit(x).alias("side"))
+    sides = at("i").unionByName(at("j").where("i <> j OR i_cut <> j_cut"))
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values("key")
+        left, right = cell[cell["side"] == "i"], cell[cell["side"] == "j"]
+        own = bool(cell["i"].iloc[0] == cell["j"].iloc[0] and cell["i_cut"].iloc[0] == cell["j_cut"].iloc[0])
+        right = left if own else right
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "others": [], "top": []})
+        x, y = unit(left["v"]), unit(right["v"])
+        hit = np.concatenate([x[k : k + 256] @ y.T >= threshold for k in range(0, len(x), 256)])
+        if own:
+            np.fill_diagonal(hit, False)
+        l_key, r_key = left["key"].to_numpy(), right["key"].to_numpy()
+        l_top, r_top = np.full(len(x), -1), np.full(len(y), -1)
+        for root in np.flatnonzero(hit.any(1)):
+            front = np.array([root]) if l_top[root] < 0 else np.zeros(0, int)
+            l_top[front] = root
+            while len(front):
+                far = np.flatnonzero(hit[front].any(0) & (r_top < 0))
+                r_top[far] = root
+                front = np.flatnonzero(hit[:, far].any(1) & (l_top < 0))
+                l_top[front] = root
+        l_n, r_n = (np.concatenate([hit[k : k + 256] @ right["n"].to_numpy() for k in range(0, len(x), 256)]), np.zeros(len(y), int) if own else left["n"].to_numpy() @ hit)
+        l, r = l_top >= 0, r_top >= 0  # noqa: E741
+        return pd.DataFrame({"a": np.concatenate([l_key[l], r_key[r]]), "others": np.concatenate([l_n[l], r_n[r]]), "top": l_key[np.concatenate([l_top[l], r_top[r]])]})
+
+    found = written(sides.groupBy(*by).applyInPandas(compare, "a string, others long, top string"), "compared")
+    return written(found.groupBy("a").agg(F.sum("others").alias("others")), "others"), found.select("a", F.col("top").alias("b")).where("a <> b").distinct()
+
+
+def truth(entry: DataFrame, threshold: float, queries: int) -> DataFrame:
+    """Pairs (q, other, n: the rows of other) of at most `queries` entries q, those with the least hashes, by brute force:
+    every entry is held against the queries of its label."""
     some = entry.select("key", "block", "v").orderBy(F.xxhash64("key", F.lit(3)), "key").limit(queries).toPandas()
     by = {b: (g["key"].to_numpy(), unit(g["v"])) for b, g in some.groupby("block")}
 
     def against(batches):
         for batch in batches:
-            a, b = [], []
             for block, own in batch.groupby("block"):
                 if block in by:
                     keys, q = by[block]
                     i, j = np.nonzero(unit(own["v"]) @ q.T >= threshold)
-                    mine = own["key"].to_numpy()
-                    a += np.minimum(mine[i], keys[j]).tolist()
-                    b += np.maximum(mine[i], keys[j]).tolist()
-            yield pd.DataFrame({"a": a, "b": b}, dtype=object)
+                    yield pd.DataFrame({"q": keys[j], "other": own["key"].to_numpy()[i], "n": own["n"].to_numpy()[i]})
+
+    return entry.select("key", "block", "v", "n").mapInPandas(against, "q string, other string, n long").where("q <> other")
 
-    true = entry.select("key", "block", "v").mapInPandas(against, "a string, b string").where("a <> b").distinct()
+
+def recall(entry: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> float:
+    """Share of the pairs of the audited entries that were found; 1 if there are none."""
+    true = truth(entry, threshold, queries).select(F.least("q", "other").alias("a"), F.greatest("q", "other").alias("b")).distinct()
     got = true.join(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left")
     n, hit = got.agg(F.count("*"), F.count("x")).first()
     return hit / n if n else 1.0
 
 
+def counted(entry: DataFrame, others: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> float:
+    """Share of the rows near the audited entries that others counts; 1 if there are none."""
+    true = truth(entry, threshold, queries).groupBy("q").agg(F.sum("n").alias("n"))
+    got = true.join(others, true["q"] == others["a"], "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("others", F.lit(0))))).first()
+    return got[1] / got[0] if got[0] else 1.0
+
+
 def deduped(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = 2) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row.
 
@@ -193,12 +276,19 @@ def deduped(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = 2)
     rows, entry = entries(vectors)
     while True:
         pairs = search(assigned(entry, overlap), threshold)
-        if overlap >= 8 or recall(entry, pairs, threshold) >= RECALL:
+        enough = recall(entry, pairs, threshold) >= RECALL
+        if enough or overlap >= WIDEST:
             break
         overlap *= 2
-    n = entry.select(F.col("key").alias("__n"), "n")
-    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ends.join(n, ends["b"] == n["__n"]).groupBy("a").agg(F.sum("n").alias("others"))
+    if enough:
+        n = entry.select(F.col("key").alias("__n"), "n")
+        ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        degree = ends.join(n, ends["b"] == n["__n"]).groupBy("a").agg(F.sum("n").alias("others"))
+    else:
+        degree, pairs = exact(entry, threshold)
+        share = counted(entry, degree, threshold)
+        if share < RECALL:
+            raise RuntimeError(f"recall {share:.4f} is below {RECALL} after the exact comparison")
     tops = written(components(pairs), "components")
     low = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("low"), F.count("*").alias("same"))
     known = low.join(degree, low["key"] == degree["a"], "left").join(tops, low["key"] == tops["node"], "left").withColumn("top", F.coalesce("component", "key"))

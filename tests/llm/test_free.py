@@ -311,6 +311,41 @@ def test_links_of_the_table(spark):
     check_links(rows, queries.op9_embedding_neardup(spark, SMALL).collect())
 
 
+def dense(n=160, dims=16, spread=0.09):
+    """A group whose pairs lie around the threshold, so it has no cells of its own, a second group and repeated rows."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(2, dims)) / np.sqrt(dims)
+    rows = [(0, [float(np.float32(x)) for x in base[int(i % 5 == 4)] + rng.normal(size=dims) * spread * 0.5]) for i in range(n)]
+    return rows + rows[:3]
+
+
+def test_links_beyond_the_widest_overlap(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "AIM", 4)
+    rows = dense()
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "vec_id long, label int, embedding array<float>")
+    _, entry = neardup.entries(df)
+    assert neardup.recall(entry, neardup.search(neardup.assigned(entry, neardup.WIDEST), neardup.THRESHOLD), queries=500) < neardup.RECALL
+    check_links(rows, neardup.deduped(df).collect())
+
+
+@pytest.mark.parametrize("cap", [12, 2048])
+def test_exact_links(spark, monkeypatch, cap):
+    monkeypatch.setattr(neardup, "AIM", 16)
+    monkeypatch.setattr(neardup, "CAP", cap)
+    monkeypatch.setattr(neardup, "RECALL", 2.0)
+    monkeypatch.setattr(neardup, "counted", lambda *a: 2.0)
+    for rows in (vectors(3, 120), dense()):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "vec_id long, label int, embedding array<float>")
+        check_links(rows, neardup.deduped(df, overlap=neardup.WIDEST).collect())
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "RECALL", 1.5)
+    df = spark.createDataFrame([(0, 0, [1.0, 2.0]), (1, 0, [1.0, 2.1])], "vec_id long, label int, embedding array<float>")
+    with pytest.raises(RuntimeError):
+        neardup.deduped(df, overlap=neardup.WIDEST)
+
+
 # --- pipeline
 
 
