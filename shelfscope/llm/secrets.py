@@ -18,8 +18,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: A run is matched whole, so a least length in the pattern drops the same matches as a check afterwards.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-IDENTIFIER = r"""(?i)(?:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@=-]{4,}"""
-WEAK = r"""(?i)(?:secret|token|passw(?:or)?d|pwd|passphrase|auth|api_?key|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}"""
+#: An access key without id must not be the tail of secret_access_key, so words before it do not end in ret; \b and no
+#: look-behind, which not every engine has.
+IDENTIFIER = r"""(?i)(?:access_?key_?id|\b(?:[a-z0-9_]*(?:[a-su-z0-9]|[a-df-z0-9]t|[a-qs-z0-9]et)_)?access_?key|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@=-]{4,}"""
+WEAK = r"""(?i)(?:secret_?(?:access_?)?key|secret|token|passw(?:or)?d|pwd|passphrase|auth|api_?key|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}"""
 ENDPOINT = r"(?i)(?:https?|jdbc|postgres|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9._-]+(?::[0-9]+)?"
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
