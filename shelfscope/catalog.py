@@ -146,6 +146,13 @@ def token_candidates(spark, folder):
     return M.token_candidates(orphans, m.products, 5)
 
 
+@query
+def token_candidates_whole(spark, folder):
+    """Of all stores' orphans, with the k of production; no SQL, tests hold it against brute force."""
+    m = Market(spark, folder)
+    return M.token_candidates(M.unmatched(m.listings, m.matches), m.products)
+
+
 @query
 def knn_by_label(spark, folder):
     v = X.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), F.col("embedding").alias("vector"))

@@ -127,14 +127,28 @@ def match_summary(matches: DataFrame) -> DataFrame:
     return matches.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+def _by_tokens(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, group) and groups (group, brand, token): rows of equal brand and token set are one group."""
+    rows = df.select(F.col("id").alias(f"{side}_id"), N.norm_brand(F.col("brand")).alias(f"{side}_brand"), F.sort_array(F.array_distinct(N.title_tokens(F.col("title")))).alias("tokens")).where(F.size("tokens") > 0)
+    rows = written(rows.withColumn(f"{side}_group", F.sha2(F.to_json(F.struct(F.col(f"{side}_brand"), "tokens")), 256)), f"{side}_tokens")
+    groups = rows.select(f"{side}_group", f"{side}_brand", "tokens").dropDuplicates([f"{side}_group"])
+    return rows.select(f"{side}_id", f"{side}_group"), groups.select(f"{side}_group", f"{side}_brand", F.explode("tokens").alias("token"))
+
+
 def token_candidates(listings: DataFrame, products: DataFrame, k: int = 40, least: int = 2) -> DataFrame:
-    """Products that share title tokens with a listing and do not contradict its brand; the best k per listing."""
-    l = listings.select(F.col("id").alias("listing_id"), N.norm_brand(F.col("brand")).alias("l_brand"), F.explode(N.title_tokens(F.col("title"))).alias("token"))  # noqa: E741
-    p = products.select(F.col("id").alias("product_id"), N.norm_brand(F.col("brand")).alias("p_brand"), F.explode(N.title_tokens(F.col("title"))).alias("token"))
-    both = l.join(p, "token").where("l_brand IS NULL OR p_brand IS NULL OR l_brand = p_brand")
-    counted = both.groupBy("listing_id", "product_id").agg(F.count("*").cast("long").alias("shared")).where(F.col("shared") >= least)
-    order = Window.partitionBy("listing_id").orderBy(F.desc("shared"), "product_id")
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """Products that share title tokens with a listing and do not contradict its brand; the best k per listing. Ids are
+    unique on both sides.
+
+    Tokens are joined between groups of equal brand and token set. Of a group of products no more than its k lowest ids
+    can be among the best k of a listing, so only these are ranked.
+    """
+    (l_rows, l), (p_rows, p) = _by_tokens(listings, "listing"), _by_tokens(products, "product")  # noqa: E741
+    agreeing = "listing_brand IS NULL OR product_brand IS NULL OR listing_brand = product_brand"
+    counted = l.join(p, "token").where(agreeing).groupBy("listing_group", "product_group").agg(F.count("*").cast("long").alias("shared")).where(F.col("shared") >= least)
+    first = p_rows.withColumn("place", F.row_number().over(Window.partitionBy("product_group").orderBy("product_id"))).where(F.col("place") <= k).drop("place")
+    order = Window.partitionBy("listing_group").orderBy(F.desc("shared"), "product_id")
+    best = counted.join(first, "product_group").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return l_rows.join(best, "listing_group").select("listing_id", "product_id", "shared", "rank")
 
 
 def knn(queries: DataFrame, pool: DataFrame, k: int = 5, floor: float | None = 0.9, salts: int = 1) -> DataFrame:
