@@ -6,12 +6,15 @@ link when the Jaccard similarity of their sets reaches the threshold. The join i
 1. Prefixes. Of a set of n tokens in one global order only the first n - ceil(t n) + 1 can hold the first token that it
    shares with a linked set. Tokens that stand in many documents come last in that order, so passages that many documents
    share, licence lines and the like, make no candidates.
-2. Groups. Classes that share prefix tokens are held against the least class that has such a token (its hub), a number
-   of checks linear in the rows; components of the links found are the groups of similar classes.
+2. Groups. Classes that share prefix tokens are held against one class that has such a token (its hub), a number of checks
+   linear in the rows; components of the links found are the groups of similar classes. The hub is the class with the
+   fewest prefix tokens of its own: of a group of near copies the one with the fewest changes, which all others that can
+   link at all are close to. So a large group of near copies becomes one group, with one row per token in the matrix.
 3. Matrix. (token, group) rows of the prefix tokens that stand in two or more groups. A class is a query against the other
    groups: the number of its tokens that a group has bounds their overlap, as the tokens behind the shorter prefix are all
-   that can still be common. Of the groups left, cut into parts of at most PART classes, the union of all tokens is taken;
-   a query opens only parts whose union holds ceil(t n) of its n tokens, and only there is it compared with the members.
+   that can still be common. Of the groups left, cut into parts of at most PART classes, a task takes the union of all tokens
+   once; a query opens only parts whose union holds ceil(t n) of its n tokens, and only there is it compared with the members.
+   One link per query and part is kept, as the members of a group are linked already.
 
 Token rows of frequent tokens are salted, so that no run of equal tokens is longer than about RUN rows.
 """
@@ -33,6 +36,8 @@ WORDS = 5
 PERCENT = 75
 PART = 256
 RUN = 4096
+#: Tokens of queries that one part of a group answers at once.
+BLOCK = 2_000_000
 #: Documents whose tokens a task counts at once, and how often a token has to stand in them to be reported.
 CHUNK, LOCAL = 6000, 4
 #: A token is frequent from this share of the documents on (and from LEAST documents). So there are no more of them than
@@ -164,8 +169,8 @@ def _prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], perce
 
 
 def _shared(rows: DataFrame, percent: int) -> DataFrame:
-    """token, salt, c, n, hot, hub: the rows of runs (equal token and salt) that have a possible partner in their run, or are salted;
-    hub is the least class of the run. Runs are sorted by Spark and passed through in batches."""
+    """token, salt, c, n, hot: the rows of runs (equal token and salt) that have a possible partner in their run, or are
+    salted. Runs are sorted by Spark and passed through in batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "salt", "c", "n", "hot"]
@@ -180,8 +185,12 @@ def _shared(rows: DataFrame, percent: int) -> DataFrame:
             token, salt, c, n, hot, new = (x[fresh] for x in (token, salt, c, n, hot, new))
             begin = np.flatnonzero(new)
             length = np.diff(np.append(begin, len(token)))
+            several = np.repeat(length > 1, length) | (salt >= 0)
+            token, salt, c, n, hot, length = token[several], salt[several], c[several], n[several], hot[several], length[(length > 1) | (salt[begin] >= 0)]
+            if not len(token):
+                return
             # a class has a partner only if the next larger or smaller set of the run is of a size that can link
-            run_of = np.repeat(np.arange(len(begin)), length)
+            run_of = np.repeat(np.arange(len(length)), length)
             order = np.lexsort((n, run_of))
             near = (run_of[order][1:] == run_of[order][:-1]) & (n[order][:-1] * 100 >= n[order][1:].astype(np.int64) * percent)
             partner = np.zeros(len(token), bool)
@@ -189,8 +198,7 @@ def _shared(rows: DataFrame, percent: int) -> DataFrame:
             partner[order[:-1]] |= near
             keep = partner | (salt >= 0)
             if keep.any():
-                hub = np.repeat(c[begin], length)
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, salt, c, n, hot, hub)], [*names, "hub"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, salt, c, n, hot)], names)
 
         for batch in batches:
             cols = [np.concatenate((r, batch.column(x).to_numpy(zero_copy_only=False))) for r, x in zip(rest, names, strict=True)]
@@ -201,7 +209,16 @@ def _shared(rows: DataFrame, percent: int) -> DataFrame:
             rest = [x[cut:] for x in cols]
         yield from runs(rest)
 
-    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "c").mapInArrow(run, "token long, salt int, c long, n int, hot int, hub long")
+    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "c").mapInArrow(run, "token long, salt int, c long, n int, hot int")
+
+
+def _hubs(shared: DataFrame, percent: int) -> DataFrame:
+    """token, salt, hub, hub_own: of each run the class with the fewest prefix tokens that it shares with nobody, the least one of
+    equals."""
+    known = shared.groupBy("c").agg(F.first("n").alias("n"), F.count("*").alias("k"))
+    own = known.select(F.greatest("c", "c").alias("__c"), (F.col("n") - _behind(F.col("n"), percent) - F.col("k")).cast("int").alias("own"))
+    ranked = shared.join(own, shared["c"] == own["__c"]).groupBy("token", "salt").agg(F.min(F.struct("own", "c")).alias("h"))
+    return written(ranked.select("token", "salt", F.col("h.c").alias("hub"), F.col("h.own").alias("hub_own")), "runs")
 
 
 def _sets(docs: DataFrame, described: DataFrame, classes: DataFrame) -> DataFrame:
@@ -261,11 +278,14 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     rows = described.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("token").alias("class_id"))
     shared = written(_shared(_prefix_rows(docs, _frequent(described), percent), percent), "shared")
 
-    # hubs; of salted tokens also the hubs of all salts against the least of them
-    hubs = shared.groupBy("token", "hub").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    top = shared.groupBy("token").agg(F.min("hub").alias("top")).select(F.greatest("token", "token").alias("__t"), "top")
-    tops = hubs.join(top, hubs["token"] == top["__t"]).select(F.col("hub").alias("a"), F.col("top").alias("b"))
-    pairs = shared.select(F.col("c").alias("a"), F.col("hub").alias("b")).unionByName(tops).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("k"))
+    # hubs; of salted tokens also the hubs of all salts against the purest of them
+    hubs = _hubs(shared, percent)
+    of = hubs.select(F.greatest("token", "token").alias("__t"), F.greatest("salt", "salt").alias("__s"), "hub")
+    own = shared.join(of, (F.col("token") == F.col("__t")) & (F.col("salt") == F.col("__s"))).select(F.col("c").alias("a"), F.col("hub").alias("b"))
+    salted = hubs.where("salt >= 0")
+    top = salted.groupBy("token").agg(F.min(F.struct("hub_own", "hub")).alias("top")).select(F.greatest("token", "token").alias("__t"), F.col("top.hub").alias("top"))
+    tops = salted.join(top, salted["token"] == top["__t"]).select(F.col("hub").alias("a"), F.col("top").alias("b"))
+    pairs = own.unionByName(tops).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("k"))
     size = shared.groupBy("c").agg(F.first("n").alias("n"))
     pairs = pairs.join(size.select(F.greatest("c", "c").alias("a1"), F.col("n").alias("a_n")), F.col("a") == F.col("a1")).join(size.select(F.greatest("c", "c").alias("b1"), F.col("n").alias("b_n")), F.col("b") == F.col("b1"))
     pairs = pairs.where(_close(F.col("a_n"), F.col("b_n"), percent))
@@ -305,20 +325,58 @@ def _matrix(docs: DataFrame, described: DataFrame, shared: DataFrame, links: Dat
     largest = F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
     least = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
     loose = lambda m: F.col("k") + _behind(F.greatest(F.col("n"), m), percent) >= _least_overlap(F.col("n"), m, percent)
-    asks = written(asks.where(F.col("often") | loose(largest) | loose(least)).select("c", "m_g", "m_part"), "asks")
+    asks = written(asks.where(F.col("often") | loose(largest) | loose(least)).select("c", "n", "m_g", "m_part"), "asks")
 
     members = rows.select("c", "g", "part").distinct()
     members = written(members.join(asks, (F.col("g") == F.col("m_g")) & (F.col("part") == F.col("m_part")), "left_semi"), "members")
     sets = _sets(docs, described, asks.select("c").unionByName(members.select("c")))
-    inside = members.join(sets.select(F.col("c").alias("__c"), F.col("n").alias("b_n"), "tokens"), F.col("c") == F.col("__c"))
-    unions = inside.groupBy("g", "part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("u"))
-    unions = unions.select(F.greatest("g", "g").alias("u_g"), F.greatest("part", "part").alias("u_part"), "u")
-    own = sets.select(F.col("c").alias("q"), F.col("n").alias("q_n"), F.col("tokens").alias("q_t"))
-    bound = asks.join(own, asks["c"] == own["q"]).join(unions, (F.col("m_g") == F.col("u_g")) & (F.col("m_part") == F.col("u_part")))
-    opened = bound.where(F.size(F.array_intersect("q_t", "u")) * 100 >= F.col("q_n") * percent)
-    opened = written(opened.select(F.col("q").alias("a"), "m_g", "m_part"), "opened")
-    pairs = opened.join(members, (F.col("m_g") == F.col("g")) & (F.col("m_part") == F.col("part"))).select("a", F.col("c").alias("b")).distinct()
-    return written(_similar(pairs, sets, percent), "links")
+    # queries of one part are dealt to as many blocks as their tokens ask for; each gets the members
+    blocks = asks.groupBy("m_g", "m_part").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = written(blocks.select(F.col("m_g").alias("b_g"), F.col("m_part").alias("b_part"), "blocks"), "blocks")
+    asking = asks.join(blocks, (F.col("m_g") == F.col("b_g")) & (F.col("m_part") == F.col("b_part"))).select("m_g", "m_part", F.pmod("c", "blocks").cast("int").alias("block"), F.lit(1).alias("asks"), "c")
+    asked = members.join(blocks, (F.col("g") == F.col("b_g")) & (F.col("part") == F.col("b_part"))).select(F.col("g").alias("m_g"), F.col("part").alias("m_part"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(0).alias("asks"), "c")
+    both = asked.unionByName(asking).join(sets.select(F.col("c").alias("__c"), "tokens"), F.col("c") == F.col("__c")).drop("__c")
+    key = ["m_g", "m_part", "block"]
+    both = both.repartition(*key).sortWithinPartitions(*key, "asks", "c")
+    return written(both.mapInArrow(lambda batches: _opened(batches, percent), "a long, b long"), "links")
+
+
+def _opened(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """One link (a, b) of each query a to the least member b that it links to, of a part of a group. The part's members come
+    first; their union bounds the overlap, and only parts whose union holds enough of the query are opened."""
+    key, members, union = None, [], None
+    for batch in _slices(batches):
+        a, b = [], []
+        columns = [batch.column(k).to_pylist() for k in ("m_g", "m_part", "block", "asks", "c")]
+        held = batch.column("tokens")
+        for at, (g, part, block, asks, c) in enumerate(zip(*columns, strict=True)):
+            tokens = held[at].values.to_numpy(zero_copy_only=False)
+            if key != (g, part, block):
+                key, members, union = (g, part, block), [], None
+            if not asks:
+                members.append((c, tokens))
+                continue
+            if union is None:
+                size = np.array([len(t) for _, t in members])
+                of = np.repeat(np.arange(len(members)), size)
+                whole = np.concatenate([t for _, t in members])
+                order = np.argsort(whole, kind="stable")
+                union, begin, length = np.unique(whole[order], return_index=True, return_counts=True)
+                of = of[order]
+            place = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+            place = place[union[place] == tokens]
+            n = len(tokens)
+            if len(place) * 100 < n * percent:
+                continue
+            first, count = begin[place], length[place]
+            each = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+            common = np.bincount(of[each], minlength=len(members))
+            found = np.flatnonzero(common * 100 >= (n + size - common) * percent)
+            if len(found):
+                a.append(c)
+                b.append(members[found[0]][0])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
