@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import written
+from .store import WORD, written
 
 WORDS = 5
 PERCENT = 75
@@ -269,13 +269,13 @@ def _behind(n: Column, percent: int) -> Column:
 
 
 def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles, class_id) of all documents, and links (a, b) between classes.
+    """Rows (doc_id, sign, n_shingles, class_id) of all documents, and links (a, b) between classes.
 
     The links connect all classes that are connected by pairs of the threshold or more, and all are such pairs; pairs
     inside a group that is connected already are not all listed.
     """
     described = _described(docs)
-    rows = described.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("token").alias("class_id"))
+    rows = described.where("kind = 0").select("doc_id", "sign", F.col("n").alias("n_shingles"), F.col("token").alias("class_id"))
     shared = written(_shared(_prefix_rows(docs, _frequent(described), percent), percent), "shared")
 
     # hubs; of salted tokens also the hubs of all salts against the purest of them
@@ -379,6 +379,13 @@ def _opened(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _classes(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """class, component (its least class) and the kept row of the class: k = (doc_id is null, doc_id, sign)."""
+    tops = written(components(links), "components")
+    first = rows.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "sign")).alias("k"))
+    return first.join(tops, first["class_id"] == tops["node"], "left").select("class_id", "k", F.coalesce("component", "class_id").alias("top"))
+
+
 def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id that links reach, for every row of docs.
 
@@ -387,17 +394,22 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     read. An empty table gives an empty one.
     """
     rows, links = linked(docs, percent)
-    tops = written(components(links), "components")
-    classes = rows.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("low"))
-    classes = classes.join(tops, classes["class_id"] == tops["node"], "left").withColumn("top", F.coalesce("component", "class_id"))
-    lows = classes.groupBy("top").agg(F.min("low").alias("component_id")).select(F.greatest("top", "top").alias("__top"), "component_id")
+    classes = _classes(rows, links)
+    lows = classes.groupBy("top").agg(F.min("k.doc_id").alias("component_id")).select(F.greatest("top", "top").alias("__top"), "component_id")
     classes = written(classes.join(lows, classes["top"] == lows["__top"]).select(F.col("class_id").alias("__class"), "component_id"), "classes")
     out = rows.join(classes, rows["class_id"] == classes["__class"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each group: that of the least doc_id, once. Rows with a null doc_id can't be told apart and stay."""
-    keep = written(grouped(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct(), "kept")
-    rows = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null"))
+    """docs with one row of each group: that of the least doc_id (nulls last), of several texts with it the one with the least
+    hash, of equal rows any one. A group is told by texts, so unlinked texts under one doc_id all stay. Rows without words are
+    in no group and all stay. Other columns pass through, whatever their names. An empty table gives an empty one.
+    """
+    rows, links = linked(docs, percent)
+    keep = _classes(rows, links).groupBy("top").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("__keep"), F.col("k.sign").alias("__kept_sign"))
+    keep = written(keep.distinct(), "kept")
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    some = docs.where(worded).withColumn("__sign", F.xxhash64("text"))
+    some = some.join(keep, F.col("doc_id").cast("long").eqNullSafe(keep["__keep"]) & (F.col("__sign") == keep["__kept_sign"]), "left_semi")
+    return some.dropDuplicates(["doc_id", "__sign"]).drop("__sign").unionByName(docs.where(~worded))

@@ -246,7 +246,10 @@ def test_join_of_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (7, "x " * 60_000), (8, "x " * 60_000)], "doc_id long, text string")
     assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard.grouped(df).collect()) == [("4", 2, 4), ("4", 2, 4), ("7", 1, 7), ("8", 1, 7), ("None", 2, 4)]
     assert jaccard.grouped(df.where("false")).count() == 0
-    assert sorted(str(r["doc_id"]) for r in jaccard.one_per_group(df.withColumn("c", F.lit("clash"))).collect()) == ["4", "7", "None"]
+    assert sorted(str(r["doc_id"]) for r in jaccard.one_per_group(df.withColumn("c", F.lit("clash"))).collect()) == ["4", "7"]
+    df = spark.createDataFrame([(None, "only here"), (None, "only here"), (4, "a b c d e f"), (4, "some other text of its own"), (9, None), (9, None), (None, "")], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in jaccard.one_per_group(df).collect()) == [("4", "a b c d e f"), ("4", "some other text of its own"), ("9", "None"), ("9", "None"), ("None", ""), ("None", "only here")]
+    assert jaccard.one_per_group(df.where("false")).count() == 0
 
 
 def test_join_of_the_table(spark):
