@@ -1,23 +1,28 @@
 """Packing by lexical retrieval: within a shard, a BM25 inverted index returns unused neighbours of a seed document, which
 fill its window greedily.
 
-Documents are tokenized once and written with a lexical signature. Shards hold about SHARD tokens of documents with close
+Documents are tokenized once and written with a lexical signature; the same pass counts in how many documents each token of
+the vocabulary stands. Number of documents, document frequencies and mean length are those of all documents; their table has
+at most as many rows as the vocabulary and goes to every task. Shards hold about SHARD tokens of documents with close
 signatures: signature buckets are cut or joined by their token counts, so a bucket that holds a third of all tokens becomes
-many shards. A shard is indexed and packed by one task.
+many shards. A shard of the index is searched and packed by one task; a seed's neighbours are those of its shard.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +34,15 @@ CLOSE = 1
 #: Tokens that a shard aims at, and buckets of signatures: the largest table that the driver sees.
 SHARD, BUCKETS = 1_500_000, 4096
 K1, B = 1.2, 0.75
-#: Terms in more than this share of a shard's documents say nothing about them.
+#: Tokens in more than this share of all documents say nothing about them.
 COMMON = 0.2
-KEPT = 600_000
+#: Pieces and words that a worker keeps; neighbours that are ranked first.
+KEPT, FIRST = 1_000_000, 24
 
 
-#: ASCII letters or other characters above ASCII, then punctuation: two tokens of the first pass at most.
-SIMPLE = re.compile(rb"([a-z\x80-\xff]*)([!#$%&*+,./:;=?@|()-]*)")
+#: Punctuation whose runs are words of their own.
+MARKS = b"!#$%&*+,./:;=?@|()-"
+WORDY = re.compile(rb"[a-z\x80-\xff]*")
 
 
 def byte_letters() -> dict[int, str]:
@@ -59,29 +66,40 @@ class Encoder(dict):
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary needs more than 16 bits")
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.words: dict[bytes, bytes] = {b"": b""}
+        # whether the file cuts and lower-cases as the short way does; if not, all goes through the whole tokenizer
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AbZ") == "abz"
+        self.parts = self._ids("ab c") == self._ids("ab") + self._ids("c")
+        self.plain = self.lowers and self.parts and all(self._ids(x) == [t.id for t in self.model.tokenize(x)] for x in ("plain", "words", "of", "letters", "--", "(%"))
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def word(self, word: bytes) -> bytes | None:
         """Ids of letters only or punctuation only; None if the model alone does not do: upper case above ASCII, letters
         that are not composed, other characters."""
-        ids = self.words.get(word)
-        if ids is None:
+        if not word.isascii():
             text = word.decode("utf-8")
-            if text[0] > "@" and not text.isascii() and not (text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)):
+            if not (text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)):
                 return None
-            mapped = text if text.isascii() else word.decode("latin-1").translate(self.letters)
-            if len(self.words) > KEPT:
-                self.words = {b"": b""}
-            ids = self.words[word] = array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            text = word.decode("latin-1").translate(self.letters)
+        else:
+            text = word.decode("ascii")
+        ids = self[word] = array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
         return ids
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) > KEPT:
             self.clear()
-        m = SIMPLE.fullmatch(piece)
-        a, b = (self.word(m[1]), self.word(m[2])) if m else (None, None)
+        a = b = None
+        if self.plain:
+            head = piece.rstrip(MARKS)
+            tail = piece[len(head) :]
+            if not head:
+                return self.word(tail)
+            if head.isalpha() or WORDY.fullmatch(head):  # of bytes: ASCII letters, or those and characters above ASCII
+                a, b = self.get(head) or self.word(head), (self.get(tail) or self.word(tail)) if tail else b""
         if a is None or b is None:
-            ids = array("H", self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+            ids = array("H", self._ids(piece.decode("utf-8", "replace"))).tobytes()
         else:
             ids = a + b
         self[piece] = ids
@@ -89,42 +107,78 @@ class Encoder(dict):
 
     def ids(self, text: bytes | None) -> np.ndarray:
         text = text or b""
-        if b"<|" not in text:  # else it may hold a special token's name, whose case counts
+        if not self.parts:
+            return np.array([*self._ids(text.decode("utf-8", "replace")), CLOSE], np.uint16)
+        if self.lowers and b"<|" not in text:  # else it may hold a special token's name, whose case counts
             text = text.lower()  # of bytes: A-Z only
         return np.frombuffer(b"".join([*map(self.__getitem__, text.split()), np.uint16(CLOSE).tobytes()]), np.uint16)
 
 
-def terms(ids: np.ndarray) -> np.ndarray:
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One per worker process, which tasks that follow each other share."""
+    return Encoder(path)
+
+
+def pairs(ids: np.ndarray) -> np.ndarray:
     """Pairs of adjacent tokens, of a document's ids without the closing one; of one token, the token."""
-    own = ids[:-1].astype(np.int64)
-    return (own[:-1] << 16) | own[1:] if len(own) > 1 else own
+    own = ids[:-1].astype(np.uint64)
+    return (own[:-1] << np.uint64(16)) | own[1:] if len(own) > 1 else own
 
 
 def signature(t: np.ndarray) -> int:
-    """The least hash of the terms, as a bucket."""
+    """The least hash of the pairs, as a bucket."""
     if not len(t):
         return 0
-    h = t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = t * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
     return int(h.min()) * 0x165667B19E3779F9 % (1 << 64) >> 52
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, ids (binary, 16 bits each), n, bucket per row of docs."""
-    held: list[Encoder] = []
+    """kind 0: doc_id, ids (binary, 16 bits each), n, bucket, place (tells equal rows apart) per row of docs; kind 1: place, a
+    token, and n, in how many documents of a task it stands."""
+    names = ["kind", "doc_id", "ids", "n", "bucket", "place"]
+
+    def batch_of(kind: int, *columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(Encoder(tokenizer))
+        encode, seen, row = encoder(tokenizer).ids, np.zeros(1 << 16, np.int64), TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [held[0].ids(x) for x in part.column("raw").to_pylist()]
-                buckets = [signature(terms(x)) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(list(map(len, ids)), pa.int64()), pa.array(buckets, pa.int32())], ["doc_id", "ids", "n", "bucket"])
+                ids = [encode(x) for x in part.column("raw").to_pylist()]
+                of = np.repeat(np.arange(len(ids), dtype=np.uint32) << np.uint32(16), list(map(len, ids)))
+                held = np.sort(of | np.concatenate(ids))
+                seen += np.bincount(held[np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))] & np.uint32(0xFFFF), minlength=1 << 16)
+                buckets = [signature(pairs(x)) for x in ids]
+                place = np.arange(row, row + len(ids))
+                row += len(ids)
+                yield batch_of(0, part.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(list(map(len, ids)), pa.int64()), pa.array(buckets, pa.int32()), pa.array(place))
+        token = np.flatnonzero(seen)
+        if len(token):
+            yield batch_of(1, pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary()), pa.array(seen[token]), pa.nulls(len(token), pa.int32()), pa.array(token))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    return written(rows.mapInArrow(run, "doc_id long, ids binary, n long, bucket int"), "tokens")
+    return written(rows.mapInArrow(run, "kind int, doc_id long, ids binary, n long, bucket int, place long"), "tokens")
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """Of all documents: their number, their mean length in tokens, and in how many each token stands."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    @staticmethod
+    def of(rows: DataFrame) -> Statistics:
+        n, total = rows.where("kind = 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        found = rows.where("kind = 1").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # at most one row per token of the vocabulary
+        df = np.zeros(1 << 16, np.int64)
+        df[found["place"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+        return Statistics(n, total / max(n, 1), df)
 
 
 def shard_plan(sizes: list[tuple[int, int]], aim: int = SHARD) -> list[tuple[int, int, int]]:
@@ -143,46 +197,53 @@ def shard_plan(sizes: list[tuple[int, int]], aim: int = SHARD) -> list[tuple[int
 
 
 class Index:
-    """BM25 over the documents of a shard. Terms of one document only, or of a large share of them, are left out: the
-    first find nothing, the others everything."""
+    """BM25 over the documents of a shard, with the statistics of all documents. Tokens of a large share of all documents are
+    left out, and those of one document of the shard, which find nothing."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], known: Statistics):
         n = self.n = len(docs)
-        bags = [np.unique(terms(d), return_counts=True) for d in docs]
-        sizes = np.array([len(t) for t, _ in bags])
-        term, tf, doc = np.concatenate([t for t, _ in bags]), np.concatenate([c for _, c in bags]), np.repeat(np.arange(n), sizes)
-        _, term, counts = np.unique(term, return_inverse=True, return_counts=True)
-        df = counts[term]
-        keep = (df > 1) & (df <= max(2, COMMON * n))
-        term, tf, doc, df = term[keep], tf[keep], doc[keep], df[keep]
-        length = np.array(list(map(len, docs)), float)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        self.weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / length.mean()))
-        self.of_doc, self.doc_at = term, np.searchsorted(doc, np.arange(n + 1))
-        order = np.argsort(term, kind="stable")
-        self.posting, self.weight = doc[order], self.weight[order]
-        self.term_at = np.searchsorted(term[order], np.arange((term.max() + 2) if len(term) else 1))
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first, then in their order."""
+        length = np.fromiter(map(len, docs), np.int64, n)
+        whole = np.concatenate(docs).astype(np.int64)
+        doc = np.repeat(np.arange(n), length)
+        useful = known.df <= max(2, COMMON * known.n)
+        own = useful[whole]
+        own[np.cumsum(length) - 1] = False  # the closing token
+        key = np.sort((whole[own] << 32) | doc[own])
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        tf, key = np.diff(np.append(new, len(key))), key[new]
+        term, doc = key >> 32, key & 0xFFFFFFFF
+        keep = np.bincount(term, minlength=1 << 16)[term] > 1
+        term, doc, tf = term[keep], doc[keep], tf[keep]
+        idf = np.log(1 + (known.n - known.df + 0.5) / (known.df + 0.5))
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / known.mean))
+        self.posting, self.term_at = doc, np.searchsorted(term, np.arange((1 << 16) + 1))
+        order = np.argsort(doc, kind="stable")
+        self.of_doc, self.doc_at = term[order], np.searchsorted(doc[order], np.arange(n + 1))
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """Unused documents that share a token with the seed, best first, then in their order."""
         t = self.of_doc[self.doc_at[seed] : self.doc_at[seed + 1]]
         if not len(t):
-            return t
+            return
         begin, count = self.term_at[t], self.term_at[t + 1] - self.term_at[t]
-        at = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        at = np.arange(count.sum()) + np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count)
         score = np.bincount(self.posting[at], self.weight[at], self.n)
         score[used] = 0
         hits = np.flatnonzero(score > 0)
-        return hits[np.argsort(-score[hits], kind="stable")]
+        if len(hits) > FIRST:  # a window seldom needs more
+            least = np.partition(score[hits], -FIRST)[-FIRST]
+            best, hits = hits[score[hits] >= least], hits[score[hits] < least]
+            yield from best[np.argsort(-score[best], kind="stable")].tolist()
+        yield from hits[np.argsort(-score[hits], kind="stable")].tolist()
 
 
-def packed(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def packed(docs: list[np.ndarray], known: Statistics, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset). A window's seed is what begins it; its neighbours follow until it
     is full, the last one is cut and begins the next window. The last window is cut at powers of two: nothing is padded."""
-    index, used, out = Index(docs), np.zeros(len(docs), bool), []
+    index, used, out = Index(docs, known), np.zeros(len(docs), bool), []
     sequence, offset, next_, queue = 0, 0, 0, iter(())
     for _ in range(len(docs)):
-        doc = next((int(i) for i in queue if not used[i]), None)
+        doc = next((i for i in queue if not used[i]), None)
         seeds = doc is None or offset == 0
         if doc is None:
             while used[next_]:
@@ -197,7 +258,7 @@ def packed(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int,
             if offset == window:
                 sequence, offset, seeds = sequence + 1, 0, start < len(docs[doc])
         if seeds and offset:
-            queue = iter(index.neighbours(doc, used))
+            queue = index.neighbours(doc, used.copy())
         elif not offset:
             queue = iter(())
     if not offset:
@@ -226,17 +287,21 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, aim: int = SHARD
     """
     rows = encoded(docs, tokenizer)
     spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(Statistics.of(rows))
+    rows = rows.where("kind = 0")
     sizes = [(r[0], r[1]) for r in rows.groupBy("bucket").agg(F.sum("n")).collect()]  # at most BUCKETS rows
     plan = F.broadcast(spark.createDataFrame(shard_plan(sizes, aim), "__bucket int, first int, parts int"))
-    spread = F.pmod(F.xxhash64("doc_id", "ids"), F.col("parts")).cast("int")
+    spread = F.pmod(F.xxhash64("doc_id", "place"), F.col("parts")).cast("int")
     rows = rows.join(plan, rows["bucket"] == plan["__bucket"]).select("doc_id", "ids", (F.col("first") + spread).alias("shard"))
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["doc_id", "ids"], na_position="first", ignore_index=True)
+        shard = shard.sort_values("doc_id" if shard["doc_id"].is_unique else ["doc_id", "ids"], na_position="first", ignore_index=True)
         ids = [np.frombuffer(x, np.uint16) for x in shard["ids"]]
-        pieces = pd.DataFrame(packed(ids, window), columns=["doc", "start", "length", "sequence_id", "offset"])
-        wide = [x.astype("<u4") for x in ids]
-        crc = [zlib.crc32(wide[d][s : s + n]) for d, s, n in zip(pieces["doc"], pieces["start"], pieces["length"], strict=True)]
+        pieces = pd.DataFrame(packed(ids, known.value, window), columns=["doc", "start", "length", "sequence_id", "offset"])
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        wide = memoryview(np.concatenate(ids).astype("<u4").view(np.uint8))
+        begin = 4 * ((np.cumsum(length) - length)[pieces["doc"]] + pieces["start"].to_numpy())
+        crc = [zlib.crc32(wide[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * pieces["length"].to_numpy()).tolist(), strict=True)]
         own = shard["doc_id"].astype("Int64").to_numpy(dtype=object)[pieces["doc"]]
         return pd.DataFrame(
             {
@@ -244,7 +309,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, aim: int = SHARD
                 "start": pieces["start"],
                 "length": pieces["length"],
                 "ids_crc32": crc,
-                "doc_tokens": np.array(list(map(len, ids)))[pieces["doc"]],
+                "doc_tokens": length[pieces["doc"]],
                 "sequence_id": pieces["sequence_id"] + (int(shard["shard"].iloc[0]) << 32),
                 "offset": pieces["offset"],
             }
