@@ -1,11 +1,14 @@
 """Secret scans: base patterns by kind, then linking of parts that make a credential only together.
 
-Only DataFrame expressions. A text is its own scope, cut into windows of REACH code points around each part; the
-interval join between parts runs over the sorted arrays of one row, so no text is shuffled and no pairs are emitted.
+Only DataFrame expressions. The scope of a part are the REACH code points before and behind it. The interval join between the
+parts of a text is a sweep over one sorted array, forward with the last end and backward with the next start of the other
+side, so no text is shuffled, no pairs are emitted and the work grows with the number of parts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 KINDS = ("assign", "access", "hex", "identifier", "weak", "endpoint")
 #: Parts further apart than so many code points do not belong together.
 REACH = 200
+#: Rows of an array that are gathered before they are added to the whole, which would be copied for each row otherwise.
+CHUNK = 128
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run is matched whole, so a least length in the pattern drops the same matches as a check afterwards.
@@ -27,24 +32,60 @@ ENDPOINT = r"(?i)(?:https?|jdbc|postgres|mysql|mongodb|redis|amqp|ftp)://[A-Za-z
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def matches(text: Column, pattern: str, kind: str, hint: Column, least: int = 0) -> Column:
-    """Spans (start, place in KINDS, end) of all leftmost, non-overlapping matches; least: length of group 2.
+def with_matches(df: DataFrame, text: Column, pattern: str, kind: str, hint: Column, least: int = 0) -> DataFrame:
+    """df with the column __kind: spans (start, place in KINDS, end) of all leftmost, non-overlapping matches where the hint
+    holds; least: length of group 2.
 
-    The pieces between matches and the matches themselves alternate, so running lengths give code point offsets.
+    The pieces between matches and the matches themselves alternate, so running lengths give code point offsets. They are a
+    column of their own, which the sweep reads in chunks.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     long_enough = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else found
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), long_enough.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("spans"))
 
-    def step(s: Column, p: Column) -> Column:
-        begin = s["at"] + F.length(p["gap"])
+    def step(at: Column, p: Column) -> tuple[Column, Column, Column]:
+        begin = at + F.length(p["gap"])
         end = begin + F.coalesce(F.length(p["hit"]), F.lit(0))
         span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
-        keep = p["hit"].isNotNull() & (F.length(p["part"]) >= least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"))
+        return end, p["hit"].isNotNull() & (F.length(p["part"]) >= least), span
+
+    df = df.withColumn("__pieces", F.when(hint, pieces))
+    return df.withColumn(f"__{kind}", swept(F.col("__pieces"), F.lit(0), step, SPAN)).drop("__pieces")
+
+
+def swept(rows: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]], kind: str) -> Column:
+    """Array of what step(carried, row) = (carried on, keep, value) keeps over the rows in their order."""
+    none = F.expr(f"cast(array() as {kind})")
+
+    def inner(s: Column, row: Column) -> Column:
+        on, keep, value = step(s["at"], row)
+        return F.struct(on.alias("at"), F.when(keep, F.concat(s["out"], F.array(value))).otherwise(s["out"]).alias("out"))
+
+    def outer(s: Column, i: Column) -> Column:
+        chunk = F.slice(rows, i * CHUNK + 1, CHUNK)
+        return F.aggregate(chunk, F.struct(s["at"].alias("at"), none.alias("out")), inner, lambda t: F.struct(t["at"].alias("at"), F.concat(s["out"], t["out"]).alias("out")))
+
+    chunks = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int"))
+    return F.when(F.size(rows) > 0, F.aggregate(chunks, F.struct(start.alias("at"), none.alias("out")), outer, lambda s: s["out"])).otherwise(none)
+
+
+def with_reached(df: DataFrame, name: str, points: str, others: str, reach: int, hit: bool = True) -> DataFrame:
+    """df with the column name: the spans of points that lie within reach of one of others at least (or, without hit, of
+    none); -1 asks for an overlap."""
+    mark = lambda spans, own: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(False).alias("hit")))
+    kind = "array<struct<start:int,own:int,kind:int,end:int,hit:boolean>>"
+
+    def carry(x: Column, at: Column, hit: Column, on: Column) -> tuple[Column, Column, Column]:
+        value = F.struct(x["start"].alias("start"), x["own"].alias("own"), x["kind"].alias("kind"), x["end"].alias("end"), (x["hit"] | hit).alias("hit"))
+        return F.when(x["own"] == 0, on).otherwise(at), F.lit(True), value
 
-    return F.when(hint, F.aggregate(pieces, start, step, lambda s: s["spans"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    both = (F.size(points) > 0) & (F.size(others) > 0)
+    df = df.withColumn("__sweep", F.when(both, F.array_sort(F.concat(mark(points, 1), mark(others, 0)))))
+    df = df.withColumn("__sweep", F.reverse(swept(F.col("__sweep"), F.lit(-(1 << 30)), lambda at, x: carry(x, at, at + reach >= x["start"], F.greatest(at, x["end"])), kind)))
+    df = df.withColumn("__sweep", swept(F.col("__sweep"), F.lit(1 << 30), lambda at, x: carry(x, at, x["end"] + reach >= at, x["start"]), kind))
+    chosen = F.filter("__sweep", lambda x: (x["own"] == 1) & (x["hit"] == hit))
+    spans = F.transform(chosen, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    return df.withColumn(name, F.when(both, spans).otherwise(F.expr(f"cast(array() as {SPAN})") if hit else F.col(points))).drop("__sweep")
 
 
 def listed(spans: Column) -> Column:
@@ -64,42 +105,29 @@ def scan(docs: DataFrame, base: str = "base", spans: str = "spans") -> DataFrame
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("__text", text)
     t = F.col("__text")
-    lower = F.lower(t)
-    df = df.withColumns(
-        {
-            "__assign": matches(t, ASSIGN, "assign", t.rlike(ASSIGN), 8),
-            "__access": matches(t, ACCESS, "access", t.contains("AKIA")),
-            "__hex": matches(t, HEX, "hex", t.rlike(HEX)),
-            "__identifier": matches(t, IDENTIFIER, "identifier", t.rlike(IDENTIFIER)),
-            "__endpoint": matches(t, ENDPOINT, "endpoint", t.contains("://")),
-        }
-    )
+    df = with_matches(df, t, ASSIGN, "assign", t.rlike(ASSIGN), 8)
+    df = with_matches(df, t, ACCESS, "access", t.contains("AKIA"))
+    df = with_matches(df, t, HEX, "hex", t.rlike(HEX))
+    df = with_matches(df, t, IDENTIFIER, "identifier", t.rlike(IDENTIFIER))
+    df = with_matches(df, t, ENDPOINT, "endpoint", t.contains("://"))
     # a weak secret needs an identifier or access key, so other texts are not searched for one
-    has_id = (F.size("__access") > 0) | (F.size("__identifier") > 0)
-    df = df.withColumn("__weak", matches(t, WEAK, "weak", has_id))
-
-    def near(a: Column, b: Column) -> Column:
-        return (a["start"] <= b["end"] + REACH) & (b["start"] <= a["end"] + REACH)
-
-    def overlaps(a: Column, b: Column) -> Column:
-        return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-    ids = F.concat("__access", "__identifier")
-    strong = F.concat("__assign", "__hex")
-    df = df.withColumn("__weak", F.filter("__weak", lambda w: ~F.exists(F.col("__assign"), lambda s: overlaps(w, s))))
-    df = df.withColumns({"__ids": ids, "__secrets": F.concat(strong, "__weak")})
-    with_id = lambda x: F.exists(F.col("__ids"), lambda i: near(x, i))
-    with_secret = lambda x: F.exists(F.col("__secrets"), lambda s: near(x, s))
-    linked = F.concat(
-        F.filter("__identifier", with_secret),
-        F.filter("__weak", with_id),
-        F.filter("__endpoint", lambda e: with_id(e) & with_secret(e)),
-    )
-    df = df.withColumn(base, F.concat("__assign", "__access", "__hex")).withColumn(spans, F.concat(base, linked))
+    df = df.withColumn("__ids", F.concat("__access", "__identifier"))
+    df = with_matches(df, t, WEAK, "weak", F.size("__ids") > 0)
+    df = with_reached(df, "__weak", "__weak", "__assign", -1, hit=False)
+    df = df.withColumn("__secrets", F.concat("__assign", "__hex", "__weak"))
+    df = with_reached(df, "__linked_identifier", "__identifier", "__secrets", REACH)
+    df = with_reached(df, "__linked_weak", "__weak", "__ids", REACH)
+    df = with_reached(df, "__with_id", "__endpoint", "__ids", REACH)
+    df = with_reached(df, "__linked_endpoint", "__with_id", "__secrets", REACH)
+    df = df.withColumn(base, F.concat("__assign", "__access", "__hex"))
+    df = df.withColumn(spans, F.concat(base, "__linked_identifier", "__linked_weak", "__linked_endpoint"))
     return df.select(*docs.columns, base, spans)
 
 
 def scan_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, counts and digest of the base spans, and all spans, per row. Null and empty texts count 0 and have the digest
+    of the empty string; repeated rows and null ids give a row each; an empty table gives an empty one; other columns are
+    not read."""
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return scan(docs).select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 

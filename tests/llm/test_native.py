@@ -158,3 +158,12 @@ def test_chats_of_an_empty_table(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_agrees_with_sql(spark, name):
     assert agree(spark, queries.queries()[name], queries.oracle_sql()[name], SMALL) > 0
+
+
+def test_scan_of_a_text_with_many_parts(spark):
+    """Work grows with the number of parts: 8000 pairs, and the same result as for each pair by itself."""
+    pair = "client_id = abcdef12\nsecret_key: zzzzyyyy9\n"
+    docs = spark.createDataFrame([(1, pair * 8000), (2, pair)], "doc_id long, text string")
+    many, one = (r["spans"].split(",") for r in secrets.scan_digest(docs).orderBy("doc_id").collect())
+    assert one == ["identifier:0:20", "weak:21:42"] and len(many) == 16000 and many[:2] == one
+    assert many[-1] == f"weak:{len(pair) * 7999 + 21}:{len(pair) * 7999 + 42}"
