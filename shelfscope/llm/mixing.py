@@ -78,7 +78,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: a row for each whole repetition, and one with the first words for a part of a repetition."""
+    """The mix itself: a row for each whole repetition, and one with the first words for a part of a repetition. Rows of which
+    nothing is taken (null, empty and wordless texts among them) are left out; an empty table gives an empty one."""
     part = F.col("taken") % F.greatest(F.col("size"), F.lit(1))
     whole = mixed.withColumn("__n", F.expr("taken div greatest(size, 1)")).where("__n > 0")
     whole = whole.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)

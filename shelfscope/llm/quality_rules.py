@@ -105,7 +105,9 @@ def judged(docs: DataFrame, order: list[str] | None = None, rules: dict[str, Rul
     """docs with rejected_by: the first rule of the cascade that rejects the text, null for those kept.
 
     Null and empty texts have no words and go. Rows are judged one by one, so ties and repeats need no rule. An empty
-    table gives an empty one. A column named rejected_by is replaced.
+    table gives an empty one. A column named rejected_by is replaced. Whether a text is kept does not depend on the order;
+    which of several rules that reject it comes first does, and an order that is not given is measured in seconds, so it may
+    differ between runs.
     """
     docs = docs.drop("rejected_by")
     order = order or rule_order(docs, rules)
@@ -119,7 +121,9 @@ def judged(docs: DataFrame, order: list[str] | None = None, rules: dict[str, Rul
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, the base measures, base_failed and kept."""
+    """Per row of docs: doc_id, the base measures, base_failed and kept. Null and empty texts measure 0 and fail. Repeated rows
+    and null ids give a row each; an empty table gives an empty one; other columns are not read. The base measures are asked
+    for, so the cascade's order saves only the rules behind them; it never changes the verdict."""
     order = rule_order(docs)
     rest = [x for x in order if x not in ("few_words", "repeated_words")]
 

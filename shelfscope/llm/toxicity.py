@@ -158,6 +158,9 @@ def threshold(z: np.ndarray, y: np.ndarray, each: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold_mod: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> Model:
+    """The model of a bounded sample of labelled rows of the folds that are not held out. Null and empty texts count as texts
+    without words; labels other than 0 and 1, null ids and ids without a document are left out; equal texts count once.
+    Without rows of both labels the model scores the label there is. Only doc_id, text and toxic are read."""
     fold = remainder(F.col("__id"), fold_mod) != held_out
     rows = labelled(docs.select("doc_id", "text"), labels, "toxic", fold, per_class).select("doc_id", "text", "y").toPandas()
     # copies would make chance words look sure

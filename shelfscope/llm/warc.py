@@ -88,8 +88,10 @@ def arc_records(name: str, content: bytes) -> Iterator[tuple]:
         if not fields:
             if not line[0].startswith("filedesc:"):
                 raise ValueError(f"{name}: no version block")
-            version = int(content[end + 1 :].split(b" ", 1)[0])
-            fields = ARC_FIELDS[version]
+            said = content[end + 1 : end + 20].split(b" ", 1)[0].decode("utf-8", "replace")
+            if not said.isdigit() or int(said) not in ARC_FIELDS:
+                raise ValueError(f"{name}: version {said!r} is unknown")
+            fields = ARC_FIELDS[int(said)]
         if len(line) != len(fields):
             raise ValueError(f"{name}: {len(line)} header fields at {at}, not {len(fields)}")
         head = dict(zip(fields, line, strict=True))
@@ -98,9 +100,13 @@ def arc_records(name: str, content: bytes) -> Iterator[tuple]:
             raise ValueError(f"{name}: a record of {head['length']} bytes passes the end")
         if head["url"].startswith("filedesc:"):
             continue
-        http, _, payload = content[begin:at].partition(END)
+        block = content[begin:at]
+        # only what begins with a status line has an HTTP header; of other records (dns:, whois:) the block is the payload
+        http, _, payload = block.partition(END) if block.startswith(b"HTTP/") else (b"", b"", block)
         number = next((x[10:].strip() for x in http.split(b"\r\n") if x[:10].lower() == b"x-page-id:"), b"")
-        d = head["date"]
+        d = head["date"].ljust(14, "0") if len(head["date"]) != 8 else head["date"] + "0" * 6  # seconds or times may be left out
+        if not (d.isdigit() and len(d) == 14):
+            raise ValueError(f"{name}: the date {head['date']!r} at {begin}")
         date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
         record = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{begin} {head['url']} {d}")
         yield f"urn:uuid:{record}", head["url"], head["ip"], date, head["type"], int(number) if number else None, http, payload, len(payload), digest(payload)
@@ -138,19 +144,21 @@ def with_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def warc_record(r) -> bytes:
-    """A record without its closing \\r\\n\\r\\n. A revisit keeps the HTTP header and leaves out the payload."""
-    revisit = isinstance(r.refers_to, str)
-    block = r.http + END + (b"" if revisit else r.payload)
+    """A record without its closing \\r\\n\\r\\n. A revisit keeps the HTTP header and leaves out the payload; a record without
+    HTTP header is a resource of its own type, whole even if its payload was seen before."""
+    plain = not r.http
+    revisit = isinstance(r.refers_to, str) and not plain
+    block = r.payload if plain else r.http + END + (b"" if revisit else r.payload)
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Type: {'revisit' if revisit else 'resource' if plain else 'response'}",
         f"WARC-Record-ID: <{r.record_id}>",
         f"WARC-Date: {r.date}",
         f"WARC-Target-URI: {r.url}",
         f"WARC-IP-Address: {r.ip}",
         f"WARC-Payload-Digest: sha1:{r.payload_digest}",
         f"WARC-Block-Digest: sha1:{digest(block)}",
-        "Content-Type: application/http; msgtype=response",
+        f"Content-Type: {r.type}" if plain else "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{r.refers_to}>", f"WARC-Refers-To-Target-URI: {r.refers_url}", f"WARC-Refers-To-Date: {r.refers_date}"]
@@ -158,7 +166,9 @@ def warc_record(r) -> bytes:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes one gzip WARC file per partition: a warcinfo record, then one record per row."""
+    """Writes one gzip WARC file per partition: a warcinfo record, then one record per row. Repeated rows are records of their
+    own; partitions without rows give files without records; a null page_id or refers_to is left out. Columns other than
+    those of RECORD and of with_revisits are not read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = True
@@ -197,14 +207,14 @@ def warc_rows(lines: Iterator[bytes]) -> Iterator[tuple]:
             block = bytes(held[begin:end])
             del held[: end + len(END)]
             need = 0
-            if head["WARC-Type"] in ("response", "revisit"):
-                http, _, payload = block.partition(END)
+            if head["WARC-Type"] in ("response", "revisit", "resource"):
+                http, _, payload = block.partition(END) if head["WARC-Type"] != "resource" else (b"", b"", block)
                 http_head = dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:] if ": " in x)
                 said = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                if head["WARC-Type"] == "response" and digest(payload) != said:
+                if head["WARC-Type"] != "revisit" and digest(payload) != said:
                     raise ValueError(f"{head['WARC-Record-ID']}: the payload does not match its digest")
                 number = http_head.get("X-Page-Id", "").strip()
-                size = len(payload) if head["WARC-Type"] == "response" else int(http_head["Content-Length"])
+                size = len(payload) if head["WARC-Type"] != "revisit" else int(http_head["Content-Length"])
                 yield head["WARC-Type"], head["WARC-Record-ID"][1:-1], head.get("WARC-Refers-To", "<>")[1:-1] or None, int(number) if number else None, size, said
             if not held:
                 break
@@ -213,7 +223,7 @@ def warc_rows(lines: Iterator[bytes]) -> Iterator[tuple]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """record_type, record_id, refers_to, page_id, payload_bytes, payload_digest of responses and revisits.
+    """record_type, record_id, refers_to, page_id, payload_bytes, payload_digest of responses, revisits and resources.
 
     A gzip file is one split, so a task sees the lines of whole files in order.
     """

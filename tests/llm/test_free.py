@@ -5,6 +5,7 @@ import hashlib
 import zlib
 from collections import defaultdict
 from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -60,11 +61,17 @@ def test_archives_of_the_table(spark):
 def test_arc_versions_and_wrong_lengths():
     one = b"filedesc://a 0.0.0.0 20240101000000 text/plain 14\n1 0 x\nFields\n\n"
     two = b"filedesc://a 0.0.0.0 20240101000000 text/plain 200 - - 0 f 14\n2 0 x\nFields\n\n"
-    rows = list(warc.arc_records("a", one + b"http://x 1.2.3.4 20240102030405 text/html 10\nH\r\n\r\nabcde\n"))
+    rows = list(warc.arc_records("a", one + b"http://x 1.2.3.4 20240102030405 text/html 17\nHTTP/1.0\r\n\r\nabcde\n"))
     assert rows[0][1:5] == ("http://x", "1.2.3.4", "2024-01-02T03:04:05Z", "text/html") and rows[0][7] == b"abcde"
-    rows = list(warc.arc_records("a", two + b"http://x 1.2.3.4 20240102030405 text/html 200 - - 9 f 10\nH\r\n\r\nabcde\n"))
+    rows = list(warc.arc_records("a", two + b"http://x 1.2.3.4 20240102030405 text/html 200 - - 9 f 17\nHTTP/1.0\r\n\r\nabcde\n"))
     assert rows[0][9] == sha("abcde")
-    for bad in (one + b"http://x 1.2.3.4 20240102030405 text/html 99\nabc\n", one + b"http://x 20240102030405 9\nabc\n", b"http://x\n"):
+    plain = list(warc.arc_records("a", one + b"dns:x 1.2.3.4 202401020304 text/dns 9\n1.2.3.4\r\n\nhttp://y 1.2.3.4 20240102 text/html 22\nHTTP/1.0 200 OK\r\n\r\nabc\n"))
+    assert plain[0][1:4] == ("dns:x", "1.2.3.4", "2024-01-02T03:04:00Z") and plain[0][6:8] == (b"", b"1.2.3.4\r\n") and plain[1][3] == "2024-01-02T00:00:00Z" and plain[1][7] == b"abc"
+    names = [x.split(" ")[0] for x in warc.RECORD.split(", ")]
+    text = warc.warc_record(SimpleNamespace(**dict(zip(names, plain[0], strict=True)), refers_to="urn:x", refers_url="", refers_date=""))
+    assert b"WARC-Type: resource" in text and b"Content-Type: text/dns" in text and text.endswith(b"\r\n\r\n1.2.3.4\r\n")
+    assert [r[0] for r in warc.warc_rows((text + b"\r\n\r\n").split(b"\n")[:-1])] == ["resource"]
+    for bad in (one.replace(b"1 0 x", b"7 0 x") + b"http://x 1.2.3.4 20240102030405 text/html 3\nabc\n", one + b"http://x 1.2.3.4 2024010203 text/html 3\nabc\n".replace(b"2024010203", b"2024x"), one + b"http://x 1.2.3.4 20240102030405 text/html 99\nabc\n", one + b"http://x 20240102030405 9\nabc\n", b"http://x\n"):
         with pytest.raises(ValueError):
             list(warc.arc_records("a", bad))
 
@@ -385,3 +392,22 @@ def test_pipeline(spark):
     words = lambda rows: sum(len(r["text"].encode().split()) for r in rows)
     assert abs(words(seen["source_mix"]) - words(seen["secret_scans"])) <= 20
     assert corpus_pipeline.run(spark, SMALL).agg(F.sum("length")).first()[0] > 0
+
+
+def test_pipeline_of_odd_tables(spark):
+    """Null, empty and repeated rows, and columns named like those of the operators, which come out as they went in."""
+    one, two, three = "the quick brown fox jumps over the lazy dog and then runs away", "a large river flows through many towns before it meets the open sea", "nobody knows why some letters never reach the people they are sent to"
+    rows = [(1, one, "a", 7), (1, one, "a", 7), (2, two, None, 8), (None, three, "b", None), (3, None, "a", 9), (4, "", None, 9)]
+    extra = ["rejected_by", "size", "source_size", "target", "taken", "token", "ids", "__sign"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    docs = docs.select("*", *(F.concat(F.lit(f"{x} of "), F.coalesce("doc_id", F.lit(0)).cast("string")).alias(x) for x in extra))
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, SMALL)
+        assert out.columns == docs.columns, name
+        out = spark.createDataFrame(out.collect(), docs.schema)
+        assert out.count() and all(r[x] == f"{x} of {r['doc_id'] or 0}" for r in out.collect() for x in extra), name
+    assert {r["doc_id"] for r in out.collect()} == {1, 2, None}
+    assert corpus_pipeline.STAGES[-1][1](spark, out, SMALL).agg(F.sum("length")).first()[0] > 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SMALL).count() == 0
