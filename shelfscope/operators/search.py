@@ -8,29 +8,50 @@ from pyspark.sql import functions as F
 from shelfscope.functions import normalise as N
 
 
+WORD = "[a-z0-9]+"
+
+
+def _haystack(df: DataFrame, *columns: str) -> DataFrame:
+    """df with hay, the folded columns, and there, its distinct words."""
+    known = [c for c in columns if c in df.columns]
+    df = df.withColumn("hay", N.fold(F.lower(F.concat_ws(" ", *known))))
+    return df.withColumn("there", F.array_distinct(F.regexp_extract_all("hay", F.lit(WORD), F.lit(0))))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    q = queries.select("query_id", N.fold(F.lower("query")).alias("folded"))
+    return q.withColumn("tokens", F.regexp_extract_all("folded", F.lit(WORD), F.lit(0)))
+
+
+def _with_all_words(asked: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """asked beside each row (key, hay, there) that has all its words. Only the rows that have a query's rarest word are
+    looked at; a query with a word that no row has finds nothing."""
+    words = rows.select(key, F.explode("there").alias("token"))
+    wanted = asked.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    often = words.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    rare = wanted.join(often, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.count_if(F.col("n").isNull()).alias("missing")).where("missing = 0")
+    hits = rare.select("query_id", "token").join(words, "token").select("query_id", key)
+    both = hits.join(asked, "query_id").join(rows.select(key, "hay", "there"), key)
+    return both.where(F.size(F.array_except("tokens", "there")) == 0)
+
+
 def text_candidates(queries: DataFrame, products: DataFrame) -> DataFrame:
-    """(query_id, product_id, score) of products that hold a token of the query, by an inverted join on tokens.
+    """(query_id, product_id, score) of products that hold all words of the query, in title, brand, part number, sku or EAN.
 
-    The score is (all tokens, phrase, adjacent pairs, tokens), compared in this order.
+    The score is (phrase, adjacent pairs), compared in this order; all words are there.
     """
-    tokens = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0)))
-    hay = N.fold(F.lower(F.concat_ws(" ", "title", "brand", "mpn", "sku", "ean")))
-    p = products.select(F.col("id").alias("product_id"), hay.alias("hay"))
-    words = p.select("product_id", F.explode(tokens(F.col("hay"))).alias("token"))
-    q = queries.select("query_id", N.fold(F.lower("query")).alias("folded"))
-    q = q.withColumn("tokens", F.regexp_extract_all("folded", F.lit("[a-z0-9]+"), F.lit(0)))
-    hits = q.select("query_id", F.explode(F.array_distinct("tokens")).alias("token")).join(words, "token").select("query_id", "product_id").distinct()
-    both = hits.join(q, "query_id").join(p, "product_id").withColumn("there", tokens(F.col("hay")))
-    matched = F.size(F.filter("tokens", lambda t: F.array_contains(F.col("there"), t)))
+    rows = _haystack(products.select(F.col("id").alias("product_id"), "title", "brand", "mpn", "sku", "ean"), "title", "brand", "mpn", "sku", "ean")
+    both = _with_all_words(_asked(queries), rows, "product_id")
     pairs = F.zip_with("tokens", F.slice("tokens", 2, F.greatest(F.size("tokens"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
     adjacent = F.size(F.filter(pairs, lambda x: x.isNotNull() & F.col("hay").contains(x)))
-    score = F.struct(
-        F.when(matched == F.size("tokens"), 1).otherwise(0).alias("all"),
-        F.when(F.col("hay").contains(F.col("folded")), 1).otherwise(0).alias("phrase"),
-        adjacent.alias("adjacent"),
-        matched.alias("matched"),
-    )
-    return both.select("query_id", "product_id", score.alias("score"))
+    return both.select("query_id", "product_id", F.struct(F.col("hay").contains(F.col("folded")).alias("phrase"), adjacent.alias("adjacent")).alias("score"))
+
+
+def listing_candidates(queries: DataFrame, linked: DataFrame) -> DataFrame:
+    """(query_id, product_id, scraped_at, listing_id) of approved matches whose listing holds all words of the query."""
+    rows = _haystack(linked, "title", "brand", "mpn", "competitor_sku", "ean")
+    hits = _with_all_words(_asked(queries), rows, "listing_id").select("query_id", "listing_id")
+    return hits.join(linked.select("listing_id", "product_id", "scraped_at"), "listing_id")
 
 
 def prefer_by_ean(products: DataFrame, matches: DataFrame, listings: DataFrame, own: str) -> DataFrame:
@@ -42,30 +63,41 @@ def prefer_by_ean(products: DataFrame, matches: DataFrame, listings: DataFrame,
 
 
 def lookup(queries: DataFrame, products: DataFrame, listings: DataFrame, matches: DataFrame, own: str) -> DataFrame:
-    """query_id, product_id, how: EAN of a product, else of a listing; sku; mpn; listing mpn; text. First that hits."""
+    """query_id, product_id, how. The first of these that hits: EAN of a product, else of a listing; for other queries a sku, a
+    part number, a listing's sku, a listing's part number, then words of products, then words of listings. Of products the
+    highest id, of listings (those of approved matches) the newest; a found product with an EAN gives way to the preferred
+    one of that EAN."""
     q = queries.select("query_id", N.norm_query(F.col("query")).alias("query"), N.query_kind(N.norm_query(F.col("query"))).alias("kind"))
     code = q.withColumns({"upper": F.upper("query"), "mpn": N.norm_mpn(F.col("query"))})
-    linked = matches.select("listing_id", "product_id").join(listings.withColumnRenamed("id", "listing_id"), "listing_id")
-    p = products.select(F.col("id").alias("product_id"), F.upper("sku").alias("p_sku"), N.norm_mpn(F.col("mpn")).alias("p_mpn"))
-    l_ean = linked.withColumn("e", N.norm_ean(F.col("ean"))).groupBy("e").agg(F.max("product_id").alias("product_id"))
-    l_mpn = linked.withColumn("m", N.norm_mpn(F.col("mpn"))).groupBy("m").agg(F.max("product_id").alias("product_id"))
+    sku = F.col("competitor_sku") if "competitor_sku" in listings.columns else F.lit(None).cast("string")
+    linked = matches.where("status = 'approved'").select("listing_id", "product_id").join(listings.withColumn("competitor_sku", sku).withColumnRenamed("id", "listing_id"), "listing_id")
+    newest = F.max_by("product_id", F.struct("scraped_at", "product_id", "listing_id")).alias("product_id")
+    of_listing = lambda key, name: linked.withColumn(name, key).where(F.col(name).isNotNull()).groupBy(name).agg(newest)
+    of_product = lambda key, name: products.select(F.col("id").alias("product_id"), key.alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.max("product_id").alias("product_id"))
     ean, other = code.where("kind = 'ean'"), code.where("kind <> 'ean'")
-    by_ean = prefer_by_ean(products, matches, listings, own)
-    text = text_candidates(q.where("kind = 'text'"), products).groupBy("query_id").agg(F.max(F.struct("score", "product_id")).alias("best")).select("query_id", F.col("best.product_id").alias("product_id"))
+    preferred = prefer_by_ean(products, matches, listings, own)
+    text = q.where("kind <> 'ean'")
+    by_text = text_candidates(text, products).groupBy("query_id").agg(F.max(F.struct("score", "product_id")).alias("best")).select("query_id", F.col("best.product_id").alias("product_id"))
+    by_listing = listing_candidates(text, linked).groupBy("query_id").agg(newest)
     layers = [
-        (ean.join(by_ean, ean["query"] == by_ean["ean"]), "ean"),
-        (ean.join(l_ean, ean["query"] == l_ean["e"]), "listing_ean"),
-        (other.join(p, F.col("upper") == F.col("p_sku")), "sku"),
-        (other.join(p, F.col("mpn") == F.col("p_mpn")), "mpn"),
-        (other.join(l_mpn, F.col("mpn") == F.col("m")), "listing_mpn"),
-        (text, "text"),
+        (ean.join(of_product(N.norm_ean(F.col("ean")), "e"), F.col("query") == F.col("e")), "ean"),
+        (ean.join(of_listing(N.norm_ean(F.col("ean")), "e"), F.col("query") == F.col("e")), "listing_ean"),
+        (other.join(of_product(F.upper("sku"), "k"), F.col("upper") == F.col("k")), "sku"),
+        (other.join(of_product(N.norm_mpn(F.col("mpn")), "m"), other["mpn"] == F.col("m")), "mpn"),
+        (other.join(of_listing(F.upper("competitor_sku"), "k"), F.col("upper") == F.col("k")), "listing_sku"),
+        (other.join(of_listing(N.norm_mpn(F.col("mpn")), "m"), other["mpn"] == F.col("m")), "listing_mpn"),
+        (by_text, "text"),
+        (by_listing, "listing_text"),
     ]
     rows = None
     for k, (df, how) in enumerate(layers):
         part = df.select("query_id", "product_id", F.lit(how).alias("how"), F.lit(k).alias("layer"))
         rows = part if rows is None else rows.unionByName(part)
-    first = Window.partitionBy("query_id").orderBy("layer", F.desc("product_id"))
-    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("query_id", "product_id", "how")
+    first = rows.groupBy("query_id").agg(F.min_by(F.struct("product_id", "how"), F.struct("layer", (-F.col("product_id")).alias("last"))).alias("f"))
+    first = first.select("query_id", F.col("f.product_id").alias("found"), "f.how")
+    eans = products.select(F.col("id").alias("found"), N.norm_ean(F.col("ean")).alias("ean"))
+    out = first.join(eans, "found", "left").join(preferred, "ean", "left")
+    return out.select("query_id", F.coalesce("product_id", "found").alias("product_id"), "how")
 
 
 def rivals_of(found: DataFrame, offers: DataFrame, own: list[str], limit: int = 200) -> DataFrame:
