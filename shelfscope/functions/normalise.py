@@ -123,10 +123,15 @@ def mpn_from_slug(url: Column) -> Column:
     return F.coalesce(F.get(long_, F.lit(0)), best)
 
 
+#: Fixed value: part numbers in titles are two to four groups of 2 to 4 digits around dashes or spaces, or 6 to 8 digits.
+TITLE_MPN = r"\b(?:[0-9]{2,4}(?:[-\s][0-9]{2,4}){1,3}|[0-9]{6,8})\b"
+
+
 def mpn_from_title(title: Column, brand: Column) -> Column:
-    """First code of a title without its brand: 2-2-3 digits, letters and digits around a dash or slash, or 6 to 8 digits."""
-    bare = F.trim(F.regexp_replace(title, F.concat(F.lit("(?i)"), F.regexp_replace(F.coalesce(brand, F.lit("")), r"([^A-Za-z0-9 ])", r"\\$1")), F.lit("")))
-    return blank_to_null(F.regexp_extract(bare, r"\b(?:[0-9]{2}[- ][0-9]{2}[- ][0-9]{3}|[A-Z0-9]{2,}[-/][A-Z0-9]+(?:[-/][A-Z0-9]+)*|[0-9]{6,8})\b", 0))
+    """First part number of a title without its brand."""
+    quoted = F.regexp_replace(F.coalesce(brand, F.lit("")), r"([^A-Za-z0-9 ])", r"\\$1")
+    bare = F.trim(F.regexp_replace(title, F.concat(F.lit("(?i)"), quoted), F.lit("")))
+    return blank_to_null(F.regexp_extract(bare, TITLE_MPN, 0))
 
 
 def parse_price(c: Column) -> Column:
@@ -142,8 +147,16 @@ def parse_stock(c: Column) -> Column:
     return F.when(text.rlike("nie je sklad|neni sklad|nedostup|vypredan|out ?of ?stock|soldout|na objednavku"), False).when(text.rlike("sklad|in ?stock|dostupn|ihned"), True)
 
 
-def to_eur(price: Column, currency: Column, czk: float = 25.0) -> Column:
-    return F.when(currency == "EUR", price.cast("decimal(10,2)")).when(currency == "CZK", F.bround(price / F.lit(czk), 2).cast("decimal(10,2)"))
+#: Fixed value: units of a currency per euro.
+RATES = {"CZK": 25.0}
+
+
+def to_eur(price: Column, currency: Column, rates: dict[str, float] = RATES) -> Column:
+    """Price in euros by units per euro, null for unknown currencies."""
+    out = F.when(currency == "EUR", price.cast("decimal(10,2)"))
+    for name, rate in rates.items():
+        out = out.when(currency == name, F.bround(price / F.lit(rate), 2).cast("decimal(10,2)"))
+    return out
 
 
 def canon_url(c: Column, base: str = "") -> Column:

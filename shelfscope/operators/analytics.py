@@ -144,12 +144,13 @@ def bucket_hist(position: DataFrame) -> DataFrame:
 
 
 def head_to_head(offers: DataFrame, ref: str, sellers: list[str] | None = None) -> DataFrame:
-    """The reference store against every other on shared keys."""
+    """The reference store against every other on shared keys; the gap is how much dearer the other store is, in percent of
+    the reference's price."""
     low = offers.groupBy("key", "store").agg(F.min("price").alias("price"))
     mine = low.where(F.col("store") == ref).select("key", F.col("price").alias("own"))
     other = low.where(F.col("store") != ref)
     other = other.where(F.col("store").isin(sellers)) if sellers else other
-    both = other.join(mine, "key").withColumn("gap", N.delta_pct(F.col("own"), F.col("price")))
+    both = other.join(mine, "key").withColumn("gap", N.delta_pct(F.col("price"), F.col("own")))
     out = both.groupBy("store").agg(F.count("*").alias("overlap"), F.count_if(F.col("own") < F.col("price")).alias("ref_cheaper"), F.count_if(F.col("own") > F.col("price")).alias("rival_cheaper"), F.count_if(F.col("own") == F.col("price")).alias("same"), F.bround(F.median("gap"), 4).alias("median_gap"))
     return out.withColumn("win_rate", pct(F.col("ref_cheaper"), F.col("overlap")))
 
@@ -188,8 +189,10 @@ def with_unlisted(position: DataFrame, rest: DataFrame) -> DataFrame:
     return position.unionByName(rest, allowMissingColumns=True)
 
 
-def explore_skus(position: DataFrame, query: str = "", bucket: str | None = None, limit: int = 300) -> DataFrame:
-    rows = position.where(F.lower("key").contains(query.lower()) | F.lower("title").contains(query.lower()))
+def explore_skus(position: DataFrame, titles: DataFrame, query: str = "", bucket: str | None = None, limit: int = 300) -> DataFrame:
+    """Keys with their titles (key, title) whose key or title holds the query, of one bucket if given, first by key."""
+    rows = position.join(titles.select("key", "title"), "key", "left")
+    rows = rows.where(F.lower("key").contains(query.lower()) | F.coalesce(F.lower("title").contains(query.lower()), F.lit(False)))
     rows = rows.where(F.col("bucket") == bucket) if bucket else rows
     return rows.orderBy("key").limit(limit)
 
@@ -218,6 +221,16 @@ def page(df: DataFrame, order: list, n: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset((n - 1) * size).limit(size)
 
 
+def page_total(df: DataFrame, size: int) -> DataFrame:
+    """Rows and pages of a result."""
+    return df.agg(F.count("*").alias("n_rows"), F.ceil(F.count("*") / size).alias("pages"))
+
+
+def top_counts(df: DataFrame, by: str, n: int = 15) -> DataFrame:
+    """The n most frequent values of a column (stores by volume, brands), by name on ties."""
+    return df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(n)
+
+
 def price_tiles(matched: DataFrame, own: list[str]) -> DataFrame:
     """Per product: title and brand (ours if we sell it), our price, least price, saving, and members, ours first."""
     mine = F.col("competitor_id").isin(own)
@@ -272,15 +285,34 @@ def filter_compare(merged: DataFrame, outcome: str = "all", brands: list[str] |
 
 
 def manufacturer_view(matched: DataFrame, own: list[str], brand: str, in_stock: bool = False) -> DataFrame:
-    """Our listings of a brand with the cheapest listing of every other store."""
-    rows = matched.where(F.col("product_brand").ilike(f"%{brand}%"))
-    mine = rows.where(F.col("competitor_id").isin(own))
+    """Our listings of a brand (as our listing names it, else the product) with the cheapest listing of every other store:
+    its price, confidence and url."""
+    named = F.coalesce(N.blank_to_null(F.col("listing_brand")), F.col("product_brand"))
+    mine = matched.where(F.col("competitor_id").isin(own) & F.lower(named).contains(brand.lower()))
     mine = mine.where("in_stock") if in_stock else mine
     mine = mine.select("product_id", "listing_id", F.col("price_eur").alias("own_price"))
-    other = rows.where(~F.col("competitor_id").isin(own)).groupBy("product_id", F.col("competitor_id").alias("store")).agg(F.min("price_eur").alias("price"), F.max("confidence").alias("confidence"))
+    other = matched.where(~F.col("competitor_id").isin(own)).groupBy("product_id", F.col("competitor_id").alias("store"))
+    other = other.agg(F.min_by(F.struct("price_eur", "confidence", "url"), F.struct(F.col("price_eur").isNull(), F.col("price_eur"), F.col("listing_id"))).alias("c"))
+    other = other.select("product_id", "store", F.col("c.price_eur").alias("price"), F.col("c.confidence").alias("confidence"), F.col("c.url").alias("url"))
     return mine.join(other, "product_id", "left")
 
 
+def manufacturer_kpis(view: DataFrame) -> DataFrame:
+    """Our listings of the brand, those with a rival, rival stores, and our mean price."""
+    own = view.groupBy("listing_id").agg(F.first("own_price").alias("own_price"), F.count("store").alias("n"))
+    one = own.agg(F.count("*").alias("products"), F.count_if(F.col("n") > 0).alias("with_match"), F.bround(F.avg(F.col("own_price").cast("double")), 4).alias("avg_price"))
+    return one.join(F.broadcast(view.agg(F.count_distinct("store").alias("stores"))))  # one row each
+
+
+def merged_brands(merged: DataFrame, opponents: list[str]) -> DataFrame:
+    """Per brand of the merged comparison: products and the mean of all opponents' deltas."""
+    deltas = F.array_compact(F.array(*(N.delta_pct(F.col(o), F.col("ref_price")) for o in opponents)))
+    rows = merged.select("brand", F.explode_outer(deltas).alias("d"))
+    mean = rows.groupBy("brand").agg(F.bround(F.avg("d"), 4).alias("mean_delta"))
+    n = merged.groupBy(F.col("brand").alias("b")).agg(F.count("*").alias("products"))
+    return mean.join(n, F.col("brand").eqNullSafe(F.col("b"))).select("brand", "products", "mean_delta")
+
+
 def manufacturer_summary(view: DataFrame) -> DataFrame:
     d = N.delta_pct(F.col("price"), F.col("own_price"))
     total = view.select("listing_id").distinct().agg(F.count("*").alias("total"))
@@ -293,6 +325,13 @@ def comparison_stats(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count_distinct("product_id").alias("products"), F.count("*").alias("hits"), F.bround(F.avg("delta"), 4).alias("mean_premium"), F.count_if(d < -5).alias("cheaper"), F.count_if(F.abs(d) <= 5).alias("parity"), F.count_if(d > 5).alias("dearer"))
 
 
+def comparison_hits(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Per opponent: products found, of all products asked for (product_id), and the rate in percent."""
+    total = asked.select("product_id").distinct().agg(F.count("*").alias("total"))
+    hits = pairs.groupBy("opponent").agg(F.count_distinct("product_id").alias("hits"))
+    return hits.join(F.broadcast(total)).select("opponent", "hits", "total", pct(F.col("hits"), F.col("total")).alias("rate"))  # one row
+
+
 def brands(listings: DataFrame, own: list[str]) -> DataFrame:
     return listings.where(F.col("competitor_id").isin(own)).select(N.blank_to_null(F.col("brand")).alias("brand")).where("brand IS NOT NULL").distinct()
 

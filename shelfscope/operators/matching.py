@@ -54,33 +54,86 @@ def with_block(listings: DataFrame, products: DataFrame) -> tuple[DataFrame, Dat
     return out.withColumn("block", F.coalesce("__known", F.lit(""))).drop("__known"), products.withColumn("block", F.coalesce("nbrand", F.lit("")))
 
 
+#: Layers by kind of key: place in the cascade and match type; those of part numbers in titles depend on the brands.
+KINDS = {"ean": (1, "exact_ean", 1.0), "brand_mpn": (2, "exact_mpn", 1.0), "mpn": (3, "mpn_no_brand", 0.9), "title_ean": (4, "regex_ean_title", 0.93), "title_mpn": (4, None, None), "own_mpn": (4, None, None)}
+
+
+def _key(kind: str, code: Column, block: Column | str = "") -> Column:
+    return F.struct(F.lit(kind).alias("kind"), (F.lit(block) if isinstance(block, str) else block).alias("block"), code.alias("code"))
+
+
+def _keys(kind: str, codes: Column, block: Column) -> Column:
+    return F.transform(codes, lambda c: _key(kind, c, block))
+
+
+def _both(brand: Column, mpn: Column) -> Column:
+    return F.concat(brand, F.lit("\x01"), mpn)
+
+
+def _exploded(rows: DataFrame, keys: list[Column], *columns: str) -> DataFrame:
+    """columns, kind, block, code per key that has a code."""
+    every = F.array_distinct(F.filter(F.concat(*keys), lambda k: k["code"].isNotNull()))
+    return rows.select(*columns, F.explode(every).alias("key")).select(*columns, "key.*")
+
+
+def title_keys(products: DataFrame) -> list[Column]:
+    """Keys of a product that listing titles, or a listing's part number in its own title, can hit."""
+    b = F.col("block")
+    bare = F.when(F.col("nmpn").isNull(), N.mpn_candidates(F.col("title"))).otherwise(F.array().cast("array<string>"))
+    return [F.array(_key("title_ean", F.trim("ean"), b), _key("title_mpn", F.col("nmpn"), b)), _keys("own_mpn", F.coalesce(bare, F.array().cast("array<string>")), b)]
+
+
+def listing_title_keys(listings: DataFrame) -> list[Column]:
+    b, none = F.col("block"), F.array().cast("array<string>")
+    eans = F.when(N.blank_to_null(F.col("ean")).isNull(), N.ean13_candidates(F.col("title")))
+    codes = F.when(F.col("nmpn").isNull(), N.mpn_candidates(F.col("title")))
+    return [_keys("title_ean", F.coalesce(eans, none), b), _keys("title_mpn", F.coalesce(codes, none), b), F.array(_key("own_mpn", F.col("nmpn"), b))]
+
+
+def _exact_keys(listing: bool) -> Column:
+    mpn = F.when(F.col("nbrand").isNull(), F.col("nmpn")) if listing else F.col("nmpn")
+    return F.array(_key("ean", F.col("nean")), _key("brand_mpn", _both(F.col("nbrand"), F.col("nmpn"))), _key("mpn", mpn))
+
+
+def _hits(listings: DataFrame, products: DataFrame, l_keys: list[Column], p_keys: list[Column]) -> DataFrame:
+    """listing_id, product_id, match_type, confidence, layer by one join of keys. Products of equal kind, block, code and (where
+    it decides the confidence) brand are one row before the join: the highest id of identifiers, the lowest of titles."""
+    exact = F.col("kind").isin("ean", "brand_mpn", "mpn")
+    p = _exploded(products.select("*", F.col("nbrand").alias("p_brand")), p_keys, "id", "p_brand").withColumn("p_brand", F.when(F.col("kind").isin("title_mpn", "own_mpn"), F.col("p_brand")))
+    p = p.groupBy("kind", "block", "code", "p_brand").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    p = p.select("kind", "block", "code", "p_brand", F.when(exact, F.col("high")).otherwise(F.col("low")).alias("product_id"))
+    l = _exploded(listings.withColumnRenamed("id", "listing_id"), l_keys, "listing_id", "nbrand")  # noqa: E741
+    same = F.col("nbrand") == F.col("p_brand")
+    kind, sure, layer = (F.create_map(*(x for k, v in KINDS.items() for x in (F.lit(k), F.lit(v[i])))) for i in (1, 2, 0))
+    kind, sure, layer = (F.element_at(m, F.col("kind")) for m in (kind, sure, layer))
+    of_brand = F.when(same, F.lit(0.9)).when(F.col("nbrand").isNull() | F.col("p_brand").isNull(), F.lit(0.78)).otherwise(F.lit(0.72))
+    kind = F.coalesce(kind, F.when(same, F.lit("regex_mpn_title")).otherwise(F.lit("regex_mpn_no_brand")))
+    return l.join(p, ["kind", "block", "code"]).select(*_hit(kind, F.coalesce(sure, of_brand)), layer.alias("layer"))
+
+
+def _best(hits: DataFrame, blocking: bool) -> DataFrame:
+    """One hit per listing: that of the first layer (without blocking: the surest), then the surest, then the lowest id."""
+    order = ["layer", (-F.col("confidence")).alias("sure")] if blocking else [(-F.col("confidence")).alias("sure"), "layer"]
+    best = hits.groupBy("listing_id").agg(F.min_by(F.struct("product_id", "match_type", "confidence"), F.struct(*order, "product_id", "match_type")).alias("m"))
+    return best.select("listing_id", "m.product_id", "m.match_type", "m.confidence")
+
+
+def _blocked(listings: DataFrame, products: DataFrame, blocking: str | None) -> tuple[DataFrame, DataFrame]:
+    return with_block(listings, products) if blocking else (listings.withColumn("block", F.lit("")), products.withColumn("block", F.lit("")))
+
+
 def match_titles(listings: DataFrame, products: DataFrame, blocking: str | None = "brand") -> DataFrame:
     """Codes read from titles: barcodes, part numbers in listing titles, listing part numbers in product titles."""
-    keys = ["code", "block"] if blocking else ["code"]
-    l, p = with_block(listings, products) if blocking else (listings.withColumn("block", F.lit("")), products.withColumn("block", F.lit("")))  # noqa: E741
-    l = l.withColumnRenamed("id", "listing_id")  # noqa: E741
-    p = p.select(F.col("id").alias("product_id"), F.col("nbrand").alias("p_brand"), F.trim("ean").alias("p_ean"), F.col("nmpn").alias("p_mpn"), F.col("title").alias("p_title"), "block")
-    of_brand = F.when(F.col("nbrand") == F.col("p_brand"), F.lit(0.9)).when(F.col("nbrand").isNull() | F.col("p_brand").isNull(), F.lit(0.78)).otherwise(F.lit(0.72))
-    kind = F.when(F.col("nbrand") == F.col("p_brand"), F.lit("regex_mpn_title")).otherwise(F.lit("regex_mpn_no_brand"))
-    no_ean = l.where(N.blank_to_null(F.col("ean")).isNull())
-    by_ean = no_ean.withColumn("code", F.explode(N.ean13_candidates(F.col("title")))).join(p.withColumn("code", F.col("p_ean")), keys).select(*_hit("regex_ean_title", 0.93))
-    by_mpn = l.where("nmpn IS NULL").withColumn("code", F.explode(N.mpn_candidates(F.col("title")))).join(p.withColumn("code", F.col("p_mpn")), keys).select(*_hit(kind, of_brand))
-    bare = p.where("p_mpn IS NULL").withColumn("code", F.explode(N.mpn_candidates(F.col("p_title"))))
-    of_listing = l.where("nmpn IS NOT NULL").withColumn("code", F.col("nmpn")).join(bare, keys).select(*_hit(kind, of_brand))
-    best = Window.partitionBy("listing_id").orderBy(F.desc("confidence"), "product_id", "match_type")
-    return by_ean.unionByName(by_mpn).unionByName(of_listing).withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+    l, p = _blocked(listings, products, blocking)  # noqa: E741
+    return _best(_hits(l, p, listing_title_keys(l), title_keys(p)), True)
 
 
 def layered_match(listings: DataFrame, products: DataFrame, blocking: str | None = "brand", status: str = "approved") -> DataFrame:
-    """One match per listing. With blocking the first layer that hits wins; without, the highest confidence does."""
-    l, p = normalised(listings), normalised(products)  # noqa: E741
-    layers = [match_ean(l, p), match_brand_mpn(l, p), match_mpn(l, p), match_titles(l, p, blocking)]
-    rows = layers[0].withColumn("layer", F.lit(1))
-    for k, layer in enumerate(layers[1:], 2):
-        rows = rows.unionByName(layer.withColumn("layer", F.lit(k)))
-    order = ["layer", F.desc("confidence"), "product_id"] if blocking else [F.desc("confidence"), "layer", "product_id"]
-    first = Window.partitionBy("listing_id").orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*MATCH, F.lit(status).alias("status"))
+    """One match per listing. With blocking the first layer that hits wins; without, the highest confidence does. All layers
+    are one join: each side is normalised once and exploded into its keys."""
+    l, p = _blocked(normalised(listings), normalised(products), blocking)  # noqa: E741
+    hits = _hits(l, p, [_exact_keys(True), *listing_title_keys(l)], [_exact_keys(False), *title_keys(p)])
+    return _best(hits, bool(blocking)).withColumn("status", F.lit(status))
 
 
 def unmatched(listings: DataFrame, matches: DataFrame) -> DataFrame:
@@ -215,7 +268,7 @@ def filter_matches(df: DataFrame, status: str | None = None, min_conf: float | N
         df = df.where(F.col("competitor_id").isin(stores))
     if in_stock:
         df = df.where("in_stock")
-    return df.where(F.col("listing_brand").ilike(f"%{brand}%")) if brand else df
+    return df.where(F.lower("listing_brand").contains(brand.lower())) if brand else df
 
 
 def peers_of(offers: DataFrame, own: list[str]) -> DataFrame:
@@ -361,18 +414,31 @@ def apply_eans(products: DataFrame, updates: DataFrame) -> DataFrame:
     return products.join(u, "id", "left").withColumn("ean", F.coalesce("ean", "new_ean")).select(*products.columns)
 
 
+def _stamped(matches: DataFrame, hit: Column, status: Column, at: str, reviewer: str) -> DataFrame:
+    """matches with the status, time and reviewer of the rows that hit; other rows keep theirs."""
+    for name, kind in (("reviewed_at", "timestamp"), ("reviewer", "string")):
+        matches = matches if name in matches.columns else matches.withColumn(name, F.lit(None).cast(kind))
+    new = {"reviewed_at": F.lit(at).cast("timestamp"), "reviewer": F.lit(reviewer), "status": status}
+    return matches.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
 def review(matches: DataFrame, decisions: DataFrame, at: str, reviewer: str) -> DataFrame:
-    """Applies decisions (listing_id, status) to pending matches; each id counts once."""
-    d = decisions.groupBy("listing_id").agg(F.max("status").alias("new"))
-    out = matches.join(d, "listing_id", "left")
-    hit = F.col("new").isNotNull() & (F.col("status") == "pending")
-    return out.withColumns({"reviewed_at": F.when(hit, F.lit(at).cast("timestamp")), "reviewer": F.when(hit, F.lit(reviewer)), "status": F.when(hit, F.col("new")).otherwise(F.col("status"))}).drop("new")
+    """Applies decisions (listing_id, status) to pending matches; each id counts once. Rows of earlier reviews keep their
+    stamps; updated marks the rows that this one changed."""
+    d = decisions.groupBy("listing_id").agg(F.max("status").alias("__new"))
+    out = matches.join(d, "listing_id", "left").withColumn("updated", F.col("__new").isNotNull() & (F.col("status") == "pending"))
+    return _stamped(out, F.col("updated"), F.col("__new"), at, reviewer).drop("__new")
 
 
-def auto_approve(matches: DataFrame, least: float = 0.96) -> DataFrame:
-    """Approves pending vector matches of high similarity."""
+def auto_approve(matches: DataFrame, at: str, least: float = 0.96, reviewer: str = "auto") -> DataFrame:
+    """Approves pending vector matches of high similarity; updated marks them."""
     hit = (F.col("status") == "pending") & F.col("match_type").startswith("vector") & (F.col("similarity") >= least)
-    return matches.withColumn("status", F.when(hit, "approved").otherwise(F.col("status")))
+    return _stamped(matches.withColumn("updated", F.coalesce(hit, F.lit(False))), F.col("updated"), F.lit("approved"), at, reviewer)
+
+
+def review_counts(matches: DataFrame) -> DataFrame:
+    """Vector matches per status."""
+    return matches.where(F.col("match_type").startswith("vector")).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def review_queue(matches: DataFrame, listings: DataFrame, products: DataFrame, status: str, search: str = "") -> DataFrame:

@@ -32,18 +32,18 @@ def build_snapshot(offers: DataFrame, products: DataFrame, as_of: str, own: list
     than the number of cheaper rivals; equally cheap stores rank by name."""
     new = latest_prices(offers, as_of, min_conf)
     mine = F.col("competitor_id").isin(own)
-    own_price = new.where(mine).groupBy("product_id").agg(F.max_by("price_eur", F.struct("scraped_at", "listing_id")).alias("own_price"))
+    own_price = new.where(mine).groupBy("product_id").agg(F.max_by("price_eur", F.struct("scraped_at", "listing_id")).alias("our_price"))
     rivals = new.where(~mine).join(own_price, "product_id", "left").join(products.select(F.col("id").alias("product_id"), F.col("price_eur").alias("list_price")), "product_id", "left")
-    rivals = rivals.withColumn("ag_price", F.coalesce("own_price", "list_price"))
+    rivals = rivals.withColumn("own_price", F.coalesce("our_price", "list_price"))
     price = F.col("price_eur")
     return rivals.groupBy("product_id").agg(
         F.lit(as_of).cast("date").alias("snapshot_date"),
-        F.first("ag_price").alias("ag_price"),
+        F.first("own_price").alias("own_price"),
         F.count("*").alias("competitor_count"),
         F.min("price_eur").alias("min_price"),
         F.median(price.cast("double")).cast("decimal(12,3)").alias("median_price"),
         F.max("price_eur").alias("max_price"),
-        F.when(F.first("ag_price").isNotNull(), F.count_if(price < F.col("ag_price")) + 1).alias("ag_rank"),
+        F.when(F.first("own_price").isNotNull(), F.count_if(price < F.col("own_price")) + 1).alias("own_rank"),
         F.min_by("competitor_id", F.struct("price_eur", "competitor_id")).alias("cheapest_competitor"),
     )
 
@@ -56,7 +56,7 @@ def previous_snapshot(snapshots: DataFrame) -> DataFrame:
 def classify(snapshots: DataFrame, thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
     """Adds action and suggested_price to snapshots with prev_median; the first action that fires, null for none."""
     t = thresholds
-    own, median, low, prev = (F.col(c).cast("double") for c in ("ag_price", "median_price", "min_price", "prev_median"))
+    own, median, low, prev = (F.col(c).cast("double") for c in ("own_price", "median_price", "min_price", "prev_median"))
     known = own.isNotNull() & median.isNotNull() & low.isNotNull()
     action = (
         F.when((prev > 0) & (F.abs(median - prev) / prev >= t["move"]), "investigate")
@@ -64,13 +64,13 @@ def classify(snapshots: DataFrame, thresholds: dict[str, float] = THRESHOLDS) ->
         .when(known & (median > 0) & ((own - median) / median >= t["drop_gap"]) & (F.col("competitor_count") >= t["drop_stores"]), "drop")
         .when(known & (median > 0) & (F.abs(own - median) / median <= t["hold_gap"]), "hold")
     )
-    price = F.when(F.col("action") == "raise", F.bround(F.col("min_price") * F.lit("0.99").cast("decimal(3,2)"), 2)).when(F.col("action") == "drop", F.bround("median_price", 2)).otherwise(F.col("ag_price"))
+    price = F.when(F.col("action") == "raise", F.bround(F.col("min_price") * F.lit("0.99").cast("decimal(3,2)"), 2)).when(F.col("action") == "drop", F.bround("median_price", 2)).otherwise(F.col("own_price"))
     return snapshots.withColumn("action", action).withColumn("suggested_price", price.cast("decimal(10,2)"))
 
 
 def rationale() -> F.Column:
     """Sentence for a classified snapshot."""
-    own, median, low, prev = (F.col(c).cast("double") for c in ("ag_price", "median_price", "min_price", "prev_median"))
+    own, median, low, prev = (F.col(c).cast("double") for c in ("own_price", "median_price", "min_price", "prev_median"))
     text = lambda c: F.col(c).cast("string")
     return (
         F.when(F.col("action") == "raise", F.format_string("Ours is %.1f%% below the next store (%s). The price can rise up to %s EUR.", (low - own) / low * 100, F.col("cheapest_competitor"), text("min_price")))
@@ -85,7 +85,7 @@ def recommend(snapshots: DataFrame, date: str | None = None) -> DataFrame:
     rows = classify(previous_snapshot(snapshots)).where("action IS NOT NULL")
     if date:
         rows = rows.where(F.col("snapshot_date") == F.lit(date).cast("date"))
-    return rows.select("product_id", "snapshot_date", F.col("action").alias("playbook"), F.col("ag_price").alias("current_price"), "suggested_price", rationale().alias("rationale"), F.lit("pending").alias("status"))
+    return rows.select("product_id", "snapshot_date", F.col("action").alias("playbook"), F.col("own_price").alias("current_price"), "suggested_price", rationale().alias("rationale"), F.lit("pending").alias("status"))
 
 
 def alerts(recs: DataFrame, products: DataFrame, snapshots: DataFrame, date: str, actions: tuple[str, ...] = ("investigate",)) -> DataFrame:
@@ -100,13 +100,13 @@ def market_position(snapshots: DataFrame) -> DataFrame:
     """Newest snapshot per product as rank r/(n+1) and gap to the median in percent."""
     new = Window.partitionBy("product_id").orderBy(F.desc("snapshot_date"))
     rows = snapshots.withColumn("__n", F.row_number().over(new)).where("__n = 1")
-    gap = F.bround((F.col("ag_price").cast("double") - F.col("median_price").cast("double")) / F.col("median_price").cast("double") * 100, 4)
-    return rows.select("product_id", F.concat(F.col("ag_rank").cast("string"), F.lit("/"), (F.col("competitor_count") + 1).cast("string")).alias("position"), gap.alias("gap_pct"))
+    gap = F.bround((F.col("own_price").cast("double") - F.col("median_price").cast("double")) / F.col("median_price").cast("double") * 100, 4)
+    return rows.select("product_id", F.concat(F.col("own_rank").cast("string"), F.lit("/"), (F.col("competitor_count") + 1).cast("string")).alias("position"), gap.alias("gap_pct"))
 
 
 def price_history(snapshots: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     day = F.lit(as_of).cast("date")
-    return snapshots.where(F.col("snapshot_date").between(F.date_sub(day, days), day)).select("product_id", "snapshot_date", "ag_price", "min_price", "median_price", "max_price")
+    return snapshots.where(F.col("snapshot_date").between(F.date_sub(day, days), day)).select("product_id", "snapshot_date", "own_price", "min_price", "median_price", "max_price")
 
 
 def run_daily(offers: DataFrame, products: DataFrame, history: DataFrame, date: str, own: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -1,9 +1,7 @@
-"""Merges. Parquet has no MERGE: a merged table is written as a new version and named by a pointer, or as dated partitions."""
+"""Merges. Parquet has no MERGE: a merged table is written as a new numbered version, or as dated partitions."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +44,11 @@ def upsert_catalogue(target: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def upsert_matches(target: DataFrame, rows: DataFrame) -> DataFrame:
-    return target.join(rows.select("listing_id"), "listing_id", "left_anti").unionByName(rows.select(*target.columns))
+    """Matches by listing, all columns replaced. Of a listing that the batch has more than once the surest match counts, then
+    that of the lowest product."""
+    best = Window.partitionBy("listing_id").orderBy(F.desc("confidence"), "product_id", F.xxhash64(*rows.columns))
+    one = rows.withColumn("__n", F.row_number().over(best)).where("__n = 1").select(*target.columns)
+    return target.join(one.select("listing_id"), "listing_id", "left_anti").unionByName(one)
 
 
 def upsert_offers(target: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,15 +81,28 @@ def write_dated(df: DataFrame, path: str, date: str = "snapshot_date") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
 
 
-def write_version(df: DataFrame, root: str) -> str:
-    """Writes a new version of a table beside the one being read and points to it."""
-    version = uuid.uuid4().hex
-    df.write.parquet(f"{root}/{version}")
-    spark = df.sparkSession
-    spark.range(1).select(F.lit(version).alias("value")).coalesce(1).write.mode("overwrite").text(f"{root}/_current")
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete versions of a table: Spark's writer leaves its mark in a folder when all of it is there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    base = hadoop.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(base):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(base)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(hadoop.Path(f"{root}/{n}/_SUCCESS")))
+
+
+def write_version(df: DataFrame, root: str) -> int:
+    """Writes the next version of a table beside those there are and returns its number. A version counts once it is whole,
+    so a reader finds the one before until then; a writer that dies leaves a part that nobody reads."""
+    version = max(_versions(df.sparkSession, root), default=0) + 1
+    df.write.mode("overwrite").parquet(f"{root}/v{version:09d}")
     return version
 
 
 def read_version(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.text(f"{root}/_current").first()[0]
-    return spark.read.parquet(f"{root}/{version}")
+    """The latest whole version of a table."""
+    found = _versions(spark, root)
+    if not found:
+        raise FileNotFoundError(f"no version in {root}")
+    return spark.read.parquet(f"{root}/v{found[-1]:09d}")

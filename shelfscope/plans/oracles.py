@@ -58,9 +58,9 @@ def latest(date: str) -> str:
 
 
 def snapshot(date: str) -> str:
-    return f"""SELECT r.product_id, DATE '{date}' AS snapshot_date, any_value(coalesce(w.price_eur, p.price_eur)) AS ag_price, count(*) AS competitor_count,
+    return f"""SELECT r.product_id, DATE '{date}' AS snapshot_date, any_value(coalesce(w.price_eur, p.price_eur)) AS own_price, count(*) AS competitor_count,
     min(r.price_eur) AS min_price, CAST(median(CAST(r.price_eur AS DOUBLE)) AS DECIMAL(12,3)) AS median_price, max(r.price_eur) AS max_price,
-    1 + count(*) FILTER (r.price_eur < coalesce(w.price_eur, p.price_eur)) AS ag_rank, arg_min(r.competitor_id, (r.price_eur, r.competitor_id)) AS cheapest_competitor
+    1 + count(*) FILTER (r.price_eur < coalesce(w.price_eur, p.price_eur)) AS own_rank, arg_min(r.competitor_id, (r.price_eur, r.competitor_id)) AS cheapest_competitor
   FROM ({latest(date)}) r JOIN products p ON p.id = r.product_id
   LEFT JOIN ({latest(date)}) w ON w.product_id = r.product_id AND w.competitor_id = 's0'
   WHERE r.competitor_id <> 's0' GROUP BY r.product_id"""
@@ -71,11 +71,11 @@ SNAPSHOTS = (
     + f""",
 snaps AS ({snapshot("1996-06-30")} UNION ALL {snapshot("2001-12-31")}),
 prevs AS (SELECT *, lag(median_price) OVER (PARTITION BY product_id ORDER BY snapshot_date) AS prev_median FROM snaps),
-d AS (SELECT *, CAST(ag_price AS DOUBLE) AS a, CAST(median_price AS DOUBLE) AS md, CAST(min_price AS DOUBLE) AS lo, CAST(prev_median AS DOUBLE) AS pm FROM prevs),
+d AS (SELECT *, CAST(own_price AS DOUBLE) AS a, CAST(median_price AS DOUBLE) AS md, CAST(min_price AS DOUBLE) AS lo, CAST(prev_median AS DOUBLE) AS pm FROM prevs),
 cls AS (SELECT *, CASE WHEN pm > 0 AND abs(md - pm) / pm >= 0.20 THEN 'investigate' WHEN (lo - a) / lo >= 0.08 THEN 'raise'
     WHEN (a - md) / md >= 0.15 AND competitor_count >= 2 THEN 'drop' WHEN abs(a - md) / md <= 0.05 THEN 'hold' END AS action FROM d),
-recs AS (SELECT product_id, snapshot_date, action AS playbook, ag_price AS current_price,
-    CAST(CASE action WHEN 'raise' THEN round_even(min_price * 0.99, 2) WHEN 'drop' THEN round_even(median_price, 2) ELSE ag_price END AS DECIMAL(10,2)) AS suggested_price, 'pending' AS status, min_price, median_price
+recs AS (SELECT product_id, snapshot_date, action AS playbook, own_price AS current_price,
+    CAST(CASE action WHEN 'raise' THEN round_even(min_price * 0.99, 2) WHEN 'drop' THEN round_even(median_price, 2) ELSE own_price END AS DECIMAL(10,2)) AS suggested_price, 'pending' AS status, min_price, median_price
   FROM cls WHERE action IS NOT NULL AND snapshot_date = DATE '2001-12-31')"""
 )
 
@@ -172,9 +172,9 @@ ORACLES = {
     "latest_prices": f"{MATCHED} SELECT product_id, competitor_id, listing_id, price_eur FROM ({latest('2001-12-31')})",
     "snapshot": f"{MATCHED} {snapshot('2001-12-31')}",
     "recommend": f"{SNAPSHOTS} SELECT * EXCLUDE (min_price, median_price) FROM recs",
-    "price_history": f"{SNAPSHOTS} SELECT product_id, snapshot_date, ag_price, min_price, median_price, max_price FROM snaps WHERE snapshot_date BETWEEN DATE '2001-12-01' AND DATE '2001-12-31'",
+    "price_history": f"{SNAPSHOTS} SELECT product_id, snapshot_date, own_price, min_price, median_price, max_price FROM snaps WHERE snapshot_date BETWEEN DATE '2001-12-01' AND DATE '2001-12-31'",
     "alerts": f"{SNAPSHOTS} SELECT p.sku, left(p.title, 60) AS title, playbook, current_price, suggested_price, min_price, median_price FROM recs JOIN products p ON p.id = recs.product_id WHERE playbook = 'investigate'",
-    "market_position": f"{SNAPSHOTS} SELECT product_id, CAST(ag_rank AS VARCHAR) || '/' || CAST(competitor_count + 1 AS VARCHAR) AS position, round_even((CAST(ag_price AS DOUBLE) - CAST(median_price AS DOUBLE)) / CAST(median_price AS DOUBLE) * 100, 4) AS gap_pct FROM snaps QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY snapshot_date DESC) = 1",
+    "market_position": f"{SNAPSHOTS} SELECT product_id, CAST(own_rank AS VARCHAR) || '/' || CAST(competitor_count + 1 AS VARCHAR) AS position, round_even((CAST(own_price AS DOUBLE) - CAST(median_price AS DOUBLE)) / CAST(median_price AS DOUBLE) * 100, 4) AS gap_pct FROM snaps QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY snapshot_date DESC) = 1",
     "offers": f"{MATCHED} SELECT * FROM o",
     "store_overview": f"{OVERVIEW} SELECT * FROM ov",
     "overview_summary": f"{OVERVIEW} SELECT count(*) AS configured, count(*) FILTER (listings > 0) AS active, CAST(sum(listings) AS BIGINT) AS listings, CAST(sum(fresh) AS BIGINT) AS fresh, CAST(sum(matches) AS BIGINT) AS matches, {pct('sum(matches)', 'sum(listings)')} AS match_rate, {pct('sum(fresh)', 'sum(listings)')} AS fresh_share FROM ov",
@@ -186,7 +186,7 @@ ORACLES = {
     "sku_position": f"{POSITION} SELECT * FROM pos",
     "position_kpis": f"{POSITION} SELECT count(*) AS skus, count(gap) AS comparable, count(*) FILTER (gap <= 0) AS wins, count(*) FILTER (gap <= -10) AS deep_cheap, count(*) FILTER (gap >= 10) AS deep_pricey, count(*) FILTER (n_rivals = 0) AS monopoly, round_even(median(gap), 4) AS median_gap, {pct('count(*) FILTER (gap <= 0)', 'count(gap)')} AS win_rate FROM pos",
     "bucket_hist": f"{POSITION} SELECT b AS bucket, count(key) AS n FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E', 'M']) AS b) LEFT JOIN pos ON bucket = b GROUP BY 1",
-    "head_to_head": f"{MATCHED}, low AS (SELECT key, store, min(price) AS price FROM o GROUP BY ALL), j AS (SELECT b.store, a.price AS own, b.price, (CAST(a.price AS DOUBLE) - CAST(b.price AS DOUBLE)) / CAST(b.price AS DOUBLE) * 100 AS gap FROM low a JOIN low b ON a.key = b.key AND a.store = 's0' AND b.store <> 's0') SELECT store, count(*) AS overlap, count(*) FILTER (own < price) AS ref_cheaper, count(*) FILTER (own > price) AS rival_cheaper, count(*) FILTER (own = price) AS same, round_even(median(gap), 4) AS median_gap, {pct('count(*) FILTER (own < price)', 'count(*)')} AS win_rate FROM j GROUP BY 1",
+    "head_to_head": f"{MATCHED}, low AS (SELECT key, store, min(price) AS price FROM o GROUP BY ALL), j AS (SELECT b.store, a.price AS own, b.price, (CAST(b.price AS DOUBLE) - CAST(a.price AS DOUBLE)) / CAST(a.price AS DOUBLE) * 100 AS gap FROM low a JOIN low b ON a.key = b.key AND a.store = 's0' AND b.store <> 's0') SELECT store, count(*) AS overlap, count(*) FILTER (own < price) AS ref_cheaper, count(*) FILTER (own > price) AS rival_cheaper, count(*) FILTER (own = price) AS same, round_even(median(gap), 4) AS median_gap, {pct('count(*) FILTER (own < price)', 'count(*)')} AS win_rate FROM j GROUP BY 1",
     "catalog_overlap": f"{MATCHED}, h AS (SELECT DISTINCT key, store FROM o), r AS (SELECT key FROM h WHERE store = 's0') SELECT store, count(*) AS skus, count(r.key) AS shared, {pct('count(r.key)', 'count(*)')} AS of_seller, {pct('count(r.key)', '(SELECT count(*) FROM r)')} AS of_ref FROM h LEFT JOIN r USING (key) WHERE store <> 's0' GROUP BY 1 HAVING count(*) >= 30",
     "density": f"{POSITION} SELECT n_rivals, count(*) AS skus FROM pos GROUP BY 1",
     "density_rivals": f"{POSITION}, e AS (SELECT n_rivals, unnest(string_split(rivals, ',')) AS store FROM pos WHERE n_rivals > 0), c AS (SELECT n_rivals, store, count(*) AS keys FROM e GROUP BY ALL), n AS (SELECT n_rivals, count(*) AS skus FROM pos GROUP BY 1) SELECT n_rivals, store, keys, row_number() OVER (PARTITION BY n_rivals ORDER BY keys DESC, store) AS rank, {pct('keys', 'skus')} AS share FROM c JOIN n USING (n_rivals) QUALIFY rank <= 8",
@@ -196,7 +196,7 @@ ORACLES = {
     "pair_summary": f"{PAIRS} SELECT opponent, {SUMMARY} FROM pr GROUP BY 1",
     "brand_summary": f"{PAIRS} SELECT brand, {SUMMARY} FROM pr GROUP BY 1",
     "merge_pairs": f"{PAIRS}, low AS (SELECT title, brand, opponent, min(opp_price) AS price, min(ref_price) AS ref_price FROM pr GROUP BY ALL) SELECT title, brand, min(ref_price) AS ref_price, count(*) FILTER ((CAST(price AS DOUBLE) - CAST(ref_price AS DOUBLE)) / CAST(ref_price AS DOUBLE) * 100 > 0.5) AS wins, count(*) AS n_opponents, min(price) FILTER (opponent = 's1') AS s1, min(price) FILTER (opponent = 's2') AS s2 FROM low GROUP BY title, brand",
-    "manufacturer_summary": f"{MATCHED}, bm AS (SELECT * FROM mo WHERE product_brand ILIKE '%brand#2%'), own AS (SELECT product_id, listing_id, price_eur AS own_price FROM bm WHERE competitor_id = 's0'), ot AS (SELECT product_id, competitor_id AS store, min(price_eur) AS price, max(confidence) AS confidence FROM bm WHERE competitor_id <> 's0' GROUP BY ALL), v AS (SELECT *, (CAST(price AS DOUBLE) - CAST(own_price AS DOUBLE)) / CAST(own_price AS DOUBLE) * 100 AS d FROM own JOIN ot USING (product_id)) SELECT store, count(DISTINCT listing_id) AS matched, round_even(avg(d), 4) AS mean_diff, count(*) FILTER (d < -1) AS cheaper, count(*) FILTER (abs(d) <= 1) AS equal, count(*) FILTER (d > 1) AS dearer, round_even(avg(CAST(confidence AS DOUBLE)), 4) AS confidence, {pct('count(DISTINCT listing_id)', '(SELECT count(*) FROM own)')} AS match_pct FROM v GROUP BY 1",
+    "manufacturer_summary": f"{MATCHED}, own AS (SELECT product_id, listing_id, price_eur AS own_price FROM mo WHERE competitor_id = 's0' AND coalesce(nullif(trim(listing_brand), ''), product_brand) ILIKE '%brand#2%'), ot AS (SELECT product_id, competitor_id AS store, price_eur AS price, confidence FROM mo WHERE competitor_id <> 's0' QUALIFY row_number() OVER (PARTITION BY product_id, competitor_id ORDER BY price_eur, listing_id) = 1), v AS (SELECT *, (CAST(price AS DOUBLE) - CAST(own_price AS DOUBLE)) / CAST(own_price AS DOUBLE) * 100 AS d FROM own JOIN ot USING (product_id)) SELECT store, count(DISTINCT listing_id) AS matched, round_even(avg(d), 4) AS mean_diff, count(*) FILTER (d < -1) AS cheaper, count(*) FILTER (abs(d) <= 1) AS equal, count(*) FILTER (d > 1) AS dearer, round_even(avg(CAST(confidence AS DOUBLE)), 4) AS confidence, {pct('count(DISTINCT listing_id)', '(SELECT count(*) FROM own)')} AS match_pct FROM v GROUP BY 1",
     "comparison_stats": f"{PAIRS} SELECT count(DISTINCT product_id) AS products, count(*) AS hits, round_even(avg(delta), 4) AS mean_premium, count(*) FILTER (delta < -5) AS cheaper, count(*) FILTER (abs(delta) <= 5) AS parity, count(*) FILTER (delta > 5) AS dearer FROM pr",
     "brand_remap": f"{NORMED}, r AS (SELECT brand, nbrand, count(*) AS n FROM nl WHERE nbrand IS NOT NULL GROUP BY ALL), b AS (SELECT nbrand, arg_min(brand, (-n, brand)) AS canonical FROM r GROUP BY 1 HAVING count(*) > 1) SELECT brand, canonical, n FROM r JOIN b USING (nbrand)",
     "offer_matrix": f"{MARKET}, w AS (SELECT *, min(total) OVER (PARTITION BY ean) AS lo, max(total) OVER (PARTITION BY ean) AS hi FROM tot) SELECT ean, seller, total, lo <> hi AND total = lo AS cheapest, lo <> hi AND total = hi AS dearest FROM w",
@@ -215,7 +215,7 @@ ORACLES = {
     "windowed_prices": f"{WITH} SELECT competitor_id, CAST(time_bucket(INTERVAL 7 DAY, CAST(scraped_at AS TIMESTAMP), TIMESTAMP '1970-01-01') AS DATE) AS start, count(*) AS n, min(price_eur) AS low FROM listings GROUP BY ALL",
     "search_batch": NORMED
     + r""",
-tq AS (SELECT id, lower(title) AS f, regexp_extract_all(lower(title), '[a-z0-9]+') AS tk FROM products WHERE id % 50 = 7),
+tq AS (SELECT id, lower(title) AS f, regexp_extract_all(lower(title), '[a-z0-9]+') AS tk FROM products WHERE id % 50 = 0),
 h AS (SELECT id, hay, regexp_extract_all(hay, '[a-z0-9]+') AS ht FROM (SELECT id, lower(concat_ws(' ', title, brand, mpn, sku, ean)) AS hay FROM products)),
 s AS (SELECT tq.id AS q, h.id AS p, len(list_filter(tk, lambda x: list_contains(ht, x))) AS matched, len(tk) AS n, contains(hay, f) AS phrase,
     len(list_filter(range(1, len(tk)), lambda i: contains(hay, tk[CAST(i AS BIGINT)] || ' ' || tk[CAST(i + 1 AS BIGINT)]))) AS adjacent FROM tq, h)
@@ -223,4 +223,29 @@ SELECT 't' || q AS query_id, arg_max(p, (CASE WHEN matched = n THEN 1 ELSE 0 END
 UNION ALL SELECT 'e' || np.id, t.id, 'ean' FROM np JOIN (SELECT nean, max(id) AS id FROM np GROUP BY 1) t USING (nean)
 UNION ALL SELECT 'm' || id, max(id) OVER (PARTITION BY nmpn), 'mpn' FROM np
 UNION ALL SELECT 's' || id, id, 'sku' FROM np""",
+    "page_details": r"""SELECT url, CASE WHEN length(h) > 55 THEN left(h, 54) || '…' ELSE h END AS short, regexp_replace(regexp_replace(CASE WHEN regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN url ELSE '/' || ltrim(url, '/') END, '[?#].*$', ''), '/+$', '') AS link
+      FROM (SELECT url, trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) AS h FROM pages)""",
+    "title_numbers": f"""{WITH}, r AS (SELECT l.*, p.title AS p_title, p.mpn AS p_mpn FROM listings l JOIN products p ON p.id = CAST(regexp_extract(l.url, '/p/([0-9]+)/', 1) AS BIGINT)),
+      b AS (SELECT *, trim(CASE WHEN brand IS NULL THEN title ELSE regexp_replace(title, '(?i)' || regexp_escape(brand), '', 'g') END) AS bare, list_transform(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9./-]*[0-9][a-z0-9./-]*'), lambda w: regexp_replace(w, '[^a-z0-9]+', '', 'g')) AS models,
+        regexp_replace(lower(p_title || ' ' || p_mpn), '[^a-z0-9]+', '', 'g') AS dense, string_split(regexp_replace(url, '/[0-9]+$', ''), '/')[-1] AS slug FROM r)
+      SELECT id, nullif(regexp_extract(bare, '\\b(?:[0-9]{{2,4}}(?:[-\\s][0-9]{{2,4}}){{1,3}}|[0-9]{{6,8}})\\b', 0), '') AS title_mpn, CASE WHEN length(slug) BETWEEN 4 AND 8 THEN slug END AS url_mpn, price_eur AS price,
+        CASE WHEN in_stock THEN CAST(round_even(price_eur / 25.0, 2) AS DECIMAL(10,2)) ELSE price_eur END AS eur, len(list_filter(models, lambda w: NOT contains(dense, w))) = 0 AS models_there FROM b""",
+    "manufacturer_kpis": f"{MATCHED}, own AS (SELECT product_id, listing_id, price_eur FROM mo WHERE competitor_id = 's0' AND coalesce(nullif(trim(listing_brand), ''), product_brand) ILIKE '%brand#2%'), v AS (SELECT own.*, r.competitor_id AS store FROM own LEFT JOIN (SELECT DISTINCT product_id, competitor_id FROM mo WHERE competitor_id <> 's0') r USING (product_id)) SELECT count(DISTINCT listing_id) AS products, count(DISTINCT CASE WHEN store IS NOT NULL THEN listing_id END) AS with_match, (SELECT round_even(avg(CAST(price_eur AS DOUBLE)), 4) FROM own) AS avg_price, count(DISTINCT store) AS stores FROM v",
+    "merged_brands": f"{PAIRS}, low AS (SELECT title, brand, opponent, min(opp_price) AS price, min(ref_price) AS ref_price FROM pr GROUP BY ALL), d AS (SELECT title, brand, opponent, (CAST(price AS DOUBLE) - CAST(min(ref_price) OVER (PARTITION BY title, brand) AS DOUBLE)) / CAST(min(ref_price) OVER (PARTITION BY title, brand) AS DOUBLE) * 100 AS d FROM low) SELECT brand, count(DISTINCT title) AS products, round_even(avg(d) FILTER (opponent IN ('s1', 's2')), 4) AS mean_delta FROM d GROUP BY 1",
+    "stronger_products": f"{PAIRS}, low AS (SELECT title, brand, opponent, min(opp_price) AS price, min(ref_price) AS ref_price FROM pr GROUP BY ALL) SELECT title, brand, min(ref_price) AS ref_price, count(*) AS n_opponents FROM low GROUP BY ALL HAVING count(*) = count(*) FILTER ((CAST(price AS DOUBLE) - CAST(ref_price AS DOUBLE)) / CAST(ref_price AS DOUBLE) * 100 > 0.5)",
+    "comparison_hits": f"{PAIRS}, t AS (SELECT count(DISTINCT product_id) AS total FROM mo WHERE competitor_id = 's0') SELECT opponent, count(DISTINCT product_id) AS hits, any_value(total) AS total, {pct('count(DISTINCT product_id)', 'any_value(total)')} AS rate FROM pr, t GROUP BY 1",
+    "explore_skus": f"{POSITION}, tt AS (SELECT coalesce(product_ean, 'cluster:' || CAST(product_id AS VARCHAR)) AS key, left(arg_min(product_title, product_id), 120) AS title FROM mo GROUP BY 1) SELECT key, title, gap FROM pos LEFT JOIN tt USING (key) WHERE (contains(lower(key), 'brand#2') OR contains(lower(title), 'brand#2')) AND bucket = 'E' ORDER BY key LIMIT 300",
+    "scatter_rows": f"{POSITION} SELECT key, own_price, best_price, gap FROM pos WHERE gap IS NOT NULL AND NOT outlier",
+    "monopolies": f"{POSITION} SELECT key, own_price FROM pos WHERE key NOT IN (SELECT key FROM o WHERE store = 's1') ORDER BY key LIMIT 30",
+    "position_page": f"{POSITION} SELECT key, bucket FROM pos ORDER BY key LIMIT 40 OFFSET 80",
+    "top_brands": f"{WITH} SELECT brand, count(*) AS n FROM listings WHERE brand IS NOT NULL GROUP BY 1 ORDER BY n DESC, brand LIMIT 15",
+    "own_brands": f"{WITH} SELECT DISTINCT trim(brand) AS brand FROM listings WHERE competitor_id = 's0' AND brand IS NOT NULL",
+    "with_unlisted": f"{POSITION}, un AS (SELECT DISTINCT key FROM o WHERE key NOT IN (SELECT key FROM o WHERE store = 's0')) SELECT bucket, count(*) AS n FROM (SELECT bucket FROM pos UNION ALL SELECT 'N' FROM un) GROUP BY 1",
+    "filtered_matches": f"{MATCHED} SELECT m.listing_id, m.product_id FROM m JOIN listings l ON l.id = m.listing_id WHERE confidence >= 0.9 AND competitor_id IN ('s1', 's2') AND in_stock AND lower(l.brand) LIKE '%brand#1%'",
+    "restrict_by_brand": f"{MATCHED} SELECT listing_id AS row_id, product_id FROM m",
+    "run_daily": f"{SNAPSHOTS} SELECT product_id, playbook, suggested_price FROM recs",
+    "new_matches": f"{MATCHED} SELECT match_type, count(*) AS n FROM m JOIN listings l ON l.id = m.listing_id WHERE competitor_id IN ('s1', 's3', 's5', 's7', 's9', 's11') GROUP BY 1",
+    "review_counts": f"{MATCHED} SELECT CASE WHEN confidence >= 0.9 THEN 'approved' ELSE 'pending' END AS status, count(*) AS n FROM m GROUP BY 1",
+    "upsert_offers": f"{MARKET} SELECT count(*) FILTER (seller >= 's3') AS inserted, count(*) FILTER (seller < 's3') AS updated FROM tot WHERE seller > 's1'",
+    "rival_offers": f"{MATCHED}, new AS (SELECT * FROM mo WHERE competitor_id <> 's0' QUALIFY row_number() OVER (PARTITION BY product_id, competitor_id ORDER BY scraped_at DESC, listing_id DESC) = 1) SELECT 's' || CAST(product_id AS VARCHAR) AS query_id, row_number() OVER (PARTITION BY product_id ORDER BY price_eur, scraped_at DESC, listing_id) AS rank, listing_id FROM new QUALIFY rank <= 3",
 }

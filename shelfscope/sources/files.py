@@ -14,24 +14,36 @@ CATALOGUE = ["sku", "brand", "mpn", "ean", "title", "category", "price_eur", "co
 
 
 def _csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """All columns as text, blanks as null, with the place of each row: file, then line as far as Spark keeps order."""
+    """All columns as text, blanks as null, with the position of each row, which sorts as the rows do: file, where its split
+    begins, number inside the split. It does not depend on how splits are packed into tasks."""
     df = spark.read.option("header", True).option("sep", sep).csv(path)
-    df = df.select(*(N.blank_to_null(F.col(f"`{c}`")).alias(c.strip().lstrip("﻿")) for c in df.columns))
-    return df.withColumn("position", F.monotonically_increasing_id())
+    names = {c: c.strip().lstrip("\ufeff") for c in df.columns}
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
+    return df.select(*(N.blank_to_null(F.col(f"`{c}`")).alias(n) for c, n in names.items()), place.alias("position"))
+
+
+def _with_line(df: DataFrame) -> DataFrame:
+    """Adds line, the number of a row in its file (the header is line 1; empty lines don't count): rows of earlier splits are
+    counted once, a row per split."""
+    splits = df.groupBy(F.col("position.file").alias("__f"), F.col("position.split").alias("__s")).agg(F.count("*").alias("__rows"), F.min("position.n").alias("__from"))
+    before = F.coalesce(F.sum("__rows").over(Window.partitionBy("__f").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.withColumn("__before", before)
+    out = df.join(splits, (F.col("position.file") == F.col("__f")) & (F.col("position.split") == F.col("__s")))
+    return out.withColumn("line", F.col("__before") + F.col("position.n") - F.col("__from") + 2).drop("__f", "__s", "__rows", "__from", "__before")
 
 
 def read_catalogue(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Catalogue rows, and rows that can't be read with the names of their bad columns. strict: the first of these fails
-    the job that reads the catalogue. Missing columns fail at once."""
+    """Catalogue rows, and rows that can't be read with their line and the names of their bad columns. strict: the first of
+    these fails the job that reads the catalogue. Missing columns fail at once."""
     df = _csv(spark, path)
     if missing := sorted(set(CATALOGUE) - set(df.columns)):
         raise ValueError(f"missing columns: {', '.join(missing)}")
     price, cost, stock = F.col("price_eur").try_cast("decimal(10,2)"), F.col("cost_eur").try_cast("decimal(10,2)"), F.col("stock").try_cast("int")
     checks = {"sku": F.col("sku").isNull(), "title": F.col("title").isNull(), "price_eur": F.col("price_eur").isNotNull() & price.isNull(), "cost_eur": F.col("cost_eur").isNotNull() & cost.isNull(), "stock": F.col("stock").isNotNull() & stock.isNull()}
-    df = df.withColumn("bad", F.concat_ws(",", *(F.when(c, F.lit(k)) for k, c in checks.items())))
+    df = _with_line(df).withColumn("bad", F.concat_ws(",", *(F.when(c, F.lit(k)) for k, c in checks.items())))
     typed = df.withColumns({"price_eur": price, "cost_eur": cost, "stock": stock})
     if strict:
-        fail = F.when(F.col("bad") == "", F.col("sku")).otherwise(F.raise_error(F.concat(F.lit("line "), (F.col("position") + 2).cast("string"), F.lit(": bad "), F.col("bad"))).cast("string"))
+        fail = F.when(F.col("bad") == "", F.col("sku")).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": bad "), F.col("bad"))).cast("string"))
         return typed.withColumn("sku", fail).select(*CATALOGUE), df.where("bad <> ''")
     return typed.where("bad = ''").select(*CATALOGUE), df.where("bad <> ''")
 

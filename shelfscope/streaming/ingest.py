@@ -30,6 +30,6 @@ def match_new(spark: SparkSession, listings_root: str, matches_root: str, produc
 
 
 def windowed_prices(listings: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
-    """Streaming or batch: least and mean price and listings per store and window of scraped_at; later rows are dropped."""
+    """Streaming or batch: least price and listings per store and window of scraped_at; later rows are dropped."""
     rows = listings.withWatermark("scraped_at", late) if listings.isStreaming else listings
     return rows.groupBy(F.window("scraped_at", width).alias("w"), "competitor_id").agg(F.count("*").alias("n"), F.min("price_eur").alias("low")).select(F.col("w.start").alias("start"), "competitor_id", "n", "low")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfscope.operators import analytics as A
 from shelfscope.operators import matching as M
 from shelfscope.operators import pricing as R
+from shelfscope.operators import search as D
 from shelfscope.operators import upsert as U
 
 PRODUCT = "id long, sku string, brand string, mpn string, ean string, title string, price_eur decimal(10,2)"
@@ -54,7 +55,7 @@ def test_ean_phase_derives_products(spark):
 
 def test_review(spark):
     m = spark.createDataFrame([("1", "vector_llm", 0.97, "pending"), ("2", "vector_llm", 0.90, "pending"), ("3", "regex", 0.99, "pending"), ("4", "vector_llm", 0.99, "rejected")], "listing_id string, match_type string, similarity double, status string")
-    assert [r["status"] for r in M.auto_approve(m).orderBy("listing_id").collect()] == ["approved", "pending", "pending", "rejected"]
+    assert [r["status"] for r in M.auto_approve(m, "2024-01-02").orderBy("listing_id").collect()] == ["approved", "pending", "pending", "rejected"]
     d = spark.createDataFrame([("1", "approved"), ("2", "approved"), ("2", "approved"), ("4", "approved")], "listing_id string, status string")
     done = M.review(m, d, "2024-01-01", "me")
     assert done.where("reviewer = 'me'").count() == 2 and done.count() == 4
@@ -95,7 +96,7 @@ def test_fuzzy_clusters(spark):
     assert shared[1] == shared[2] == 55 and shared[7] == shared[8] > 1 << 53 and set(shared) == {1, 2, 7, 8}
 
 
-SNAP = "product_id long, snapshot_date date, ag_price decimal(10,2), competitor_count long, min_price decimal(10,2), median_price decimal(12,3), max_price decimal(10,2), ag_rank long, cheapest_competitor string"
+SNAP = "product_id long, snapshot_date date, own_price decimal(10,2), competitor_count long, min_price decimal(10,2), median_price decimal(12,3), max_price decimal(10,2), own_rank long, cheapest_competitor string"
 
 
 @pytest.mark.parametrize(
@@ -162,3 +163,49 @@ def test_offer_matrix(spark):
     rows = [("e", "t", "a", Dec("5"), None, None, 1), ("e", "t", "a", Dec("4"), Dec("2"), Dec("1"), 2), ("e", None, "b", Dec("9"), None, None, 3), ("e", "t", "c", None, None, None, 4)]
     got = {r["seller"]: (r["total"] and float(r["total"]), r["cheapest"], r["dearest"]) for r in A.offer_matrix(spark.createDataFrame(rows, "ean string, title string, seller string, price_eur decimal(10,2), delivery_eur decimal(10,2), box_price_eur decimal(10,2), position long")).collect()}
     assert got == {"a": (5.0, True, False), "b": (9.0, False, True), "c": (None, False, False)}
+
+
+def test_review_keeps_earlier_stamps(spark):
+    m = spark.createDataFrame([("a", 1, "vector_llm", 0.99, "pending"), ("b", 2, "vector_llm", 0.91, "pending"), ("c", 3, "vector_llm", 0.9, "rejected")], "listing_id string, product_id long, match_type string, similarity double, status string")
+    one = M.review(m, spark.createDataFrame([("b", "approved"), ("b", "approved"), ("c", "approved")], "listing_id string, status string"), "2024-01-01", "ann")
+    assert one.where("updated").count() == 1
+    two = M.auto_approve(one.drop("updated"), "2024-02-02")
+    got = {r["listing_id"]: (r["status"], str(r["reviewed_at"])[:10], r["reviewer"], r["updated"]) for r in two.collect()}
+    assert got == {"a": ("approved", "2024-02-02", "auto", True), "b": ("approved", "2024-01-01", "ann", False), "c": ("rejected", "None", None, False)}
+    assert {r["status"]: r["n"] for r in M.review_counts(two).collect()} == {"approved": 2, "rejected": 1}
+
+
+def test_gap_of_a_rival_is_seen_from_the_reference(spark):
+    rows = spark.createDataFrame([(1, "k", "us", 100.0), (1, "k", "x", 120.0)], "product_id long, key string, store string, price double")
+    assert A.head_to_head(rows, "us").first()["median_gap"] == 20.0
+
+
+def test_matches_of_a_batch_count_once(spark):
+    schema = "listing_id string, product_id long, match_type string, confidence double, status string"
+    old = spark.createDataFrame([("a", 1, "exact_ean", 1.0, "approved"), ("z", 9, "exact_ean", 1.0, "approved")], schema)
+    new = spark.createDataFrame([("a", 5, "mpn_no_brand", 0.9, "approved"), ("a", 4, "exact_mpn", 1.0, "approved")], schema)
+    assert sorted((r["listing_id"], r["product_id"]) for r in U.upsert_matches(old, new).collect()) == [("a", 4), ("z", 9)]
+
+
+def test_a_version_that_is_not_whole_is_not_read(spark, tmp_path):
+    root = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        U.read_version(spark, root)
+    assert U.write_version(spark.range(3), root) == 1
+    (tmp_path / "t" / "v000000002").mkdir()  # a writer that died
+    assert U.read_version(spark, root).count() == 3
+    assert U.write_version(spark.range(5), root) == 2 and U.read_version(spark, root).count() == 5
+
+
+def test_search_cascade(spark):
+    """Layers in their order: only approved matches, the newest listing, the preferred product of an EAN, words of listings."""
+    p = spark.createDataFrame([(1, "A-1", "Bosch", "111 222", "40000001", "Red drill set"), (2, "A-2", "Bosch", "333 444", "40000001", "Red drill set large"), (3, "A-3", None, None, None, "Plain saw")], "id long, sku string, brand string, mpn string, ean string, title string")
+    listings = spark.createDataFrame(
+        [("l1", "us", "S-9", None, None, None, "Own thing", "2024-01-01"), ("l2", "x", "X-7", None, "555-666", "40000999", "Odd saw blade", "2024-02-01"), ("l3", "x", "X-7", None, None, None, "Odd saw", "2024-03-01"), ("l4", "x", "Y-1", None, None, None, "Never approved words", "2024-03-01")],
+        "id string, competitor_id string, competitor_sku string, brand string, mpn string, ean string, title string, scraped_at string",
+    )
+    matches = spark.createDataFrame([("l1", 1, "approved"), ("l2", 3, "approved"), ("l3", 2, "approved"), ("l4", 3, "pending")], "listing_id string, product_id long, status string")
+    asked = [("ean", "40000001"), ("listing_ean", "40000999"), ("sku", "a-2"), ("mpn", "333 444"), ("listing_sku", "x-7"), ("listing_mpn", "555-666"), ("text", "drill red"), ("phrase", "plain saw"), ("listing_text", "blade odd"), ("none", "never words"), ("nothing", "zebra")]
+    got = {r["query_id"]: (r["product_id"], r["how"]) for r in D.lookup(spark.createDataFrame(asked, "query_id string, query string"), p, listings, matches, "us").collect()}
+    # product 1 has our store's match, so it is the preferred one of the EAN that 1 and 2 share
+    assert got == {"ean": (1, "ean"), "listing_ean": (3, "listing_ean"), "sku": (1, "sku"), "mpn": (1, "mpn"), "listing_sku": (1, "listing_sku"), "listing_mpn": (3, "listing_mpn"), "text": (1, "text"), "phrase": (3, "text"), "listing_text": (3, "listing_text")}

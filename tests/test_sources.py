@@ -68,3 +68,18 @@ def test_stream_is_idempotent(spark, tmp_path):
     for k in range(2):
         ingest.ingest(spark, drop, root, str(tmp_path / f"c{k}"), rows.schema.simpleString()[7:-1].replace(":", " "), files=1).awaitTermination()
         assert U.read_version(spark, root).count() == rows.count()
+
+
+def test_lines_do_not_depend_on_splits(spark, tmp_path):
+    head = ",".join(S.CATALOGUE)
+    for name in ("b", "a"):
+        good = [f"{name}{i},x,m,e,title {i},c,1.5,1,2" for i in range(300)]
+        (tmp_path / f"{name}.csv").write_text("\n".join([head, *good[:250], f"{name}bad,x,m,e,,c,1.5,1,2", *good[250:]]))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            ok, bad = S.read_catalogue(spark, str(tmp_path), strict=False)
+            assert [r["line"] for r in bad.collect()] == [252, 252] and ok.count() == 600
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
