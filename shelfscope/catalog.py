@@ -4,6 +4,7 @@ builds from the given tables."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from shelfscope.operators import search as D
 from shelfscope.operators import upsert as U
 from shelfscope.plans import fixtures as X
 from shelfscope.plans.oracles import ORACLES
+from shelfscope.plans.scratch import written
 from shelfscope.sources import extract, files
 from shelfscope.streaming import ingest
 
@@ -40,13 +42,14 @@ class Market:
         self.products, self.listings = X.products(spark, folder), X.listings(spark, folder)
         self.spark, self.folder = spark, folder
 
-    @property
+    @cached_property
     def matches(self) -> DataFrame:
         return M.layered_match(self.listings, self.products)
 
-    @property
+    @cached_property
     def matched(self) -> DataFrame:
-        return M.matched_offers(self.matches, self.products, self.listings)
+        """Matched offers, written once to the shared folder: most queries read them more than once."""
+        return written(M.matched_offers(self.matches, self.products, self.listings), "matched")
 
     @property
     def offers(self) -> DataFrame:
@@ -405,13 +408,158 @@ def page_titles(spark, folder):
 def search_batch(spark, folder):
     m = Market(spark, folder)
     p = m.products
-    asked = p.select(F.concat(F.lit("t"), "id").alias("query_id"), F.col("title").alias("query"), "id").where("id % 50 = 7")
+    asked = p.select(F.concat(F.lit("t"), "id").alias("query_id"), F.col("title").alias("query"), "id").where("id % 50 = 0")
     asked = asked.unionByName(p.select(F.concat(F.lit("e"), "id").alias("query_id"), F.concat("ean", F.lit(".0")).alias("query"), "id").where("ean IS NOT NULL"))
     asked = asked.unionByName(p.select(F.concat(F.lit("m"), "id").alias("query_id"), F.col("mpn").alias("query"), "id"))
     asked = asked.unionByName(p.select(F.concat(F.lit("s"), "id").alias("query_id"), F.lower("sku").alias("query"), "id"))
     return D.lookup(asked.drop("id"), p, m.listings, m.matches, X.OWN)
 
 
+@query
+def page_details(spark, folder):
+    """Short heading and canonical address of each page."""
+    pages = X.table(spark, folder, "pages").select("url", F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("head"))
+    return pages.select("url", N.ellipsize(F.trim("head"), 55).alias("short"), N.canon_url(F.col("url")).alias("link"))
+
+
+@query
+def title_numbers(spark, folder):
+    """Part numbers read from titles and urls, prices read from texts, model tokens held against the product."""
+    m = Market(spark, folder)
+    p = m.products.select(F.col("id").alias("product_id"), F.col("title").alias("p_title"), F.col("mpn").alias("p_mpn"))
+    rows = m.listings.withColumn("product_id", F.regexp_extract("url", "/p/([0-9]+)/", 1).cast("long")).join(p, "product_id")
+    price = N.parse_price(F.concat(F.lit("od "), F.replace(F.col("price_eur").cast("string"), F.lit("."), F.lit(",")), F.lit(" €")))
+    return rows.select("id", N.mpn_from_title(F.col("title"), F.col("brand")).alias("title_mpn"), N.mpn_from_slug(F.regexp_replace("url", "/[0-9]+$", "")).alias("url_mpn"), price.alias("price"), N.to_eur(F.col("price_eur"), F.when(F.col("in_stock"), "CZK").otherwise("EUR")).alias("eur"), N.model_tokens_present(F.col("title"), F.col("p_title"), F.col("p_mpn")).alias("models_there"))
+
+
+@query
+def manufacturer_kpis(spark, folder):
+    return A.manufacturer_kpis(A.manufacturer_view(Market(spark, folder).matched, OWN, "brand#2"))
+
+
+@query
+def merged_brands(spark, folder):
+    pairs = A.compare_pairs(Market(spark, folder).matched, X.OWN)
+    return A.merged_brands(A.merge_pairs(pairs, ["s1", "s2"]), ["s1", "s2"])
+
+
+@query
+def stronger_products(spark, folder):
+    pairs = A.compare_pairs(Market(spark, folder).matched, X.OWN)
+    return A.filter_compare(A.merge_pairs(pairs, ["s1", "s2"]), "stronger").select("title", "brand", "ref_price", "n_opponents")
+
+
+@query
+def comparison_hits(spark, folder):
+    m = Market(spark, folder).matched
+    return A.comparison_hits(A.compare_pairs(m, X.OWN), m.where(F.col("competitor_id") == X.OWN))
+
+
+@query
+def explore_skus(spark, folder):
+    m = Market(spark, folder)
+    return A.explore_skus(m.position, A.titles(m.matched), "brand#2", "E").select("key", "title", "gap")
+
+
+@query
+def scatter_rows(spark, folder):
+    return A.scatter_rows(Market(spark, folder).position).select("key", "own_price", "best_price", "gap")
+
+
+@query
+def monopolies(spark, folder):
+    """Keys of ours that store s1 does not sell."""
+    return A.monopolies(A.sku_position(Market(spark, folder).offers, X.OWN, OWN, ["s1"])).select("key", "own_price")
+
+
+@query
+def position_page(spark, folder):
+    return A.page(Market(spark, folder).position, ["key"], 3, 40).select("key", "bucket")
+
+
+@query
+def top_brands(spark, folder):
+    return A.top_counts(Market(spark, folder).listings, "brand")
+
+
+@query
+def own_brands(spark, folder):
+    return A.brands(Market(spark, folder).listings, OWN)
+
+
+@query
+def with_unlisted(spark, folder):
+    m = Market(spark, folder)
+    return A.with_unlisted(m.position, A.unlisted(m.offers, X.OWN)).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query
+def filtered_matches(spark, folder):
+    return M.filter_matches(Market(spark, folder).matched, "approved", 0.9, ["s1", "s2"], True, "brand#1").select("listing_id", "product_id")
+
+
+@query
+def restrict_by_brand(spark, folder):
+    m = Market(spark, folder)
+    p = M.normalised(m.products).select(F.col("id").alias("product_id"), F.col("nbrand").alias("p_brand"))
+    rows = m.matches.select(F.col("listing_id").alias("row_id"), "product_id").join(p, "product_id").join(M.detect_brand(m.listings, m.products), "row_id", "left")
+    return M.restrict_by_brand(rows).select("row_id", "product_id")
+
+
+@query
+def run_daily(spark, folder):
+    m = Market(spark, folder)
+    history = R.build_snapshot(m.matched, m.products, DATES[0], OWN)
+    return R.run_daily(m.matched, m.products, history, DATES[1], OWN)[1].select("product_id", "playbook", "suggested_price")
+
+
+@query
+def upsert_matches(spark, folder):
+    """Unblocked matches of one half of the stores put over those of all."""
+    m = Market(spark, folder)
+    odd = m.listings.where(F.col("competitor_id").isin("s1", "s3", "s5", "s7", "s9", "s11"))
+    return U.upsert_matches(m.matches, M.layered_match(odd, m.products, None)).groupBy("match_type").agg(F.count("*").alias("n"))
+
+
+@query
+def upsert_offers(spark, folder):
+    """Two batches of marketplace offers: how many rows are new."""
+    rows = A.offer_matrix(market_offers(spark, folder)).select("ean", "seller", "total")
+    return U.upsert_offers(rows.where("seller < 's3'"), rows.where("seller > 's1'"))[1]
+
+
+@query
+def own_products(spark, folder):
+    """Catalogue without barcodes, refreshed from our own listings."""
+    m = Market(spark, folder)
+    out = U.upsert_products_from_own(m.products.withColumn("ean", F.lit(None).cast("string")), m.listings.where(F.col("competitor_id") == X.OWN))
+    return out.select("id", "ean", "price_eur").where("id < 1000000000")
+
+
+@query
+def review_counts(spark, folder):
+    """A review of matches taken for vector matches: pending ones of high similarity are approved."""
+    rows = Market(spark, folder).matches.withColumns({"match_type": F.concat(F.lit("vector_"), "match_type"), "similarity": F.col("confidence"), "status": F.lit("pending")})
+    return M.review_counts(M.auto_approve(rows, DATES[1], 0.9))
+
+
+@query
+def new_matches(spark, folder):
+    """Matching of the listings that have no match yet, after those of even stores."""
+    m = Market(spark, folder)
+    done = m.matches.join(m.listings.where("competitor_id IN ('s0', 's2', 's4', 's6', 's8', 's10')").select(F.col("id").alias("listing_id")), "listing_id", "left_semi")
+    return M.layered_match(M.unmatched(m.listings, done), m.products).groupBy("match_type").agg(F.count("*").alias("n"))
+
+
+@query
+def rival_offers(spark, folder):
+    """Rivals of the products that skus find, by price."""
+    m = Market(spark, folder)
+    asked = m.products.select(F.concat(F.lit("s"), "id").alias("query_id"), F.lower("sku").alias("query"))
+    found = D.lookup(asked, m.products, m.listings, m.matches, X.OWN)
+    return D.rivals_of(found, m.matched, OWN, 3).select("query_id", "rank", "listing_id")
+
+
 @query
 def windowed_prices(spark, folder):
     rows = Market(spark, folder).listings.withColumn("scraped_at", F.col("scraped_at").cast("timestamp"))
