@@ -39,7 +39,7 @@ RUN = 4096
 #: Tokens of queries that one part of a group answers at once.
 BLOCK = 2_000_000
 #: Documents whose tokens a task counts at once, and how often a token has to stand in them to be reported.
-CHUNK, LOCAL = 6000, 4
+CHUNK, LOCAL = 3000, 3
 #: A token is frequent from this share of the documents on (and from LEAST documents). So there are no more of them than
 #: the mean set size over the share: that bounds the table which every task gets.
 SHARE, LEAST = 2e-4, 64

@@ -37,7 +37,7 @@ K1, B = 1.2, 0.75
 #: Tokens in more than this share of all documents say nothing about them.
 COMMON = 0.2
 #: Pieces and words that a worker keeps; neighbours that are ranked first.
-KEPT, FIRST = 1_000_000, 24
+KEPT, FIRST = 400_000, 24
 
 
 #: Punctuation whose runs are words of their own.
@@ -295,6 +295,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, aim: int = SHARD
     rows = rows.join(plan, rows["bucket"] == plan["__bucket"]).select("doc_id", "ids", (F.col("first") + spread).alias("shard"))
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
+        encoder.cache_clear()  # what this worker kept of the tokenizing stage
         shard = shard.sort_values("doc_id" if shard["doc_id"].is_unique else ["doc_id", "ids"], na_position="first", ignore_index=True)
         ids = [np.frombuffer(x, np.uint16) for x in shard["ids"]]
         pieces = pd.DataFrame(packed(ids, known.value, window), columns=["doc", "start", "length", "sequence_id", "offset"])
