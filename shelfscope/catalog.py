@@ -44,7 +44,8 @@ class Market:
 
     @cached_property
     def matches(self) -> DataFrame:
-        return M.layered_match(self.listings, self.products)
+        """Matches, written once to the shared folder, as search and offers read them several times."""
+        return written(M.layered_match(self.listings, self.products), "matches")
 
     @cached_property
     def matched(self) -> DataFrame:
@@ -110,7 +111,8 @@ def category_counts(spark, folder):
 
 @query
 def match_layers(spark, folder):
-    return Market(spark, folder).matches
+    m = Market(spark, folder)
+    return M.layered_match(m.listings, m.products)
 
 
 @query

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions import normalise as N
+from shelfscope.plans.scratch import written
 
 
 WORD = "[a-z0-9]+"
@@ -76,9 +77,6 @@ def lookup(queries: DataFrame, products: DataFrame, listings: DataFrame, matches
     of_product = lambda key, name: products.select(F.col("id").alias("product_id"), key.alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.max("product_id").alias("product_id"))
     ean, other = code.where("kind = 'ean'"), code.where("kind <> 'ean'")
     preferred = prefer_by_ean(products, matches, listings, own)
-    text = q.where("kind <> 'ean'")
-    by_text = text_candidates(text, products).groupBy("query_id").agg(F.max(F.struct("score", "product_id")).alias("best")).select("query_id", F.col("best.product_id").alias("product_id"))
-    by_listing = listing_candidates(text, linked).groupBy("query_id").agg(newest)
     layers = [
         (ean.join(of_product(N.norm_ean(F.col("ean")), "e"), F.col("query") == F.col("e")), "ean"),
         (ean.join(of_listing(N.norm_ean(F.col("ean")), "e"), F.col("query") == F.col("e")), "listing_ean"),
@@ -86,15 +84,19 @@ def lookup(queries: DataFrame, products: DataFrame, listings: DataFrame, matches
         (other.join(of_product(N.norm_mpn(F.col("mpn")), "m"), other["mpn"] == F.col("m")), "mpn"),
         (other.join(of_listing(F.upper("competitor_sku"), "k"), F.col("upper") == F.col("k")), "listing_sku"),
         (other.join(of_listing(N.norm_mpn(F.col("mpn")), "m"), other["mpn"] == F.col("m")), "listing_mpn"),
-        (by_text, "text"),
-        (by_listing, "listing_text"),
     ]
     rows = None
     for k, (df, how) in enumerate(layers):
         part = df.select("query_id", "product_id", F.lit(how).alias("how"), F.lit(k).alias("layer"))
         rows = part if rows is None else rows.unionByName(part)
     first = rows.groupBy("query_id").agg(F.min_by(F.struct("product_id", "how"), F.struct("layer", (-F.col("product_id")).alias("last"))).alias("f"))
-    first = first.select("query_id", F.col("f.product_id").alias("found"), "f.how")
+    first = written(first.select("query_id", F.col("f.product_id").alias("found"), "f.how"), "codes-found")
+    # words are only looked for where no code hits, and in listings only where no product has them
+    text = q.where("kind <> 'ean'").join(first, "query_id", "left_anti")
+    by_text = text_candidates(text, products).groupBy("query_id").agg(F.max(F.struct("score", "product_id")).alias("best"))
+    by_text = written(by_text.select("query_id", F.col("best.product_id").alias("found"), F.lit("text").alias("how")), "texts-found")
+    by_listing = listing_candidates(text.join(by_text, "query_id", "left_anti"), linked).groupBy("query_id").agg(newest)
+    first = first.unionByName(by_text).unionByName(by_listing.select("query_id", F.col("product_id").alias("found"), F.lit("listing_text").alias("how")))
     eans = products.select(F.col("id").alias("found"), N.norm_ean(F.col("ean")).alias("ean"))
     out = first.join(eans, "found", "left").join(preferred, "ean", "left")
     return out.select("query_id", F.coalesce("product_id", "found").alias("product_id"), "how")
