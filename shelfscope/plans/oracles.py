@@ -118,7 +118,7 @@ SUMMARY = f"""count(delta) AS n, count(*) FILTER (delta > 0.5) AS wins, round_ev
 ORPHAN_EANS = (
     NORMED
     + r""",
-part3 AS (SELECT * FROM np WHERE id % 3 <> 0),
+part3 AS (SELECT * REPLACE (CASE WHEN id % 3 <> 0 THEN nean END AS nean) FROM np),
 grp AS (SELECT nean, arg_min({'id': id, 'title': title, 'price': price_eur, 'b': nbrand, 'm': nmpn}, (-(CASE WHEN nbrand IS NULL THEN 0 ELSE 1 END + CASE WHEN nmpn IS NULL THEN 0 ELSE 1 END), id)) AS r FROM nl WHERE nean IS NOT NULL GROUP BY 1),
 res AS (SELECT g.nean, g.r, coalesce((SELECT max(id) FROM part3 p WHERE p.nean = g.nean), (SELECT max(id) FROM part3 p WHERE p.nbrand = g.r.b AND p.nmpn = g.r.m)) AS found FROM grp g),
 ids AS (SELECT nean, r, found, coalesce(found, (length(nean) + 10) * 100000000000000 + CAST(nean AS BIGINT)) AS pid FROM res)"""
