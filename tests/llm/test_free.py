@@ -100,6 +100,36 @@ def test_toxicity_shares_grams_with_misspellings(spark):
     assert (model.scores(texts, {}) >= 0.5).tolist() == [bool(v) for v in y]
 
 
+def test_grams_of_a_word_do_not_depend_on_other_words():
+    of, bucket = toxicity.grams(["ab", "hello", "ab", "é" * 40_000])
+    assert np.bincount(of[of < 3]).tolist() == [3, 5 + 4 + 3 + 2 + 1, 3]
+    alone = toxicity.grams(["hello"])[1]
+    assert bucket[of == 1].tolist() == alone.tolist() and bucket[of == 0].tolist() == bucket[of == 2].tolist()
+    assert set(bucket[of == 0]).isdisjoint(alone) and len(set(alone) & set(toxicity.grams(["hellos"])[1])) == 4 + 3 + 2 + 1
+    assert [len(x) for x in toxicity.grams([])] == [0, 0]
+
+
+def test_toxicity_fit_in_tasks_equals_training_at_hand(spark):
+    rng = np.random.default_rng(3)
+    filler, bad = ["river", "stone", "garden", "window", "paper", "music"], ["blockhead", "dimwit"]
+    rows = [(i, " ".join(rng.choice(filler, 20).tolist() + ([str(rng.choice(bad))] if i % 3 == 0 else []))) for i in range(300)]
+    rows += [(300, rows[0][1]), (301, None), (302, ""), (None, "dimwit"), (303, "dimwit " * 100_000), (303, "stone"), (304, "no label")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(304)] + [(304, None), (305, 1), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.fit(docs, labels).margin.tobytes() == model.margin.tobytes()
+    first = {}
+    used = [(i, int(i % 3 == 0), t or "") for i, t in rows if i is not None and i < 304 and zlib.crc32(str(i).encode()) % 5]
+    for i, y, t in sorted(used):
+        first.setdefault(t, (i, y, hashlib.sha256(t.encode()).hexdigest()))
+    order = sorted((*v, t) for t, v in first.items())
+    back = np.array([zlib.crc32(d.encode()) % 5 == 4 for _, _, d, _ in order])
+    n = np.bincount([i % 3 == 0 for i in range(304) if zlib.crc32(str(i).encode()) % 5])
+    want = toxicity.train([t for *_, t in order], np.array([y for _, y, _, _ in order]), totals=(n[0], n[1]), back=back)
+    assert np.allclose(model.margin, want.margin, equal_nan=True) and np.isclose(model.bias, want.bias)
+    assert toxicity.fit(docs.where("false"), labels).scores(["x"], {})[0] < 1e-6
+
+
 def test_toxicity_without_both_labels():
     assert toxicity.train([], np.array([], int)).scores(["x"], {})[0] < 1e-6
     assert toxicity.train(["a b"], np.array([1])).scores(["x", None], {}).min() > 0.99
