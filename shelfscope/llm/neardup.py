@@ -76,7 +76,7 @@ def placed(entry: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
         return pd.concat([own.assign(shard=top[:, i], angle=angle[:, i])[["key", "block", "v", "shard", "angle"]] for i in range(k)])
 
     both = own.groupBy("own", "own_salt").cogroup(pivots.groupBy("block", "salt"))
-    return written(both.applyInPandas(nearest, "key string, block string, v array<float>, shard int, angle double"), "shards"), pivots
+    return written(both.applyInPandas(nearest, f"key string, block string, v {dict(entry.dtypes)['v']}, shard int, angle double"), "shards"), pivots
 
 
 def assigned(entry: DataFrame, overlap: int) -> DataFrame:
@@ -95,27 +95,32 @@ def pruned(x: np.ndarray, seed: int = 1) -> list[np.ndarray]:
     m = len(x)
     if m <= 1:
         return [np.zeros(0, np.int64)] * m
-    rng = np.random.default_rng(seed)
+    others = np.random.default_rng(seed).integers(0, m, (m, FAR))
     s = (x @ x.T).astype(np.float32)
     np.fill_diagonal(s, -2)
     k = min(POOL, m - 1)
-    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    heads: list[list[int]] = [[] for _ in range(m)]
-    for i in range(m):
-        pool = np.unique(np.append(near[i], rng.integers(0, m, FAR)))
-        pool = pool[pool != i]
-        pool = pool[np.argsort(-s[i, pool], kind="stable")]
-        far = np.sqrt(np.maximum(2 - 2 * s[i, pool], 0))
-        between = np.sqrt(np.maximum(2 - 2 * np.where(pool[:, None] == pool[None, :], 1, s[np.ix_(pool, pool)]), 0))
-        alive, kept = np.ones(len(pool), bool), 0
-        while kept < DEGREE and alive.any():
-            c = int(np.argmax(alive))
-            heads[i].append(int(pool[c]))
-            heads[pool[c]].append(i)
-            alive &= ALPHA * between[c] > far
-            alive[c] = False
-            kept += 1
-    return [np.unique(np.array(h, np.int64)) for h in heads]
+    heads, tails = [], []
+    for lo in range(0, m, 256):
+        rows = np.arange(lo, min(m, lo + 256))
+        each = np.arange(len(rows))
+        pool = np.sort(np.concatenate([np.argpartition(-s[rows], k - 1, axis=1)[:, :k], others[rows]], 1), 1)
+        alive = pool != rows[:, None]
+        alive[:, 1:] &= pool[:, 1:] != pool[:, :-1]
+        order = np.argsort(np.where(alive, -s[rows[:, None], pool], np.inf), axis=1, kind="stable")
+        pool, alive = np.take_along_axis(pool, order, 1), np.take_along_axis(alive, order, 1)
+        far = np.sqrt(np.maximum(2 - 2 * s[rows[:, None], pool], 0))
+        between = np.sqrt(np.maximum(2 - 2 * s[pool[:, :, None], pool[:, None, :]], 0))
+        for _ in range(DEGREE):
+            c = alive.argmax(1)
+            has = alive[each, c]
+            if not has.any():
+                break
+            heads.append(rows[has])
+            tails.append(pool[each, c][has])
+            alive &= ALPHA * between[each, c] > far
+            alive[each, c] = False
+    a, b = np.divmod(np.unique(np.concatenate(heads + tails) * m + np.concatenate(tails + heads)), m)
+    return np.split(b, np.cumsum(np.bincount(a, minlength=m))[:-1])
 
 
 def found(x: np.ndarray, q: int, graph: list[np.ndarray], medoid: int, threshold: float) -> np.ndarray:
@@ -144,21 +149,27 @@ def found(x: np.ndarray, q: int, graph: list[np.ndarray], medoid: int, threshold
 def search(cells: DataFrame, threshold: float) -> DataFrame:
     """Verified pairs (a, b) of keys, a < b."""
     by = ("block", "shard", "i", "j")
+    # lists hold short codes of keys; if two keys share one, lists hold a neighbour too many, and pairs are verified
+    cells = cells.withColumn("code", F.xxhash64("key"))
 
     def build(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.drop_duplicates("key").sort_values("key")
-        keys = cell["key"].to_numpy()
-        return pd.DataFrame({"key": keys, "near": [keys[h].tolist() for h in pruned(unit(cell["v"]))]})
+        codes = cell["code"].to_numpy()
+        return pd.DataFrame({"code": codes, "near": [codes[h] for h in pruned(unit(cell["v"]))]})
 
-    lists = cells.groupBy(*by).applyInPandas(build, "key string, near array<string>")
-    lists = lists.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    lists = written(lists.select(F.col("key").alias("__key"), "near"), "graph")
+    lists = cells.groupBy(*by).applyInPandas(build, "code long, near array<long>")
+    lists = lists.groupBy("code").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    lists = written(lists.select(F.col("code").alias("__code"), "near"), "graph")
 
     def walk(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.drop_duplicates("key").sort_values("key").reset_index(drop=True)
-        keys, x = cell["key"].to_numpy(), unit(cell["v"])
-        place = {k: i for i, k in enumerate(keys)}
-        graph = [np.array(sorted(place[k] for k in near if k in place), np.int64) for near in cell["near"]]
+        keys, codes, x = cell["key"].to_numpy(), cell["code"].to_numpy(), unit(cell["v"])
+        order = np.argsort(codes, kind="stable")
+        sorted_codes = codes[order]
+        graph = []
+        for near in cell["near"]:
+            at = np.minimum(np.searchsorted(sorted_codes, near), len(codes) - 1) if len(near) else np.zeros(0, np.int64)
+            graph.append(np.sort(order[at[sorted_codes[at] == near]]))
         medoid = int((x @ x.mean(0)).argmax())
         pairs = set()
         for q in range(len(x)):
@@ -166,7 +177,7 @@ def search(cells: DataFrame, threshold: float) -> DataFrame:
         pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": keys[pairs[:, 0]], "b": keys[pairs[:, 1]]})
 
-    whole = cells.join(lists, cells["key"] == lists["__key"]).select("key", "block", "v", "near", *by[1:])
+    whole = cells.join(lists, cells["code"] == lists["__code"]).select("key", "code", "block", "v", "near", *by[1:])
     return written(whole.groupBy(*by).applyInPandas(walk, "a string, b string").distinct(), "pairs")
 
 

@@ -441,3 +441,34 @@ def test_pipeline_of_odd_tables(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, out, SMALL).agg(F.sum("length")).first()[0] > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), SMALL).count() == 0
+
+
+def test_pruned_lists_keep_no_covered_neighbour():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8))
+    x[100:140] = x[0] + 0.01 * rng.normal(size=(40, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    others, s = np.random.default_rng(1).integers(0, 300, (300, neardup.FAR)), x @ x.T
+    want = [set() for _ in x]
+    for i in range(300):
+        pool = set(np.argsort(-np.where(np.arange(300) == i, -2, s[i]))[: neardup.POOL].tolist()) | set(others[i].tolist())
+        kept = []
+        for c in sorted(pool - {i}, key=lambda c: -s[i, c]):
+            if len(kept) < neardup.DEGREE and all(neardup.ALPHA * np.linalg.norm(x[k] - x[c]) > np.linalg.norm(x[i] - x[c]) for k in kept):
+                kept.append(c)
+        for c in kept:
+            want[i].add(c)
+            want[c].add(i)
+    assert [set(h.tolist()) for h in neardup.pruned(x)] == want
+    assert [len(h) for h in neardup.pruned(x[:1])] == [0] and neardup.pruned(x[:0]) == []
+
+
+def test_vectors_in_double_precision(spark):
+    """A pair whose cosine only doubles tell from the threshold."""
+    b = [0.93, float(np.sqrt(1 - 0.93**2))]
+    low = [0.93 - 1e-9, float(np.sqrt(1 - (0.93 - 1e-9) ** 2))]
+    for v, linked in ((b, True), (low, False)):
+        cos = np.array([1.0, 0.0]) @ (np.array(v) / np.linalg.norm(v))
+        df = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, v)], "vec_id long, label long, embedding array<double>")
+        assert [r["n_links"] for r in neardup.deduped(df).collect()] == [int(cos >= 0.93)] * 2
+        assert linked or cos < 0.93
