@@ -367,6 +367,57 @@ def share_products(hits: DataFrame, matches: DataFrame, offset: int = 1 << 53) -
     return of.where("product_id IS NULL").join(one, "cluster").select(F.col("node").alias("listing_id"), F.coalesce("known", new).alias("product_id"))
 
 
+def pooled(products: DataFrame, listings: DataFrame) -> DataFrame:
+    """Products and listings as one pool. The id holds the kind, so a product and a listing of one number differ; block is
+    the normalised brand."""
+    one = lambda df, kind: normalised(df).select(F.struct(F.lit(kind).alias("kind"), F.col("id").alias("id")).alias("id"), F.col("nbrand").alias("block"), "brand", "mpn", "ean", "title")
+    return one(products, "product").unionByName(one(listings, "listing"))
+
+
+def run_matching(
+    listings: DataFrame,
+    products: DataFrame,
+    matches: DataFrame | None = None,
+    vectors: DataFrame | None = None,
+    answers: Callable[[pd.Series, pd.Series], pd.Series] | None = None,
+    force: bool = False,
+    vectors_only: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """One run over the listings that have no match yet (force: over all): new matches with status and similarity, and new
+    products.
+
+    The layers come first (not with vectors_only). With vectors (kind, id, vector) and a verifier, listings left that have a
+    brand are held against the products and the other listings of it; a hit between listings gives both one product.
+    Listings that are still left and have an EAN get the product derived from it (not with vectors_only).
+    """
+    none = F.lit(None).cast("double").alias("similarity")
+    todo = listings if force or matches is None else unmatched(listings, matches)
+    found = layered_match(todo, products) if not vectors_only else layered_match(todo.limit(0), products.limit(0))
+    found = written(found.select(*MATCH, "status", none), "run-layers")
+    made = None
+    if answers is not None and vectors is not None:
+        pool = pooled(products, unmatched(todo, found)).where("block IS NOT NULL")
+        pool = pool.join(vectors.select(F.struct("kind", "id").alias("id"), "vector"), "id")
+        hits = written(fuzzy_match(pool.where("id.kind = 'listing'"), pool, answers), "run-vectors")
+        sure = [F.lit("vector_llm").alias("match_type"), F.col("similarity").cast("decimal(3,2)").alias("confidence"), "status", "similarity"]
+        direct = hits.where("pool_id.kind = 'product'").select(F.col("listing_id.id").alias("listing_id"), F.col("pool_id.id").alias("product_id"), *sure)
+        between = hits.where("pool_id.kind = 'listing'").select(F.col("listing_id.id").alias("listing_id"), F.col("pool_id.id").alias("pool_id"), "similarity", "status")
+        ends = between.select("listing_id", "similarity", "status").unionByName(between.select(F.col("pool_id").alias("listing_id"), "similarity", "status"))
+        ends = ends.groupBy("listing_id").agg(F.min("similarity").alias("similarity"), F.max("status").alias("status"))  # pending if an edge is
+        shared = written(share_products(between, direct).join(ends, "listing_id").select("listing_id", "product_id", *sure), "run-shared")
+        found = found.unionByName(direct).unionByName(shared)
+        known = products.select(F.col("id").alias("product_id"))
+        row = F.struct(*(c for c in ("brand", "mpn", "title", "price_eur")), N.norm_ean(F.col("ean")).alias("ean"), F.col("id"))
+        new = shared.join(known, "product_id", "left_anti").join(todo.withColumn("r", row).select(F.col("id").alias("listing_id"), "r"), "listing_id")
+        new = new.groupBy("product_id").agg(F.min_by("r", "r.id").alias("r"))
+        sku = N.derive_sku(F.col("r.ean"), N.norm_brand(F.col("r.brand")), N.norm_mpn(F.col("r.mpn")), F.col("r.title"))
+        made = new.select(F.col("product_id").alias("id"), sku.alias("sku"), "r.brand", "r.mpn", "r.ean", "r.title", "r.price_eur")
+    left = unmatched(todo, found)
+    derived, new = ean_phase(left.limit(0) if vectors_only else left, products)
+    derived = derived.withColumn("match_type", F.lit("derived_ean")).select(*MATCH, "status", none)
+    return found.unionByName(derived), new.unionByName(made) if made is not None else new
+
+
 def strict_accept(candidates: DataFrame, least: float = 0.93, margin: float = 0.05) -> DataFrame:
     """Best candidate (row_id, product_id, score, title, p_title, p_mpn) of a row if it is good, well ahead of the next and
     has all model tokens of the title."""
@@ -408,9 +459,14 @@ def resolve_claims(matched: DataFrame) -> DataFrame:
     return out.select("id", "ean", "product_id", state.alias("claim"))
 
 
+def ean_updates(products: DataFrame, updates: DataFrame) -> DataFrame:
+    """What apply_eans would write (product_id, ean): products without an EAN, the least EAN of each. A dry run ends here."""
+    return updates.groupBy("product_id").agg(F.min("ean").alias("ean")).where("ean IS NOT NULL").join(products.where("ean IS NULL").select(F.col("id").alias("product_id")), "product_id", "left_semi")
+
+
 def apply_eans(products: DataFrame, updates: DataFrame) -> DataFrame:
     """Writes EANs (product_id, ean) where a product has none."""
-    u = updates.groupBy(F.col("product_id").alias("id")).agg(F.min("ean").alias("new_ean"))
+    u = ean_updates(products, updates).select(F.col("product_id").alias("id"), F.col("ean").alias("new_ean"))
     return products.join(u, "id", "left").withColumn("ean", F.coalesce("ean", "new_ean")).select(*products.columns)
 
 

@@ -96,15 +96,83 @@ def extract_microdata(pages: DataFrame) -> DataFrame:
 
 
 def extract_datalayer(pages: DataFrame) -> DataFrame:
+    """Values that pages push for their analytics: EUR price (that after the currency, else that of the item), code, brand,
+    shop's id (else that of the url), EAN, heading and availability."""
     h = F.col("html")
+    after = _first(h, r'(?s)"currencyCode"\s*:\s*"EUR".*?"price"\s*:\s*"?([0-9.,]+)')
+    item = _first(h, r'"price"\s*:\s*([0-9.]+)\s*,\s*"priceCurrency"\s*:\s*"EUR"')
     return pages.select(
         "url",
-        N.parse_price(_first(h, r'(?s)"currencyCode"\s*:\s*"EUR".*?"price"\s*:\s*"?([0-9.,]+)')).alias("price"),
+        F.coalesce(N.parse_price(after), N.parse_price(item)).alias("price"),
         _first(h, r'"product_code"\s*:\s*"([^"]*)"').alias("mpn"),
         _first(h, r'"product_brand"\s*:\s*"([^"]*)"').alias("brand"),
+        F.trim(_first(h, r"(?is)<h1[^>]*>\s*([^<]+)")).alias("title"),
+        F.coalesce(_first(h, r'"ecomm_prodid"\s*:\s*"([0-9]+)"'), _first(F.col("url"), r"-p([0-9]+)/")).alias("competitor_sku"),
+        N.strict_ean(_first(h, r'(?s)class="ean value">\s*<span>\s*([0-9]{8,13})\s*</span>')).alias("ean"),
+        N.parse_stock(_first(h, r'"availability"\s*:\s*"https?://schema\.org/(\w+)"')).alias("in_stock"),
     )
 
 
+def with_shown_price(listings: DataFrame, shown: DataFrame) -> DataFrame:
+    """listings with the price that a page's data layer shows, where it shows one."""
+    d = shown.where("price IS NOT NULL").groupBy("url").agg(F.min("price").alias("__shown"))
+    return listings.join(d, "url", "left").withColumn("price", F.coalesce("__shown", "price")).select(*listings.columns)
+
+
+#: Classes of the parts of a product card.
+CARD = {"name": "title", "manufacturer": "brand", "code": "mpn", "price-final": "price", "availability-amount": "availability"}
+
+
+def extract_cards(pages: DataFrame) -> DataFrame:
+    """The first product card of each page: title, link, brand, part number, price and stock by the classes of its elements,
+    nested markup included. Pages without a card give no row.
+
+    Pages are parted by Spark; the parser walks one page at a time, in Arrow batches.
+    """
+    from html.parser import HTMLParser
+
+    class Card(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.cards, self.found = [], 0, {}
+
+        def handle_starttag(self, tag, attrs):
+            own = dict(attrs)
+            classes = (own.get("class") or "").split()
+            self.cards += "product" in classes
+            part = next((CARD[c] for c in classes if c in CARD), self.open[-1][1] if self.open else None)
+            if self.cards == 1 and "name" in classes:
+                self.found.setdefault("href", own.get("href"))
+            if tag not in ("br", "img", "input", "link", "meta", "hr", "wbr", "source"):
+                self.open.append((tag, part))
+
+        def handle_endtag(self, tag):
+            at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+            if at is not None:
+                del self.open[at:]
+
+        def handle_data(self, data):
+            part = self.open[-1][1] if self.open else None
+            if self.cards == 1 and part and data.strip():
+                self.found[part] = self.found.get(part, "") + data.strip()
+
+    names = ["href", *CARD.values()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for url, html in zip(batch["url"], batch["html"], strict=True):
+                card = Card()
+                card.feed(html)
+                card.close()
+                if card.cards:
+                    rows.append((url, *(card.found.get(x) for x in names)))
+            yield pd.DataFrame(rows, columns=["url", *names])
+
+    found = pages.where("html IS NOT NULL").select("url", "html").mapInPandas(run, ", ".join(f"{x} string" for x in ("url", *names)))
+    return found.select("url", N.blank_to_null(F.col("href")).alias("href"), "title", "brand", "mpn", N.parse_price(F.col("price")).alias("price"), N.parse_stock(F.col("availability")).alias("in_stock"))
+
+
 def extract_specs(pages: DataFrame, pattern: str = r"(?is)<t[hd][^>]*>\s*([^<]+?)\s*:?\s*</t[hd]>\s*<td[^>]*>\s*([^<]+?)\s*</td>") -> DataFrame:
     """Label to value rows of a page; labels folded and in lower case; the first value of a label counts."""
     pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("v"))

@@ -84,6 +84,31 @@ def test_fuzzy_match_with_a_failing_verifier(spark):
     assert M.fuzzy_match(rows.where("id = 0"), rows, fails).count() == 0
 
 
+def test_matching_runs(spark):
+    row = "id long, brand string, mpn string, ean string, title string, price_eur decimal(10,2)"
+    products = spark.createDataFrame([(1, "Knipex", "87", "4003773025559", "cobra", None), (5, "Knipex", None, None, "pliers wrench", None)], row)
+    listings = spark.createDataFrame([(1, "Knipex", None, "4003773025559", "a", None), (2, "Knipex", None, None, "b", None), (3, "Knipex", None, None, "c", None), (4, "Knipex", None, None, "d", None), (6, None, None, "4006381333931", "e", None), (7, None, None, None, "f", None)], row)
+    vectors = spark.createDataFrame([("product", 1, [0.0, 0.0, 1.0]), ("product", 5, [1.0, 0.0, 0.0]), ("listing", 2, [1.0, 0.1, 0.0]), ("listing", 3, [0.0, 1.0, 0.0]), ("listing", 4, [0.0, 1.0, 0.3])], "kind string, id long, vector array<double>")
+
+    def run(**how):
+        matches, new = M.run_matching(listings, products, **how)
+        return {r["listing_id"]: (r["product_id"], r["match_type"], r["status"]) for r in matches.collect()}, {r["id"]: r["title"] for r in new.collect()}
+
+    plain, new = run()
+    assert plain[1] == (1, "exact_ean", "approved") and set(plain) == {1, 6} and plain[6][1] == "derived_ean" and new == {plain[6][0]: "e"}
+    both, new = run(vectors=vectors, answers=M.best_similarity)
+    assert both[2] == (5, "vector_llm", "approved") and both[3][0] == both[4][0] not in (1, 5) and both[3][2] == "pending"
+    assert new == {both[3][0]: "c", both[6][0]: "e"} and set(both) == {1, 2, 3, 4, 6}
+    only, new = run(vectors=vectors, answers=M.best_similarity, vectors_only=True)
+    assert set(only) == {2, 3, 4} and new == {both[3][0]: "c"}
+    assert run(vectors_only=True) == ({}, {})
+    done = spark.createDataFrame([(1, 1)], "listing_id long, product_id long")
+    assert set(run(matches=done)[0]) == {6} and set(run(matches=done, force=True)[0]) == {1, 6}
+    assert M.pooled(products, listings).where("id.id = 1").count() == 2
+    updates = spark.createDataFrame([(1, "40000001"), (5, "50000009"), (5, "40000001")], "product_id long, ean string")
+    assert [tuple(r) for r in M.ean_updates(products, updates).collect()] == [(5, "40000001")]
+
+
 def test_fuzzy_clusters(spark):
     angles = {1: 0.0, 2: 0.2, 3: 0.4, 9: 2.0}
     import math

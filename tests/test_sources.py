@@ -60,6 +60,20 @@ def test_fields_specs_and_links(spark):
     assert E.frontier(links, spark.createDataFrame([("https://x.test/p/1",)], "url string")).count() == 0
 
 
+def test_cards_and_data_layers(spark):
+    card = '<div class="x product"><a class="name" href="/p/1">Cobra <b>250</b></a><br><span class="manufacturer">Knipex</span><span class="code">87 01 250</span><p class="price-final"><strong>24,90</strong> €</p><span class="availability-amount">skladom</span></div>'
+    layer = '{"currencyCode": "EUR", "products": [{"name": "a", "price": 48}]} "product_code": "K1" "product_brand": "Wera" "ecomm_prodid": "77" <h1> Title </h1>'
+    item = '"price": 12.5, "priceCurrency": "EUR" "availability": "https://schema.org/InStock"'
+    pages = spark.createDataFrame([("a", card + card.replace("Cobra", "Other")), ("b", layer), ("c-p9/", item), ("d", None), ("e", "")], "url string, html string")
+    rows = {r["url"]: r for r in E.extract_cards(pages).collect()}
+    assert set(rows) == {"a"} and tuple(rows["a"])[1:6] == ("/p/1", "Cobra250", "Knipex", "87 01 250", Dec("24.90"))
+    rows = {r["url"]: r for r in E.extract_datalayer(pages).collect()}
+    assert (rows["b"]["price"], rows["b"]["mpn"], rows["b"]["brand"], rows["b"]["competitor_sku"], rows["b"]["title"]) == (Dec("48.00"), "K1", "Wera", "77", "Title")
+    assert (rows["c-p9/"]["price"], rows["c-p9/"]["competitor_sku"], rows["c-p9/"]["in_stock"]) == (Dec("12.50"), "9", True)
+    told = spark.createDataFrame([("b", Dec("9.00")), ("e", Dec("8.00"))], "url string, price decimal(10,2)")
+    assert {r["url"]: r["price"] for r in E.with_shown_price(told, E.extract_datalayer(pages)).collect()} == {"b": Dec("48.00"), "e": Dec("8.00")}
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     rows = X.listings(spark, SMALL)
     drop, root = str(tmp_path / "drop"), str(tmp_path / "t")
