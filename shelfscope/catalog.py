@@ -554,8 +554,40 @@ def review_counts(spark, folder):
 def new_matches(spark, folder):
     """Matching of the listings that have no match yet, after those of even stores."""
     m = Market(spark, folder)
-    done = m.matches.join(m.listings.where("competitor_id IN ('s0', 's2', 's4', 's6', 's8', 's10')").select(F.col("id").alias("listing_id")), "listing_id", "left_semi")
-    return M.layered_match(M.unmatched(m.listings, done), m.products).groupBy("match_type").agg(F.count("*").alias("n"))
+    return M.layered_match(M.unmatched(m.listings, of_even_stores(m)), m.products).groupBy("match_type").agg(F.count("*").alias("n"))
+
+
+def of_even_stores(m: Market) -> DataFrame:
+    even = m.listings.where("competitor_id IN ('s0', 's2', 's4', 's6', 's8', 's10')")
+    return m.matches.join(even.select(F.col("id").alias("listing_id")), "listing_id", "left_semi")
+
+
+@query
+def matching_run(spark, folder):
+    """A run without verifier after one over even stores."""
+    m = Market(spark, folder)
+    return M.run_matching(m.listings, m.products, of_even_stores(m))[0].groupBy("match_type", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def matching_pool(spark, folder):
+    """Products and unmatched listings as one pool, by kind and brand."""
+    m = Market(spark, folder)
+    pool = M.pooled(m.products, M.unmatched(m.listings, m.matches))
+    return pool.groupBy(F.col("id.kind").alias("kind"), "block").agg(F.count("*").alias("n"), F.min("id.id").alias("first"))
+
+
+@query
+def ean_dry_run(spark, folder):
+    """EANs of matched listings that products without one would take."""
+    m = Market(spark, folder)
+    got = m.matches.join(m.listings.select(F.col("id").alias("listing_id"), "ean"), "listing_id")
+    return M.ean_updates(some_barcodes_unknown(m.products), got)
+
+
+@query
+def page_items(spark, folder):
+    return extract.extract_datalayer(X.table(spark, folder, "pages")).select("url", "title", "mpn")
 
 
 @query

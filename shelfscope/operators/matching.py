@@ -368,9 +368,9 @@ def share_products(hits: DataFrame, matches: DataFrame, offset: int = 1 << 53) -
 
 
 def pooled(products: DataFrame, listings: DataFrame) -> DataFrame:
-    """Products and listings as one pool. The id holds the kind, so a product and a listing of one number differ; block is
-    the normalised brand."""
-    one = lambda df, kind: normalised(df).select(F.struct(F.lit(kind).alias("kind"), F.col("id").alias("id")).alias("id"), F.col("nbrand").alias("block"), "brand", "mpn", "ean", "title")
+    """Products and listings as one pool. The id holds the kind and the own id as text, so a product and a listing
+    of one id differ; block is the normalised brand."""
+    one = lambda df, kind: normalised(df).select(F.struct(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id")).alias("id"), F.col("nbrand").alias("block"), "brand", "mpn", "ean", "title")
     return one(products, "product").unionByName(one(listings, "listing"))
 
 
@@ -397,11 +397,12 @@ def run_matching(
     made = None
     if answers is not None and vectors is not None:
         pool = pooled(products, unmatched(todo, found)).where("block IS NOT NULL")
-        pool = pool.join(vectors.select(F.struct("kind", "id").alias("id"), "vector"), "id")
+        pool = pool.join(vectors.select(F.struct("kind", F.col("id").cast("string").alias("id")).alias("id"), "vector"), "id")
         hits = written(fuzzy_match(pool.where("id.kind = 'listing'"), pool, answers), "run-vectors")
         sure = [F.lit("vector_llm").alias("match_type"), F.col("similarity").cast("decimal(3,2)").alias("confidence"), "status", "similarity"]
-        direct = hits.where("pool_id.kind = 'product'").select(F.col("listing_id.id").alias("listing_id"), F.col("pool_id.id").alias("product_id"), *sure)
-        between = hits.where("pool_id.kind = 'listing'").select(F.col("listing_id.id").alias("listing_id"), F.col("pool_id.id").alias("pool_id"), "similarity", "status")
+        own = lambda end, of, name: F.col(f"{end}.id").cast(of.schema["id"].dataType).alias(name)
+        direct = hits.where("pool_id.kind = 'product'").select(own("listing_id", listings, "listing_id"), own("pool_id", products, "product_id"), *sure)
+        between = hits.where("pool_id.kind = 'listing'").select(own("listing_id", listings, "listing_id"), own("pool_id", listings, "pool_id"), "similarity", "status")
         ends = between.select("listing_id", "similarity", "status").unionByName(between.select(F.col("pool_id").alias("listing_id"), "similarity", "status"))
         ends = ends.groupBy("listing_id").agg(F.min("similarity").alias("similarity"), F.max("status").alias("status"))  # pending if an edge is
         shared = written(share_products(between, direct).join(ends, "listing_id").select("listing_id", "product_id", *sure), "run-shared")

@@ -245,6 +245,10 @@ UNION ALL SELECT 's' || id, id, 'sku' FROM np""",
     "restrict_by_brand": f"{MATCHED} SELECT listing_id AS row_id, product_id FROM m",
     "run_daily": f"{SNAPSHOTS} SELECT product_id, playbook, suggested_price FROM recs",
     "new_matches": f"{MATCHED} SELECT match_type, count(*) AS n FROM m JOIN listings l ON l.id = m.listing_id WHERE competitor_id IN ('s1', 's3', 's5', 's7', 's9', 's11') GROUP BY 1",
+    "matching_run": f"{MATCHED}, r AS (SELECT m.match_type FROM m JOIN listings l ON l.id = m.listing_id WHERE competitor_id IN ('s1', 's3', 's5', 's7', 's9', 's11') UNION ALL SELECT 'derived_ean' FROM nl WHERE nean IS NOT NULL AND id NOT IN (SELECT listing_id FROM m)) SELECT match_type, 'approved' AS status, count(*) AS n FROM r GROUP BY 1",
+    "matching_pool": f"{MATCHED} SELECT 'product' AS kind, nbrand AS block, count(*) AS n, min(CAST(id AS VARCHAR)) AS first FROM np GROUP BY nbrand UNION ALL SELECT 'listing', nbrand, count(*), min(CAST(id AS VARCHAR)) FROM nl WHERE id NOT IN (SELECT listing_id FROM m) GROUP BY nbrand",
+    "ean_dry_run": f"{MATCHED} SELECT m.product_id, min(l.ean) AS ean FROM m JOIN listings l ON l.id = m.listing_id JOIN products p ON p.id = m.product_id WHERE l.ean IS NOT NULL AND (p.id % 3 = 0 OR p.ean IS NULL) GROUP BY 1",
+    "page_items": r"""SELECT url, nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>\s*([^<]+)', 1)), '') AS title, nullif(regexp_extract(html, '"product_code"\s*:\s*"([^"]*)"', 1), '') AS mpn FROM pages""",
     "review_counts": f"{MATCHED} SELECT CASE WHEN confidence >= 0.9 THEN 'approved' ELSE 'pending' END AS status, count(*) AS n FROM m GROUP BY 1",
     "upsert_offers": f"{MARKET} SELECT count(*) FILTER (seller >= 's3') AS inserted, count(*) FILTER (seller < 's3') AS updated FROM tot WHERE seller > 's1'",
     "rival_offers": f"{MATCHED}, new AS (SELECT * FROM mo WHERE competitor_id <> 's0' QUALIFY row_number() OVER (PARTITION BY product_id, competitor_id ORDER BY scraped_at DESC, listing_id DESC) = 1) SELECT 's' || CAST(product_id AS VARCHAR) AS query_id, row_number() OVER (PARTITION BY product_id ORDER BY price_eur, scraped_at DESC, listing_id) AS rank, listing_id FROM new QUALIFY rank <= 3",
