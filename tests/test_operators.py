@@ -105,6 +105,11 @@ def test_matching_runs(spark):
     done = spark.createDataFrame([(1, 1)], "listing_id long, product_id long")
     assert set(run(matches=done)[0]) == {6} and set(run(matches=done, force=True)[0]) == {1, 6}
     assert M.pooled(products, listings).where("id.id = 1").count() == 2
+    texts = lambda df: df.withColumn("id", F.concat(F.lit("x"), F.col("id").cast("string")))
+    of_text = vectors.where("kind = 'product'").withColumn("id", F.col("id").cast("string")).unionByName(texts(vectors.where("kind = 'listing'")))
+    got = M.run_matching(texts(listings), products, None, of_text, M.best_similarity)[0].collect()
+    found = {r["listing_id"]: r["product_id"] for r in got}
+    assert set(found) == {"x1", "x2", "x3", "x4", "x6"} and found["x2"] == 5 and found["x3"] == found["x4"]
     updates = spark.createDataFrame([(1, "40000001"), (5, "50000009"), (5, "40000001")], "product_id long, ean string")
     assert [tuple(r) for r in M.ean_updates(products, updates).collect()] == [(5, "40000001")]
 
