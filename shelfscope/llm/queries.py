@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, neardup, packing, quality_model, quality_rules, secrets, toxicity, warc
+from . import chat, jaccard, mixing, neardup, packing, periodic, phrases, quality_model, quality_rules, secrets, sharding, toxicity, warc
 from .sample import remainder
 from .store import new_path
 
@@ -69,8 +69,20 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digest(turns.unionByName(hostile))
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.run_digest(periodic.looped(table(spark, folder, "documents")))
+
+
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_toxicity, op3_packing, op4_jaccard_join, op5_quality_classifier, op6_secret_scans, op7_quality_rules, op8_mixing, op9_embedding_neardup, op10_chat_formatting)
+    found = (op1_warc, op2_toxicity, op3_packing, op4_jaccard_join, op5_quality_classifier, op6_secret_scans, op7_quality_rules, op8_mixing, op9_embedding_neardup, op10_chat_formatting, op11_phrases, op12_periodic_runs, op13_sharding)
     return {f.__name__: f for f in found}
 
 
@@ -153,6 +165,61 @@ SELECT conv_id, count(*) AS n_turns,
 FROM p GROUP BY conv_id
 """
 
+SQL["op11_phrases"] = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+total AS (SELECT lang, sum(len(words)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, unnest(list_transform(range(1, CAST(len(words) AS BIGINT) - m + 2), lambda i: array_to_string(words[i : i + m - 1], ' '))) AS phrase
+      FROM w, range(1, 6) AS s(m) WHERE len(words) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+cuts AS (SELECT c.*, k, array_to_string(ws[1 : k], ' ') AS w1, array_to_string(ws[k + 1 :], ' ') AS w2 FROM c, range(1, 5) AS s(k) WHERE k < m),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, k, f1.a AS l, f2.a AS r, n, (CAST(1000 AS HUGEINT) * cuts.a * n) // (CAST(f1.a AS HUGEINT) * f2.a) AS score
+      FROM cuts JOIN f f1 ON f1.lang = cuts.lang AND f1.phrase = w1 JOIN f f2 ON f2.lang = cuts.lang AND f2.phrase = w2 JOIN total ON total.lang = cuts.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(ws[i : i + j - 1], ' ') AS phrase, max(a) AS longer FROM c, range(2, 5) AS x(j), range(1, 5) AS y(i) WHERE j < m AND i + j - 1 <= m GROUP BY ALL),
+k AS (SELECT b.* FROM b LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM k QUALIFY rank <= 2000
+"""
+
+
+def shards_sql(shards: int = 8, seed: int = sharding.SEED) -> str:
+    """The Feistel network on integers; cycles are walked by recursion. CRC-32 by its table of 256 entries, derived in place."""
+    low = "(CAST(1 AS UBIGINT) << (bits // 2)) - 1"
+    high = "(CAST(1 AS UBIGINT) << (bits - bits // 2)) - 1"
+    mask = "CAST(4294967295 AS UBIGINT)"
+
+    def mixed(x: str, key: int) -> str:
+        x = f"(({x} + {key}) & {mask})"
+        x = f"((xor({x}, {x} >> 16) * {sharding.FIRST}) & {mask})"
+        x = f"((xor({x}, {x} >> 15) * {sharding.SECOND}) & {mask})"
+        return f"xor({x}, {x} >> 16)"
+
+    once = lambda source: f"SELECT id, n, bits, (hi << (bits // 2)) | lo AS x FROM ({nested(source)})"
+
+    def nested(source: str) -> str:
+        inner = f"SELECT id, n, bits, x & ({low}) AS lo, x >> (bits // 2) AS hi FROM ({source})"
+        for r, key in enumerate(sharding.keys(seed)):
+            new = f"lo, xor(hi, {mixed('lo', key)} & ({high})) AS hi" if r % 2 == 0 else f"xor(lo, {mixed('hi', key)} & ({low})) AS lo, hi"
+            inner = f"SELECT id, n, bits, {new} FROM ({inner})"
+        return inner
+
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id AS id, coalesce(text, '') AS t, CAST(row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS UBIGINT) AS x, count(*) OVER () AS n FROM documents),
+b AS (SELECT id, x, n, CAST(greatest(2, length(ltrim(bin(n - 1), '0'))) AS INT) AS bits FROM d),
+walk AS ({once("SELECT id, n, bits, x FROM b")} UNION ALL {once("SELECT id, n, bits, x FROM walk WHERE x >= n")}),
+place AS (SELECT id, CAST(x AS BIGINT) AS p FROM walk WHERE x < n),
+crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+sums AS (SELECT id, CAST(strlen(t) + 1 AS BIGINT) AS size,
+  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc)
+SELECT id AS doc_id, size, text_crc32, 'rows' AS law, CAST(p % {shards} AS INT) AS shard, p // {shards} AS slot, CAST(NULL AS INT) AS grown_shard FROM sums JOIN place USING (id)
+"""
+
+
+SQL["op13_sharding"] = shards_sql()
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
