@@ -158,7 +158,7 @@ def token_candidates(spark, folder):
 
 @query
 def token_candidates_whole(spark, folder):
-    """Of all stores' orphans, with the k of production; no SQL, tests hold it against brute force."""
+    """Of all stores' orphans, with the k of production."""
     m = Market(spark, folder)
     return M.token_candidates(M.unmatched(m.listings, m.matches), m.products)
 
@@ -166,7 +166,7 @@ def token_candidates_whole(spark, folder):
 @query
 def knn_by_label(spark, folder):
     v = X.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), F.col("embedding").alias("vector"))
-    return M.knn(v, v, 5, None, 4).select("query_id", "rank", "pool_id")
+    return M.knn(v, v, 5, None).select("query_id", "rank", "pool_id")
 
 
 @query

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions import normalise as N
+from shelfscope.operators.neighbours import knn, token_candidates  # noqa: F401  part of matching
 from shelfscope.plans.scratch import written
 
 MATCH = ["listing_id", "product_id", "match_type", "confidence"]
@@ -180,46 +181,6 @@ def match_summary(matches: DataFrame) -> DataFrame:
     return matches.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-def _by_tokens(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, group) and groups (group, brand, token): rows of equal brand and token set are one group."""
-    rows = df.select(F.col("id").alias(f"{side}_id"), N.norm_brand(F.col("brand")).alias(f"{side}_brand"), F.sort_array(F.array_distinct(N.title_tokens(F.col("title")))).alias("tokens")).where(F.size("tokens") > 0)
-    rows = written(rows.withColumn(f"{side}_group", F.sha2(F.to_json(F.struct(F.col(f"{side}_brand"), "tokens")), 256)), f"{side}_tokens")
-    groups = rows.select(f"{side}_group", f"{side}_brand", "tokens").dropDuplicates([f"{side}_group"])
-    return rows.select(f"{side}_id", f"{side}_group"), groups.select(f"{side}_group", f"{side}_brand", F.explode("tokens").alias("token"))
-
-
-def token_candidates(listings: DataFrame, products: DataFrame, k: int = 40, least: int = 2) -> DataFrame:
-    """Products that share title tokens with a listing and do not contradict its brand; the best k per listing. Ids are
-    unique on both sides.
-
-    Tokens are joined between groups of equal brand and token set. Of a group of products no more than its k lowest ids
-    can be among the best k of a listing, so only these are ranked.
-    """
-    (l_rows, l), (p_rows, p) = _by_tokens(listings, "listing"), _by_tokens(products, "product")  # noqa: E741
-    agreeing = "listing_brand IS NULL OR product_brand IS NULL OR listing_brand = product_brand"
-    counted = l.join(p, "token").where(agreeing).groupBy("listing_group", "product_group").agg(F.count("*").cast("long").alias("shared")).where(F.col("shared") >= least)
-    first = p_rows.withColumn("place", F.row_number().over(Window.partitionBy("product_group").orderBy("product_id"))).where(F.col("place") <= k).drop("place")
-    order = Window.partitionBy("listing_group").orderBy(F.desc("shared"), "product_id")
-    best = counted.join(first, "product_group").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return l_rows.join(best, "listing_group").select("listing_id", "product_id", "shared", "rank")
-
-
-def knn(queries: DataFrame, pool: DataFrame, k: int = 5, floor: float | None = 0.9, salts: int = 1) -> DataFrame:
-    """Nearest pool vectors of each query in its block (id, block, vector on both sides), itself left out.
-
-    The pool side is repeated per salt and the queries are dealt over them, so a large block is several tasks.
-    """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    q = queries.select(F.col("id").alias("query_id"), "block", unit(F.col("vector")).alias("qv"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
-    p = pool.select(F.col("id").alias("pool_id"), "block", unit(F.col("vector")).alias("pv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    dot = F.aggregate(F.zip_with("qv", "pv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = q.join(p, ["block", "salt"]).where("query_id <> pool_id").select("query_id", "pool_id", F.bround(dot, 6).alias("score"))
-    if floor is not None:
-        scored = scored.where(F.col("score") >= floor)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pool_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def match_exact_title(rows: DataFrame, products: DataFrame) -> DataFrame:
     """Rows (id, title) whose normal title is that of exactly one product."""
     p = products.select(F.col("id").alias("product_id"), N.norm_title(F.col("title")).alias("t")).groupBy("t").agg(F.min("product_id").alias("product_id"), F.count("*").alias("n")).where("n = 1")

@@ -158,6 +158,13 @@ ORACLES = {
       w AS (SELECT k, lid, pid, nbrand, unnest(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]{{3,}}'), lambda w: NOT regexp_matches(w, '^[0-9]+$')))) AS token FROM tk),
       s AS (SELECT a.lid AS listing_id, b.pid AS product_id, count(*) AS shared FROM w a JOIN w b ON a.token = b.token AND a.k = 'l' AND b.k = 'p' WHERE a.nbrand IS NULL OR b.nbrand IS NULL OR a.nbrand = b.nbrand GROUP BY ALL HAVING count(*) >= 2)
       SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY shared DESC, product_id) AS rank FROM s QUALIFY rank <= 5""",
+    "token_candidates_whole": f"""{MATCHED}, tk AS (SELECT 'l' AS k, id AS lid, NULL AS pid, nbrand, title FROM nl WHERE id NOT IN (SELECT listing_id FROM m) UNION ALL SELECT 'p', NULL, id, nbrand, title FROM np),
+      t AS (SELECT k, lid, pid, nbrand, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]{{3,}}'), lambda w: NOT regexp_matches(w, '^[0-9]+$')))) AS tokens FROM tk),
+      g AS (SELECT nbrand, tokens, row_number() OVER () AS g FROM (SELECT DISTINCT nbrand, tokens FROM t WHERE k = 'l')),
+      w AS (SELECT g, nbrand, unnest(tokens) AS token FROM g), v AS (SELECT pid, nbrand, unnest(tokens) AS token FROM t WHERE k = 'p'),
+      s AS (SELECT g, pid, count(*) AS shared FROM w JOIN v ON w.token = v.token WHERE w.nbrand IS NULL OR v.nbrand IS NULL OR w.nbrand = v.nbrand GROUP BY ALL HAVING count(*) >= 2),
+      r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY shared DESC, pid) AS rank FROM s QUALIFY rank <= 40)
+      SELECT t.lid AS listing_id, r.pid AS product_id, r.shared, r.rank FROM t JOIN g ON t.k = 'l' AND t.nbrand IS NOT DISTINCT FROM g.nbrand AND t.tokens = g.tokens JOIN r USING (g)""",
     "knn_by_label": """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS v FROM embeddings),
       s AS (SELECT a.vec_id AS query_id, b.vec_id AS pool_id, round_even(list_dot_product(a.v, b.v), 6) AS score FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id)
       SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_id) AS rank, pool_id FROM s QUALIFY rank <= 5""",
