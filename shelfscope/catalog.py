@@ -569,6 +569,29 @@ def matching_run(spark, folder):
     return M.run_matching(m.listings, m.products, of_even_stores(m))[0].groupBy("match_type", "status").agg(F.count("*").alias("n"))
 
 
+@query
+def matching_phases(spark, folder):
+    """A run over all listings, some of whose barcodes no product has: these become products, which the layers then see."""
+    m = Market(spark, folder)
+    return M.run_matching(m.listings, some_barcodes_unknown(m.products))[0].select(*M.MATCH)
+
+
+@query
+def matching_counts(spark, folder):
+    """How many listings each phase of that run matches or skips."""
+    m = Market(spark, folder)
+    return M.run_counts(m.listings, M.run_matching(m.listings, some_barcodes_unknown(m.products))[0])
+
+
+@query
+def ean_claims(spark, folder):
+    """Claims of barcodes on the products that listings of equal part number have: a row per listing, in the order of ids."""
+    m = Market(spark, folder)
+    rows = m.matches.join(m.listings.select(F.col("id").alias("listing_id"), "title"), "listing_id")
+    rows = rows.select(F.col("listing_id").alias("id"), F.concat(F.lit("4"), F.lpad((F.crc32("title") % 997).cast("string"), 12, "0")).alias("ean"), "product_id")
+    return M.resolve_claims(rows).groupBy("claim").agg(F.count("*").alias("n"), F.count_distinct("ean").alias("eans"))
+
+
 @query
 def matching_pool(spark, folder):
     """Products and unmatched listings as one pool, by kind and brand."""

@@ -339,26 +339,38 @@ def run_matching(
     listings: DataFrame,
     products: DataFrame,
     matches: DataFrame | None = None,
-    vectors: DataFrame | None = None,
+    vectors: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     answers: Callable[[pd.Series, pd.Series], pd.Series] | None = None,
     force: bool = False,
     vectors_only: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """One run over the listings that have no match yet (force: over all): new matches with status and similarity, and new
-    products.
+    products. The phases feed each other.
 
-    The layers come first (not with vectors_only). With vectors (kind, id, vector) and a verifier, listings left that have a
-    brand are held against the products and the other listings of it; a hit between listings gives both one product.
-    Listings that are still left and have an EAN get the product derived from it (not with vectors_only).
+    Barcodes come first: every listing with an EAN gets the product of it, which is derived if there is none, and derived
+    products join the catalogue. Then the layers, over the listings without EAN. (Both are left out with vectors_only.)
+    With vectors (kind, id, vector, or a function that adds `vector` to a pool of id, brand, mpn, ean, title) and a verifier,
+    listings left that have a brand are held against the products and the other listings of it; a hit between listings gives
+    both one product. Listings without EAN that nothing reaches stay without a match.
     """
     none = F.lit(None).cast("double").alias("similarity")
     todo = listings if force or matches is None else unmatched(listings, matches)
-    found = layered_match(todo, products) if not vectors_only else layered_match(todo.limit(0), products.limit(0))
+    columns = ["id", "sku", "brand", "mpn", "ean", "title", "price_eur"]
+    if vectors_only:
+        found, new = layered_match(todo.limit(0), products.limit(0)), None
+    else:
+        by_ean, new = ean_phase(todo, products)
+        new = written(new.withColumn("id", F.col("id").cast(products.schema["id"].dataType)).select(*columns), "run-derived")
+        products = products.unionByName(new.select(*(c for c in columns if c in products.columns)), allowMissingColumns=True)
+        found = by_ean.unionByName(layered_match(todo.where(N.norm_ean(F.col("ean")).isNull()), products))
     found = written(found.select(*MATCH, "status", none), "run-layers")
     made = None
     if answers is not None and vectors is not None:
         pool = pooled(products, unmatched(todo, found)).where("block IS NOT NULL")
-        pool = pool.join(vectors.select(F.struct("kind", F.col("id").cast("string").alias("id")).alias("id"), "vector"), "id")
+        if callable(vectors):
+            pool = written(vectors(pool), "run-vectors-of-pool")
+        else:
+            pool = pool.join(vectors.select(F.struct("kind", F.col("id").cast("string").alias("id")).alias("id"), "vector"), "id")
         hits = written(fuzzy_match(pool.where("id.kind = 'listing'"), pool, answers), "run-vectors")
         sure = [F.lit("vector_llm").alias("match_type"), F.col("similarity").cast("decimal(3,2)").alias("confidence"), "status", "similarity"]
         own = lambda end, of, name: F.col(f"{end}.id").cast(of.schema["id"].dataType).alias(name)
@@ -370,14 +382,29 @@ def run_matching(
         found = found.unionByName(direct).unionByName(shared)
         known = products.select(F.col("id").alias("product_id"))
         row = F.struct(*(c for c in ("brand", "mpn", "title", "price_eur")), N.norm_ean(F.col("ean")).alias("ean"), F.col("id"))
-        new = shared.join(known, "product_id", "left_anti").join(todo.withColumn("r", row).select(F.col("id").alias("listing_id"), "r"), "listing_id")
-        new = new.groupBy("product_id").agg(F.min_by("r", "r.id").alias("r"))
+        born = shared.join(known, "product_id", "left_anti").join(todo.withColumn("r", row).select(F.col("id").alias("listing_id"), "r"), "listing_id")
+        born = born.groupBy("product_id").agg(F.min_by("r", "r.id").alias("r"))
         sku = N.derive_sku(F.col("r.ean"), N.norm_brand(F.col("r.brand")), N.norm_mpn(F.col("r.mpn")), F.col("r.title"))
-        made = new.select(F.col("product_id").alias("id"), sku.alias("sku"), "r.brand", "r.mpn", "r.ean", "r.title", "r.price_eur")
-    left = unmatched(todo, found)
-    derived, new = ean_phase(left.limit(0) if vectors_only else left, products)
-    derived = derived.withColumn("match_type", F.lit("derived_ean")).select(*MATCH, "status", none)
-    return found.unionByName(derived), new.unionByName(made) if made is not None else new
+        made = born.select(F.col("product_id").alias("id"), sku.alias("sku"), "r.brand", "r.mpn", "r.ean", "r.title", "r.price_eur")
+    if new is None:
+        new = made if made is not None else ean_phase(todo.limit(0), products)[1].select(*columns)
+    elif made is not None:
+        new = new.unionByName(made)
+    return found, new
+
+
+def run_counts(todo: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: how many of the listings of a run each phase has matched, and how many it has skipped."""
+    t, vector = F.col("match_type"), F.col("match_type").startswith("vector")
+    n = lambda hit: F.count_if(hit)
+    sums = found.agg(
+        n((t.contains("exact") | t.contains("ean")) & ~vector).alias("exact"),
+        n(t.startswith("regex") & ~t.contains("ean") | (t == "mpn_no_brand")).alias("regex"),
+        n(vector & (F.col("status") == "approved")).alias("vector_llm"),
+        n(vector & (F.col("status") == "pending")).alias("pending"),
+        F.count_distinct("listing_id").alias("__matched"),
+    )
+    return sums.crossJoin(todo.agg(F.count("*").alias("__all"))).withColumn("skipped", F.col("__all") - F.col("__matched")).drop("__matched", "__all")
 
 
 def strict_accept(candidates: DataFrame, least: float = 0.93, margin: float = 0.05) -> DataFrame:
@@ -412,13 +439,43 @@ def enrich_eans(rows: DataFrame, products: DataFrame, candidates: DataFrame, ver
 
 
 def resolve_claims(matched: DataFrame) -> DataFrame:
-    """Marks conflicts of rows (id, ean, product_id): an EAN that claims several products, then a product that several of
-    the other EANs claim and that an earlier one (by the place of its last row) has."""
-    of_ean = matched.where("product_id IS NOT NULL").groupBy(F.col("ean").alias("e")).agg(F.count_distinct("product_id").alias("n"), F.max("id").alias("decided"), F.min("product_id").alias("p"))
-    first = of_ean.where("n = 1").groupBy(F.col("p").alias("claimed")).agg(F.min(F.struct("decided", "e")).alias("first"))
-    out = matched.join(of_ean, matched["ean"] == of_ean["e"], "left").join(first, matched["product_id"] == first["claimed"], "left")
-    state = F.when(F.col("product_id").isNull(), "none").when(F.col("n") > 1, "duplicate_ean_conflict").when(F.col("first.e") != F.col("ean"), "product_conflict").otherwise("ok")
-    return out.select("id", "ean", "product_id", state.alias("claim"))
+    """id, ean, product_id, claim of rows (id, ean, product_id) that come in the order of their ids. An EAN is settled at its
+    last row and may claim one product.
+
+    A row does not count for its EAN (product_conflict) if another EAN settled before it has the product. If the rows that
+    count name several products, the EAN is a duplicate_ean_conflict in all its rows; if they name one that another EAN has,
+    a product_conflict in all; else it claims that one, and its rows are ok. Rows without a product are none, as are those
+    without an EAN, which claim nothing. An EAN depends on earlier ones of its products alone, so each round settles every EAN
+    that has no earlier open one beside it; rounds end with the longest chain of such neighbours.
+    """
+    rows = written(matched.select("id", "ean", "product_id"), "claim-rows")
+    last = rows.where("ean IS NOT NULL").groupBy(F.col("ean").alias("e")).agg(F.max("id").alias("settled"))
+    open_ = rows.where("ean IS NOT NULL AND product_id IS NOT NULL").join(last, F.col("ean") == F.col("e")).select("id", "ean", "product_id", "settled")
+    open_, done = written(open_, "claims-open"), None
+    kinds = f"product_id {dict(open_.dtypes)['product_id']}, by_ean string, at {dict(open_.dtypes)['id']}"
+    claims = rows.sparkSession.createDataFrame([], kinds)
+    while open_.take(1):
+        first = open_.groupBy("product_id").agg(F.min("settled").alias("first"))
+        ready = open_.join(first, "product_id").groupBy(F.col("ean").alias("e")).agg(F.max(F.col("first") < F.col("settled")).alias("waits")).where("NOT waits").select("e")
+        ready = written(ready, "claims-ready")
+        now = open_.join(ready, F.col("ean") == F.col("e")).join(claims, "product_id", "left")
+        now = now.withColumn("counts", F.col("at").isNull() | (F.col("at") >= F.col("id")))
+        per_ean = now.groupBy("ean").agg(F.count_distinct(F.when(F.col("counts"), F.col("product_id"))).alias("n"), F.min(F.when(F.col("counts"), F.col("product_id"))).alias("p"), F.first("settled").alias("settled"))
+        per_ean = per_ean.join(claims.select(F.col("product_id").alias("p"), F.lit(True).alias("taken")), "p", "left")
+        kind = F.when(F.col("n") > 1, "duplicate_ean_conflict").when(F.col("taken"), "product_conflict").when(F.col("n") == 1, "ok").otherwise("open")
+        per_ean = written(per_ean.select("ean", "p", "settled", kind.alias("kind")), "claims-settled")
+        mine = now.select("id", "ean", "counts").join(per_ean.select("ean", "kind"), "ean")
+        state = F.when(F.col("kind").isin("ok", "open"), F.when(F.col("counts"), "ok").otherwise("product_conflict")).otherwise(F.col("kind"))
+        mine = mine.select("id", "ean", "kind", state.alias("claim"))
+        done = written(mine if done is None else done.unionByName(mine), "claims-done")
+        # a product that two EANs would claim in one round cannot be: only the first of its open EANs is ready
+        claims = written(claims.unionByName(per_ean.where("kind = 'ok'").select(F.col("p").alias("product_id"), F.col("ean").alias("by_ean"), F.col("settled").alias("at"))), "claims")
+        open_ = written(open_.join(ready, F.col("ean") == F.col("e"), "left_anti"), "claims-open")
+    if done is None:
+        return rows.withColumn("claim", F.lit("none"))
+    whole = done.where("kind NOT IN ('ok', 'open')").groupBy(F.col("ean").alias("e")).agg(F.first("kind").alias("all_rows"))
+    out = rows.join(done.select("id", "claim"), "id", "left").join(whole, F.col("ean") == F.col("e"), "left")
+    return out.select("id", "ean", "product_id", F.coalesce("claim", "all_rows", F.lit("none")).alias("claim"))
 
 
 def ean_updates(products: DataFrame, updates: DataFrame) -> DataFrame:

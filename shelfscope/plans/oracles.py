@@ -131,6 +131,27 @@ mk AS (SELECT product_ean AS ean, competitor_id AS seller, price_eur, CASE WHEN
 tot AS (SELECT ean, seller, min(CASE WHEN price_eur > 0 THEN price_eur + coalesce(delivery_eur, 0) END) AS total FROM mk GROUP BY ALL)"""
 )
 
+PHASES = (
+    ORPHAN_EANS
+    + f""",
+cat AS (SELECT id, nbrand, nmpn, nean, CASE WHEN id % 3 <> 0 THEN ean END AS ean, title FROM np UNION ALL SELECT pid, r.b, r.m, nean, nean, r.title FROM ids WHERE found IS NULL),
+rest AS (SELECT *, CASE WHEN nbrand IN (SELECT nbrand FROM cat WHERE nbrand IS NOT NULL) THEN nbrand ELSE '' END AS block FROM nl WHERE nean IS NULL),
+c AS (SELECT *, coalesce(nbrand, '') AS block FROM cat),
+hits AS (
+  SELECT l.id AS lid, max(c.id) AS pid, 'exact_mpn' AS t, 1.00 AS c, 2 AS layer FROM rest l JOIN c ON l.nbrand = c.nbrand AND l.nmpn = c.nmpn GROUP BY 1
+  UNION ALL SELECT l.id, max(c.id), 'mpn_no_brand', 0.90, 3 FROM rest l JOIN c ON l.nmpn = c.nmpn WHERE l.nbrand IS NULL GROUP BY 1
+  UNION ALL SELECT a.id, p.id, 'regex_ean_title', 0.93, 4
+    FROM (SELECT *, unnest(list_filter(regexp_extract_all(title, '[0-9]+'), lambda x: length(x) = 13)) AS code FROM rest WHERE ean IS NULL) a JOIN c p ON p.ean = a.code AND p.block = a.block
+  UNION ALL SELECT a.id, p.id, CASE WHEN a.nbrand = p.nbrand THEN 'regex_mpn_title' ELSE 'regex_mpn_no_brand' END,
+      CASE WHEN a.nbrand = p.nbrand THEN 0.90 WHEN a.nbrand IS NULL OR p.nbrand IS NULL THEN 0.78 ELSE 0.72 END, 4
+    FROM (SELECT *, unnest({CODES}) AS code FROM rest WHERE nmpn IS NULL) a JOIN c p ON p.nmpn = a.code AND p.block = a.block
+  UNION ALL SELECT a.id, p.id, CASE WHEN a.nbrand = p.nbrand THEN 'regex_mpn_title' ELSE 'regex_mpn_no_brand' END,
+      CASE WHEN a.nbrand = p.nbrand THEN 0.90 WHEN a.nbrand IS NULL OR p.nbrand IS NULL THEN 0.78 ELSE 0.72 END, 4
+    FROM rest a JOIN (SELECT *, unnest({CODES}) AS code FROM c WHERE nmpn IS NULL) p ON p.code = a.nmpn AND p.block = a.block),
+run AS (SELECT nl.id AS listing_id, pid AS product_id, 'exact_ean' AS match_type, CAST(1 AS DECIMAL(3,2)) AS confidence FROM nl JOIN ids USING (nean)
+  UNION ALL SELECT lid, pid, t, CAST(c AS DECIMAL(3,2)) FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY layer, c DESC, pid) AS n FROM hits) WHERE n = 1)"""
+)
+
 ORACLES = {
     "norm_identifiers": NORMED + r" SELECT id, nbrand, nmpn, nean, trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', ' ', 'g')) AS ntitle, coalesce('derived-ean-' || nean, 'derived-' || coalesce(nbrand, '') || '-' || nmpn, 'derived-title-' || md5(title)) AS sku FROM nl",
     "mpn_candidates": f"{WITH} SELECT id, array_to_string(list_sort({CODES}), ',') AS codes, array_to_string(list_filter(regexp_extract_all(title, '[0-9]+'), lambda x: length(x) = 13), ',') AS eans FROM listings",
@@ -253,6 +274,8 @@ UNION ALL SELECT 's' || id, id, 'sku' FROM np""",
     "run_daily": f"{SNAPSHOTS} SELECT product_id, playbook, suggested_price FROM recs",
     "new_matches": f"{MATCHED} SELECT match_type, count(*) AS n FROM m JOIN listings l ON l.id = m.listing_id WHERE competitor_id IN ('s1', 's3', 's5', 's7', 's9', 's11') GROUP BY 1",
     "matching_run": f"{MATCHED}, r AS (SELECT m.match_type FROM m JOIN listings l ON l.id = m.listing_id WHERE competitor_id IN ('s1', 's3', 's5', 's7', 's9', 's11') UNION ALL SELECT 'derived_ean' FROM nl WHERE nean IS NOT NULL AND id NOT IN (SELECT listing_id FROM m)) SELECT match_type, 'approved' AS status, count(*) AS n FROM r GROUP BY 1",
+    "matching_phases": f"{PHASES} SELECT * FROM run",
+    "matching_counts": f"{PHASES} SELECT count(*) FILTER (match_type IN ('exact_ean', 'exact_mpn', 'regex_ean_title')) AS exact, count(*) FILTER (match_type IN ('mpn_no_brand', 'regex_mpn_title', 'regex_mpn_no_brand')) AS regex, 0 AS vector_llm, 0 AS pending, (SELECT count(*) FROM listings) - count(*) AS skipped FROM run",
     "matching_pool": f"{MATCHED} SELECT 'product' AS kind, nbrand AS block, count(*) AS n, min(CAST(id AS VARCHAR)) AS first FROM np GROUP BY nbrand UNION ALL SELECT 'listing', nbrand, count(*), min(CAST(id AS VARCHAR)) FROM nl WHERE id NOT IN (SELECT listing_id FROM m) GROUP BY nbrand",
     "ean_dry_run": f"{MATCHED} SELECT m.product_id, min(l.ean) AS ean FROM m JOIN listings l ON l.id = m.listing_id JOIN products p ON p.id = m.product_id WHERE l.ean IS NOT NULL AND (p.id % 3 = 0 OR p.ean IS NULL) GROUP BY 1",
     "page_items": r"""SELECT url, nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>\s*([^<]+)', 1)), '') AS title, nullif(regexp_extract(html, '"product_code"\s*:\s*"([^"]*)"', 1), '') AS mpn FROM pages""",

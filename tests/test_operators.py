@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+from collections import Counter, defaultdict
 from decimal import Decimal as Dec
 
 import pytest
@@ -66,6 +68,76 @@ def test_claims(spark):
     assert [r["claim"] for r in M.resolve_claims(rows).orderBy("id").collect()] == ["ok", "product_conflict", "duplicate_ean_conflict", "duplicate_ean_conflict", "none"]
 
 
+def claimed_in_order(rows):
+    """The claims of rows (id, ean, product_id), one after the other."""
+    left = Counter(e for _, e, _ in rows if e)
+    claims, state, seen = {}, {}, defaultdict(list)
+    for i, ean, p in sorted(rows):
+        if not ean:
+            state[i] = "none"
+            continue
+        state[i] = "none" if p is None else "product_conflict" if claims.get(p, ean) != ean else "ok"
+        seen[ean].append((i, p))
+        left[ean] -= 1
+        if left[ean]:
+            continue
+        named = {p for i, p in seen[ean] if state[i] == "ok"}
+        if len(named) > 1:
+            state |= {i: "duplicate_ean_conflict" for i, _ in seen[ean]}
+        elif named and claims.get(min(named), ean) != ean:
+            state |= {i: "product_conflict" for i, _ in seen[ean]}
+        elif named:
+            claims[min(named)] = ean
+    return state
+
+
+@pytest.mark.parametrize("eans, items", [(12, 6), (40, 15)])
+def test_claims_equal_the_loop(spark, eans, items):
+    rng = random.Random(eans)
+    rows = [(i, rng.choice([None, *(f"e{k}" for k in range(eans))]), rng.choice([None, *range(items)])) for i in range(80)]
+    got = {r["id"]: r["claim"] for r in M.resolve_claims(spark.createDataFrame(rows, "id long, ean string, product_id long")).collect()}
+    assert got == claimed_in_order(rows) and (eans == 12 or {"ok", "product_conflict", "duplicate_ean_conflict"} < set(got.values()))
+
+
+def test_a_held_product_does_not_count(spark):
+    """An EAN with the products {held, free} keeps the free one."""
+    rows = [(1, "e1", 10), (2, "e2", 10), (3, "e2", 20), (4, "e3", 20), (5, "e3", 30)]
+    got = [r["claim"] for r in M.resolve_claims(spark.createDataFrame(rows, "id long, ean string, product_id long")).orderBy("id").collect()]
+    assert got == ["ok", "product_conflict", "ok", "product_conflict", "ok"]
+    assert [r["claim"] for r in M.resolve_claims(spark.createDataFrame([(1, "e", None)], "id long, ean string, product_id long")).collect()] == ["none"]
+
+
+def test_barcodes_come_before_part_numbers(spark):
+    row = "id long, brand string, mpn string, ean string, title string, price_eur decimal(10,2)"
+    products = spark.createDataFrame([(1, "Bosch", "GBH18", "4000000000001", "drill", None)], row)
+    listings = spark.createDataFrame([(1, None, "GBH18", "4999999999999", "other drill", None), (2, "Makita", "X77", "4888888888888", "saw", None), (3, "Makita", "X77", None, "saw", None), (4, None, "GBH18", None, "drill", None), (5, None, None, None, "unbranded orphan", None)], row)
+    matches, new = M.run_matching(listings, products)
+    got = {r["listing_id"]: (r["product_id"], r["match_type"]) for r in matches.collect()}
+    born = {r["ean"]: r["id"] for r in new.collect()}
+    assert got[1] == (born["4999999999999"], "exact_ean") and got[2] == (born["4888888888888"], "exact_ean")
+    assert got[3] == (born["4888888888888"], "exact_mpn"), "a derived product takes part in the layers"
+    assert got[4][1] == "mpn_no_brand" and 5 not in got and set(born) == {"4999999999999", "4888888888888"}
+    counts = M.run_counts(listings, matches).first().asDict()
+    assert counts == {"exact": 3, "regex": 1, "vector_llm": 0, "pending": 0, "skipped": 1}
+
+
+def test_a_run_never_asks_about_unbranded_or_lonely_listings(spark):
+    row = "id long, brand string, mpn string, ean string, title string, price_eur decimal(10,2)"
+    products = spark.createDataFrame([(1, None, None, "4003773022022", "known product", None), (2, "Acme", None, None, "Alpha catalogue product", None)], row)
+    listings = spark.createDataFrame([(1, None, None, "4003773022022", "no brand, same barcode", None), (2, "Acme", None, None, "Beta competitor listing", None), (3, None, None, None, "no brand", None)], row)
+
+    def never(prompts, candidates):
+        raise AssertionError("asked")
+
+    def far(pool):
+        return pool.withColumn("vector", F.when(F.col("id.kind") == "product", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+
+    for only in (False, True):
+        matches, new = M.run_matching(listings, products, None, far, never, vectors_only=only)
+        counts = M.run_counts(listings, matches).first().asDict()
+        assert counts == {"exact": int(not only), "regex": 0, "vector_llm": 0, "pending": 0, "skipped": 3 - int(not only)} and new.count() == 0
+
+
 def test_strict_and_verified(spark):
     c = spark.createDataFrame([(1, 7, 0.95, "cobra 250", "cobra 250", None), (1, 8, 0.80, "cobra 250", "x", None), (2, 7, 0.95, "cobra 180", "cobra 250", None), (3, 7, 0.94, "cobra", "cobra", None), (3, 8, 0.92, "cobra", "cobra", None)], "row_id long, product_id long, score double, title string, p_title string, p_mpn string")
     assert [(r["row_id"], r["product_id"]) for r in M.strict_accept(c).collect()] == [(1, 7)]
@@ -95,7 +167,7 @@ def test_matching_runs(spark):
         return {r["listing_id"]: (r["product_id"], r["match_type"], r["status"]) for r in matches.collect()}, {r["id"]: r["title"] for r in new.collect()}
 
     plain, new = run()
-    assert plain[1] == (1, "exact_ean", "approved") and set(plain) == {1, 6} and plain[6][1] == "derived_ean" and new == {plain[6][0]: "e"}
+    assert plain[1] == (1, "exact_ean", "approved") and set(plain) == {1, 6} and plain[6][1] == "exact_ean" and new == {plain[6][0]: "e"}
     both, new = run(vectors=vectors, answers=M.best_similarity)
     assert both[2] == (5, "vector_llm", "approved") and both[3][0] == both[4][0] not in (1, 5) and both[3][2] == "pending"
     assert new == {both[3][0]: "c", both[6][0]: "e"} and set(both) == {1, 2, 3, 4, 6}
