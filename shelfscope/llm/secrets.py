@@ -8,6 +8,7 @@ side, so no text is shuffled, no pairs are emitted and the work grows with the n
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,26 +32,32 @@ ENDPOINT = r"(?i)(?:https?|jdbc|postgres|mysql|mongodb|redis|amqp|ftp)://[A-Za-z
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
+#: Where a match of group 2 of ASSIGN begins in the whole match.
+ASSIGN_HEAD = r"""(?i)^(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+#: Literals, one of which every match of a pattern has, in lower case; looking for them is cheaper than the pattern.
+HINTS = {"assign": ("passw", "secret", "token", "api"), "identifier": ("access", "client", "account", "user", "login")}
+#: Code points of a block of a text that is masked.
+BLOCK = 256
 
-def with_matches(df: DataFrame, text: Column, pattern: str, kind: str, hint: Column, least: int = 0) -> DataFrame:
-    """df with the column __kind: spans (start, place in KINDS, end) of all leftmost, non-overlapping matches where the hint
-    holds; least: length of group 2.
+
+def with_matches(df: DataFrame, pattern: str, kind: str, hint: Column, head: str = "", least: int = 0) -> DataFrame:
+    """df with the column kind: spans (start, place in KINDS, end) of all leftmost, non-overlapping matches in its column t where
+    the hint holds; least: length of what follows head in a match.
 
     The pieces between matches and the matches themselves alternate, so running lengths give code point offsets. They are a
     column of their own, which the sweep reads in chunks.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    long_enough = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else found
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), long_enough.alias("part"))
+    pieces = F.arrays_zip(F.split("t", pattern, -1).alias("gap"), F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("hit"))
 
     def step(at: Column, p: Column) -> tuple[Column, Column, Column]:
         begin = at + F.length(p["gap"])
         end = begin + F.coalesce(F.length(p["hit"]), F.lit(0))
+        long_enough = F.length(F.regexp_replace(p["hit"], head, "")) >= least if least else F.lit(True)
         span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
-        return end, p["hit"].isNotNull() & (F.length(p["part"]) >= least), span
+        return end, p["hit"].isNotNull() & long_enough, span
 
-    df = df.withColumn("__pieces", F.when(hint, pieces))
-    return df.withColumn(f"__{kind}", swept(F.col("__pieces"), F.lit(0), step, SPAN)).drop("__pieces")
+    df = df.withColumn("pieces", F.when(hint, pieces))
+    return df.withColumn(kind, swept(F.col("pieces"), F.lit(0), step, SPAN)).drop("pieces")
 
 
 def swept(rows: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]], kind: str) -> Column:
@@ -69,23 +76,52 @@ def swept(rows: Column, start: Column, step: Callable[[Column, Column], tuple[Co
     return F.when(F.size(rows) > 0, F.aggregate(chunks, F.struct(start.alias("at"), none.alias("out")), outer, lambda s: s["out"])).otherwise(none)
 
 
-def with_reached(df: DataFrame, name: str, points: str, others: str, reach: int, hit: bool = True) -> DataFrame:
-    """df with the column name: the spans of points that lie within reach of one of others at least (or, without hit, of
-    none); -1 asks for an overlap."""
-    mark = lambda spans, own: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(False).alias("hit")))
-    kind = "array<struct<start:int,own:int,kind:int,end:int,hit:boolean>>"
+def with_both_sweeps(df: DataFrame, rows: str, low: Column, high: Column, forth: Callable, back: Callable, kind: str) -> DataFrame:
+    """df whose column rows has been swept forth from low, then back from high; forth and back give (carried on, row). Each sweep
+    reads a column that is there, as an expression would be evaluated for every chunk."""
+    one = lambda step: lambda at, x: (lambda on, row: (on, F.lit(True), row))(*step(at, x))
+    df = df.withColumn(rows, F.reverse(swept(F.col(rows), low, one(forth), kind)))
+    return df.withColumn(rows, swept(F.col(rows), high, one(back), kind))
+
+
+def _span(x: Column, **more: Column) -> Column:
+    return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), *(c.alias(n) for n, c in more.items()))
+
+
+def without_overlaps(df: DataFrame, weak: str, assign: str) -> DataFrame:
+    """df without the spans of weak that overlap one of assign (two sorted arrays of spans, each without overlaps)."""
+    of_assign = lambda x: x["kind"] == KINDS.index("assign")
+
+    def carry(x: Column, at: Column, hit: Column, on: Column) -> tuple[Column, Column]:
+        return F.when(of_assign(x), on).otherwise(at), _span(x, hit=x["hit"] | hit)
+
+    both = (F.size(weak) > 0) & (F.size(assign) > 0)
+    df = df.withColumn("sweep", F.when(both, F.array_sort(F.transform(F.concat(weak, assign), lambda x: _span(x, hit=F.lit(False))))))
+    forth, back = (lambda at, x: carry(x, at, at > x["start"], F.greatest(at, x["end"]))), (lambda at, x: carry(x, at, x["end"] > at, x["start"]))
+    df = with_both_sweeps(df, "sweep", F.lit(-1), F.lit(1 << 30), forth, back, "array<struct<start:int,kind:int,end:int,hit:boolean>>")
+    kept = F.transform(F.filter("sweep", lambda x: ~of_assign(x) & ~x["hit"]), lambda x: _span(x))
+    return df.withColumn(weak, F.when(both, kept).otherwise(F.col(weak))).drop("sweep")
+
 
-    def carry(x: Column, at: Column, hit: Column, on: Column) -> tuple[Column, Column, Column]:
-        value = F.struct(x["start"].alias("start"), x["own"].alias("own"), x["kind"].alias("kind"), x["end"].alias("end"), (x["hit"] | hit).alias("hit"))
-        return F.when(x["own"] == 0, on).otherwise(at), F.lit(True), value
+def with_linked(df: DataFrame, reach: int = REACH) -> DataFrame:
+    """df with linked: the spans of identifier, weak and endpoint whose complements lie within reach. All parts of a text are
+    swept once forth, with the last ends of identifiers and secrets, and once back, with their next starts."""
+    of = lambda x, *kinds: x["kind"].isin(*(KINDS.index(k) for k in kinds))
+    is_id, is_secret = (lambda x: of(x, "access", "identifier")), (lambda x: of(x, "assign", "hex", "weak"))
 
-    both = (F.size(points) > 0) & (F.size(others) > 0)
-    df = df.withColumn("__sweep", F.when(both, F.array_sort(F.concat(mark(points, 1), mark(others, 0)))))
-    df = df.withColumn("__sweep", F.reverse(swept(F.col("__sweep"), F.lit(-(1 << 30)), lambda at, x: carry(x, at, at + reach >= x["start"], F.greatest(at, x["end"])), kind)))
-    df = df.withColumn("__sweep", swept(F.col("__sweep"), F.lit(1 << 30), lambda at, x: carry(x, at, x["end"] + reach >= at, x["start"]), kind))
-    chosen = F.filter("__sweep", lambda x: (x["own"] == 1) & (x["hit"] == hit))
-    spans = F.transform(chosen, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    return df.withColumn(name, F.when(both, spans).otherwise(F.expr(f"cast(array() as {SPAN})") if hit else F.col(points))).drop("__sweep")
+    def step(at: Column, x: Column, near: Callable[[Column], Column], on: Callable[[Column], Column]) -> tuple[Column, Column]:
+        carried = F.struct(F.when(is_id(x), on(at["id"])).otherwise(at["id"]).alias("id"), F.when(is_secret(x), on(at["secret"])).otherwise(at["secret"]).alias("secret"))
+        return carried, _span(x, by_id=x["by_id"] | near(at["id"]), by_secret=x["by_secret"] | near(at["secret"]))
+
+    forth = lambda at, x: step(at, x, lambda a: a + reach >= x["start"], lambda a: F.greatest(a, x["end"]))
+    back = lambda at, x: step(at, x, lambda a: x["end"] + reach >= a, lambda a: x["start"])
+    ends = lambda n: F.struct(F.lit(n).alias("id"), F.lit(n).alias("secret"))
+    ids, secrets = F.size("access") + F.size("identifier") > 0, F.size("assign") + F.size("hex") + F.size("weak") > 0
+    marked = F.transform(F.array_sort(F.concat(*KINDS)), lambda x: _span(x, by_id=F.lit(False), by_secret=F.lit(False)))
+    df = df.withColumn("sweep", F.when(ids & secrets, marked))
+    df = with_both_sweeps(df, "sweep", ends(-(1 << 30)), ends(1 << 30), forth, back, "array<struct<start:int,kind:int,end:int,by_id:boolean,by_secret:boolean>>")
+    hits = F.filter("sweep", lambda x: of(x, "identifier") & x["by_secret"] | of(x, "weak") & x["by_id"] | of(x, "endpoint") & x["by_id"] & x["by_secret"])
+    return df.withColumn("linked", F.when(F.size("sweep") > 0, F.transform(hits, lambda x: _span(x))).otherwise(F.expr(f"cast(array() as {SPAN})"))).drop("sweep")
 
 
 def listed(spans: Column) -> Column:
@@ -94,34 +130,32 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def _scanned(docs: DataFrame) -> DataFrame:
+    """r (the row of docs as a struct, so that no name of it can clash), t (its text, null: empty), base and spans."""
+    df = docs.select(F.struct("*").alias("r"), F.coalesce(F.col("text"), F.lit("")).alias("t")).withColumn("low", F.lower("t"))
+    has = lambda *words: reduce(lambda x, y: x | y, (F.col("low").contains(w) for w in words))
+    sets = F.col("t").contains(":") | F.col("t").contains("=")
+    df = with_matches(df, ASSIGN, "assign", sets & has(*HINTS["assign"]), ASSIGN_HEAD, 8)
+    df = with_matches(df, ACCESS, "access", F.col("t").contains("AKIA"))
+    df = with_matches(df, HEX, "hex", F.col("t").rlike(HEX))
+    df = with_matches(df, IDENTIFIER, "identifier", sets & has(*HINTS["identifier"]))
+    df = with_matches(df, ENDPOINT, "endpoint", F.col("t").contains("://"))
+    # a weak secret needs an identifier or access key, so other texts are not searched for one
+    ids = (F.size("access") > 0) | (F.size("identifier") > 0)
+    df = with_matches(df, WEAK, "weak", ids)
+    df = with_linked(without_overlaps(df, "weak", "assign"))
+    df = df.withColumn("base", F.concat("assign", "access", "hex"))
+    return df.select("r", "t", "base", F.concat("base", "linked").alias("spans"))
+
+
 def scan(docs: DataFrame, base: str = "base", spans: str = "spans") -> DataFrame:
     """docs with the columns base (spans of assign, access and hex) and spans (these and linked parts).
 
     A weak identifier is reported if a secret lies within REACH of it, a weak secret if an identifier or access key
     does, an endpoint if both do. Null texts are empty; empty texts have no spans; repeated rows are scanned each by
-    itself; columns of docs with these two names are replaced; an empty table gives an empty one.
+    itself; columns of docs with these two names are replaced, all others pass through; an empty table gives an empty one.
     """
-    docs = docs.drop(base, spans)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumn("__text", text)
-    t = F.col("__text")
-    df = with_matches(df, t, ASSIGN, "assign", t.rlike(ASSIGN), 8)
-    df = with_matches(df, t, ACCESS, "access", t.contains("AKIA"))
-    df = with_matches(df, t, HEX, "hex", t.rlike(HEX))
-    df = with_matches(df, t, IDENTIFIER, "identifier", t.rlike(IDENTIFIER))
-    df = with_matches(df, t, ENDPOINT, "endpoint", t.contains("://"))
-    # a weak secret needs an identifier or access key, so other texts are not searched for one
-    df = df.withColumn("__ids", F.concat("__access", "__identifier"))
-    df = with_matches(df, t, WEAK, "weak", F.size("__ids") > 0)
-    df = with_reached(df, "__weak", "__weak", "__assign", -1, hit=False)
-    df = df.withColumn("__secrets", F.concat("__assign", "__hex", "__weak"))
-    df = with_reached(df, "__linked_identifier", "__identifier", "__secrets", REACH)
-    df = with_reached(df, "__linked_weak", "__weak", "__ids", REACH)
-    df = with_reached(df, "__with_id", "__endpoint", "__ids", REACH)
-    df = with_reached(df, "__linked_endpoint", "__with_id", "__secrets", REACH)
-    df = df.withColumn(base, F.concat("__assign", "__access", "__hex"))
-    df = df.withColumn(spans, F.concat(base, "__linked_identifier", "__linked_weak", "__linked_endpoint"))
-    return df.select(*docs.columns, base, spans)
+    return _scanned(docs.drop(base, spans)).select("r.*", F.col("base").alias(base), F.col("spans").alias(spans))
 
 
 def scan_digest(docs: DataFrame) -> DataFrame:
@@ -133,16 +167,31 @@ def scan_digest(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span of the scan replaced by mask; overlapping spans count as one. Nulls stay null."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, span: Column) -> Column:
-        more = F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1, span["start"] - s["at"]), F.lit(mask))
-        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.when(span["start"] >= s["at"], more).otherwise(s["out"]).alias("out"))
-
-    clean = F.aggregate(F.array_sort("__spans"), start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1)))
-    hit = F.size("__spans") > 0
-    out = scan(docs, "__base", "__spans").withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
+    """docs with every span of the scan replaced by mask; overlapping spans count as one. Nulls stay null, empty texts and texts
+    without spans as they are; repeated rows are masked each by itself; all columns pass through, n_chars as the new length
+    where a text changes; an empty table gives an empty one.
+
+    A text is cut into blocks once, and what lies between spans is put together from these, so the work grows with the text
+    and its spans, not with their product."""
+    df = _scanned(docs).withColumn("spans", F.array_sort("spans")).withColumn("hit", F.size("spans") > 0)
+    ends = F.array(F.struct(F.length("t").alias("start"), F.lit(0).alias("kind"), F.length("t").alias("end")))
+
+    def gap(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        return F.greatest(at, x["end"]), x["start"] >= at, F.struct(at.alias("start"), (x["start"] - at).alias("n"))
+
+    df = df.withColumn("rows", F.when(F.col("hit"), F.concat("spans", ends)))
+    df = df.withColumn("gaps", swept(F.col("rows"), F.lit(0), gap, "array<struct<start:int,n:int>>"))
+    df = df.withColumn("blocks", F.when(F.col("hit"), F.regexp_extract_all("t", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+
+    def piece(g: Column) -> Column:
+        first = F.floor(g["start"] / BLOCK).cast("int")
+        n = F.floor((g["start"] + g["n"] - 1) / BLOCK).cast("int") - first + 1
+        joined = F.array_join(F.slice("blocks", first + 1, F.greatest(n, F.lit(0))), "")
+        return F.when(g["n"] > 0, F.substr(joined, g["start"] - first * BLOCK + 1, g["n"])).otherwise(F.lit(""))
+
+    clean = F.when(F.size("blocks") > 0, F.array_join(F.transform("gaps", piece), mask))
+    df = df.withColumn("clean", F.when(F.col("hit"), clean).otherwise(F.col("r.text")))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("hit"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("r.n_chars"))
+    return df.select(*(new.get(c, F.col("r").getField(c)).alias(c) for c in docs.columns))
