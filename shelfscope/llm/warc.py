@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
+from datetime import datetime
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,53 +79,128 @@ def to_arc(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(run, "name string, content binary")
 
 
-def arc_records(name: str, content: bytes) -> Iterator[tuple]:
-    """Rows of RECORD for the records of one ARC file after its version block; raises ValueError where lengths lie."""
-    at, fields = 0, ()
+#: Where an HTTP header ends: servers of the time of ARC closed lines by CRLF, by LF or by either.
+HEADER_END = re.compile(rb"\r?\n\r?\n")
+#: Header lines by version. Urls, types and redirect targets with spaces are told by the address, date and numbers around them.
+ARC_LINES = {
+    1: re.compile(r"(?P<url>.+) (?P<ip>[0-9A-Fa-f.:]+|-) (?P<date>[0-9]{4,14}) (?P<type>.*) (?P<length>[0-9]+)\r?"),
+    2: re.compile(r"(?P<url>.+) (?P<ip>[0-9A-Fa-f.:]+|-) (?P<date>[0-9]{4,14}) (?P<type>.*?) (?P<result>[0-9]+|-) (?P<checksum>\S+) (?P<location>.*) (?P<offset>[0-9]+|-) (?P<filename>.+) (?P<length>[0-9]+)\r?"),
+}
+#: Where the next record may begin after one that cannot be read: a line that starts like a url and ends with a date, more fields and a length.
+NEXT_LINE = re.compile(rb"\n(?=[a-z][a-z0-9+.-]*:[^\n]* [0-9]{8,14} [^\n]*[0-9]+\r?\n)")
+
+
+def http_parts(block: bytes) -> tuple[bytes, bytes]:
+    """HTTP header (lines closed by CRLF, the last one left open) and payload of a record's block. Only what begins with a status
+    line has a header; of other records (dns:, whois:) the block is the payload."""
+    if not block.startswith(b"HTTP/"):
+        return b"", block
+    end = HEADER_END.search(block)
+    head, payload = (block[: end.start()], block[end.end() :]) if end else (block.rstrip(b"\r\n"), b"")
+    return b"\r\n".join(x.rstrip(b"\r") for x in head.split(b"\n")), payload
+
+
+def http_fields(http: bytes) -> dict[str, str]:
+    """Header fields by lower-case name, the first of each; bytes above ASCII are Latin-1."""
+    fields: dict[str, str] = {}
+    for line in http.decode("latin-1").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip())
+    return fields
+
+
+def _arc_record(name: str, content: bytes, at: int, version: int | None) -> tuple[int, int, tuple | None]:
+    """Version, end and row of the record that begins at `at`; no row for a version block."""
+    end = content.find(b"\n", at)
+    if end < 0:
+        raise ValueError(f"{name}: a header line without end at {at}")
+    text = content[at:end].decode("utf-8", "replace")
+    if version is None:
+        if not text.startswith("filedesc:"):
+            raise ValueError(f"{name}: no version block")
+        said = content[end + 1 : end + 20].split(b" ", 1)[0].decode("utf-8", "replace")
+        if not said.isdigit() or int(said) not in ARC_FIELDS:
+            raise ValueError(f"{name}: version {said!r} is unknown")
+        version = int(said)
+    line = ARC_LINES[version].fullmatch(text)
+    if not line:
+        raise ValueError(f"{name}: no header line of version {version} at {at}")
+    head = line.groupdict()
+    begin, at = end + 1, end + 1 + int(head["length"])
+    if at > len(content):
+        raise ValueError(f"{name}: a record of {head['length']} bytes passes the end")
+    # a line end closes a record, but some writers count it as part of the block
+    if content[at : at + 1] not in (b"", b"\n", b"\r") and not (content[at - 1 : at] == b"\n" and ARC_LINES[version].fullmatch(content[at : content.find(b"\n", at)].decode("utf-8", "replace"))):
+        raise ValueError(f"{name}: a record at {begin} does not end after {head['length']} bytes")
+    if head["url"].startswith("filedesc:"):
+        return version, at, None
+    http, payload = http_parts(content[begin:at])
+    number = http_fields(http).get("x-page-id", "")
+    d = head["date"].ljust(14, "0") if len(head["date"]) != 8 else head["date"] + "0" * 6  # seconds or times may be left out
+    try:
+        datetime.strptime(d, "%Y%m%d%H%M%S")
+    except ValueError:
+        raise ValueError(f"{name}: the date {head['date']!r} at {begin}") from None
+    date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+    record = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{begin} {head['url']} {d}")
+    url = quote(head["url"], safe="/:?#[]@!$&'()*+,;=%~")
+    return version, at, (f"urn:uuid:{record}", url, head["ip"], date, head["type"], int(number) if number.isdigit() else None, http, payload, len(payload), digest(payload))
+
+
+def arc_records(name: str, content: bytes, bad: list[tuple] | None = None) -> Iterator[tuple]:
+    """Rows of RECORD for the records of one ARC file after its version block. Records that cannot be read raise ValueError; with
+    a list `bad` they go there as (name, place, error, first bytes) and reading goes on at the next header line."""
+    at, version = 0, None
     while at < len(content):
-        if content[at : at + 1] == b"\n":  # what closes a record
+        if content[at : at + 1] in (b"\n", b"\r"):  # what closes a record
             at += 1
             continue
-        end = content.index(b"\n", at)
-        line = content[at:end].decode("utf-8", "replace").split(" ")
-        if not fields:
-            if not line[0].startswith("filedesc:"):
-                raise ValueError(f"{name}: no version block")
-            said = content[end + 1 : end + 20].split(b" ", 1)[0].decode("utf-8", "replace")
-            if not said.isdigit() or int(said) not in ARC_FIELDS:
-                raise ValueError(f"{name}: version {said!r} is unknown")
-            fields = ARC_FIELDS[int(said)]
-        if len(line) != len(fields):
-            raise ValueError(f"{name}: {len(line)} header fields at {at}, not {len(fields)}")
-        head = dict(zip(fields, line, strict=True))
-        begin, at = end + 1, end + 1 + int(head["length"])
-        if at > len(content):
-            raise ValueError(f"{name}: a record of {head['length']} bytes passes the end")
-        if head["url"].startswith("filedesc:"):
-            continue
-        block = content[begin:at]
-        # only what begins with a status line has an HTTP header; of other records (dns:, whois:) the block is the payload
-        http, _, payload = block.partition(END) if block.startswith(b"HTTP/") else (b"", b"", block)
-        number = next((x[10:].strip() for x in http.split(b"\r\n") if x[:10].lower() == b"x-page-id:"), b"")
-        d = head["date"].ljust(14, "0") if len(head["date"]) != 8 else head["date"] + "0" * 6  # seconds or times may be left out
-        if not (d.isdigit() and len(d) == 14):
-            raise ValueError(f"{name}: the date {head['date']!r} at {begin}")
-        date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-        record = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{begin} {head['url']} {d}")
-        yield f"urn:uuid:{record}", head["url"], head["ip"], date, head["type"], int(number) if number else None, http, payload, len(payload), digest(payload)
+        try:
+            version, at, row = _arc_record(name, content, at, version)
+            if row:
+                yield row
+        except ValueError as e:
+            if bad is None:
+                raise
+            bad.append((name, at, str(e), content[at : at + 200]))
+            there = NEXT_LINE.search(content, at)
+            if version is None or not there:
+                return
+            at = there.end()
 
 
 def read_arc(files: DataFrame) -> DataFrame:
-    """RECORD rows of ARC files (name, content)."""
-    names = [x.split(" ")[0] for x in RECORD.split(", ")]
+    """RECORD rows of ARC files (name, content). A record that cannot be read ends the job; see `read_arc_or_set_aside`."""
+    return read_arc_or_set_aside(files, strict=True).select(*_names(RECORD))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+BAD = "name string, place long, error string, bytes binary"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split(" ")[0] for x in schema.split(", ")]
+
+
+def read_arc_or_set_aside(files: DataFrame, strict: bool = False) -> DataFrame:
+    """RECORD rows of ARC files (name, content), and rows of BAD for records that cannot be read: where they begin, why, and
+    their first bytes. Rows of records have no error, rows of errors no record_id. Null contents and empty files have no rows,
+    a file without a version block is one error."""
+
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(x.split(" ")[0], kinds[x.split(" ")[1]]) for x in f"{RECORD}, {BAD}".split(", ")])
+    n_record, n_bad = len(_names(RECORD)), len(_names(BAD))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["name"], batch["content"], strict=True):
-                out = pd.DataFrame(list(arc_records(name, content)), columns=names)
-                yield out.astype({"page_id": "Int64"})
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                bad: list[tuple] = []
+                rows = [(*r, *[None] * n_bad) for r in arc_records(name, content.as_py() or b"", None if strict else bad)]
+                rows += [(*[None] * n_record, *r) for r in bad]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return files.mapInPandas(run, RECORD)
+    return files.select("name", "content").mapInArrow(run, f"{RECORD}, {BAD}")
 
 
 # --- WARC ------------------------------------------------------------------------------------------------------------
@@ -161,7 +239,7 @@ def warc_record(r) -> bytes:
         f"Content-Type: {r.type}" if plain else "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{r.refers_to}>", f"WARC-Refers-To-Target-URI: {r.refers_url}", f"WARC-Refers-To-Date: {r.refers_date}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{r.refers_to}>", f"WARC-Refers-To-Target-URI: {r.refers_url}", f"WARC-Refers-To-Date: {r.refers_date}", f"X-Payload-Length: {r.payload_bytes}"]
     return "\r\n".join([*head, f"Content-Length: {len(block)}"]).encode() + END + block
 
 
@@ -209,13 +287,14 @@ def warc_rows(lines: Iterator[bytes]) -> Iterator[tuple]:
             need = 0
             if head["WARC-Type"] in ("response", "revisit", "resource"):
                 http, _, payload = block.partition(END) if head["WARC-Type"] != "resource" else (b"", b"", block)
-                http_head = dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:] if ": " in x)
+                http_head = http_fields(http)
                 said = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 if head["WARC-Type"] != "revisit" and digest(payload) != said:
                     raise ValueError(f"{head['WARC-Record-ID']}: the payload does not match its digest")
-                number = http_head.get("X-Page-Id", "").strip()
-                size = len(payload) if head["WARC-Type"] != "revisit" else int(http_head["Content-Length"])
-                yield head["WARC-Type"], head["WARC-Record-ID"][1:-1], head.get("WARC-Refers-To", "<>")[1:-1] or None, int(number) if number else None, size, said
+                number, size = http_head.get("x-page-id", ""), str(len(payload))
+                if head["WARC-Type"] == "revisit":  # its own record says how long the payload is; other writers leave that to the header
+                    size = head.get("X-Payload-Length", http_head.get("content-length", ""))
+                yield head["WARC-Type"], head["WARC-Record-ID"][1:-1], head.get("WARC-Refers-To", "<>")[1:-1] or None, int(number) if number.isdigit() else None, int(size) if size.isdigit() else None, said
             if not held:
                 break
     if held:
@@ -235,10 +314,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for row in warc_rows(line for batch in batches for line in batch["value"]):
             rows.append(row)
             if len(rows) == 2000:
-                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64"})
+                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64"})
                 rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64"})
+            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64"})
 
     return lines.mapInPandas(run, "record_type string, record_id string, refers_to string, page_id long, payload_bytes long, payload_digest string")
 
