@@ -277,7 +277,7 @@ def top_overlaps(spark, folder):
 
 @query
 def overlap_nodes(spark, folder):
-    return A.overlap_nodes(Market(spark, folder).offers).drop("partners")
+    return A.overlap_nodes(Market(spark, folder).offers)
 
 
 @query
@@ -332,7 +332,7 @@ def opportunities(spark, folder):
 
 @query
 def price_tiles(spark, folder):
-    return A.price_tiles(Market(spark, folder).matched, OWN).drop("stores", "title")
+    return A.price_tiles(Market(spark, folder).matched, OWN)
 
 
 @query
@@ -386,7 +386,7 @@ def delivery_quartiles(spark, folder):
 def wide_prices(spark, folder):
     m = Market(spark, folder)
     wide = files.wide_prices(R.latest_prices(m.matched, DATES[1]), m.products, X.STORES, OWN)
-    return wide.select("id", "sku", *(F.col(f"{s}_price") for s in X.STORES))
+    return wide.select("id", "sku", *(F.col(f"{s}_{k}") for s in X.STORES for k in ("price", "url")))
 
 
 # --- merges, pages, search -------------------------------------------------------------------------------------------
@@ -540,7 +540,7 @@ def own_products(spark, folder):
     """Catalogue without barcodes, refreshed from our own listings."""
     m = Market(spark, folder)
     out = U.upsert_products_from_own(m.products.withColumn("ean", F.lit(None).cast("string")), m.listings.where(F.col("competitor_id") == X.OWN))
-    return out.select("id", "ean", "price_eur").where("id < 1000000000")
+    return out.select("sku", "ean", "price_eur")
 
 
 @query

@@ -260,33 +260,60 @@ def best_similarity(prompt: pd.Series, candidates: pd.Series) -> pd.Series:
     return pd.Series([f'{{"match_index": 1, "confidence": {c[0]["score"]:.4f}}}' if len(c) else "" for c in candidates])
 
 
-def verify(candidates: DataFrame, answers: Callable[[pd.Series, pd.Series], pd.Series] = best_similarity, least: float = 0.81) -> DataFrame:
-    """One row per listing (listing_id, prompt, candidates: array of structs with pool_id and score, best first) in, the
-    accepted candidate (listing_id, pool_id, similarity, llm_confidence) out. answers maps prompts and candidates to
-    answer texts; a failing batch counts as no verdict."""
+def verdicts(candidates: DataFrame, answers: Callable[[pd.Series, pd.Series], pd.Series] = best_similarity, least: float = 0.81, tries: int = 3) -> DataFrame:
+    """A row per listing (listing_id, prompt, candidates: array of structs with pool_id and score, best first) asked about:
+    listing_id, pool_id, similarity, llm_confidence of the accepted candidate (nulls: none), error and tries.
+
+    answers maps the prompts and candidates of a batch to answer texts. A batch that fails is asked again, `tries` times in
+    all; then its rows have the last error and no verdict. Every row is written once, so that no listing is asked about twice.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                said = answers(batch["prompt"], batch["candidates"])
-            except Exception:  # noqa: BLE001  the verifier is the caller's; no verdict then
-                said = pd.Series([None] * len(batch))
-            yield pd.DataFrame({"listing_id": batch["listing_id"], "answer": said.values})
+            said, error, n = pd.Series([None] * len(batch), dtype=object), None, 0
+            while n < tries:
+                n += 1
+                try:
+                    got = answers(batch["prompt"], batch["candidates"])
+                    if len(got) != len(batch):
+                        raise ValueError(f"{len(got)} answers to {len(batch)} prompts")
+                    said, error = pd.Series(list(got), dtype=object), None
+                    break
+                except Exception as e:  # noqa: BLE001  the verifier is the caller's; its failure is a column
+                    error = f"{type(e).__name__}: {e}"
+            yield pd.DataFrame({"listing_id": batch["listing_id"], "answer": said.values, "error": pd.Series([error] * len(batch), dtype=object), "tries": n})
 
     kind = candidates.schema["listing_id"].dataType.simpleString()
-    said = candidates.select("listing_id", "prompt", "candidates").mapInPandas(run, f"listing_id {kind}, answer string")
-    both = candidates.join(said, "listing_id").withColumn("v", N.parse_verdict(F.col("answer"), F.size("candidates"), least)).where("v IS NOT NULL")
-    chosen = F.element_at("candidates", F.col("v.match_index"))
-    return both.select("listing_id", chosen["pool_id"].alias("pool_id"), F.bround(chosen["score"], 3).alias("similarity"), F.col("v.confidence").alias("llm_confidence"))
+    said = written(candidates.select("listing_id", "prompt", "candidates").mapInPandas(run, f"listing_id {kind}, answer string, error string, tries int"), "verdicts")
+    both = candidates.join(said, "listing_id").withColumn("v", N.parse_verdict(F.col("answer"), F.size("candidates"), least))
+    chosen = F.element_at("candidates", F.coalesce("v.match_index", F.lit(1)))
+    given = lambda c: F.when(F.col("v").isNotNull(), c)
+    return both.select("listing_id", given(chosen["pool_id"]).alias("pool_id"), given(F.bround(chosen["score"], 3)).alias("similarity"), F.col("v.confidence").alias("llm_confidence"), "error", "tries")
 
 
-def fuzzy_match(orphans: DataFrame, pool: DataFrame, answers: Callable[[pd.Series, pd.Series], pd.Series] = best_similarity, k: int = 5, floor: float = 0.9, auto: float = 0.96) -> DataFrame:
-    """Vector candidates within a brand, verified. orphans and pool: id, block, vector, brand, mpn, ean, title."""
+def verdict_counts(rows: DataFrame) -> DataFrame:
+    """One row: listings asked about, accepted, rejected and failed, and tries beyond the first."""
+    ok = F.col("pool_id").isNotNull()
+    return rows.agg(F.count("*").alias("asked"), F.count_if(ok).alias("accepted"), F.count_if(~ok & F.col("error").isNull()).alias("rejected"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.coalesce(F.sum(F.col("tries") - 1), F.lit(0)).alias("retries"))
+
+
+def verify(candidates: DataFrame, answers: Callable[[pd.Series, pd.Series], pd.Series] = best_similarity, least: float = 0.81) -> DataFrame:
+    """The accepted candidates of `verdicts`: listing_id, pool_id, similarity, llm_confidence."""
+    return verdicts(candidates, answers, least).where("pool_id IS NOT NULL").drop("error", "tries")
+
+
+def fuzzy_candidates(orphans: DataFrame, pool: DataFrame, k: int = 5, floor: float = 0.9) -> DataFrame:
+    """listing_id, prompt, candidates of the orphans that have vector candidates within their brand. orphans and pool: id, block,
+    vector, brand, mpn, ean, title."""
     near = knn(orphans, pool, k, floor)
     text = pool.select(F.col("id").alias("pool_id"), F.struct("brand", "mpn", "ean", "title").alias("r"))
     found = near.join(text, "pool_id").groupBy(F.col("query_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "pool_id", "score", "r"))).alias("candidates"))
-    rows = orphans.join(found, "id").select(F.col("id").alias("listing_id"), N.match_prompt(F.struct("brand", "mpn", "ean", "title"), F.transform("candidates", lambda c: c["r"])).alias("prompt"), F.transform("candidates", lambda c: F.struct(c["pool_id"].alias("pool_id"), c["score"].alias("score"))).alias("candidates"))
-    hits = verify(rows, answers)
+    return orphans.join(found, "id").select(F.col("id").alias("listing_id"), N.match_prompt(F.struct("brand", "mpn", "ean", "title"), F.transform("candidates", lambda c: c["r"])).alias("prompt"), F.transform("candidates", lambda c: F.struct(c["pool_id"].alias("pool_id"), c["score"].alias("score"))).alias("candidates"))
+
+
+def fuzzy_match(orphans: DataFrame, pool: DataFrame, answers: Callable[[pd.Series, pd.Series], pd.Series] = best_similarity, k: int = 5, floor: float = 0.9, auto: float = 0.96) -> DataFrame:
+    """Vector candidates within a brand, verified."""
+    hits = verify(fuzzy_candidates(orphans, pool, k, floor), answers)
     return hits.withColumn("match_type", F.lit("vector_llm")).withColumn("status", F.when(F.col("similarity") >= auto, "approved").otherwise("pending"))
 
 

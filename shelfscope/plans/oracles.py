@@ -171,6 +171,21 @@ ORACLES = {
       UNION ALL SELECT a.id, CASE WHEN a.nbrand = p.nbrand THEN 'regex_mpn_title' ELSE 'regex_mpn_no_brand' END, CASE WHEN a.nbrand = p.nbrand THEN 0.90 WHEN a.nbrand IS NULL OR p.nbrand IS NULL THEN 0.78 ELSE 0.72 END, 4
         FROM (SELECT *, unnest({CODES}) AS code FROM nl WHERE nmpn IS NULL) a JOIN np p ON p.nmpn = a.code)
       SELECT t AS match_type, CAST(c AS DECIMAL(3,2)) AS confidence, count(*) AS n FROM (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY lid ORDER BY c DESC, layer) = 1) GROUP BY ALL""",
+    "upsert_matches": f"""{MATCHED}, odd AS (SELECT * FROM nl WHERE competitor_id IN ('s1', 's3', 's5', 's7', 's9', 's11')), open_hits AS (
+      SELECT nl.id AS lid, max(np.id) AS pid, 'exact_ean' AS t, 1.00 AS c, 1 AS layer FROM odd nl JOIN np ON nl.nean = np.nean GROUP BY 1
+      UNION ALL SELECT nl.id, max(np.id), 'exact_mpn', 1.00, 2 FROM odd nl JOIN np ON nl.nbrand = np.nbrand AND nl.nmpn = np.nmpn GROUP BY 1
+      UNION ALL SELECT nl.id, max(np.id), 'mpn_no_brand', 0.90, 3 FROM odd nl JOIN np ON nl.nmpn = np.nmpn WHERE nl.nbrand IS NULL GROUP BY 1
+      UNION ALL SELECT a.id, p.id, 'regex_ean_title', 0.93, 4 FROM (SELECT *, unnest(list_filter(regexp_extract_all(title, '[0-9]+'), lambda x: length(x) = 13)) AS code FROM odd WHERE ean IS NULL) a JOIN np p ON p.ean = a.code
+      UNION ALL SELECT a.id, p.id, CASE WHEN a.nbrand = p.nbrand THEN 'regex_mpn_title' ELSE 'regex_mpn_no_brand' END, CASE WHEN a.nbrand = p.nbrand THEN 0.90 WHEN a.nbrand IS NULL OR p.nbrand IS NULL THEN 0.78 ELSE 0.72 END, 4
+        FROM (SELECT *, unnest({CODES}) AS code FROM odd WHERE nmpn IS NULL) a JOIN np p ON p.nmpn = a.code),
+      u AS (SELECT lid, pid, t FROM open_hits QUALIFY row_number() OVER (PARTITION BY lid ORDER BY c DESC, layer, pid, t) = 1),
+      r AS (SELECT t AS match_type FROM u UNION ALL SELECT match_type FROM m WHERE listing_id NOT IN (SELECT lid FROM u)) SELECT match_type, count(*) AS n FROM r GROUP BY 1""",
+    "own_products": f"""{NORMED}, bare AS (SELECT * FROM np), l AS (SELECT *, lower(title) AS t FROM nl WHERE competitor_id = 's0'),
+      by_code AS (SELECT nbrand, nmpn, max(id) AS p2 FROM bare WHERE nbrand IS NOT NULL AND nmpn IS NOT NULL GROUP BY ALL), by_title AS (SELECT lower(title) AS t, max(id) AS p3 FROM bare GROUP BY 1),
+      f AS (SELECT l.*, coalesce(p2, p3) AS found FROM l LEFT JOIN by_code USING (nbrand, nmpn) LEFT JOIN by_title USING (t)),
+      known AS (SELECT found, arg_max({{'ean': nean, 'price': price_eur}}, (scraped_at, id)) AS r FROM f WHERE found IS NOT NULL GROUP BY 1),
+      fresh AS (SELECT coalesce(nean, concat_ws('|', nbrand, nmpn, t)) AS k, arg_max({{'ean': nean, 'price': price_eur}}, (scraped_at, id)) AS r FROM f WHERE found IS NULL GROUP BY 1)
+      SELECT sku, r.ean AS ean, coalesce(r.price, price_eur) AS price_eur FROM bare LEFT JOIN known ON found = bare.id UNION ALL SELECT 'derived-' || md5(k), r.ean, r.price FROM fresh""",
     "match_summary": f"{MATCHED} SELECT CASE WHEN match_type LIKE '%exact%' OR match_type LIKE '%ean%' THEN 'exact' ELSE 'regex' END AS kind, count(*) AS n FROM m GROUP BY 1",
     "ean_phase": f"{ORPHAN_EANS} SELECT nl.id AS listing_id, pid AS product_id, 'exact_ean' AS match_type, CAST(1 AS DECIMAL(3,2)) AS confidence, 'approved' AS status FROM nl JOIN ids USING (nean)",
     "derived_products": f"{ORPHAN_EANS} SELECT pid AS id, 'derived-ean-' || nean AS sku, nean AS ean, r.title AS title, r.price AS price_eur FROM ids WHERE found IS NULL",
@@ -209,7 +224,7 @@ ORACLES = {
     "lower_price_rate": f"{MATCHED}{LPR} SELECT store, comparisons, wins, {pct('wins', 'comparisons')} AS rate FROM lpr",
     "store_overlap": f"{OVERLAP} SELECT * FROM ol",
     "top_overlaps": f"{OVERLAP} SELECT * FROM ol ORDER BY shared DESC, rate DESC, a, b LIMIT 8",
-    "overlap_nodes": f"{OVERLAP} SELECT store, products, round_even(0.6 + 1.6 * sqrt(CAST(products AS DOUBLE) / max(products) OVER ()), 6) AS radius, CAST((SELECT count(*) FROM ol WHERE a = sp.store OR b = sp.store) AS INTEGER) AS n_partners FROM sp",
+    "overlap_nodes": f"{OVERLAP} SELECT store, products, round_even(0.6 + 1.6 * sqrt(CAST(products AS DOUBLE) / max(products) OVER ()), 6) AS radius, CAST((SELECT count(*) FROM ol WHERE a = sp.store OR b = sp.store) AS INTEGER) AS n_partners, coalesce((SELECT string_agg(CASE WHEN a = sp.store THEN b ELSE a END, ',' ORDER BY rate DESC, CASE WHEN a = sp.store THEN b ELSE a END) FROM ol WHERE a = sp.store OR b = sp.store), '') AS partners FROM sp",
     "seller_stats": f"{MATCHED} SELECT store, count(*) AS offers, count(DISTINCT product_id) AS products FROM o GROUP BY 1",
     "sku_position": f"{POSITION} SELECT * FROM pos",
     "position_kpis": f"{POSITION} SELECT count(*) AS skus, count(gap) AS comparable, count(*) FILTER (gap <= 0) AS wins, count(*) FILTER (gap <= -10) AS deep_cheap, count(*) FILTER (gap >= 10) AS deep_pricey, count(*) FILTER (n_rivals = 0) AS monopoly, round_even(median(gap), 4) AS median_gap, {pct('count(*) FILTER (gap <= 0)', 'count(gap)')} AS win_rate FROM pos",
@@ -220,7 +235,8 @@ ORACLES = {
     "density_rivals": f"{POSITION}, e AS (SELECT n_rivals, unnest(string_split(rivals, ',')) AS store FROM pos WHERE n_rivals > 0), c AS (SELECT n_rivals, store, count(*) AS keys FROM e GROUP BY ALL), n AS (SELECT n_rivals, count(*) AS skus FROM pos GROUP BY 1) SELECT n_rivals, store, keys, row_number() OVER (PARTITION BY n_rivals ORDER BY keys DESC, store) AS rank, {pct('keys', 'skus')} AS share FROM c JOIN n USING (n_rivals) QUALIFY rank <= 8",
     "unlisted": f"{MATCHED} SELECT key, min(price) AS best_price, arg_min(store, (price, store)) AS best_store, count(DISTINCT store) AS n_rivals, 'N' AS bucket FROM o WHERE key NOT IN (SELECT key FROM o WHERE store = 's0') GROUP BY 1",
     "opportunities": f"{POSITION}, g AS (SELECT key, gap FROM pos WHERE gap IS NOT NULL AND NOT outlier) (SELECT *, 'worst' AS side FROM g ORDER BY gap DESC, key LIMIT 25) UNION ALL (SELECT *, 'best' FROM g ORDER BY gap, key LIMIT 25)",
-    "price_tiles": f"{MATCHED}, t AS (SELECT product_id, min(price_eur) FILTER (competitor_id = 's0') AS own_price, min(price_eur) FILTER (competitor_id <> 's0') AS market_min, count(*) AS members FROM mo GROUP BY 1) SELECT *, CASE WHEN own_price > 0 THEN round_even((CAST(own_price AS DOUBLE) - CAST(market_min AS DOUBLE)) / CAST(own_price AS DOUBLE) * 100, 4) END AS saving_pct FROM t",
+    "price_tiles": f"""{MATCHED}, t AS (SELECT product_id, min(price_eur) FILTER (competitor_id = 's0') AS own_price, min(price_eur) FILTER (competitor_id <> 's0') AS market_min, count(*) AS members, coalesce(arg_min(title, listing_id) FILTER (competitor_id = 's0'), any_value(product_title)) AS title,
+      string_agg(competitor_id, ',' ORDER BY competitor_id <> 's0', price_eur IS NULL, price_eur, competitor_id, listing_id) AS stores FROM mo GROUP BY 1) SELECT *, CASE WHEN own_price > 0 THEN round_even((CAST(own_price AS DOUBLE) - CAST(market_min AS DOUBLE)) / CAST(own_price AS DOUBLE) * 100, 4) END AS saving_pct FROM t""",
     "pair_summary": f"{PAIRS} SELECT opponent, {SUMMARY} FROM pr GROUP BY 1",
     "brand_summary": f"{PAIRS} SELECT brand, {SUMMARY} FROM pr GROUP BY 1",
     "merge_pairs": f"{PAIRS}, low AS (SELECT title, brand, opponent, min(opp_price) AS price, min(ref_price) AS ref_price FROM pr GROUP BY ALL) SELECT title, brand, min(ref_price) AS ref_price, count(*) FILTER ((CAST(price AS DOUBLE) - CAST(ref_price AS DOUBLE)) / CAST(ref_price AS DOUBLE) * 100 > 0.5) AS wins, count(*) AS n_opponents, min(price) FILTER (opponent = 's1') AS s1, min(price) FILTER (opponent = 's2') AS s2 FROM low GROUP BY title, brand",
@@ -230,7 +246,7 @@ ORACLES = {
     "offer_matrix": f"{MARKET}, w AS (SELECT *, min(total) OVER (PARTITION BY ean) AS lo, max(total) OVER (PARTITION BY ean) AS hi FROM tot) SELECT ean, seller, total, lo <> hi AND total = lo AS cheapest, lo <> hi AND total = hi AS dearest FROM w",
     "delivery_quartiles": f"{MARKET}, q AS (SELECT seller, quantile_cont(CAST(delivery_eur AS DOUBLE), [0, 0.25, 0.5, 0.75, 1]) AS q FROM mk WHERE delivery_eur IS NOT NULL GROUP BY 1) SELECT seller, round_even(q[1], 4) AS low, round_even(q[2], 4) AS q1, round_even(q[3], 4) AS median, round_even(q[4], 4) AS q3, round_even(q[5], 4) AS high FROM q",
     "wide_prices": f"{MATCHED}, l AS ({latest('2001-12-31')}) SELECT p.id, p.sku, "
-    + ", ".join(f"min(l.price_eur) FILTER (l.competitor_id = 's{i}') AS s{i}_price" for i in range(12))
+    + ", ".join(f"min(l.price_eur) FILTER (l.competitor_id = 's{i}') AS s{i}_price, min(l.url) FILTER (l.competitor_id = 's{i}') AS s{i}_url" for i in range(12))
     + " FROM products p JOIN l ON l.product_id = p.id GROUP BY ALL",
     "upsert_listings": f"""{WITH}, k AS (SELECT md5(concat(competitor_id, '|', url)) AS id, * FROM shaped),
       b AS (SELECT *, scraped_at >= TIMESTAMP '1998-06-30' AS late FROM k QUALIFY row_number() OVER (PARTITION BY id, late ORDER BY scraped_at DESC, price_eur, title, coalesce(ean, ''), coalesce(mpn, ''), coalesce(brand, '')) = 1)
