@@ -9,14 +9,13 @@ have no gaps, a shuffle is named by its seed alone, and both ways can be compute
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import new_path, written
+from .store import before_parts, sorted_files
 
 SEED = 13
 ROUNDS = 6
@@ -81,19 +80,10 @@ def numbered(df: DataFrame, *by: str) -> tuple[DataFrame, int]:
     is split between tasks by where they came from. The rows are sorted into files of the shared folder, and a row's number is
     its index in its file after the rows of the files before: no task numbers more than a file, and a lost executor repeats
     its files only. Columns of map type are no part of the tie. Read narrow columns: the whole row is sorted."""
-    spark = df.sparkSession
     plain = [c for c, kind in df.dtypes if "map<" not in kind and kind not in ("variant", "void")]
-    rows = df.select(F.struct("*").alias("r"), F.xxhash64(*plain).alias("tie"), F.monotonically_increasing_id().alias("from"))
-    rows = written(rows, "rows")
-    path = new_path(spark, "ordered")
-    ordered = rows.orderBy(*(F.col("r").getField(c) for c in by), "tie", "from").select("r")
-    ordered.write.option("maxRecordsPerFile", 0).parquet(path)
-    files = spark.read.schema(ordered.schema).parquet(path)
-    files = files.select("r", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("part"), F.col("_metadata.row_index").alias("index"))
-    counts = sorted(files.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row per file of the sort
-    before = [0, *accumulate(c["n"] for c in counts)]
-    parts = spark.createDataFrame([(c["part"], at) for c, at in zip(counts, before, strict=False)], "part int, before long")
-    return files.join(F.broadcast(parts), "part").select("r", (F.col("before") + F.col("index")).alias("row")), before[-1]
+    files = sorted_files(df, *map(F.col, by), F.xxhash64(*plain))
+    parts, n = before_parts(files, before=F.lit(1))
+    return files.join(F.broadcast(parts), "part").select("r", (F.col("before") + F.col("index")).alias("row")), n["before"]
 
 
 def placed(docs: DataFrame, shards: int = 8, seed: int = SEED, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -36,6 +36,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sorted_files(df: DataFrame, *order: Column) -> DataFrame:
+    """df as column r (a struct) with part and index: rows are sorted by `order` into files of the shared folder, part is a
+    file's place among them and index a row's place in its file. Expressions of order see the columns of df. Rows that order
+    does not tell apart are split between files by where they came from, so no task gets all of them."""
+    names = [f"o{i}" for i in range(len(order))]
+    rows = df.select(F.struct("*").alias("r"), *(c.alias(n) for c, n in zip(order, names, strict=True)), F.monotonically_increasing_id().alias("from"))
+    rows = written(rows, "rows").orderBy(*names, "from").select("r")
+    path = new_path(df.sparkSession, "ordered")
+    rows.write.option("maxRecordsPerFile", 0).parquet(path)
+    files = df.sparkSession.read.schema(rows.schema).parquet(path)
+    return files.select("r", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("part"), F.col("_metadata.row_index").alias("index"))
+
+
+def before_parts(files: DataFrame, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
+    """part and, for each of sums, its sum over all files before (a row per file), and the sums over all of them."""
+    rows = files.groupBy("part").agg(*(F.sum(c).cast("long").alias(n) for n, c in sums.items())).orderBy("part").collect()
+    out, so_far = [], dict.fromkeys(sums, 0)
+    for r in rows:
+        out.append((r["part"], *so_far.values()))
+        so_far = {n: so_far[n] + r[n] for n in sums}
+    return files.sparkSession.createDataFrame(out, "part int" + "".join(f", {n} long" for n in sums)), so_far
+
+
 def n_words(text: str | Column) -> Column:
     """Number of words of a text column; null counts as empty."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -76,6 +76,56 @@ def test_arc_versions_and_wrong_lengths():
             list(warc.arc_records("a", bad))
 
 
+def arc_file(name, version, records):
+    """An ARC file of (url, type, block)."""
+    rest = {1: "", 2: " 200 - - 0 {}".format(name)}[version]
+    block = f"{version} 0 x\nFields\n".encode()
+    parts = [f"filedesc://{name} 0.0.0.0 20240101000000 text/plain{rest} {len(block)}\n".encode(), block, b"\n"]
+    for url, kind, block in records:
+        parts += [url, f" 1.2.3.4 20010203040506 {kind}{rest} {len(block)}\n".encode(), block, b"\n"]
+    return b"".join(parts)
+
+
+BLOCKS = [
+    (b"http://a/lf", "text/html", b"HTTP/1.0 200 OK\nServer: x\n\nbare\n\nline feeds"),
+    (b"http://a/mixed", "text/html", b"HTTP/1.0 200 OK\r\nServer: x\n\r\nmixed"),
+    (b"http://a/two words?q=a b", "text/html; charset=iso-8859-1", b"HTTP/1.0 200 OK\r\nServer: caf\xe9\r\n\r\nlatin \xe9"),
+    ("http://a/é".encode(), "text/html", b"HTTP/1.0 200 OK\r\n\r\nagain"),
+    (b"http://b/again", "text/html", b"HTTP/1.0 200 OK\nX: y\n\nagain"),
+    (b"http://b/empty", "no-type", b"HTTP/1.0 204 No\r\nServer: x\r\n\r\n"),
+    (b"dns:b", "text/dns", b"20010203 1.2.3.4\r\n\r\nb"),
+]
+PAYLOADS = [b"bare\n\nline feeds", b"mixed", b"latin \xe9", b"again", b"again", b"", b"20010203 1.2.3.4\r\n\r\nb"]
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_foreign_arc_files_round_trip(spark, version):
+    files = spark.createDataFrame([("x.arc", arc_file("x.arc", version, BLOCKS)), ("empty.arc", b""), ("null.arc", None)], "name string, content binary")
+    records = warc.read_arc(files)
+    assert [(r["payload"], r["payload_digest"]) for r in records.collect()] == [(p, warc.digest(p)) for p in PAYLOADS]
+    assert [r["url"] for r in records.collect()][2:4] == ["http://a/two%20words?q=a%20b", "http://a/%C3%A9"]
+    path = new_path(spark, "warc")
+    warc.write_warc(warc.with_revisits(records), path)
+    back = warc.read_warc(spark, path).collect()
+    assert sorted((r["payload_digest"], r["payload_bytes"]) for r in back) == sorted((warc.digest(p), len(p)) for p in PAYLOADS)
+    assert sorted(r["record_type"] for r in back) == ["resource", *["response"] * 5, "revisit"]
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_bad_arc_records_are_set_aside(spark, version):
+    good = arc_file("x.arc", version, BLOCKS[:2])
+    longer = arc_file("x.arc", version, [(b"http://c/long", "text/html", b"HTTP/1.0 200 OK\r\n\r\nlong")]).split(b"\n", 4)[4].replace(b" 23\n", b" 31\n")
+    date = arc_file("x.arc", version, [(b"http://c/date", "text/html", b"abc")]).split(b"\n", 4)[4].replace(b"20010203040506", b"20011303040506")
+    last = arc_file("x.arc", version, BLOCKS[2:4]).split(b"\n", 4)[4]
+    rows = warc.read_arc_or_set_aside(spark.createDataFrame([("x.arc", good + longer + date + last), ("y.arc", b"no archive\n")], "name string, content binary")).collect()
+    assert [r["payload"] for r in rows if r["error"] is None] == PAYLOADS[:4]
+    bad = [r for r in rows if r["error"] is not None]
+    assert [r["name"] for r in bad] == ["x.arc", "x.arc", "y.arc"] and all(r["record_id"] is None for r in bad)
+    assert bytes(bad[0]["bytes"]).startswith(b"http://c/long") and b"20011303040506" in bytes(bad[1]["bytes"])
+    with pytest.raises(Exception, match="does not end"):
+        warc.read_arc(spark.createDataFrame([("x.arc", good + longer + last)], "name string, content binary")).collect()
+
+
 # --- classifiers
 
 MARKED = ["{} " * 3 + "the cat sat on the mat and looked at the {} moon"]
@@ -428,7 +478,7 @@ def test_pipeline_of_odd_tables(spark):
     """Null, empty and repeated rows, and columns named like those of the operators, which come out as they went in."""
     one, two, three = "the quick brown fox jumps over the lazy dog and then runs away", "a large river flows through many towns before it meets the open sea", "nobody knows why some letters never reach the people they are sent to"
     rows = [(1, one, "a", 7), (1, one, "a", 7), (2, two, None, 8), (None, three, "b", None), (3, None, "a", 9), (4, "", None, 9)]
-    extra = ["rejected_by", "size", "source_size", "target", "taken", "token", "ids", "__sign"]
+    extra = ["rejected_by", "size", "source_size", "target", "taken", "token", "ids", "__sign", "__u", "__bin", "__text", "__spans", "__base", "__sweep", "__keep", "r", "t", "u", "own", "own_4", "gaps", "weak", "two words"]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     docs = docs.select("*", *(F.concat(F.lit(f"{x} of "), F.coalesce("doc_id", F.lit(0)).cast("string")).alias(x) for x in extra))
     out = docs

@@ -1,6 +1,7 @@
 """Operators that use DataFrame expressions only: secrets, mixing, chats."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import duckdb
@@ -167,3 +168,26 @@ def test_scan_of_a_text_with_many_parts(spark):
     many, one = (r["spans"].split(",") for r in secrets.scan_digest(docs).orderBy("doc_id").collect())
     assert one == ["identifier:0:20", "weak:21:42"] and len(many) == 16000 and many[:2] == one
     assert many[-1] == f"weak:{len(pair) * 7999 + 21}:{len(pair) * 7999 + 42}"
+
+
+def test_masking_a_text_with_many_parts(spark):
+    """Work grows with the text and its spans: 16000 pairs are masked as one is."""
+    pair = "client_id = app77 é secret = abcd1234\n"
+    out = [r["text"] for r in secrets.redacted(docs(spark, [pair * 16000, pair])).orderBy("doc_id").collect()]
+    assert out[1] == "[SECRET] é [SECRET]\n" and out[0] == out[1] * 16000
+
+
+NAMES = ["__u", "__bin", "__text", "__spans", "__base", "__sweep", "__pieces", "__whole", "r", "t", "u", "bin", "own", "of", "end", "last", "more", "whole", "low", "pieces", "assign", "weak", "linked", "sweep", "gaps", "blocks", "rows", "hit", "clean", "i", "cut", "a b", "doc"]
+
+
+def test_no_column_is_clobbered(spark):
+    """Columns of any name come out as they went in, those an operator makes apart."""
+    rng = random.Random(6)
+    names = NAMES + ["".join(rng.choice("_abcxyz019") for _ in range(rng.randint(1, 8))) + "_" for _ in range(5)]
+    df = docs(spark, TEXTS * 2).withColumns({"source": F.lit("s"), "n_chars": F.length("text")}).select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names))
+    before = {r["doc_id"]: r for r in df.collect()}
+    outs = [secrets.redacted(df), secrets.scan(df), mixing.mix(df), mixing.repeated(mixing.mix(df), df.columns)]
+    for out in outs:
+        assert out.columns[: len(df.columns)] == df.columns
+        for r in out.collect():
+            assert all(r[n] == before[r["doc_id"]][n] for n in names)
