@@ -10,43 +10,44 @@ from shelfscope.llm.queries import tokenizer_path
 from shelfscope.llm.store import written
 
 
-def shielded(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
-    """docs with the columns that an operator would replace under other names, and these names."""
-    aside = {x: f"__own_{x}" for x in names if x in docs.columns}
-    return docs.withColumnsRenamed(aside), aside
+#: Columns that stages read or write; all others only pass through.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def restored(out: DataFrame, docs: DataFrame, aside: dict[str, str]) -> DataFrame:
-    """out with the columns of docs alone, those set aside under their own names."""
-    return out.select(*(F.col(aside.get(x, x)).alias(x) for x in docs.columns))
+def shielded(docs: DataFrame) -> DataFrame:
+    """docs with its other columns under names of our own, which no operator uses."""
+    return docs.toDF(*(x if x in READ else f"own_{i}" for i, x in enumerate(docs.columns)))
+
+
+def restored(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """out with the columns of docs alone, the others under their own names again."""
+    return out.select(*(F.col(x if x in READ else f"own_{i}").alias(x) for i, x in enumerate(docs.columns)))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects. Null, empty and wordless texts go; repeated rows and ties are judged each by
     itself; all columns pass through, whatever their names; an empty table gives an empty one."""
-    own, aside = shielded(docs, ("rejected_by",))
-    return restored(quality_rules.judged(own).where("rejected_by is null"), docs, aside)
+    return restored(quality_rules.judged(shielded(docs)).where("rejected_by is null"), docs)
 
 
 def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the least doc_id (nulls last). Rows without words are in no
     group and stay; repeated rows become one; all columns pass through; an empty table gives an empty one."""
-    own, aside = shielded(docs, ("__sign",))
-    return restored(jaccard.one_per_group(own), docs, aside)
+    return restored(jaccard.one_per_group(shielded(docs)), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, the spans of secrets masked. Nulls stay null; repeated rows are scanned each by itself; all columns pass
     through; an empty table gives an empty one."""
-    return secrets.redacted(docs)
+    return restored(secrets.redacted(shielded(docs)), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many repetitions of each document as its source's target asks for. Null sources are one source; rows without words
     are taken no times; which of several equal rows gives more is open; all columns pass through; an empty table gives an
     empty one."""
-    own, aside = shielded(docs, ("size", "source_size", "target", "taken"))
-    return restored(mixing.repeated(mixing.mix(own), own.columns), docs, aside)
+    own = shielded(docs)
+    return restored(mixing.repeated(mixing.mix(own), own.columns), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
