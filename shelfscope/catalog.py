@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.functions import normalise as N
 from shelfscope.operators import analytics as A
+from shelfscope.operators import enrichment
 from shelfscope.operators import matching as M
 from shelfscope.operators import pricing as R
 from shelfscope.operators import search as D
@@ -592,6 +593,14 @@ def ean_claims(spark, folder):
     return M.resolve_claims(rows).groupBy("claim").agg(F.count("*").alias("n"), F.count_distinct("ean").alias("eans"))
 
 
+@query
+def ean_enrichment(spark, folder):
+    """Barcodes of all listings for the products that have none, by title: how many rows end how."""
+    m = Market(spark, folder)
+    rows = m.listings.select("id", "ean", "title", F.col("price_eur").cast("string").alias("price"))
+    return enrichment.status_counts(enrichment.enrich(rows, some_barcodes_unknown(m.products))[0])
+
+
 @query
 def matching_pool(spark, folder):
     """Products and unmatched listings as one pool, by kind and brand."""

@@ -466,8 +466,8 @@ def enrich_eans(rows: DataFrame, products: DataFrame, candidates: DataFrame, ver
 
 
 def resolve_claims(matched: DataFrame) -> DataFrame:
-    """id, ean, product_id, claim of rows (id, ean, product_id) that come in the order of their ids. An EAN is settled at its
-    last row and may claim one product.
+    """id, ean, product_id, claim, of_ean of rows (id, ean, product_id) that come in the order of their ids. An EAN is settled at
+    its last row and may claim one product; of_ean tells conflicts of a whole EAN from those of a row.
 
     A row does not count for its EAN (product_conflict) if another EAN settled before it has the product. If the rows that
     count name several products, the EAN is a duplicate_ean_conflict in all its rows; if they name one that another EAN has,
@@ -499,10 +499,10 @@ def resolve_claims(matched: DataFrame) -> DataFrame:
         claims = written(claims.unionByName(per_ean.where("kind = 'ok'").select(F.col("p").alias("product_id"), F.col("ean").alias("by_ean"), F.col("settled").alias("at"))), "claims")
         open_ = written(open_.join(ready, F.col("ean") == F.col("e"), "left_anti"), "claims-open")
     if done is None:
-        return rows.withColumn("claim", F.lit("none"))
+        return rows.withColumns({"claim": F.lit("none"), "of_ean": F.lit(False)})
     whole = done.where("kind NOT IN ('ok', 'open')").groupBy(F.col("ean").alias("e")).agg(F.first("kind").alias("all_rows"))
     out = rows.join(done.select("id", "claim"), "id", "left").join(whole, F.col("ean") == F.col("e"), "left")
-    return out.select("id", "ean", "product_id", F.coalesce("claim", "all_rows", F.lit("none")).alias("claim"))
+    return out.select("id", "ean", "product_id", F.coalesce("claim", "all_rows", F.lit("none")).alias("claim"), F.col("all_rows").isNotNull().alias("of_ean"))
 
 
 def ean_updates(products: DataFrame, updates: DataFrame) -> DataFrame:
