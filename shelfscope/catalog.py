@@ -617,6 +617,30 @@ def ean_dry_run(spark, folder):
     return M.ean_updates(some_barcodes_unknown(m.products), got)
 
 
+#: Shapes in which shops nest a product: bare, in a list, a graph, an item list, and deeper than Spark opens.
+NESTED = ("%s", '[{"@type":"WebSite"},%s]', '{"@graph":[{"@type":"WebPage"},%s]}', '{"@type":"ItemList","itemListElement":[{"@type":"ListItem","item":%s}]}', '{"a":{"b":{"c":[{"d":{"e":[%s]}}]}}}')
+
+
+def product_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A page per product, with its data as ld+json in one of the shapes of NESTED beside a script that is no JSON."""
+    p = X.products(spark, folder)
+    brand = F.when(F.col("id") % 2 == 0, F.concat(F.lit('{"name":"'), F.col("brand"), F.lit('"}'))).otherwise(F.concat(F.lit('"'), F.col("brand"), F.lit('"')))
+    offer = F.concat(F.lit('{"price":"'), F.replace(F.col("price_eur").cast("string"), F.lit("."), F.lit(",")), F.lit('","priceCurrency":"EUR","availability":"https://schema.org/'), F.when(F.col("id") % 3 == 0, "OutOfStock").otherwise("InStock"), F.lit('"}'))
+    offer = F.when(F.col("id") % 4 == 0, F.concat(F.lit("["), offer, F.lit("]"))).otherwise(offer)
+    kind = F.when(F.col("id") % 7 == 0, '["Thing","Product"]').otherwise('"Product"')
+    text = F.concat(F.lit('{"@type":'), kind, F.lit(',"name":"'), F.col("title"), F.lit('","sku":"'), F.col("sku"), F.lit('","brand":'), F.coalesce(brand, F.lit("null")), F.lit(',"gtin13":"'), F.coalesce("ean", F.lit("")), F.lit('","offers":'), offer, F.lit("}"))
+    data = F.element_at(F.array(*(F.concat(F.lit(a), text, F.lit(b)) for a, b in (x.split("%s") for x in NESTED))), (F.col("id") % len(NESTED) + 1).cast("int"))
+    script = lambda c: F.concat(F.lit('<script type="application/ld+json">'), c, F.lit("</script>"))
+    return p.select(F.concat(F.lit("https://shop.test/"), F.col("id").cast("string")).alias("url"), F.concat(script(F.lit("{bad")), script(data)).alias("html"))
+
+
+@query
+def jsonld_products(spark, folder):
+    """The products of all pages of a shop, from their ld+json."""
+    rows = extract.extract_jsonld(product_pages(spark, folder))
+    return rows.select("url", "title", "brand", "competitor_sku", "ean", "price", "currency", "in_stock")
+
+
 @query
 def page_items(spark, folder):
     return extract.extract_datalayer(X.table(spark, folder, "pages")).select("url", "title", "mpn")

@@ -294,6 +294,7 @@ UNION ALL SELECT 's' || id, id, 'sku' FROM np""",
     "matching_counts": f"{PHASES} SELECT count(*) FILTER (match_type IN ('exact_ean', 'exact_mpn', 'regex_ean_title')) AS exact, count(*) FILTER (match_type IN ('mpn_no_brand', 'regex_mpn_title', 'regex_mpn_no_brand')) AS regex, 0 AS vector_llm, 0 AS pending, (SELECT count(*) FROM listings) - count(*) AS skipped FROM run",
     "matching_pool": f"{MATCHED} SELECT 'product' AS kind, nbrand AS block, count(*) AS n, min(CAST(id AS VARCHAR)) AS first FROM np GROUP BY nbrand UNION ALL SELECT 'listing', nbrand, count(*), min(CAST(id AS VARCHAR)) FROM nl WHERE id NOT IN (SELECT listing_id FROM m) GROUP BY nbrand",
     "ean_dry_run": f"{MATCHED} SELECT m.product_id, min(l.ean) AS ean FROM m JOIN listings l ON l.id = m.listing_id JOIN products p ON p.id = m.product_id WHERE l.ean IS NOT NULL AND (p.id % 3 = 0 OR p.ean IS NULL) GROUP BY 1",
+    "jsonld_products": f"{WITH} SELECT 'https://shop.test/' || id AS url, title, brand, sku AS competitor_sku, ean, price_eur AS price, 'EUR' AS currency, id % 3 <> 0 AS in_stock FROM products",
     "page_items": r"""SELECT url, nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>\s*([^<]+)', 1)), '') AS title, nullif(regexp_extract(html, '"product_code"\s*:\s*"([^"]*)"', 1), '') AS mpn FROM pages""",
     "review_counts": f"{MATCHED} SELECT CASE WHEN confidence >= 0.9 THEN 'approved' ELSE 'pending' END AS status, count(*) AS n FROM m GROUP BY 1",
     "upsert_offers": f"{MARKET} SELECT count(*) FILTER (seller >= 's3') AS inserted, count(*) FILTER (seller < 's3') AS updated FROM tot WHERE seller > 's1'",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions import normalise as N
+from shelfscope.plans.scratch import written
 
 PRODUCT = "name string, brand string, sku string, mpn string, ean string, price string, currency string, availability string, url string"
 
@@ -31,15 +32,62 @@ def _text(x: object) -> str | None:
     return str(x).strip() or None if x is not None and not isinstance(x, dict | list) else None
 
 
-def extract_jsonld(pages: DataFrame, sku_as_mpn: bool = False, strip_sku_prefix: bool = False, fallback_brand: str | None = None) -> DataFrame:
-    """Products of a page's ld+json scripts, at any depth; scripts that are no JSON are skipped.
+#: Levels of lists and objects that Spark opens; what lies deeper is walked in Python.
+LEVELS = 5
+
+
+def _is_product(v: str) -> Column:
+    named = F.expr(f"try_variant_get({v}, '$[\"@type\"]', 'string') = 'Product'")
+    listed = F.expr(f"array_contains(try_variant_get({v}, '$[\"@type\"]', 'array<string>'), 'Product')")
+    return F.coalesce(named, F.lit(False)) | F.coalesce(listed, F.lit(False))
+
+
+def _opened(scripts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Products (page, v) of scripts (page, body) down to LEVELS of lists and objects, and the nodes (page, v) below these."""
+    spark = scripts.sparkSession
+    nodes = scripts.select("page", F.try_parse_json("body").alias("v")).where("v IS NOT NULL")
+    found = None
+    for level in range(LEVELS + 1):
+        # a level is written, as the next would parse all scripts again
+        nodes = written(nodes.select("page", "v", _is_product("v").alias("product")), f"jsonld-{level}")
+        here = nodes.where("product").select("page", "v")
+        found = here if found is None else found.unionByName(here)
+        rest = nodes.where("NOT product").select("page", "v")
+        rest = rest.where("schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%'")
+        if level == LEVELS or not rest.take(1):
+            return found, rest
+        nodes = spark.sql("SELECT n.page, c.value AS v FROM {rest} AS n, LATERAL variant_explode(n.v) AS c", rest=rest)
+        nodes = nodes.where("v IS NOT NULL")
+    raise AssertionError
+
+
+def _field(v: str, path: str) -> Column:
+    """Text of a field: of an object its name, of a list its first entry; blank is null."""
+    kind = F.expr(f"schema_of_variant(try_variant_get({v}, '{path}', 'variant'))")
+    text = lambda p: F.expr(f"try_variant_get({v}, '{p}', 'string')")
+    plain = lambda p: F.when(~F.expr(f"coalesce(schema_of_variant(try_variant_get({v}, '{p}', 'variant')), '') RLIKE '^(OBJECT|ARRAY)'"), text(p))
+    return N.blank_to_null(F.when(kind.startswith("OBJECT"), plain(f"{path}.name")).when(kind.startswith("ARRAY"), plain(f"{path}[0]")).otherwise(text(path)))
+
+
+def _rows_of_variants(found: DataFrame) -> DataFrame:
+    offers = F.expr("schema_of_variant(try_variant_get(v, '$.offers', 'variant'))")
+    rows = found.withColumn("o", F.when(offers.startswith("ARRAY"), F.expr("try_variant_get(v, '$.offers[0]', 'variant')")).when(offers.startswith("OBJECT"), F.expr("try_variant_get(v, '$.offers', 'variant')")))
+    names = {"name": "name", "brand": "brand", "sku": "sku", "mpn": "mpn"}
+    ean = F.coalesce(*(_field("v", f"$.{k}") for k in ("gtin13", "gtin8", "gtin")))
+    return rows.select(
+        "page",
+        *(_field("v", f"$.{k}").alias(n) for n, k in names.items()),
+        ean.alias("ean"),
+        _field("o", "$.price").alias("price"),
+        _field("o", "$.priceCurrency").alias("currency"),
+        _field("o", "$.availability").alias("availability"),
+        F.coalesce(_field("v", "$.url"), _field("o", "$.url")).alias("url"),
+    )
 
-    Scripts are cut out and parted by Spark; only their nested JSON is walked in Python, in Arrow batches.
-    """
-    import json
 
-    pattern = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
-    scripts = pages.select(F.col("url").alias("page"), F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("body"))
+def _walked(scripts: DataFrame) -> DataFrame:
+    """Rows of the products at any depth of scripts (page, body), in Python."""
+    import json
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -52,11 +100,24 @@ def extract_jsonld(pages: DataFrame, sku_as_mpn: bool = False, strip_sku_prefix:
                 for p in _products(data):
                     offer = p.get("offers")
                     offer = offer[0] if isinstance(offer, list) and offer else offer if isinstance(offer, dict) else {}
-                    ean = next((_text(p.get(k)) for k in ("gtin13", "gtin8", "gtin") if p.get(k)), None)
+                    offer = offer if isinstance(offer, dict) else {}
+                    ean = next((_text(p.get(k)) for k in ("gtin13", "gtin8", "gtin") if _text(p.get(k))), None)
                     rows.append((page, _text(p.get("name")), _text(p.get("brand")), _text(p.get("sku")), _text(p.get("mpn")), ean, _text(offer.get("price")), _text(offer.get("priceCurrency")), _text(offer.get("availability")), _text(p.get("url") or offer.get("url"))))
             yield pd.DataFrame(rows, columns=["page", *(x.split(" ")[0] for x in PRODUCT.split(", "))])
 
-    found = scripts.mapInPandas(run, f"page string, {PRODUCT}")
+    return scripts.mapInPandas(run, f"page string, {PRODUCT}")
+
+
+def extract_jsonld(pages: DataFrame, sku_as_mpn: bool = False, strip_sku_prefix: bool = False, fallback_brand: str | None = None) -> DataFrame:
+    """Products of a page's ld+json scripts, at any depth; scripts that are no JSON are skipped.
+
+    Scripts are cut out, parsed and opened by Spark as variants: lists, item lists, graphs and nested objects down to LEVELS.
+    Only what nests deeper is walked in Python.
+    """
+    pattern = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
+    scripts = pages.select(F.col("url").alias("page"), F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("body"))
+    found, deep = _opened(scripts)
+    found = _rows_of_variants(found).unionByName(_walked(deep.select("page", F.to_json("v").alias("body"))))
     sku = F.regexp_replace("sku", "^[A-Z]{2,5}-", "") if strip_sku_prefix else F.col("sku")
     brand = F.when(F.col("brand").isNull() | (F.upper("brand") == "EDE"), F.lit(fallback_brand)).otherwise(F.col("brand")) if fallback_brand else F.col("brand")
     return found.select(

@@ -2,6 +2,7 @@ import json
 from decimal import Decimal as Dec
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfscope.plans import fixtures as X
 from shelfscope.sources import extract as E
@@ -49,6 +50,18 @@ def test_jsonld(spark):
     assert [(r["title"], r["brand"], r["ean"], r["price"], r["in_stock"]) for r in row] == [("Pliers", "Knipex", "4003773025559", Dec("24.90"), True)]
 
 
+def test_jsonld_equals_the_walk(spark):
+    """Variants give what a walk through the JSON gives, at depths within and beyond what Spark opens."""
+    one = {"@type": "Product", "name": " Pliers ", "brand": ["Knipex", "x"], "sku": 17, "mpn": {"name": "87-01"}, "gtin8": "40000001", "offers": {"price": 24.9, "priceCurrency": "EUR", "url": "https://a/1"}}
+    two = {"@type": ["Thing", "Product"], "name": {"x": 1}, "brand": {"name": {"deep": 1}}, "offers": [], "isRelatedTo": one}
+    bodies = [one, two, [one, two], {"@graph": [{"@type": "WebPage"}, one]}, {"@type": "ItemList", "itemListElement": [{"item": one}, {"item": two}]}, [[[[[[[one, 5, None]]]]]]], {"@type": "Offer", "itemOffered": two}, 5, "x", None, []]
+    texts = [json.dumps(b) for b in bodies] + ["{bad", ""]
+    scripts = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "page string, body string")
+    found, deep = E._opened(scripts)
+    got = E._rows_of_variants(found).unionByName(E._walked(deep.select("page", F.to_json("v").alias("body"))))
+    assert deep.count() == 1 and sorted(map(str, got.collect())) == sorted(map(str, E._walked(scripts).collect())) and got.count() == 9
+
+
 def test_fields_specs_and_links(spark):
     html = '<title>X | Shop</title><meta property="og:title" content="Cobra | Shop"><span itemprop="price" content="9.5"></span><table><tr><th>Značka:</th><td> Wera </td></tr></table><a href="/p/1/?q=1">a</a><a href="/p/1">b</a><a href="mailto:x">c</a>'
     pages = spark.createDataFrame([("u", html)], "url string, html string")
