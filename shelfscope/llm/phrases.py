@@ -25,8 +25,10 @@ from .sharding import numbered
 from .store import written
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Words that a task holds before it counts them, and that a shard is meant for.
-CHUNK = 1 << 21
+#: Words that a task holds before it counts their phrases, and that a shard is meant for.
+CHUNK = 1 << 20
+#: Different words that a task counts before it hands the counts on.
+DIFFERENT = 1 << 17
 #: Entries (and eight times as many bytes) up to which dictionaries and tables of parts are sent to every task.
 BROADCAST = 1 << 22
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\xff" * 10)
@@ -147,22 +149,6 @@ def filter_read(blob: bytes, shard: int, shard_bits: int) -> tuple[list[np.ndarr
 # --- words
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[list[bytes]]]]:
-    """Tokens of texts by language, about CHUNK of them at a time."""
-    held: dict[str, list[list[bytes]]] = {}
-    n = 0
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("raw"), strict=True):
-            words = tokens(text.as_py())
-            held.setdefault(lang, []).append(words)
-            n += len(words)
-            if n >= CHUNK:
-                yield held
-                held, n = {}, 0
-    if held:
-        yield held
-
-
 def _raw(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("raw"))
 
@@ -170,26 +156,31 @@ def _raw(docs: DataFrame) -> DataFrame:
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word (binary), n."""
 
+    def flush(counts: dict[str, Counter[bytes]]) -> Iterator[pa.RecordBatch]:
+        for lang, n in counts.items():
+            n.pop(END, None)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["lang", "word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _chunks(batches):
-            for lang, texts in held.items():
-                counts: Counter[bytes] = Counter()
-                for words in texts:
-                    counts.update(words)
-                counts.pop(END, None)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
+        counts: dict[str, Counter[bytes]] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("raw"), strict=True):
+                counts.setdefault(lang, Counter()).update(tokens(text.as_py()))
+                if sum(map(len, counts.values())) >= DIFFERENT:
+                    yield from flush(counts)
+                    counts = {}
+        yield from flush(counts)
 
     counts = _raw(docs).mapInArrow(run, "lang string, word binary, n long")
     return counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _ids(texts: list[list[bytes]], known: dict[bytes, int]) -> np.ndarray:
-    """Word ids of texts, 0 for words without one and where a piece or a text ends."""
-    get, parts = known.get, []
-    for words in texts:
-        parts.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
-        parts.append(np.zeros(1, np.int32))
-    return np.concatenate(parts)
+def _ids(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """Word ids of a text, 0 for words without one and where a piece or the text ends."""
+    get = known.get
+    out = np.zeros(len(words) + 1, np.int32)
+    out[:-1] = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+    return out
 
 
 def _blob(ids: np.ndarray) -> bytes:
@@ -211,9 +202,16 @@ def encoded(docs: DataFrame, words: DataFrame, limit: int = BROADCAST) -> DataFr
         sent = spark.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for held in _chunks(batches):
-                for lang, texts in held.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([_blob(_ids(texts, sent.value.get(lang, {})))], pa.binary())], ["ids"])
+            held, n, none = [], 0, {}
+            for batch in batches:
+                for lang, text in zip(batch.column("lang").to_pylist(), batch.column("raw"), strict=True):
+                    held.append(_ids(tokens(text.as_py()), sent.value.get(lang, none)))
+                    n += len(held[-1])
+                    if n >= CHUNK:
+                        yield pa.RecordBatch.from_arrays([pa.array([_blob(np.concatenate(held))], pa.binary())], ["ids"])
+                        held, n = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([_blob(np.concatenate(held))], pa.binary())], ["ids"])
 
         return written(_raw(docs).mapInArrow(run, "ids binary"), "ids")
 
@@ -226,7 +224,7 @@ def encoded(docs: DataFrame, words: DataFrame, limit: int = BROADCAST) -> DataFr
         for batch in batches:
             blobs = []
             for raw, own in zip(batch.column("raw"), batch.column("own"), strict=True):
-                blobs.append(_blob(_ids([tokens(raw.as_py())], {x["word"]: x["id"] for x in own.as_py()})))
+                blobs.append(_blob(_ids(tokens(raw.as_py()), {x["word"]: x["id"] for x in own.as_py()})))
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], ["ids"])
 
     texts = written(_raw(docs).withColumn("key", F.monotonically_increasing_id()), "texts")
@@ -264,6 +262,7 @@ def _counter(m: int, bits: int, shard_bits: int, parts: Callable[[], np.ndarray
         limbs, counts = summed(packed(ids, at, m, bits), np.ones(len(at), np.int64))
         shard = (limbs[0] >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(counts), np.int64)
         edges = np.flatnonzero(np.diff(shard, prepend=-1)).tolist() + [len(shard)]
+        pa.default_memory_pool().release_unused()
         blobs = [filter_of([x[a:b] for x in limbs], counts[a:b], shard_bits) for a, b in zip(edges, edges[1:], strict=False)]
         return pa.RecordBatch.from_arrays([pa.array([int(shard[a]) for a in edges[:-1]], pa.int64()), pa.array(blobs, pa.binary())], ["shard", "filter"])
 
