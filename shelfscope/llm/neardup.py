@@ -4,12 +4,14 @@ Vectors are compared only within a label. Equal vectors are one entry. Entries g
 shards overlap; each shard builds a graph whose adjacency lists are pruned so that they keep near and far directions;
 the lists of all shards are united. A search walks greedily from the shard's medoid, and from the entry itself, towards
 the query and then widens over neighbours near the threshold. Found pairs are verified in double precision, recall is
-audited against brute force on a bounded set of queries, and shards overlap more if it is low. If it is still low at the
+audited against brute force on a bounded set of queries, more of them where pairs are sparse, and shards overlap more if it is low. If it is still low at the
 largest overlap, all cells of pivots that can hold a pair are compared block against block, which misses nothing.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .store import written
 
+log = logging.getLogger(__name__)
+
 THRESHOLD = 0.93
 #: Entries that a shard aims at; above twice CAP it is cut into blocks, and every pair of blocks is a task.
 AIM, CAP, PIVOTS = 800, 2048, 256
@@ -26,6 +30,8 @@ DEGREE, POOL, FAR, ALPHA = 20, 40, 16, 1.2
 SLACK = 0.1
 #: Queries of the audit, and the recall under which shards overlap twice as much.
 AUDIT, RECALL = 200, 0.995
+#: True pairs that an audit should meet, and queries that it takes for them at most.
+AUDIT_PAIRS, AUDIT_MOST = 50, 12_800
 #: Shards that an entry goes to at most; beyond, cells are compared exactly.
 WIDEST = 8
 
@@ -261,12 +267,20 @@ def truth(entry: DataFrame, threshold: float, queries: int) -> DataFrame:
     return entry.select("key", "block", "v", "n").mapInPandas(against, "q string, other string, n long").where("q <> other")
 
 
-def recall(entry: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> float:
-    """Share of the pairs of the audited entries that were found; 1 if there are none."""
-    true = truth(entry, threshold, queries).select(F.least("q", "other").alias("a"), F.greatest("q", "other").alias("b")).distinct()
-    got = true.join(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left")
-    n, hit = got.agg(F.count("*"), F.count("x")).first()
-    return hit / n if n else 1.0
+def recall(entry: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT, most: int = AUDIT_MOST) -> tuple[float | None, int]:
+    """Share of the true pairs of the audited entries that were found, and how many true pairs there were.
+
+    Where pairs are sparse, few entries have any, and none says nothing about recall: four times as many entries are audited
+    until AUDIT_PAIRS true pairs are met, all entries are audited or `most` are. Without any true pair the share is None if
+    entries are left that were not audited, else 1."""
+    total = entry.count()
+    while True:
+        true = truth(entry, threshold, queries).select(F.least("q", "other").alias("a"), F.greatest("q", "other").alias("b")).distinct()
+        got = true.join(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left")
+        n, hit = got.agg(F.count("*"), F.count("x")).first()
+        if n >= AUDIT_PAIRS or queries >= min(total, most):
+            return (hit / n if n else 1.0 if queries >= total else None), n
+        queries = min(4 * queries, most)
 
 
 def counted(entry: DataFrame, others: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> float:
@@ -287,7 +301,11 @@ def deduped(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = 2)
     rows, entry = entries(vectors)
     while True:
         pairs = search(assigned(entry, overlap), threshold)
-        enough = recall(entry, pairs, threshold) >= RECALL
+        share, n = recall(entry, pairs, threshold)
+        log.info("overlap %d: recall %s over %d pairs", overlap, share, n)
+        if share is None:
+            log.warning("recall is not measured: no audited vector has a near one")
+        enough = share is None or share >= RECALL
         if enough or overlap >= WIDEST:
             break
         overlap *= 2

@@ -432,7 +432,7 @@ def test_links_beyond_the_widest_overlap(spark, monkeypatch):
     rows = dense()
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "vec_id long, label int, embedding array<float>")
     _, entry = neardup.entries(df)
-    assert neardup.recall(entry, neardup.search(neardup.assigned(entry, neardup.WIDEST), neardup.THRESHOLD), queries=500) < neardup.RECALL
+    assert neardup.recall(entry, neardup.search(neardup.assigned(entry, neardup.WIDEST), neardup.THRESHOLD), queries=500)[0] < neardup.RECALL
     check_links(rows, neardup.deduped(df).collect())
 
 
@@ -454,6 +454,19 @@ def test_low_recall_is_an_error(spark, monkeypatch):
         neardup.deduped(df, overlap=neardup.WIDEST)
 
 
+def test_an_audit_without_pairs_measures_nothing(spark):
+    """One near pair among many vectors: an audit of few would find no pair and call that whole."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(1500, 32))
+    v[700] = v[3] + 0.01 * rng.normal(size=32)
+    rows, entry = neardup.entries(spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<double>"))
+    none = spark.createDataFrame([], "a string, b string")
+    assert neardup.recall(entry, none) == (0.0, 1)
+    assert neardup.recall(entry, none, queries=1, most=1)[0] is None
+    df = spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<double>")
+    assert {r["vec_id"] for r in neardup.deduped(df).where("n_links > 0").collect()} == {3, 700}
+
+
 # --- pipeline
 
 
