@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfscope.functions import embed
 from shelfscope.functions import normalise as N
 from shelfscope.operators import analytics as A
 from shelfscope.operators import enrichment
@@ -18,7 +19,7 @@ from shelfscope.operators import search as D
 from shelfscope.operators import upsert as U
 from shelfscope.plans import fixtures as X
 from shelfscope.plans.oracles import ORACLES
-from shelfscope.plans.scratch import written
+from shelfscope.plans.scratch import new_path, written
 from shelfscope.sources import extract, files
 from shelfscope.streaming import ingest
 
@@ -661,6 +662,112 @@ def windowed_prices(spark, folder):
     return ingest.windowed_prices(rows, width="7 days").select("competitor_id", F.col("start").cast("date").alias("start"), "n", "low")
 
 
+# --- files: the market's tables are written as the text that shops and marketplaces send, and read back ----------------
+
+
+def catalogue_files(spark: SparkSession, folder: str) -> str:
+    """The catalogue as CSV. Every eleventh price and every thirteenth stock is no number, every seventh cost is missing."""
+    p, id_ = X.products(spark, folder), F.col("id")
+    rows = p.select("sku", "brand", "mpn", "ean", "title", F.lit("tools").alias("category"), F.when(id_ % 11 == 0, "on request").otherwise(F.col("price_eur").cast("string")).alias("price_eur"), F.when(id_ % 7 != 0, (F.col("price_eur") / 2).cast("decimal(10,2)").cast("string")).alias("cost_eur"), F.when(id_ % 13 == 0, "some").otherwise((id_ % 50).cast("string")).alias("stock"))
+    path = new_path(spark, "catalogue")
+    rows.write.option("header", True).csv(path)
+    return path
+
+
+@query
+def catalogue_rows(spark, folder):
+    return files.read_catalogue(spark, catalogue_files(spark, folder), strict=False)[0].select("sku", "brand", "mpn", "ean", "title", "price_eur", F.col("cost_eur").isNull().alias("no_cost"), "stock")
+
+
+@query
+def catalogue_errors(spark, folder):
+    """Rows of the catalogue that cannot be read, by their bad columns."""
+    bad = files.read_catalogue(spark, catalogue_files(spark, folder), strict=False)[1]
+    return bad.select("sku", "bad")
+
+
+@query
+def upsert_catalogue(spark, folder):
+    """The readable rows of the file over the products: all attributes are the file's, ids stay."""
+    p = X.products(spark, folder).select("id", "sku", "title", "price_eur").withColumn("price_eur", F.lit(1).cast("decimal(10,2)"))
+    rows = files.read_catalogue(spark, catalogue_files(spark, folder), strict=False)[0]
+    return U.upsert_catalogue(p, rows.select(F.lit(None).cast("long").alias("id"), "sku", "title", "price_eur").where("sku LIKE '%1'"))
+
+
+@query
+def feed_listings(spark, folder):
+    """A store's product feed: listings without price are left out, prices have a comma."""
+    rows = Market(spark, folder).listings.where("competitor_id = 's1'")
+    price = F.when(F.length("url") % 9 != 0, F.replace(F.col("price_eur").cast("string"), F.lit("."), F.lit(",")))
+    items = rows.select(F.col("id").alias("ITEM_ID"), F.col("title").alias("PRODUCTNAME"), F.trim("brand").alias("MANUFACTURER"), F.col("mpn").alias("PRODUCTNO"), F.col("ean").alias("EAN"), price.alias("PRICE_VAT"), F.col("url").alias("URL"), F.when(F.col("in_stock"), "0").otherwise("3").alias("DELIVERY_DATE"))
+    path = new_path(spark, "feed")
+    items.write.format("xml").option("rootTag", "SHOP").option("rowTag", "SHOPITEM").save(path)
+    return files.read_product_feed(spark, path, "s1").select("competitor_sku", "brand", "mpn", "ean", "title", "price_eur", "in_stock", "url")
+
+
+@query
+def offer_rows(spark, folder):
+    """A marketplace's offers as CSV; numbers that cannot be read are null."""
+    rows = Market(spark, folder).listings.where("ean IS NOT NULL")
+    delivery = F.when(F.length("url") % 3 == 0, "free").otherwise((F.length("url") % 7).cast("string"))
+    rows = rows.select("ean", "title", F.col("competitor_id").alias("seller"), F.col("url").alias("seller_url"), F.replace(F.col("price_eur").cast("string"), F.lit("."), F.lit(",")).alias("price_eur"), delivery.alias("delivery_eur"), F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss").alias("scraped_at"))
+    path = new_path(spark, "offers")
+    rows.write.option("header", True).csv(path)
+    return files.read_offers(spark, path).select("ean", "title", "seller", "seller_url", "price_eur", "delivery_eur", F.col("scraped_at").cast("date").alias("day"))
+
+
+@query
+def identifier_rows(spark, folder):
+    """Distinct pairs of barcode and title of a file of all listings."""
+    path = new_path(spark, "identifiers")
+    Market(spark, folder).listings.select("ean", "title", F.col("price_eur").alias("price_sk")).write.option("header", True).csv(path)
+    return files.read_identifier_rows(spark, path).select("ean", "title")
+
+
+@query
+def reference_prices(spark, folder):
+    """Prices by barcode of a file whose barcodes read like numbers and whose prices read like text."""
+    path = new_path(spark, "references")
+    p = X.products(spark, folder)
+    p.select(F.concat("ean", F.lit(".0")).alias("code"), F.concat(F.replace(F.col("price_eur").cast("string"), F.lit("."), F.lit(",")), F.lit(" €")).alias("cost")).write.option("header", True).csv(path)
+    return files.read_reference_prices(spark, path, "code", "cost")
+
+
+@query
+def ingested_listings(spark, folder):
+    """Listings merged into an empty table with brand and category filled before."""
+    m = Market(spark, folder)
+    batch = m.listings.withColumn("brand", F.when(F.col("ean").isNull(), F.col("brand"))).withColumn("category", F.lit(None).cast("string"))
+    out = U.ingest_listings(batch.limit(0), batch, m.products, CATEGORY_RULES)
+    return out.select("id", "brand", "category")
+
+
+@query
+def search_results(spark, folder):
+    """Products by sku, with our newest price, the number of rivals, the cheapest of them and whether the result is fresh."""
+    m = Market(spark, folder)
+    asked = m.products.select(F.concat(F.lit("s"), "id").alias("query_id"), F.col("sku").alias("query"))
+    rows = D.search(asked, m.products, m.listings, m.matches, m.matched, OWN)
+    return rows.select("query_id", "product_id", "own_price", F.greatest(F.size("rivals"), F.lit(0)).alias("n_rivals"), F.col("rivals")[0]["price_eur"].alias("low"), F.col("rivals")[0]["competitor_id"].alias("low_store"))
+
+
+@query
+def search_freshness(spark, folder):
+    """Products whose offers are fresh on a day: the newest is young enough, and some rival's is."""
+    m = Market(spark, folder)
+    day = F.lit("1998-11-01")
+    age = F.col("scraped_at") >= F.date_sub(day.cast("date"), 30)
+    rows = m.matched.where("scraped_at <= DATE '1998-11-01'").groupBy("product_id").agg(F.max("scraped_at").alias("updated"), F.count_if(age & (F.col("competitor_id") != X.OWN)).alias("n"))
+    return rows.select("product_id", D.is_fresh(F.col("updated"), F.col("n"), day).alias("fresh"))
+
+
+@query
+def sparse_weights(spark, folder):
+    """Hashed sparse vectors of all products' titles."""
+    rows = embed.sparse_vectors(X.products(spark, folder), [F.col("title")])
+    return rows.select("id", "bucket", F.bround("weight", 6).alias("weight"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

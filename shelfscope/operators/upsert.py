@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfscope.functions import normalise as N
+
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], fill: list[str] = [], keep: list[str] = [], newest: list | None = None) -> DataFrame:  # noqa: B006
     """target with the rows of source merged in on keys. Columns in fill take the new value if there is one, columns in keep
@@ -39,6 +41,17 @@ def upsert_listings(target: DataFrame, batch: DataFrame) -> DataFrame:
     return upsert(target, batch, ["competitor_id", "url"], ids, stay, [F.desc("scraped_at"), "price_eur", "title", F.coalesce("ean", F.lit("")), F.coalesce("mpn", F.lit("")), F.coalesce("brand", F.lit(""))])
 
 
+def ingest_listings(target: DataFrame, batch: DataFrame, products: DataFrame, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
+    """upsert_listings of a batch whose blank brands are filled first, from products or else earlier listings of the same
+    barcode, and whose missing categories are those that rules find in the titles."""
+    from shelfscope.operators.matching import backfill_brand
+
+    batch = backfill_brand(batch, products, target)
+    if rules and "category" in batch.columns:
+        batch = batch.withColumn("category", F.coalesce(N.blank_to_null(F.col("category")), N.classify_category(F.col("title"), F.col("brand"), rules)))
+    return upsert_listings(target, batch)
+
+
 def upsert_catalogue(target: DataFrame, rows: DataFrame) -> DataFrame:
     return upsert(target, rows, ["sku"], keep=["id"])
 

@@ -294,6 +294,24 @@ UNION ALL SELECT 's' || id, id, 'sku' FROM np""",
     "matching_counts": f"{PHASES} SELECT count(*) FILTER (match_type IN ('exact_ean', 'exact_mpn', 'regex_ean_title')) AS exact, count(*) FILTER (match_type IN ('mpn_no_brand', 'regex_mpn_title', 'regex_mpn_no_brand')) AS regex, 0 AS vector_llm, 0 AS pending, (SELECT count(*) FROM listings) - count(*) AS skipped FROM run",
     "matching_pool": f"{MATCHED} SELECT 'product' AS kind, nbrand AS block, count(*) AS n, min(CAST(id AS VARCHAR)) AS first FROM np GROUP BY nbrand UNION ALL SELECT 'listing', nbrand, count(*), min(CAST(id AS VARCHAR)) FROM nl WHERE id NOT IN (SELECT listing_id FROM m) GROUP BY nbrand",
     "ean_dry_run": f"{MATCHED} SELECT m.product_id, min(l.ean) AS ean FROM m JOIN listings l ON l.id = m.listing_id JOIN products p ON p.id = m.product_id WHERE l.ean IS NOT NULL AND (p.id % 3 = 0 OR p.ean IS NULL) GROUP BY 1",
+    "catalogue_rows": f"{WITH} SELECT sku, brand, mpn, ean, trim(title) AS title, price_eur, id % 7 = 0 AS no_cost, CAST(id % 50 AS INT) AS stock FROM products WHERE id % 11 <> 0 AND id % 13 <> 0",
+    "catalogue_errors": f"{WITH} SELECT sku, concat_ws(',', CASE WHEN id % 11 = 0 THEN 'price_eur' END, CASE WHEN id % 13 = 0 THEN 'stock' END) AS bad FROM products WHERE id % 11 = 0 OR id % 13 = 0",
+    "upsert_catalogue": f"{WITH} SELECT id, sku, CASE WHEN sku LIKE '%1' AND id % 11 <> 0 AND id % 13 <> 0 THEN trim(title) ELSE title END AS title, CASE WHEN sku LIKE '%1' AND id % 11 <> 0 AND id % 13 <> 0 THEN price_eur ELSE 1 END AS price_eur FROM products",
+    "feed_listings": f"{WITH} SELECT id AS competitor_sku, nullif(trim(brand), '') AS brand, mpn, ean, trim(title) AS title, price_eur, in_stock, url FROM listings WHERE competitor_id = 's1' AND length(url) % 9 <> 0",
+    "offer_rows": f"{NORMED} SELECT nean AS ean, trim(title) AS title, competitor_id AS seller, url AS seller_url, price_eur, CASE WHEN length(url) % 3 <> 0 THEN CAST(length(url) % 7 AS DECIMAL(10,2)) END AS delivery_eur, CAST(scraped_at AS DATE) AS day FROM nl WHERE ean IS NOT NULL",
+    "identifier_rows": f"{NORMED} SELECT DISTINCT nean AS ean, trim(title) AS title FROM nl WHERE nean IS NOT NULL",
+    "reference_prices": f"{WITH} SELECT ean, price_eur AS reference_price FROM products WHERE ean IS NOT NULL",
+    "ingested_listings": f"""{NORMED}, b AS (SELECT *, CASE WHEN ean IS NULL THEN nullif(trim(brand), '') END AS own FROM nl), p1 AS (SELECT nean, arg_min(brand, id) AS b FROM np WHERE nean IS NOT NULL AND nbrand IS NOT NULL GROUP BY 1)
+      SELECT b.id, coalesce(own, p1.b) AS brand, CASE WHEN regexp_matches(lower(title), '\\bplated\\b') THEN 'Plated' WHEN regexp_matches(lower(title), '\\bbrushed (copper|tin|nickel|steel|brass)\\b') THEN 'Brushed metal'
+        WHEN regexp_matches(lower(title), '\\bsteel\\b') THEN 'Steel' WHEN regexp_matches(lower(title), '\\bsmall\\b|\\bmedium\\b') THEN 'Small parts' ELSE 'Other' END AS category FROM b LEFT JOIN p1 USING (nean)""",
+    "search_results": f"""{MATCHED}, new AS (SELECT * FROM mo WHERE competitor_id <> 's0' QUALIFY row_number() OVER (PARTITION BY product_id, competitor_id ORDER BY scraped_at DESC, listing_id DESC) = 1),
+      r AS (SELECT product_id, count(*) AS n, min({{'p': price_eur, 'o': -epoch(CAST(scraped_at AS TIMESTAMP)), 'l': listing_id, 's': competitor_id}}) AS f FROM new GROUP BY 1),
+      w AS (SELECT product_id, arg_max(price_eur, (scraped_at, listing_id)) AS own_price FROM mo WHERE competitor_id = 's0' GROUP BY 1)
+      SELECT 's' || p.id AS query_id, p.id AS product_id, own_price, CAST(coalesce(r.n, 0) AS INT) AS n_rivals, r.f.p AS low, r.f.s AS low_store FROM products p LEFT JOIN r ON r.product_id = p.id LEFT JOIN w ON w.product_id = p.id""",
+    "search_freshness": f"{MATCHED} SELECT product_id, date_diff('hour', max(CAST(scraped_at AS TIMESTAMP)), TIMESTAMP '1998-11-01') < 720 AND count(*) FILTER (scraped_at >= DATE '1998-10-02' AND competitor_id <> 's0') > 0 AS fresh FROM mo WHERE scraped_at <= DATE '1998-11-01' GROUP BY 1",
+    "sparse_weights": f"""{WITH}, t AS (SELECT id, unnest(regexp_extract_all(lower(title), '[a-z0-9]{{2,}}')) AS w FROM products),
+      h AS (SELECT id, CAST('0x' || md5(w)[1:8] AS BIGINT) AS h FROM t), s AS (SELECT id, CAST(h % 512 AS INT) AS bucket, sum(CASE WHEN h // 512 % 2 = 0 THEN 1 ELSE -1 END) AS s FROM h GROUP BY 1, 2 HAVING sum(CASE WHEN h // 512 % 2 = 0 THEN 1 ELSE -1 END) <> 0)
+      SELECT id, bucket, round_even(CAST(s AS DOUBLE) / sqrt(CAST(sum(s * s) OVER (PARTITION BY id) AS DOUBLE)), 6) AS weight FROM s""",
     "jsonld_products": f"{WITH} SELECT 'https://shop.test/' || id AS url, title, brand, sku AS competitor_sku, ean, price_eur AS price, 'EUR' AS currency, id % 3 <> 0 AS in_stock FROM products",
     "page_items": r"""SELECT url, nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>\s*([^<]+)', 1)), '') AS title, nullif(regexp_extract(html, '"product_code"\s*:\s*"([^"]*)"', 1), '') AS mpn FROM pages""",
     "review_counts": f"{MATCHED} SELECT CASE WHEN confidence >= 0.9 THEN 'approved' ELSE 'pending' END AS status, count(*) AS n FROM m GROUP BY 1",

@@ -249,6 +249,17 @@ def test_upsert_fills_identifiers_and_is_idempotent(spark):
     assert U.upsert_listings(one, blank).count() == 2
 
 
+def test_ingest_fills_brands_and_categories_first(spark):
+    row = "id long, competitor_id string, url string, brand string, mpn string, ean string, title string, category string, price_eur decimal(10,2), in_stock boolean, scraped_at timestamp"
+    at = dt.datetime(2024, 1, 1)
+    new = lambda i, b, e, c=None: (i, "s1", f"u{i}", b, None, e, "steel pliers", c, None, True, at)
+    target = spark.createDataFrame([new(1, "Wera", "4003773022023"), new(9, "  ", "4003773022024")], row)
+    batch = spark.createDataFrame([new(2, None, "4003773022022"), new(3, " ", "4003773022023"), new(4, None, "NOEAN-4003773022022"), new(5, "Own", "4003773022022", "kept"), new(6, None, "4003773022024")], row)
+    p = products(spark, (1, "Knipex", None, "4003773022022", "t"))
+    out = {r["id"]: (r["brand"], r["category"]) for r in U.ingest_listings(target, batch, p, [("Steel", [r"\bsteel\b"])]).collect()}
+    assert out[2] == ("Knipex", "Steel") and out[3] == ("Wera", "Steel") and out[4] == (None, "Steel") and out[5] == ("Own", "kept") and out[6] == (None, "Steel") and len(out) == 7
+
+
 def test_versions_and_dates(spark, tmp_path):
     root = str(tmp_path / "t")
     U.write_version(spark.range(3), root)
