@@ -662,6 +662,39 @@ def windowed_prices(spark, folder):
     return ingest.windowed_prices(rows, width="7 days").select("competitor_id", F.col("start").cast("date").alias("start"), "n", "low")
 
 
+@query
+def listing_pairs(spark, folder):
+    """Our listings beside those of all rivals of equal products."""
+    rows = A.listing_pairs(Market(spark, folder).matched, X.OWN)
+    return rows.select("ref_listing", "opp_listing", "opponent", "brand", "ref_price", "opp_price", F.bround("delta", 4).alias("delta"))
+
+
+@query
+def enriched_listings(spark, folder):
+    """Listings whose missing identifiers come from detail pages, here of the products that they match."""
+    m = Market(spark, folder)
+    details = m.matched.join(m.products.select(F.col("id").alias("product_id"), "mpn"), "product_id").select("url", F.col("product_ean").alias("ean"), "mpn", F.col("product_brand").alias("brand"))
+    rows = m.listings.withColumn("competitor_sku", F.lit(None).cast("string"))
+    return extract.enrich_listings(rows, details).select("id", "brand", "mpn", "ean", "competitor_sku")
+
+
+@query
+def resolved_hits(spark, folder):
+    """Search hits of products in stores: those of barcodes before those of part numbers before those of titles."""
+    m = Market(spark, folder)
+    rank = F.when(F.col("match_type").contains("ean"), 1).when(F.col("match_type").contains("mpn"), 2).otherwise(3)
+    hits = m.matched.select("product_id", F.col("competitor_id").alias("store"), rank.alias("strategy"), F.col("title").alias("hit_title"), "url")
+    return extract.resolve_hits(hits, m.products).select("product_id", "store", "strategy", "url")
+
+
+@query
+def euro_prices(spark, folder):
+    """Prices in several currencies, by a table of rates."""
+    rows = Market(spark, folder).listings.select("id", F.col("price_eur").alias("price"), F.element_at(F.array(*map(F.lit, ("EUR", "czk", "PLN", "XXX"))), (F.col("price_eur") * 100 % 4 + 1).cast("int")).alias("currency"))
+    rates = spark.createDataFrame([("CZK", 24.37), ("PLN", 4.31)], "currency string, per_eur double")
+    return N.with_eur(rows, rates).select("id", "currency", "price_eur")
+
+
 # --- files: the market's tables are written as the text that shops and marketplaces send, and read back ----------------
 
 

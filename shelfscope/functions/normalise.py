@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Brand spellings and what they stand for.
@@ -159,6 +159,22 @@ def to_eur(price: Column, currency: Column, rates: dict[str, float] = RATES) ->
     return out
 
 
+def with_eur(rows: DataFrame, rates: DataFrame, price: str = "price", currency: str = "currency", out: str = "price_eur") -> DataFrame:
+    """rows with out: the price in euros by a table of rates (currency, per_eur: units per euro), rounded to two digits; euros need
+    no rate, unknown, null and zero rates give null. One rate counts per currency, the least; a column named out is replaced."""
+    one = rates.where("per_eur > 0").groupBy(F.upper(F.trim("currency")).alias("__code")).agg(F.min("per_eur").cast("double").alias("__rate"))
+    code = F.upper(F.trim(F.col(currency)))
+    met = rows.drop(out).join(one, code == F.col("__code"), "left")
+    eur = F.when(code == "EUR", F.col(price).cast("decimal(10,2)")).otherwise(F.bround(F.col(price) / F.col("__rate"), 2).cast("decimal(10,2)"))
+    return met.withColumn(out, eur).drop("__code", "__rate")
+
+
+def slug_sku(url: Column, prefix: str) -> Column:
+    """prefix and the last part of a url's path, in capitals; null without one."""
+    last = F.regexp_extract(canon_url(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+/(?:.*/)?([^/]+)$", 1)
+    return F.when(last != "", F.concat(F.lit(prefix), F.upper(last)))
+
+
 def canon_url(c: Column, base: str = "") -> Column:
     absolute = F.when(c.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), c).when(c.startswith("/"), F.concat(F.lit(base.rstrip("/")), c)).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), c))
     return F.regexp_replace(F.regexp_replace(absolute, "[?#].*$", ""), "/+$", "")

@@ -232,11 +232,12 @@ def top_counts(df: DataFrame, by: str, n: int = 15) -> DataFrame:
 
 
 def price_tiles(matched: DataFrame, own: list[str]) -> DataFrame:
-    """Per product: title and brand (ours if we sell it), our price, least price, saving, and members, ours first."""
+    """Per product: title and brand (ours if we sell it and name one), our price, least price, saving, and members, ours first."""
     mine = F.col("competitor_id").isin(own)
     member = F.struct((~mine).alias("other"), F.col("price_eur").isNull().alias("unknown"), "price_eur", "competitor_id", "listing_id")
     out = matched.groupBy("product_id").agg(
         F.coalesce(F.min_by("title", F.when(mine, F.col("listing_id"))), F.first("product_title")).alias("title"),
+        F.coalesce(F.min_by(N.blank_to_null(F.col("listing_brand")), F.when(mine & N.blank_to_null(F.col("listing_brand")).isNotNull(), F.col("listing_id"))), F.first("product_brand")).alias("brand"),
         F.min(F.when(mine, F.col("price_eur"))).alias("own_price"),
         F.min(F.when(~mine, F.col("price_eur"))).alias("market_min"),
         F.count("*").alias("members"),
@@ -259,6 +260,19 @@ def compare_pairs(matched: DataFrame, ref: str, min_conf: float = 0.85, opponent
     return mine.join(other, "product_id").withColumn("delta", N.delta_pct(F.col("opp_price"), F.col("ref_price")))
 
 
+def listing_pairs(matched: DataFrame, ref: str, min_conf: float = 0.85, opponents: list[str] | None = None) -> DataFrame:
+    """Every listing of the reference store beside every listing of other stores (opponents: of these) of the same product,
+    both approved and sure enough, with prices, urls and the difference in percent.
+
+    Rows per product are its own listings times the others'; a store lists a product a few times."""
+    rows = matched.where((F.col("confidence") >= min_conf) & (F.col("status") == "approved"))
+    mine = rows.where(F.col("competitor_id") == ref).select("product_id", F.col("product_title").alias("title"), F.col("product_brand").alias("brand"), F.col("listing_id").alias("ref_listing"), F.col("price_eur").alias("ref_price"), F.col("url").alias("ref_url"))
+    other = rows.where(F.col("competitor_id") != ref)
+    other = other.where(F.col("competitor_id").isin(opponents)) if opponents else other
+    other = other.select("product_id", F.col("competitor_id").alias("opponent"), F.col("listing_id").alias("opp_listing"), F.col("price_eur").alias("opp_price"), F.col("url").alias("opp_url"))
+    return mine.join(other, "product_id").withColumn("delta", N.delta_pct(F.col("opp_price"), F.col("ref_price")))
+
+
 def pair_summary(pairs: DataFrame, by: list[str] = ["opponent"]) -> DataFrame:  # noqa: B006
     d = F.col("delta")
     out = pairs.groupBy(*by).agg(F.count("delta").alias("n"), F.count_if(d > 0.5).alias("wins"), F.bround(F.avg(F.when(d > 0.5, d)), 4).alias("advantage"), F.bround(F.avg(F.when(d < -0.5, d)), 4).alias("disadvantage"), F.bround(F.avg(d), 4).alias("mean_delta"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions import embed
@@ -13,8 +13,9 @@ from shelfscope.functions import normalise as N
 from shelfscope.operators import matching as M
 from shelfscope.operators.neighbours import knn
 from shelfscope.plans.scratch import written
+from shelfscope.sources.files import ENRICHMENT, write_enrichment_report
 
-REPORT = ["status", "product_id", "sku", "old_ean", "new_ean", "confidence", "match_type", "source_title", "product_title", "source_price"]
+REPORT = list(ENRICHMENT)
 
 
 def source_rows(rows: DataFrame) -> DataFrame:
@@ -113,14 +114,9 @@ def enrich(rows: DataFrame, products: DataFrame, encode: Callable[[DataFrame], D
 
 def write_report(report: DataFrame, path: str) -> None:
     """The report as CSV files with a header, in the order of its rows."""
-    report.orderBy("id").select(*REPORT).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    write_enrichment_report(report.orderBy("id"), path)
 
 
 def status_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("status", "match_type").agg(F.count("*").alias("n"), F.count_distinct("new_ean").alias("eans"))
 
-
-def first_of(report: DataFrame, n: int = 10) -> DataFrame:
-    """The first n rows of each status, for a look at them."""
-    order = Window.partitionBy("status").orderBy("id")
-    return report.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)

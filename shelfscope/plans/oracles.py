@@ -235,7 +235,7 @@ ORACLES = {
     "density_rivals": f"{POSITION}, e AS (SELECT n_rivals, unnest(string_split(rivals, ',')) AS store FROM pos WHERE n_rivals > 0), c AS (SELECT n_rivals, store, count(*) AS keys FROM e GROUP BY ALL), n AS (SELECT n_rivals, count(*) AS skus FROM pos GROUP BY 1) SELECT n_rivals, store, keys, row_number() OVER (PARTITION BY n_rivals ORDER BY keys DESC, store) AS rank, {pct('keys', 'skus')} AS share FROM c JOIN n USING (n_rivals) QUALIFY rank <= 8",
     "unlisted": f"{MATCHED} SELECT key, min(price) AS best_price, arg_min(store, (price, store)) AS best_store, count(DISTINCT store) AS n_rivals, 'N' AS bucket FROM o WHERE key NOT IN (SELECT key FROM o WHERE store = 's0') GROUP BY 1",
     "opportunities": f"{POSITION}, g AS (SELECT key, gap FROM pos WHERE gap IS NOT NULL AND NOT outlier) (SELECT *, 'worst' AS side FROM g ORDER BY gap DESC, key LIMIT 25) UNION ALL (SELECT *, 'best' FROM g ORDER BY gap, key LIMIT 25)",
-    "price_tiles": f"""{MATCHED}, t AS (SELECT product_id, min(price_eur) FILTER (competitor_id = 's0') AS own_price, min(price_eur) FILTER (competitor_id <> 's0') AS market_min, count(*) AS members, coalesce(arg_min(title, listing_id) FILTER (competitor_id = 's0'), any_value(product_title)) AS title,
+    "price_tiles": f"""{MATCHED}, t AS (SELECT product_id, min(price_eur) FILTER (competitor_id = 's0') AS own_price, min(price_eur) FILTER (competitor_id <> 's0') AS market_min, count(*) AS members, coalesce(arg_min(nullif(trim(listing_brand), ''), CASE WHEN nullif(trim(listing_brand), '') IS NOT NULL THEN listing_id END) FILTER (competitor_id = 's0'), any_value(product_brand)) AS brand, coalesce(arg_min(title, listing_id) FILTER (competitor_id = 's0'), any_value(product_title)) AS title,
       string_agg(competitor_id, ',' ORDER BY competitor_id <> 's0', price_eur IS NULL, price_eur, competitor_id, listing_id) AS stores FROM mo GROUP BY 1) SELECT *, CASE WHEN own_price > 0 THEN round_even((CAST(own_price AS DOUBLE) - CAST(market_min AS DOUBLE)) / CAST(own_price AS DOUBLE) * 100, 4) END AS saving_pct FROM t""",
     "pair_summary": f"{PAIRS} SELECT opponent, {SUMMARY} FROM pr GROUP BY 1",
     "brand_summary": f"{PAIRS} SELECT brand, {SUMMARY} FROM pr GROUP BY 1",
@@ -312,6 +312,12 @@ UNION ALL SELECT 's' || id, id, 'sku' FROM np""",
     "sparse_weights": f"""{WITH}, t AS (SELECT id, unnest(regexp_extract_all(lower(title), '[a-z0-9]{{2,}}')) AS w FROM products),
       h AS (SELECT id, CAST('0x' || md5(w)[1:8] AS BIGINT) AS h FROM t), s AS (SELECT id, CAST(h % 512 AS INT) AS bucket, sum(CASE WHEN h // 512 % 2 = 0 THEN 1 ELSE -1 END) AS s FROM h GROUP BY 1, 2 HAVING sum(CASE WHEN h // 512 % 2 = 0 THEN 1 ELSE -1 END) <> 0)
       SELECT id, bucket, round_even(CAST(s AS DOUBLE) / sqrt(CAST(sum(s * s) OVER (PARTITION BY id) AS DOUBLE)), 6) AS weight FROM s""",
+    "listing_pairs": f"{MATCHED}, s AS (SELECT * FROM mo WHERE confidence >= 0.85) SELECT a.listing_id AS ref_listing, b.listing_id AS opp_listing, b.competitor_id AS opponent, a.product_brand AS brand, a.price_eur AS ref_price, b.price_eur AS opp_price, round_even((CAST(b.price_eur AS DOUBLE) - CAST(a.price_eur AS DOUBLE)) / CAST(a.price_eur AS DOUBLE) * 100, 4) AS delta FROM s a JOIN s b ON a.product_id = b.product_id AND a.competitor_id = 's0' AND b.competitor_id <> 's0'",
+    "enriched_listings": f"{MATCHED} SELECT l.id, coalesce(nullif(trim(l.brand), ''), p.brand) AS brand, coalesce(nullif(trim(l.mpn), ''), p.mpn) AS mpn, coalesce(nullif(trim(l.ean), ''), p.ean) AS ean, coalesce(nullif(trim(l.ean), ''), p.ean, nullif(trim(l.mpn), ''), p.mpn) AS competitor_sku FROM listings l LEFT JOIN m ON m.listing_id = l.id LEFT JOIN products p ON p.id = m.product_id",
+    "resolved_hits": f"""{MATCHED}, w AS (SELECT product_id, competitor_id AS store, url, CASE WHEN match_type LIKE '%ean%' THEN 1 WHEN match_type LIKE '%mpn%' THEN 2 ELSE 3 END AS strategy,
+      len(list_intersect(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]{{3,}}')), list_distinct(regexp_extract_all(lower(product_title), '[a-z0-9]{{3,}}')))) AS n FROM mo)
+      SELECT product_id, store, strategy, url FROM w WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY product_id, store ORDER BY strategy, url) = 1""",
+    "euro_prices": f"{WITH}, c AS (SELECT id, price_eur AS price, ['EUR', 'czk', 'PLN', 'XXX'][CAST(price_eur * 100 % 4 AS INT) + 1] AS currency FROM listings) SELECT id, currency, CAST(CASE currency WHEN 'EUR' THEN price WHEN 'czk' THEN round_even(CAST(price AS DOUBLE) / 24.37, 2) WHEN 'PLN' THEN round_even(CAST(price AS DOUBLE) / 4.31, 2) END AS DECIMAL(10,2)) AS price_eur FROM c",
     "jsonld_products": f"{WITH} SELECT 'https://shop.test/' || id AS url, title, brand, sku AS competitor_sku, ean, price_eur AS price, 'EUR' AS currency, id % 3 <> 0 AS in_stock FROM products",
     "page_items": r"""SELECT url, nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>\s*([^<]+)', 1)), '') AS title, nullif(regexp_extract(html, '"product_code"\s*:\s*"([^"]*)"', 1), '') AS mpn FROM pages""",
     "review_counts": f"{MATCHED} SELECT CASE WHEN confidence >= 0.9 THEN 'approved' ELSE 'pending' END AS status, count(*) AS n FROM m GROUP BY 1",

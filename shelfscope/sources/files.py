@@ -149,12 +149,26 @@ def export_comparison_tsv(merged: DataFrame, opponents: list[str], path: str) ->
     comparison_table(merged, opponents).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
 
 
+#: Columns of an enrichment report and of an alert, in the order of the files.
+ENRICHMENT = ("status", "product_id", "sku", "old_ean", "new_ean", "confidence", "match_type", "source_title", "product_title", "source_price")
+ALERT = ("sku", "title", "playbook", "current_price", "suggested_price", "min_price", "median_price", "rationale")
+
+
 def write_enrichment_report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """One row per source row in the columns of ENRICHMENT; columns that df lacks are empty, confidence has two digits."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
+    number = F.coalesce(F.format_string("%.2f", F.col("confidence").try_cast("double")), F.lit("")) if "confidence" in df.columns else F.lit("")
+    number = F.when(text("confidence") == "", "").otherwise(number)
+    rows = df.select(*((number if c == "confidence" else text(c)).alias(c) for c in ENRICHMENT))
+    rows.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
 def write_alerts(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """A JSON line per alert in the columns of ALERT: titles end at 60 characters, prices are numbers with two digits, what is
+    missing is null in every record."""
+    money = [c for c in ALERT if c.endswith("_price")]
+    rows = df.select(*(F.substring("title", 1, 60).alias(c) if c == "title" else F.col(c).cast("decimal(10,2)").alias(c) if c in money else F.col(c) for c in ALERT))
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def age_hours(ts: Column, as_of: Column) -> Column:

@@ -4,6 +4,7 @@ from decimal import Decimal as Dec
 import pytest
 from pyspark.sql import functions as F
 
+from shelfscope.functions import normalise as N
 from shelfscope.plans import fixtures as X
 from shelfscope.sources import extract as E
 from shelfscope.sources import files as S
@@ -110,3 +111,21 @@ def test_lines_do_not_depend_on_splits(spark, tmp_path):
             assert [r["line"] for r in bad.collect()] == [252, 252] and ok.count() == 600
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_alerts_and_reports_have_their_columns(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "t" * 70, "raise", 1.5, None, 1.0, 2.0, None, "extra")], "sku string, title string, playbook string, current_price double, suggested_price double, min_price double, median_price double, rationale string, more string").coalesce(1)
+    S.write_alerts(rows, str(tmp_path / "a"))
+    line = json.loads(next((tmp_path / "a").glob("*.json")).read_text())
+    assert list(line) == list(S.ALERT) and line["title"] == "t" * 60 and line["current_price"] == 1.5 and line["rationale"] is None
+    S.write_enrichment_report(spark.createDataFrame([("x", 0.5, None)], "status string, confidence double, sku string").coalesce(1), str(tmp_path / "r"))
+    text = next((tmp_path / "r").glob("*.csv")).read_text().splitlines()
+    assert text == [",".join(S.ENRICHMENT), "x,,,,,0.50,,,,"]
+
+
+def test_rates_and_slugs(spark):
+    rows = spark.createDataFrame([(Dec("25.00"), " czk "), (Dec("3.00"), "EUR"), (Dec("3.00"), None), (Dec("3.00"), "USD"), (None, "CZK")], "price decimal(10,2), currency string")
+    rates = spark.createDataFrame([("CZK", 25.0), ("CZK", 30.0), ("USD", 0.0)], "currency string, per_eur double")
+    assert [r["price_eur"] for r in N.with_eur(rows, rates).collect()] == [Dec("1.00"), Dec("3.00"), None, None, None]
+    urls = spark.createDataFrame([("https://a.test/p/cobra-250/?x=1",), ("https://a.test/",), (None,)], "url string")
+    assert [r[0] for r in urls.select(N.slug_sku(F.col("url"), "TZ-")).collect()] == ["TZ-COBRA-250", None, None]
