@@ -110,7 +110,9 @@ def format_chats(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
 
 
 def read_chats(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """The inverse, from the formatted text and the loss flags: adds turns (role, text) and loss_text."""
+    """The inverse, from the formatted text and the loss flags: adds turns (role, text) and loss_text. Null and empty texts of
+    turns come back as empty ones, repeated rows each by itself, an empty table as an empty one; columns of formatted named
+    turns and loss_text are replaced, g1 to g3 dropped, others pass through."""
     pattern = F.lit(template.turn_pattern())
 
     def role(opens: Column, name: Column) -> Column:

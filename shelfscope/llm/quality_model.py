@@ -23,7 +23,8 @@ Rule = tuple[tuple[str, bool, float], ...]  # statistic, whether it is above, th
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs with a struct __s of doubles. Null texts count as empty; shares of nothing are 0."""
+    """docs with a struct __s of doubles. Null texts count as empty; shares of nothing are 0; repeated rows are measured each by
+    itself; an empty table gives an empty one; columns that begin with two underscores are ours and may be replaced."""
     text = F.coalesce(F.col("text"), F.lit(""))
     filled = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
@@ -139,6 +140,10 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold_mod: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> Model:
+    """The model of a bounded sample of labelled rows of the folds that are not held out: at most per_class rows of each label,
+    those with the least hashes of doc_id, whose statistics (not texts) go to the driver. Null and empty texts count as texts
+    without words; labels other than 0 and 1, null ids and ids without a document are left out; repeated rows count again; no
+    rows of one label give the other's score. Only doc_id, text and quality are read."""
     fold = remainder(F.col("__id"), fold_mod) != held_out
     rows = with_statistics(labelled(docs.select("doc_id", "text"), labels, "quality", fold, per_class))
     rows = rows.select("doc_id", "y", "__s.*").toPandas().sort_values(["doc_id", "y", *STATISTICS])

@@ -131,7 +131,8 @@ def bag_of(text: str | None, live: np.ndarray) -> tuple[int, np.ndarray, np.ndar
 
 
 def train(texts: list[str | None], y: np.ndarray, seed: int = 5, totals: tuple[float, float] = (1, 1), back: np.ndarray | None = None) -> Model:
-    """The model of texts at hand; every fifth text with a word is kept back, if back does not say which."""
+    """The model of texts at hand; every fifth text with a word is kept back, if back does not say which. Null and empty texts are
+    not learnt from, equal texts count again, and without both labels every text scores the label there is (0 for none)."""
     y = np.asarray(y)
     has = np.array([bool(words(t)) for t in texts], bool)
     if back is None:
