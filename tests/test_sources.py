@@ -128,4 +128,4 @@ def test_rates_and_slugs(spark):
     rates = spark.createDataFrame([("CZK", 25.0), ("CZK", 30.0), ("USD", 0.0)], "currency string, per_eur double")
     assert [r["price_eur"] for r in N.with_eur(rows, rates).collect()] == [Dec("1.00"), Dec("3.00"), None, None, None]
     urls = spark.createDataFrame([("https://a.test/p/cobra-250/?x=1",), ("https://a.test/",), (None,)], "url string")
-    assert [r[0] for r in urls.select(N.slug_sku(F.col("url"), "TZ-")).collect()] == ["TZ-COBRA-250", None, None]
+    assert [r[0] for r in urls.select(N.slug_sku(F.col("url"), "WEB-")).collect()] == ["WEB-COBRA-250", None, None]
