@@ -272,10 +272,13 @@ def enrich_listings(listings: DataFrame, details: DataFrame) -> DataFrame:
     return out.select(*listings.columns)
 
 
-def resolve_hits(hits: DataFrame, products: DataFrame, least: int = 2) -> DataFrame:
+def resolve_hits(hits: DataFrame, products: DataFrame | None = None, least: int = 2) -> DataFrame:
     """Per product and store the hit (product_id, store, strategy, hit_title, url) of the first strategy whose title shares
-    two tokens with the product's."""
-    p = products.select(F.col("id").alias("product_id"), N.title_tokens(F.col("title"), "loose").alias("t"))
-    ok = hits.join(p, "product_id").where(F.size(F.array_intersect("t", N.title_tokens(F.col("hit_title"), "loose"))) >= least)
+    two tokens with the product's. Without products, hits bring its title as product_title."""
+    columns = [c for c in hits.columns if c != "product_title"]
+    if products is not None:
+        hits = hits.select(*columns).join(products.select(F.col("id").alias("product_id"), F.col("title").alias("product_title")), "product_id")
+    tokens = lambda c: N.title_tokens(F.col(c), "loose")
+    ok = hits.where(F.size(F.array_intersect(tokens("product_title"), tokens("hit_title"))) >= least).select(*columns)
     first = Window.partitionBy("product_id", "store").orderBy("strategy", "url")
-    return ok.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "t")
+    return ok.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")

@@ -322,3 +322,23 @@ def test_search_cascade(spark):
     got = {r["query_id"]: (r["product_id"], r["how"]) for r in D.lookup(spark.createDataFrame(asked, "query_id string, query string"), p, listings, matches, "us").collect()}
     # product 1 has our store's match, so it is the preferred one of the EAN that 1 and 2 share
     assert got == {"ean": (1, "ean"), "listing_ean": (3, "listing_ean"), "sku": (1, "sku"), "mpn": (1, "mpn"), "listing_sku": (1, "listing_sku"), "listing_mpn": (3, "listing_mpn"), "text": (1, "text"), "phrase": (3, "text"), "listing_text": (3, "listing_text")}
+
+
+def test_listings_that_agree_are_matched_once(spark):
+    kind = "id string, brand string, mpn string, ean string, title string"
+    products = spark.createDataFrame([(1, "Acme", "AB-1", None, "Acme saw"), (2, "Acme", None, None, "saw AB-12")], "id long, brand string, mpn string, ean string, title string")
+    rows = [("a", "acme", "AB 1", None, "x"), ("b", "acme", "AB 1", None, "x"), ("c", "acme", None, "AB 1", "x"), ("d", None, None, None, None), ("e", "a", "cme", None, "x")]
+    listings = spark.createDataFrame(rows, kind)
+    found = M.identity_matches(listings, products)
+    assert found.count() == 1
+    assert {(r["listing_id"], r["product_id"], r["match_type"]) for r in M.matches_of(listings, found).collect()} == {("a", 1, "exact_mpn"), ("b", 1, "exact_mpn")}
+    assert listings.select(M.identity()).distinct().count() == 4
+
+
+def test_newest_listings_are_found_before_texts_are_made(spark):
+    from shelfscope.plans import fixtures
+    from tests.conftest import SMALL
+
+    plan = fixtures.listings(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window") :]
+    assert "l_shipdate" in below and "https://" not in below
