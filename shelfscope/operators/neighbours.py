@@ -26,6 +26,8 @@ from shelfscope.plans.scratch import written
 TILE = 4096
 #: Pivots, and large blocks, of a search: tiles grow rather than these.
 PIVOTS = 1 << 16
+#: Rows of a batch that leaves a task.
+STEP = 2048
 #: Slack of angle bounds, far above rounding errors and far below differences that matter.
 SLACK = 1e-6
 
@@ -81,6 +83,12 @@ def _places(ids: pa.ChunkedArray, pool: pa.ChunkedArray) -> np.ndarray:
     return np.array([at.get(str(x), np.nan) for x in ids.to_pylist()], float)
 
 
+def _dealt(batch: pa.RecordBatch, pick: pa.Array, cell: pa.Array, step: int = STEP):
+    """The picked rows of a batch with their cells, a few at a time: a query may ask for every cell, so rows grow by their number."""
+    for at in range(0, len(pick), step):
+        yield pa.RecordBatch.from_arrays([*(c.take(pick.slice(at, step)) for c in batch.columns), cell.slice(at, step)], [*batch.schema.names, "cell"])
+
+
 def _sides(df: DataFrame, name: str) -> DataFrame:
     """Rows that can have neighbours: of a block, with a vector of finite numbers that is not zero."""
     rows = df.select(F.col("id").alias(name), F.struct(F.col("block").alias("block"), F.size("vector").alias("dim")).alias("block"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
@@ -181,7 +189,7 @@ def knn(queries: DataFrame, pool: DataFrame, k: int = 5, floor: float | None = 0
                     rows.append(there[i])
                     cells.append(names[j])
                 pick = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([*(c.take(pick) for c in batch.columns), pa.array((np.concatenate(cells) if cells else np.zeros(0)).astype(np.int32))], [*batch.schema.names, "cell"])
+                yield from _dealt(batch, pick, pa.array((np.concatenate(cells) if cells else np.zeros(0)).astype(np.int32)))
 
         return written(df.mapInArrow(run, f"{kind(df)}, cell int"), "asked")
 

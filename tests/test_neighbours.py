@@ -134,3 +134,15 @@ def test_join_rows_of_tokens_stay_flat_when_brands_double(spark):
 def test_brands_agree_with_normal_forms(spark):
     one = spark.createDataFrame([(1, " Acme GmbH ", "worda wordb")], "id long, brand string, title string")
     assert defaultdict(int, {r["listing_id"]: r["shared"] for r in M.token_candidates(one, one.withColumn("brand", N.norm_brand(F.col("brand")))).collect()})[1] == 2
+
+
+def test_rows_leave_a_task_in_small_batches():
+    import pyarrow as pa
+
+    from shelfscope.operators import neighbours
+
+    batch = pa.RecordBatch.from_pydict({"x": [10, 11]})
+    pick, cell = pa.array([0] * 5 + [1] * 4), pa.array(range(9), pa.int32())
+    out = list(neighbours._dealt(batch, pick, cell, 4))
+    assert [b.num_rows for b in out] == [4, 4, 1]
+    assert pa.Table.from_batches(out).to_pydict() == {"x": [10] * 5 + [11] * 4, "cell": list(range(9))}
