@@ -342,3 +342,39 @@ def test_newest_listings_are_found_before_texts_are_made(spark):
     plan = fixtures.listings(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Window") :]
     assert "l_shipdate" in below and "https://" not in below
+
+
+def test_sure_conflicts_do_not_wait(spark, monkeypatch):
+    n, rounds, write = 12, [], M.written
+    rows = [(i, f"e{i:02d}", i) for i in range(n)] + [(n + i, f"e{i:02d}", i + 1) for i in range(n)]
+    monkeypatch.setattr(M, "written", lambda df, name: rounds.append(name) or write(df, name))
+    got = M.resolve_claims(spark.createDataFrame(rows, "id long, ean string, product_id long")).collect()
+    assert {r["id"]: r["claim"] for r in got} == claimed_in_order(rows) == dict.fromkeys(range(2 * n), "duplicate_ean_conflict")
+    assert rounds.count("claims-ready") == 1
+
+
+def test_a_run_makes_its_listings_once(spark, monkeypatch):
+    names, write = [], M.written
+    monkeypatch.setattr(M, "written", lambda df, name: names.append(name) or write(df, name))
+    kind = "brand string, mpn string, ean string, title string, price_eur decimal(10,2)"
+    products = spark.createDataFrame([(1, "s", "Acme", "AB-1", None, "saw", None)], f"id long, sku string, {kind}")
+    listings = spark.createDataFrame([("a", "acme", "AB1", None, "x", None), ("b", "acme", "AB1", None, "x", None)], f"id string, {kind}")
+    have = M.layered_match(listings.where("id = 'a'"), products)
+    assert [r["listing_id"] for r in M.run_matching(listings, products, have)[0].collect()] == ["b"]
+    assert "run-todo" in names
+
+
+def test_codes_are_looked_up_in_one_join(spark, monkeypatch):
+    from shelfscope.operators import search as D
+
+    plans, write = {}, D.written
+    monkeypatch.setattr(D, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and write(df, name))
+    kind = "sku string, brand string, mpn string, ean string, title string"
+    products = spark.createDataFrame([(1, "S1", "Acme", "AB-1", "4000000000001", "red saw"), (2, "S2", "Acme", "AB-2", None, "blue saw")], f"id long, {kind}")
+    listings = spark.createDataFrame([("l", "s1", "Acme", "CD-9", None, "green axe", None)], "id string, competitor_id string, brand string, mpn string, ean string, title string, scraped_at timestamp")
+    matches = spark.createDataFrame([("l", 2, "approved")], "listing_id string, product_id long, status string")
+    asked = [("a", "s1"), ("b", "CD 9"), ("c", "4000000000001"), ("d", "saw blue"), ("e", "saw blue"), ("f", "axe"), ("g", "nothing")]
+    out = D.lookup(spark.createDataFrame(asked, "query_id string, query string"), products, listings, matches, "s0").collect()
+    want = {("a", 1, "sku"), ("b", 2, "listing_mpn"), ("c", 1, "ean"), ("d", 2, "text"), ("e", 2, "text"), ("f", 2, "listing_text")}
+    assert {(r["query_id"], r["product_id"], r["how"]) for r in out} == want and len(out) == 6
+    assert plans["codes-found"].count("Join ") == 2
