@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import WORD, written
+from .store import WORD, leaving_nothing, written
 
 WORDS = 5
 PERCENT = 75
@@ -57,6 +57,10 @@ class _Words(dict):
 _kept = _Words()
 
 
+def _forget() -> None:
+    _kept.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -125,7 +129,7 @@ def _described(docs: DataFrame) -> DataFrame:
         if held:
             yield counts()
 
-    return written(_bytes(docs).mapInArrow(run, "kind int, doc_id long, sign long, n long, token long"), "shingle-sets")
+    return written(_bytes(docs).mapInArrow(leaving_nothing(run, _forget), "kind int, doc_id long, sign long, n long, token long"), "shingle-sets")
 
 
 def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +169,7 @@ def _prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], perce
                 token, salt, c, n, hot = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *(pa.array(x.astype(t)) for x, t in ((salt, np.int32), (c, np.int64), (n, np.int32), (hot, np.int32)))], ["token", "salt", "c", "n", "hot"])
 
-    return _bytes(docs).mapInArrow(run, "token long, salt int, c long, n int, hot int")
+    return _bytes(docs).mapInArrow(leaving_nothing(run, _forget), "token long, salt int, c long, n int, hot int")
 
 
 def _shared(rows: DataFrame, percent: int) -> DataFrame:
@@ -209,7 +213,7 @@ def _shared(rows: DataFrame, percent: int) -> DataFrame:
             rest = [x[cut:] for x in cols]
         yield from runs(rest)
 
-    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "c").mapInArrow(run, "token long, salt int, c long, n int, hot int")
+    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "c").mapInArrow(leaving_nothing(run), "token long, salt int, c long, n int, hot int")
 
 
 def _hubs(shared: DataFrame, percent: int) -> DataFrame:
@@ -242,7 +246,7 @@ def _sets(docs: DataFrame, described: DataFrame, classes: DataFrame) -> DataFram
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["c", "n", "tokens"])
 
-    return written(texts.mapInArrow(run, "c long, n int, tokens array<long>"), "sets")
+    return written(texts.mapInArrow(leaving_nothing(run, _forget), "c long, n int, tokens array<long>"), "sets")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -338,7 +342,7 @@ def _matrix(docs: DataFrame, described: DataFrame, shared: DataFrame, links: Dat
     both = asked.unionByName(asking).join(sets.select(F.col("c").alias("__c"), "tokens"), F.col("c") == F.col("__c")).drop("__c")
     key = ["m_g", "m_part", "block"]
     both = both.repartition(*key).sortWithinPartitions(*key, "asks", "c")
-    return written(both.mapInArrow(lambda batches: _opened(batches, percent), "a long, b long"), "links")
+    return written(both.mapInArrow(leaving_nothing(lambda batches: _opened(batches, percent)), "a long, b long"), "links")
 
 
 def _opened(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import hand_back, leaving_nothing, written
 
 WINDOW = 2048
 #: Stands at the end of every document.
@@ -161,7 +161,7 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield batch_of(1, pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary()), pa.array(seen[token]), pa.nulls(len(token), pa.int32()), pa.array(token))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    return written(rows.mapInArrow(run, "kind int, doc_id long, ids binary, n long, bucket int, place long"), "tokens")
+    return written(rows.mapInArrow(leaving_nothing(run), "kind int, doc_id long, ids binary, n long, bucket int, place long"), "tokens")
 
 
 @dataclass(frozen=True)
@@ -296,6 +296,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, aim: int = SHARD
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         encoder.cache_clear()  # what this worker kept of the tokenizing stage
+        hand_back()
         shard = shard.sort_values("doc_id" if shard["doc_id"].is_unique else ["doc_id", "ids"], na_position="first", ignore_index=True)
         ids = [np.frombuffer(x, np.uint16) for x in shard["ids"]]
         pieces = pd.DataFrame(packed(ids, known.value, window), columns=["doc", "start", "length", "sequence_id", "offset"])

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import extended
+from .store import extended, leaving_nothing
 
 #: Rows on which costs are estimated. Only the order of rules depends on them.
 SAMPLE = 200
@@ -117,7 +117,7 @@ def judged(docs: DataFrame, order: list[str] | None = None, rules: dict[str, Rul
             texts = (Text(t if isinstance(t, str) else None) for t in batch["text"])
             yield batch.assign(rejected_by=pd.Series([next((name for name in order if rules[name](t)), None) for t in texts], dtype=object, index=batch.index))
 
-    return docs.mapInPandas(run, extended(docs, rejected_by="string"))
+    return docs.mapInPandas(leaving_nothing(run), extended(docs, rejected_by="string"))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -138,4 +138,4 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(leaving_nothing(run), schema)

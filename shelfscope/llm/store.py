@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,3 +50,26 @@ def extended(df: DataFrame, **columns: str) -> T.StructType:
     for name, kind in columns.items():
         out = out.add(name, kind)
     return out
+
+
+def hand_back() -> None:
+    """Gives the system the memory that this process has freed, which allocators would keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def leaving_nothing(run: Callable[[Iterator], Iterator], *clear: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """run for the batches of a task, after which the worker clears what it kept and hands its memory back. Workers live on
+    from stage to stage beside the JVM, so what one stage leaves stands in the way of the next."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for f in clear:
+                f()
+            hand_back()
+
+    return whole
