@@ -44,17 +44,12 @@ CHUNK, LOCAL = 3000, 3
 #: the mean set size over the share: that bounds the table which every task gets.
 SHARE, LEAST = 2e-4, 64
 KEPT = 200_000
+#: Texts whose sets a task keeps, and the most shingles that one of them has.
+TEXTS, SHORT = 256, 2000
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_kept = _Words()
+#: Sets of a task's latest short texts, by their hash: copies, which often are many, are taken apart once.
+_kept: dict[bytes, np.ndarray] = {}
 
 
 def _forget() -> None:
@@ -67,21 +62,38 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where each distinct value of the sorted x begins."""
+    return np.flatnonzero(np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1])))
+
+
 def shingles(text: bytes | None, k: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a UTF-8 text's k-word shingles; with fewer words, of the whole sequence."""
+    if (key := xxhash.xxh3_128_digest(text or b"") + bytes([k])) in _kept:
+        return _kept[key]
     words = (text or b"").lower().split()  # of bytes: A-Z only, ASCII white space only
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_kept.__getitem__, words), np.uint64, n)
+    # digests are joined as bytes: a number object per word, or a table of words, takes longer and holds more
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
     take, out = min(k, n), np.zeros(max(n - k + 1, 1), np.uint64)
     for i in range(take):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
-    return np.unique(_mixed(out + np.uint64(take)))
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[i : i + len(out)]
+    out += np.uint64(take)
+    out = _mixed(out)
+    out.sort()
+    found = out[_begins(out)]
+    if len(_kept) >= TEXTS:
+        _forget()
+    if len(found) <= SHORT:
+        _kept[key] = found
+    return found
 
 
 def class_of(tokens: np.ndarray) -> int:
-    return np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64).item()
+    return int.from_bytes(xxhash.xxh3_64_digest(tokens), "big", signed=True)
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -106,10 +118,13 @@ def _described(docs: DataFrame) -> DataFrame:
         held, seen = [], set()
 
         def counts() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= LOCAL
-            token, n, none = token[often].view(np.int64), n[often], [None] * int(often.sum())
+            every = np.concatenate(held)
             held.clear()
+            every.sort()
+            at = _begins(every)
+            n = np.diff(at, append=len(every))
+            often = n >= LOCAL
+            token, n, none = every[at[often]].view(np.int64), n[often], [None] * int(often.sum())
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array([1] * len(n), pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(n, pa.int64()), pa.array(token, pa.int64())], names)
 

@@ -39,3 +39,15 @@ def test_handing_back_keeps_values():
 def test_stages_with_python_hand_back():
     for module in (jaccard, packing, quality_rules):
         assert module.leaving_nothing is store.leaving_nothing
+
+
+def test_words_are_not_kept_but_copies_of_short_texts_are():
+    jaccard._forget()
+    text = " ".join(f"w{i}" for i in range(1000)).encode()
+    assert jaccard.shingles(text) is jaccard.shingles(text) and len(jaccard._kept) == 1
+    long = " ".join(f"w{i}" for i in range(jaccard.SHORT + 10)).encode()
+    assert len(jaccard.shingles(long)) == jaccard.SHORT + 6 and len(jaccard._kept) == 1
+    for i in range(2 * jaccard.TEXTS):
+        jaccard.shingles(b"text %d" % i)
+    assert len(jaccard._kept) <= jaccard.TEXTS
+    jaccard._forget()
