@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import WORD, leaving_nothing, written
+from .store import WORD, leaving_nothing, small_batches, written
 
 WORDS = 5
 PERCENT = 75
@@ -293,6 +293,11 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     The links connect all classes that are connected by pairs of the threshold or more, and all are such pairs; pairs
     inside a group that is connected already are not all listed.
     """
+    with small_batches(docs.sparkSession):  # all Python steps run in here
+        return _linked(docs, percent)
+
+
+def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     described = _described(docs)
     rows = described.where("kind = 0").select("doc_id", "sign", F.col("n").alias("n_shingles"), F.col("token").alias("class_id"))
     shared = written(_shared(_prefix_rows(docs, _frequent(described), percent), percent), "shared")

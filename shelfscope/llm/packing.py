@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import hand_back, leaving_nothing, written
+from .store import hand_back, leaving_nothing, small_batches, written
 
 WINDOW = 2048
 #: Stands at the end of every document.
@@ -161,7 +161,8 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield batch_of(1, pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary()), pa.array(seen[token]), pa.nulls(len(token), pa.int32()), pa.array(token))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    return written(rows.mapInArrow(leaving_nothing(run), "kind int, doc_id long, ids binary, n long, bucket int, place long"), "tokens")
+    with small_batches(docs.sparkSession):
+        return written(rows.mapInArrow(leaving_nothing(run), "kind int, doc_id long, ids binary, n long, bucket int, place long"), "tokens")
 
 
 @dataclass(frozen=True)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +53,26 @@ def extended(df: DataFrame, **columns: str) -> T.StructType:
     return out
 
 
+#: Bytes of a batch of texts on its way to a Python worker.
+BATCH = 2 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside (not only planned) goes to Python workers in batches of at most about BATCH bytes. Spark's own limit
+    is 10 000 rows, of texts some 25 MB, which JVM and worker each hold more than once, for every task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def hand_back() -> None:
     """Gives the system the memory that this process has freed, which allocators would keep."""
     pa.default_memory_pool().release_unused()

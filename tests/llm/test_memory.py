@@ -41,6 +41,18 @@ def test_stages_with_python_hand_back():
         assert module.leaving_nothing is store.leaving_nothing
 
 
+def test_texts_go_to_workers_in_small_batches(spark):
+    """Spark's own batches are 10 000 rows, here 20 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 10_000, 1, 1).selectExpr("cast(repeat('x', 2000) as binary) raw")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    before = spark.conf.get(key, None)
+    with store.small_batches(spark):
+        most = texts.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+    assert most < 2 * store.BATCH
+    assert spark.conf.get(key, None) == before
+
+
 def test_words_are_not_kept_but_copies_of_short_texts_are():
     jaccard._forget()
     text = " ".join(f"w{i}" for i in range(1000)).encode()
