@@ -18,6 +18,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,7 @@ KEPT, FIRST = 400_000, 24
 #: Punctuation whose runs are words of their own.
 MARKS = b"!#$%&*+,./:;=?@|()-"
 WORDY = re.compile(rb"[a-z\x80-\xff]*")
+id_of = attrgetter("id")
 
 
 def byte_letters() -> dict[int, str]:
@@ -84,7 +86,7 @@ class Encoder(dict):
             text = word.decode("latin-1").translate(self.letters)
         else:
             text = word.decode("ascii")
-        ids = self[word] = array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
+        ids = self[word] = array("H", map(id_of, self.model.tokenize(text))).tobytes()
         return ids
 
     def __missing__(self, piece: bytes) -> bytes:
@@ -97,7 +99,12 @@ class Encoder(dict):
             if not head:
                 return self.word(tail)
             if head.isalpha() or WORDY.fullmatch(head):  # of bytes: ASCII letters, or those and characters above ASCII
-                a, b = self.get(head) or self.word(head), (self.get(tail) or self.word(tail)) if tail else b""
+                if not tail:
+                    a, b = self.word(head), b""
+                    if a is not None:
+                        return a  # word() keeps it
+                else:
+                    a, b = self.get(head) or self.word(head), self.get(tail) or self.word(tail)
         if a is None or b is None:
             ids = array("H", self._ids(piece.decode("utf-8", "replace"))).tobytes()
         else:

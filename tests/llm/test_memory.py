@@ -1,6 +1,7 @@
 """What a task of a Python worker leaves to the stages after it."""
 
 import pyarrow as pa
+import pytest
 
 from shelfscope.llm import jaccard, packing, quality_rules, store
 
@@ -63,3 +64,19 @@ def test_words_are_not_kept_but_copies_of_short_texts_are():
         jaccard.shingles(b"text %d" % i)
     assert len(jaccard._kept) <= jaccard.TEXTS
     jaccard._forget()
+
+
+def test_a_lone_word_is_stored_once():
+    stored = []
+
+    class Noting(packing.Encoder):
+        def __setitem__(self, piece, ids):
+            stored.append(piece)
+            super().__setitem__(piece, ids)
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    encode = Noting(public_tokenizers.path("word_bpe_49k.json"))
+    text = "Plain words, caf\u00e9 (x1)"
+    got = encode.ids(text.encode()).tolist()
+    assert got == [*encode.tokenizer.encode(text, add_special_tokens=False).ids, packing.CLOSE]
+    assert len(stored) == len(set(stored))
