@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions import embed
@@ -40,14 +40,25 @@ def exact_titles(rows: DataFrame, targets: DataFrame, brands: DataFrame) -> Data
 
 def shortlists(rows: DataFrame, targets: DataFrame, brands: DataFrame, encode: Callable[[DataFrame], DataFrame] = embed.encoded, k: int = 40) -> DataFrame:
     """row_id, product_id, score, title, p_title, p_mpn, p_brand: the k nearest targets of each title, or those of them that have
-    the brand that the title names, if any has."""
+    the brand that the title names, if any has. Of equal scores the lowest ids as text come first."""
     none = F.lit(None).cast("string")
-    pool = encode(targets.select("id", "brand", "mpn", "ean", "title")).select("id", F.lit(1).alias("block"), "vector")
+    # targets of equal texts have one vector, that of their lowest id as text (head); no more than k of them can be among the k nearest
+    texts, text_id = ["brand", "mpn", "ean", "title"], F.col("id").cast("string")
+    alike = Window.partitionBy(*texts)
+    like = targets.select("id", *texts, F.row_number().over(alike.orderBy(text_id)).alias("place"), F.min(text_id).over(alike).alias("head"))
+    like = written(like.where(F.col("place") <= k), "enrich-alike")
+    pool = encode(like.where("place = 1").select("id", *texts)).select(F.struct(F.lit("product").alias("side"), text_id.alias("id")).alias("id"), F.lit(1).alias("block"), "vector")
     asked = encode(rows.select(F.struct(F.lit("row").alias("side"), F.col("id").cast("string").alias("id")).alias("id"), F.col("id").alias("row_id"), none.alias("brand"), none.alias("mpn"), none.alias("ean"), "title"))
     asked = written(asked.select("id", "row_id", F.lit(1).alias("block"), "vector"), "enrich-rows")
-    pool = written(pool.select(F.struct(F.lit("product").alias("side"), F.col("id").cast("string").alias("id")).alias("id"), F.col("id").alias("product_id"), "block", "vector"), "enrich-pool")
-    near = knn(asked, pool, k, None)
-    near = near.join(asked.select(F.col("id").alias("query_id"), "row_id"), "query_id").join(pool.select(F.col("id").alias("pool_id"), "product_id"), "pool_id")
+    near = knn(asked, written(pool, "enrich-pool"), k, None).select("query_id", F.col("pool_id.id").alias("head"), "score")
+    # a head unfolds to its targets, if those of better ones are fewer than k
+    near = near.join(like.groupBy("head").agg(F.count("*").alias("n")), "head")
+    up_to = Window.partitionBy("query_id").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("better", F.sum("n").over(up_to) - F.sum("n").over(Window.partitionBy("query_id", "score"))).where(F.col("better") < k)
+    near = near.join(like.select("head", F.col("id").alias("product_id")), "head")
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("product_id").cast("string"))
+    near = near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    near = near.join(asked.select(F.col("id").alias("query_id"), "row_id"), "query_id")
     p = targets.select(F.col("id").alias("product_id"), F.col("title").alias("p_title"), F.col("mpn").alias("p_mpn"), F.col("brand").alias("raw_brand"), N.norm_brand(F.col("brand")).alias("p_brand"))
     met = near.select("row_id", "product_id", "score").join(p, "product_id").join(rows.select(F.col("id").alias("row_id"), "title"), "row_id").join(brands, "row_id", "left")
     return M.restrict_by_brand(met).drop("brand")
@@ -69,14 +80,16 @@ def enrich(rows: DataFrame, products: DataFrame, encode: Callable[[DataFrame], D
 
     Targets are products with a title and without a barcode. A row takes the one target of its title (of the brand that the
     title names), else its nearest one if that is near, well ahead and has the title's model tokens, else what the verifier
-    picks; rows with candidates but no pick are ambiguous, others no_match. Then barcodes claim products, in the order of ids,
-    and a barcode in conflict has no update. Nothing is written to products: `matching.apply_eans` does, a dry run ends here.
+    picks; rows with candidates but no pick are ambiguous, others no_match. All this hangs on the title alone, so a title is asked
+    once for all of its rows. Then barcodes claim products, in the order of ids, and a barcode in conflict has no update. Nothing
+    is written to products: `matching.apply_eans` does, a dry run ends here.
     """
     rows = written(source_rows(rows), "enrich-source")
     targets = products.where("ean IS NULL AND title IS NOT NULL")
-    brands = written(M.detect_brand(rows, targets), "enrich-brands")
-    exact = written(exact_titles(rows, targets, brands), "enrich-exact")
-    rest = rows.join(exact.select(F.col("row_id").alias("id")), "id", "left_anti")
+    titles = written(rows.select(F.col("title").alias("id"), "title").distinct(), "enrich-titles")
+    brands = written(M.detect_brand(titles, targets), "enrich-brands")
+    exact = written(exact_titles(titles, targets, brands), "enrich-exact")
+    rest = titles.join(exact.select(F.col("row_id").alias("id")), "id", "left_anti")
     short = written(shortlists(rest, targets, brands, encode, k), "enrich-short")
     strict = written(M.strict_accept(short), "enrich-strict")
     picked = strict.select("row_id", "product_id", "match_type", "confidence")
@@ -85,7 +98,7 @@ def enrich(rows: DataFrame, products: DataFrame, encode: Callable[[DataFrame], D
         picked = picked.unionByName(M.verified_accept(asked_verifier(open_, answers)))
     found = exact.select("row_id", "product_id", F.lit("exact_title").alias("match_type"), F.lit(1.0).alias("confidence")).unionByName(picked)
     had = short.select("row_id").distinct().withColumn("had", F.lit(True))
-    all_ = rows.join(found.withColumnRenamed("row_id", "id"), "id", "left").join(had.withColumnRenamed("row_id", "id"), "id", "left")
+    all_ = rows.join(found.withColumnRenamed("row_id", "title"), "title", "left").join(had.withColumnRenamed("row_id", "title"), "title", "left")
     all_ = written(all_, "enrich-found")
     claims = written(M.resolve_claims(all_.select("id", "ean", "product_id")).select("id", "claim", "of_ean"), "enrich-claims")
     p = targets.select(F.col("id").alias("product_id"), "sku", F.col("title").alias("product_title"))

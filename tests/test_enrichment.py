@@ -88,6 +88,30 @@ def test_conflicts(spark):
         "one": ("duplicate_ean_conflict", "", ""), "two": ("duplicate_ean_conflict", "", ""), "three": ("matched", "exact_title", "1.00"), "Three": ("product_conflict", "exact_title", "1.00"), "lost": ("ambiguous", "", "")}
 
 
+def test_equal_titles_and_equal_targets_are_asked_once(spark):
+    """The nearest targets are those of all, by score and then id as text, though equal texts have one vector."""
+    encoded, degrees = [], dict(query=10, first=8, second=13, third=40)
+    one = by_angle(**degrees)
+
+    def encode(df):
+        encoded.append(sorted(r["title"] for r in df.collect()))
+        return one(df)
+
+    titles = ["second tool"] * 3 + ["first tool"] * 2 + ["third tool"] + ["second tool"] * 8
+    products = products_of(spark, *((None, None, None, t) for t in titles))
+    rows = spark.createDataFrame([("query tool", "query tool"), ("third query", "third query")], "id string, title string")
+    got = E.shortlists(rows, products, spark.createDataFrame([], "row_id string, brand string"), encode, 5).collect()
+    near = lambda at: sorted((-round(float(np.cos(np.deg2rad(at - degrees[t.split()[0]]))), 6), str(i)) for i, t in enumerate(titles, 1))[:5]
+    for title, at in (("query tool", 10), ("third query", 10)):
+        assert sorted((-r["score"], str(r["product_id"])) for r in got if r["row_id"] == title) == near(at)
+    assert sorted(encoded) == [["first tool", "second tool", "third tool"], ["query tool", "third query"]]
+
+    del encoded[:]
+    report, updates = E.enrich(rows_of(spark, *((f"4000000{n}", "query tool", "") for n in range(3))), products, encode)
+    assert sorted(r["status"] for r in report.collect()) == ["ambiguous"] * 3 and updates.count() == 0
+    assert sorted(encoded) == [["first tool", "second tool", "third tool"], ["query tool"]]
+
+
 def test_report_files_and_empty_tables(spark, tmp_path):
     products = products_of(spark, (None, None, None, "one"))
     report, _ = E.enrich(rows_of(spark, ("40000001", "one", "5")), products)
