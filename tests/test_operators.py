@@ -378,3 +378,10 @@ def test_codes_are_looked_up_in_one_join(spark, monkeypatch):
     want = {("a", 1, "sku"), ("b", 2, "listing_mpn"), ("c", 1, "ean"), ("d", 2, "text"), ("e", 2, "text"), ("f", 2, "listing_text")}
     assert {(r["query_id"], r["product_id"], r["how"]) for r in out} == want and len(out) == 6
     assert plans["codes-found"].count("Join ") == 2
+
+
+def test_newest_of_a_product_and_texts(spark):
+    from shelfscope.operators import search as D
+
+    linked = spark.createDataFrame([("a", 1, "t", "1"), ("b", 1, "t", "2"), ("c", 1, "t", None), ("d", 2, "t", "1"), ("e", 1, None, None)], "listing_id string, product_id long, title string, scraped_at string")
+    assert {r["listing_id"] for r in D.newest_of(linked, ["title"]).collect()} == {"b", "d", "e"}
