@@ -385,3 +385,16 @@ def test_newest_of_a_product_and_texts(spark):
 
     linked = spark.createDataFrame([("a", 1, "t", "1"), ("b", 1, "t", "2"), ("c", 1, "t", None), ("d", 2, "t", "1"), ("e", 1, None, None)], "listing_id string, product_id long, title string, scraped_at string")
     assert {r["listing_id"] for r in D.newest_of(linked, ["title"]).collect()} == {"b", "d", "e"}
+
+
+def test_rivals_are_ranked_once_a_product(spark):
+    """The newest listing of a store counts, ties go by time and id, and queries of one product have the same rivals."""
+    from shelfscope.operators import search as D
+
+    offers = [("a", 1, "s1", 5.0, "2024-01-01"), ("b", 1, "s1", 9.0, "2024-02-01"), ("c", 1, "s2", 9.0, "2024-03-01"), ("d", 1, "s3", 9.0, "2024-03-01"), ("e", 1, "s0", 1.0, "2024-03-01"), ("f", 2, "s1", 3.0, "2024-01-01")]
+    offers = spark.createDataFrame(offers, "listing_id string, product_id long, competitor_id string, price_eur double, scraped_at string")
+    found = spark.createDataFrame([("x", 1), ("y", 1), ("z", 3)], "query_id string, product_id long")
+    out = D.rivals_of(found, offers, ["s0"], 2)
+    assert sorted((r["query_id"], r["rank"], r["listing_id"]) for r in out.collect()) == [(q, n, i) for q in "xy" for n, i in ((1, "c"), (2, "d"))]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "query_id" not in plan[plan.index("Window") :].split("\n")[0]
