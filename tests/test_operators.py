@@ -387,6 +387,20 @@ def test_newest_of_a_product_and_texts(spark):
     assert {r["listing_id"] for r in D.newest_of(linked, ["title"]).collect()} == {"b", "d", "e"}
 
 
+def test_words_are_made_only_for_queries_that_are_left(spark, monkeypatch):
+    from shelfscope.operators import search as D
+
+    names, words = [], D._with_all_words
+    monkeypatch.setattr(D, "_with_all_words", lambda asked, rows, key: names.append(key) or words(asked, rows, key))
+    products = spark.createDataFrame([(1, "S1", "Acme", "AB-1", None, "red saw")], "id long, sku string, brand string, mpn string, ean string, title string")
+    listings = spark.createDataFrame([("l", "s1", "Acme", None, None, "green axe", None)], "id string, competitor_id string, brand string, mpn string, ean string, title string, scraped_at timestamp")
+    matches = spark.createDataFrame([("l", 1, "approved")], "listing_id string, product_id long, status string")
+    for query, looked, how in (("s1", [], "sku"), ("saw red", ["product_id"], "text"), ("axe", ["product_id", "listing_id"], "listing_text")):
+        del names[:]
+        got = D.lookup(spark.createDataFrame([("q", query)], "query_id string, query string"), products, listings, matches, "s0").collect()
+        assert [(r["product_id"], r["how"]) for r in got] == [(1, how)] and names == looked
+
+
 def test_rivals_are_ranked_once_a_product(spark):
     """The newest listing of a store counts, ties go by time and id, and queries of one product have the same rivals."""
     from shelfscope.operators import search as D
