@@ -353,6 +353,16 @@ def test_sure_conflicts_do_not_wait(spark, monkeypatch):
     assert rounds.count("claims-ready") == 1
 
 
+def test_barcodes_of_a_claimed_product_do_not_wait(spark, monkeypatch):
+    """Many barcodes of one product take a few rounds, not one each."""
+    n, rounds, write = 12, [], M.written
+    rows = [(i, f"e{i:02d}", 1) for i in range(n)] + [(n + i, f"e{i:02d}", [1, 2, None][i % 3]) for i in range(0, n, 2)]
+    monkeypatch.setattr(M, "written", lambda df, name: rounds.append(name) or write(df, name))
+    got = M.resolve_claims(spark.createDataFrame(rows, "id long, ean string, product_id long")).collect()
+    assert {r["id"]: r["claim"] for r in got} == claimed_in_order(rows)
+    assert rounds.count("claims-ready") <= 3
+
+
 def test_a_run_makes_its_listings_once(spark, monkeypatch):
     names, write = [], M.written
     monkeypatch.setattr(M, "written", lambda df, name: names.append(name) or write(df, name))
